@@ -353,5 +353,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stand for their components: one row with the smallest id of each. Rows without an
+    id are kept."""
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    stands = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(stands, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)

@@ -152,6 +152,19 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", wanted: frozenset[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language (one of wanted, if given)."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_slices(whole, text_col):
+                found = [shipped.value.predict(t)[0] for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+                yield batch.filter(pa.array([x != "und" and (wanted is None or x in wanted) for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned_fold(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows that may be learned from: crc32 of the id as text, mod 5, is not 0."""
     return docs.filter(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0)

@@ -142,6 +142,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     return out
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them. Rows that nothing tells apart are numbered on both sides."""
+    chosen = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    row = F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64(row).alias("mark"))
+    right = chosen.select(F.xxhash64(F.struct("id", "source", "size")).alias("mark"), "copies")
+    left = left.withColumn("k", F.row_number().over(Window.partitionBy("mark").orderBy("mark")))
+    right = right.withColumn("k", F.row_number().over(Window.partitionBy("mark").orderBy(F.desc("copies"))))
+    # a mark is that of one document, or of the repeated rows of one
+    both = left.join(right.filter("copies > 0"), ["mark", "k"])
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
