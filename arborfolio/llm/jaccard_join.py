@@ -11,6 +11,9 @@ the hub of a token, the class that shares most of its rows. The matrix holds eac
 A query group opens another only if LEAST of its tokens are in the other's union, which bounds the overlap of any of
 their members; in opened groups the members that share LEAST tokens and have fitting sizes are verified on their whole
 texts. Members of one group need no further comparing, so that a large group of near copies costs a few comparisons each.
+A token in the unions of more than CROWD groups (a passage that many documents share) opens nothing: the order puts it
+last for the documents that have it, whose first tokens are taken again, until no such token is left or, after EXTENDED
+rounds, its groups are opened after all.
 
 Defined results: null and empty texts, and texts of white space, have no shingle and link with nothing; a text with
 fewer words than a shingle has its whole sequence as one. Null ids get their shingle count and no component.
@@ -36,6 +39,10 @@ LEAST = 3
 ORDERED = 500_000
 #: Rounds of comparing with hubs before groups are opened.
 ROUNDS = 2
+#: Groups that a token opens at most before it goes last in the order, and how often that is done.
+CROWD, EXTENDED = 16, 3
+#: Pairs that are broadcast at most; more are joined by a shuffle.
+BROADCAST_PAIRS = 200_000
 PIECE, CHUNK = 1 << 20, 1 << 21
 
 _P = 0xD6E8FEB86659FD93
@@ -167,10 +174,13 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, key binary, token long")
 
 
-def place(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many documents hold, sorted, and their levels. A token of level L was seen 2**(L-1) times or more; from
-    the lowest level that leaves ORDERED tokens at most, so that the table's size has a bound at any input size."""
-    counts = described.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n")).cast("int") + 1).filter("level >= 4")
+Order = tuple[np.ndarray, np.ndarray]
+
+
+def place(counts: DataFrame, from_level: int) -> Order:
+    """counts: token, n. Tokens that many documents hold, sorted, and their levels. A token of level L has n of 2**(L-1) or
+    more; from the lowest level that leaves ORDERED tokens at most, so that the table's size has a bound at any input size."""
+    counts = counts.withColumn("level", F.floor(F.log2("n")).cast("int") + 1).filter(F.col("level") >= from_level)
     counts, path = keep(counts.select("token", "level"), "token-levels")
     least, total = 0, 0
     for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r.level):
@@ -179,13 +189,21 @@ def place(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             least = r.level + 1
             break
     table = counts.filter(F.col("level") >= least).toArrow()
-    discard(described.sparkSession, path)
+    discard(counts.sparkSession, path)
     tokens = table.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], table.column("level").to_numpy().astype(np.int8)[order]
 
 
-def first_tokens(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def demote(order: Order, crowded: Order) -> Order:
+    """The order with the crowded tokens behind all others."""
+    old = ~np.isin(order[0], crowded[0])
+    tokens, levels = np.concatenate([order[0][old], crowded[0]]), np.concatenate([order[1][old], crowded[1] + np.int8(64)])
+    at = np.argsort(tokens)
+    return tokens[at], levels[at]
+
+
+def first_tokens(docs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
     """docs: id, text. Rows id, key, n, tokens: the first ones in the order."""
     shipped = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -239,8 +257,8 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, n long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs: a, b. Those whose whole texts link."""
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
+    """pairs: a, b. Those whose whole texts link, as a table, and its path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, np.ndarray] | None = None
@@ -254,9 +272,16 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                     good.append(linked(last[1], other, percent))
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    held = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    held = held.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return held.mapInArrow(run, "a long, b long")
+    pairs, path = keep(pairs, "pairs")
+    small = pairs.count() <= BROADCAST_PAIRS
+    near, ids = (F.broadcast(pairs), F.broadcast(pairs.select("a").distinct())) if small else (pairs, None)
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    left = left.join(ids, "a", "left_semi") if small else left
+    held = right.join(near, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    found, path2 = keep(held.mapInArrow(run, "a long, b long"), "links")
+    discard(pairs.sparkSession, path)
+    return found, path2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,10 +318,9 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
     return found.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select("a", "b")
 
 
-def opened_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
-    """Members of different groups that may link: groups whose token unions share LEAST tokens are opened."""
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("token")
-    rows, path = keep(rows.join(mixed, "token", "left_semi"), "mixed-rows")
+def opened_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: token, id, n, comp. Members of different groups that may link: groups whose token unions share LEAST tokens are
+    opened."""
     unions = rows.select("token", "comp").distinct()
     x, y = unions.withColumnRenamed("comp", "x"), unions.withColumnRenamed("comp", "y")
     met = x.join(y, "token").filter("x < y")
@@ -306,8 +330,37 @@ def opened_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
     right = rows.select("token", F.col("comp").alias("y"), F.col("id").alias("b"), F.col("n").alias("nb"))
     pairs = opened.join(left, ["token", "x"]).join(right, ["token", "y"])
     pairs = pairs.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select("a", "b")
-    return pairs, [path]
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select("a", "b")
+
+
+def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFrame, width: int, percent: int, order: Order) -> tuple[DataFrame, list[str]]:
+    """opened_pairs, with crowded tokens put last. Two documents that share a crowded token both have it, so that only
+    documents with one are taken again, and are compared with each other only."""
+    paths: list[str] = []
+    found: list[DataFrame] = []
+    for step in range(EXTENDED + 1):
+        rows = grouped(matrix, comps)
+        tokens = rows.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
+        rows, path = keep(rows.select("token", "id", "n", "comp").join(tokens, "token"), "mixed-rows")
+        paths.append(path)
+        crowded = place(rows.filter(F.col("groups") > CROWD).groupBy("token").agg(F.first("groups").alias("n")), CROWD.bit_length()) if step < EXTENDED else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
+        if not len(crowded[0]):
+            found.append(opened_pairs(rows, percent))
+            break
+        least = int(crowded[1].min())
+        full = F.floor(F.log2("groups")) + 1 >= least
+        full = (F.col("groups") > CROWD) & full
+        found.append(opened_pairs(rows.filter(~full), percent))
+        order = demote(order, crowded)
+        again = texts.join(rows.filter(full).select("id").distinct(), "id", "left_semi")
+        taken = first_tokens(again, width, percent, order).select(F.explode("tokens").alias("token"), "id", "n")
+        matrix, path = keep(shared_rows(taken), "matrix")
+        paths.append(path)
+        matrix = matrix.join(matrix.groupBy("id").agg(F.count("*").alias("tokens")).filter(F.col("tokens") >= LEAST).select("id"), "id")
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    return (pairs.distinct() if len(found) > 1 else pairs), paths
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,7 +369,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described, path = keep(describe(docs, width), "described")
-    order = place(described)
+    order = place(described.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")), 4)
     sets = described.filter("token is null").select("id", "n", "key")
     classes = sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("id"))
     paths = [path]
@@ -331,12 +384,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links: DataFrame | None = None
     comps: DataFrame | None = None
     for step in range(ROUNDS + 1):
-        members = grouped(matrix, comps)
         if step < ROUNDS:
-            pairs, used = hub_pairs(members), []
+            pairs, used = hub_pairs(grouped(matrix, comps)), []
         else:
-            pairs, used = opened_pairs(members, percent)
-        found, path = keep(verify(pairs, texts, width, percent), "links")
+            pairs, used = all_opened_pairs(matrix, comps, texts, width, percent, order)
+        found, path = verify(pairs, texts, width, percent)
         paths += [path, *used]
         new = found.count()
         if new:
