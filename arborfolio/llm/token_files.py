@@ -14,6 +14,7 @@ that a chunk's ids don't depend on its neighbours; another tokenizer needs whole
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,7 +31,7 @@ from arborfolio.llm.shared import discard, keep, row_slices, shared_dir, write_f
 #: File mark, end id of query op7.
 MAGIC, END_ID = b"AFIDS1\0\0", 2
 HEAD = struct.Struct("<8sQQQQQ")
-CACHE = 300_000
+CACHE = 400_000
 
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -59,6 +60,62 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: The parts of a vocabulary file's rules under which a run of letters is a token group of its own.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CASELESS = ["NFC", "Replace", "Lowercase"]
+MARKS = b".,;:!?%$&*#|()[]{}\"/+=@~^_`-"
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class Ids(dict):
+    """Ids (little-endian unsigned 32-bit integers) of the chunks met so far; others are encoded when they are asked for.
+
+    Where the vocabulary's rules are LETTER_RUNS after CASELESS, a chunk's marks at the end are split off, and a word of
+    Latin letters goes to the library's model directly; anything else goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer: object, by_letters: bool) -> None:
+        super().__init__()
+        self.tokenizer, self.by_letters, self.letters = tokenizer, by_letters, byte_letters()
+
+    def whole(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, base: bytes) -> bytes:
+        text = base.decode()
+        if not text.isalpha():
+            return self.whole(base)
+        if not text.isascii():
+            if max(text) >= "\u0250" or text.lower() != text:
+                return self.whole(base)
+            text = base.decode("latin-1").translate(self.letters)
+        return pack_ids(*(t.id for t in self.tokenizer.model.tokenize(text)))
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        base = chunk.rstrip(MARKS) if self.by_letters else chunk
+        if not self.by_letters:
+            ids = self.whole(chunk)
+        elif len(base) == len(chunk):
+            ids = self.word(chunk)
+        elif base and not (base.decode()[-1].isalpha() and len(base.decode()[-1].lower()) == 1):  # a sign that may belong to the marks
+            ids = self.whole(chunk)
+        elif base:
+            ids = self[base] + self[chunk[len(base) :]]
+        else:
+            ids = self.whole(chunk)
+        self[chunk] = ids
+        return ids
+
+
+def pack_ids(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """A tokenizer with the ids of the chunks seen so far."""
 
@@ -69,25 +126,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole_texts = Tokenizer.from_str(spec), whole_texts
-        self.known: dict[bytes, bytes] = {}
+        rules = json.loads(spec)
+        steps = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+        split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.by_letters = steps == CASELESS and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"].get("Regex") == LETTER_RUNS and rules["model"]["type"] == "BPE"
+        self.special = [x["content"].encode() for x in rules.get("added_tokens", [])]
+        self.known = Ids(self.tokenizer, self.by_letters)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
         if self.whole_texts:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        chunks = [(t or "").encode().split() for t in texts]
         if len(self.known) > CACHE:
-            self.known = {}
-        new = list({c for cs in chunks for c in cs} - self.known.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            e = self.tokenizer.encode([c.decode() for c in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            cuts = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)) * 4
-            raw = ids.tobytes()
-            self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, cs)) for cs in chunks]
+            self.known = Ids(self.tokenizer, self.by_letters)
+        get, whole, out = self.known.__getitem__, self.known.whole, []
+        for text in texts:
+            raw = (text or "").encode()
+            low = raw.lower() if self.by_letters else raw
+            if any(s in low for s in self.special):  # lower case would make or unmake a special token
+                out.append(whole(raw))
+            else:
+                out.append(b"".join(map(get, low.split())))
+        return out
+
+
+_ENCODERS: dict[tuple[int, bool], Encoder] = {}
+
+
+def encoder_for(spec: str, whole_texts: bool) -> Encoder:
+    """One encoder per worker process: what it has seen serves the tasks to come."""
+    key = (zlib.crc32(spec.encode()), whole_texts)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(spec, whole_texts)
+    return _ENCODERS[key]
 
 
 def write_token_files(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_tokens: int = 4_000_000, whole_texts: bool = False) -> str:
@@ -98,7 +170,7 @@ def write_token_files(docs: DataFrame, spec: str, id_col: str = "doc_id", text_c
     end = np.array([end_id], "<u4").tobytes()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(shipped.value, whole_texts), TaskContext.get().partitionId()
+        encoder, part = encoder_for(shipped.value, whole_texts), TaskContext.get().partitionId()
         doc_ids: list[int | None] = []
         sizes: list[int] = []
         body: list[bytes] = []
