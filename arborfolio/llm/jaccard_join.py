@@ -41,8 +41,8 @@ ORDERED = 500_000
 ROUNDS = 2
 #: Groups that a token opens at most before it goes last in the order, and how often that is done.
 CROWD, EXTENDED = 16, 3
-#: Pairs that are broadcast at most; more are joined by a shuffle.
-BROADCAST_PAIRS = 200_000
+#: Pairs and ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_PAIRS, BROADCAST_IDS = 200_000, 1_000_000
 PIECE, CHUNK = 1 << 20, 1 << 21
 
 _P = 0xD6E8FEB86659FD93
@@ -228,33 +228,37 @@ def first_tokens(docs: DataFrame, width: int, percent: int, order: Order) -> Dat
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
-    """rows: token, id, n. Those whose token another id has too, each once."""
+    """rows: token, id, n, pos (the token's place among the id's tokens). Those whose token another id has too, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int, bool] | None = None  # the row before, and whether it is out
+        last: tuple[int, int, int, int, bool] | None = None  # the row before, and whether it is out
         for batch in batches:
-            t, i, n = (batch.column(k).to_numpy() for k in range(3))
+            t, i, n, pos = (batch.column(k).to_numpy() for k in range(4))
             if not len(t):
                 continue
             out = []
-            if last and t[0] == last[0] and i[0] != last[1] and not last[3]:
-                out.append(([last[0]], [last[1]], [last[2]]))
+            if last and t[0] == last[0] and i[0] != last[1] and not last[4]:
+                out.append(tuple([x] for x in last[:4]))
             before_t, before_i = np.append(last[0] if last else ~t[0], t[:-1]), np.append(last[1] if last else ~i[0], i[:-1])
             fresh = (t != before_t) | (i != before_i)
-            held_out = bool(last and last[3])
+            held_out = bool(last and last[4])
             follows = (t == before_t)
-            t, i, n, follows = t[fresh], i[fresh], n[fresh], follows[fresh]
+            t, i, n, pos, follows = t[fresh], i[fresh], n[fresh], pos[fresh], follows[fresh]
             if len(t):
                 good = follows.copy()
                 good[:-1] |= follows[1:]
-                out.append((t[good], i[good], n[good]))
-                last = (int(t[-1]), int(i[-1]), int(n[-1]), bool(good[-1]))
+                out.append((t[good], i[good], n[good], pos[good]))
+                last = (int(t[-1]), int(i[-1]), int(n[-1]), int(pos[-1]), bool(good[-1]))
             elif last:
-                last = (*last[:3], held_out)
+                last = (*last[:4], held_out)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(x[k], np.int64) for x in out])) for k in range(3)], names=["token", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(x[k], np.int64) for x in out])) for k in range(4)], names=["token", "id", "n", "pos"])
 
-    return rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, n long")
+    return rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, n long, pos long")
+
+
+def token_rows(first: DataFrame) -> DataFrame:
+    return first.select(F.posexplode("tokens").alias("pos", "token"), "id", "n").select("token", "id", "n", F.col("pos").cast("long").alias("pos"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
@@ -304,6 +308,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def of_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of docs with these ids; the path of the ids' table."""
+    ids, path = keep(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), path
+
+
 def grouped(matrix: DataFrame, comps: DataFrame | None) -> DataFrame:
     """The matrix's rows with each id's group."""
     if comps is None:
@@ -319,17 +329,27 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
 
 
 def opened_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: token, id, n, comp. Members of different groups that may link: groups whose token unions share LEAST tokens are
-    opened."""
-    unions = rows.select("token", "comp").distinct()
-    x, y = unions.withColumnRenamed("comp", "x"), unions.withColumnRenamed("comp", "y")
-    met = x.join(y, "token").filter("x < y")
+    """rows: token, id, n, pos, comp. Members of different groups that may link: groups whose token unions share LEAST tokens
+    are opened.
+
+    Two linked sets of n and m tokens share c * (n + m) at least, c = percent / (100 + percent), and LEAST of these are
+    at a place below n - c * (n + m) + LEAST in the one set and below m - c * (n + m) + LEAST in the other. With
+    slack = pos - (1 - c) * n, which a group has at its least, that is slack + c * m < LEAST.
+    """
+    c = percent / (100 + percent)
+    rows = rows.withColumn("slack", F.col("pos") - (1 - c) * F.col("n") - 1e-6)
+    fits = lambda s, t, n, m: (F.col(s) + c * F.col(m) < LEAST) & (F.col(t) + c * F.col(n) < LEAST)
+    unions = rows.groupBy("token", "comp").agg(F.min("slack").alias("s"), F.min("n").alias("n"))
+    x = unions.select("token", F.col("comp").alias("x"), "s", "n")
+    y = unions.select("token", F.col("comp").alias("y"), F.col("s").alias("t"), F.col("n").alias("m"))
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("x") < F.col("y")) & fits("s", "t", "n", "m")).select(x["token"], "x", "y")
     opened = met.groupBy("x", "y").agg(F.count("*").alias("k"), F.collect_list("token").alias("tokens")).filter(F.col("k") >= LEAST)
     opened = opened.select("x", "y", F.explode("tokens").alias("token"))
-    left = rows.select("token", F.col("comp").alias("x"), F.col("id").alias("a"), F.col("n").alias("na"))
-    right = rows.select("token", F.col("comp").alias("y"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = opened.join(left, ["token", "x"]).join(right, ["token", "y"])
-    pairs = pairs.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    left = rows.select("token", F.col("comp").alias("x"), F.col("id").alias("a"), F.col("n"), F.col("slack").alias("s"))
+    right = rows.select(F.col("token").alias("r_token"), F.col("comp").alias("r_y"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("slack").alias("t"))
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    pairs = opened.join(left, ["token", "x"])
+    pairs = pairs.join(right, (F.col("token") == F.col("r_token")) & (F.col("y") == F.col("r_y")) & sizes & fits("s", "t", "n", "m"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select("a", "b")
 
 
@@ -341,7 +361,7 @@ def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFram
     for step in range(EXTENDED + 1):
         rows = grouped(matrix, comps)
         tokens = rows.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
-        rows, path = keep(rows.select("token", "id", "n", "comp").join(tokens, "token"), "mixed-rows")
+        rows, path = keep(rows.select("token", "id", "n", "pos", "comp").join(tokens, "token"), "mixed-rows")
         paths.append(path)
         crowded = place(rows.filter(F.col("groups") > CROWD).groupBy("token").agg(F.first("groups").alias("n")), CROWD.bit_length()) if step < EXTENDED else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
         if not len(crowded[0]):
@@ -352,8 +372,9 @@ def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFram
         full = (F.col("groups") > CROWD) & full
         found.append(opened_pairs(rows.filter(~full), percent))
         order = demote(order, crowded)
-        again = texts.join(rows.filter(full).select("id").distinct(), "id", "left_semi")
-        taken = first_tokens(again, width, percent, order).select(F.explode("tokens").alias("token"), "id", "n")
+        again, path = of_ids(texts, rows.filter(full).select("id").distinct())
+        paths.append(path)
+        taken = first_tokens(again, width, percent, order).transform(token_rows)
         matrix, path = keep(shared_rows(taken), "matrix")
         paths.append(path)
         matrix = matrix.join(matrix.groupBy("id").agg(F.count("*").alias("tokens")).filter(F.col("tokens") >= LEAST).select("id"), "id")
@@ -374,13 +395,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("id"))
     paths = [path]
     rows = first_tokens(docs.filter("id is not null"), width, percent, order).join(classes, ["id", "key"], "left_semi")
-    matrix, path = keep(shared_rows(rows.select(F.explode("tokens").alias("token"), "id", "n")), "matrix")
+    matrix, path = keep(shared_rows(token_rows(rows)), "matrix")
     paths.append(path)
     shares = matrix.groupBy("id").agg(F.count("*").alias("tokens"), F.first("n").alias("size")).filter(F.col("tokens") >= LEAST)
     shares = shares.select("id", (F.col("tokens") / F.col("size")).alias("shares"))
     matrix, path = keep(matrix.join(shares, "id"), "matrix-shares")
-    texts, path2 = keep(docs.join(matrix.select("id").distinct(), "id", "left_semi"), "texts")
-    paths += [path, path2]
+    found, path2 = of_ids(docs, matrix.select("id").distinct())
+    texts, path3 = keep(found, "texts")
+    paths += [path, path2, path3]
     links: DataFrame | None = None
     comps: DataFrame | None = None
     for step in range(ROUNDS + 1):
