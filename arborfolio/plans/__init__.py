@@ -1,0 +1 @@
+"""Whole studies, and the catalogue of queries with their SQL."""

@@ -1,5 +1,393 @@
-QUERIES = {}
+"""The queries by name. Panels stand in for market data: see sources/panels.py."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from arborfolio.config import BacktestConfig
+from arborfolio.functions.columns import lenient_date, lossy_double, rounded
+from arborfolio.operators import checks, holding, market, network, performance, universe
+from arborfolio.plans import backtest
+from arborfolio.sources import panels
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+#: Settings of the queries: months of estimation, window, threshold, cost.
+CONFIG = BacktestConfig(estimation_months=24, window=63, threshold=3.0, transaction_cost_bps=10.0)
+DAMPEN = {"window": 63, "threshold": 3.0}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.weekly_panel(spark, sf_dir, "p_brand")
+
+
+def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six assets, only the weeks in which all have prices: the fixed universe."""
+    return backtest.complete_dates(panels.weekly_panel(spark, sf_dir, "p_type"))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.staggered_membership(px(spark, sf_dir))
+
+
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.rebalances(market.month_calendar(px(spark, sf_dir)), CONFIG.estimation_months)
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = px(spark, sf_dir)
+    return universe.eligibility(panel, panel, members(spark, sf_dir), moments(spark, sf_dir))
+
+
+@lru_cache(maxsize=8)
+def _study(app: str, spark: SparkSession, sf_dir: str) -> backtest.Backtest:
+    return backtest.run_point_in_time(px(spark, sf_dir).persist(), members(spark, sf_dir), CONFIG, backtest.BOTH, check=False)
+
+
+def study(spark: SparkSession, sf_dir: str) -> backtest.Backtest:
+    """Both variants on the brand panel; its parts are shared by the queries of a session."""
+    return _study(spark.sparkContext.applicationId, spark, sf_dir)
+
+
+@lru_cache(maxsize=8)
+def _fixed(app: str, spark: SparkSession, sf_dir: str, weights: str, adjacency: str) -> backtest.Backtest:
+    config = BacktestConfig(estimation_months=24, weight_normalization=weights, adjacency_weighting=adjacency)
+    return backtest.run_fixed_universe(fx(spark, sf_dir), config, check=False)
+
+
+def fixed(spark: SparkSession, sf_dir: str, weights: str = "inverse_proportional", adjacency: str = "correlation_distance") -> backtest.Backtest:
+    return _fixed(spark.sparkContext.applicationId, spark, sf_dir, weights, adjacency)
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> backtest.BenchmarkResult:
+    panel = px(spark, sf_dir)
+    first = moments(spark, sf_dir).agg(F.min("eff").alias("eff"))
+    dates = panel.select("date").distinct().join(F.broadcast(first)).filter("date >= eff").select("date")  # one row
+    return backtest.run_benchmark(panels.weekly_benchmark(spark, sf_dir), dates, check=False)
+
+
+def tidy(df: DataFrame, digits: int = 8) -> DataFrame:
+    """Doubles rounded, as sums are made in another order elsewhere."""
+    return df.select(*(rounded(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point-in-time backtest of the flag panel: three months of estimation, window 8, daily returns of both variants."""
+    panel = panels.flag_panel(spark, sf_dir)
+    config = BacktestConfig(estimation_months=3, window=8)
+    return backtest.run_point_in_time(panel, panels.always_members(panel), config, backtest.BOTH, check=False).daily_returns
+
+
+# Relational verbs on panels.
+
+
+@query
+def panel_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return px(spark, sf_dir)
+
+
+@query
+def panel_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = px(spark, sf_dir)
+    extra = F.col("asset") >= "Brand#6"
+    return market.combine_panels(panel.filter(~extra), panel.filter(extra))
+
+
+@query
+def panel_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.wide_panel(panels.weekly_panel(spark, sf_dir, "p_type"))
+
+
+@query
+def panel_long_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = panels.wide_panel(panels.weekly_panel(spark, sf_dir, "p_type"))
+    return panels.long_panel(wide, 2).filter("price is not null")
+
+
+@query
+def lossy_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.when(F.col("event_id") % 7 == 0, "bad").when(F.col("event_id") % 11 == 0, "NaN").otherwise(F.col("value").cast("string"))
+    stamp = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return events.select("event_id", lenient_date(stamp).alias("day"), rounded(lossy_double(text)).alias("value"))
+
+
+@query
+def panel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.quality(px(spark, sf_dir)).select(*(F.col(c).cast("long") for c in ("dates", "assets", "rows", "null_dates", "null_values", "duplicates", "not_finite", "not_positive")))
+
+
+@query
+def null_dup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each brand: weeks with a price, weeks of the calendar without one."""
+    panel = px(spark, sf_dir)
+    weeks = panel.agg(F.count_distinct("date").alias("weeks"))
+    return panel.groupBy("asset").agg(F.count("price").alias("present"), F.min("date").alias("first"), F.max("date").alias("last")).join(F.broadcast(weeks)).select("asset", "present", (F.col("weeks") - F.col("present")).alias("missing"), "first", "last")
+
+
+# Returns.
+
+
+@query
+def log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(market.log_returns(px(spark, sf_dir)))
+
+
+@query
+def simple_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(market.simple_returns(px(spark, sf_dir)))
+
+
+@query
+def rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(market.trailing_median(market.log_returns(fx(spark, sf_dir)), DAMPEN).select("date", "asset", "med"))
+
+
+@query
+def rolling_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(market.trailing_median(market.log_returns(fx(spark, sf_dir)), DAMPEN).select("date", "asset", "mad"))
+
+
+@query
+def dampened_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(market.dampen(market.log_returns(fx(spark, sf_dir)), DAMPEN))
+
+
+@query
+def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.month_calendar(px(spark, sf_dir)).select("Month", "EffectiveDate", "HoldingEndDate")
+
+
+# Universe.
+
+
+@query
+def active_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.active_members(members(spark, sf_dir), moments(spark, sf_dir)).select(F.col("eff").alias("EffectiveDate"), "asset")
+
+
+@query
+def eligibility_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(spark, sf_dir).drop("rid")
+
+
+@query
+def eligibility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.eligibility_summary(audit(spark, sf_dir))
+
+
+@query
+def excluded_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.latest_excluded(audit(spark, sf_dir))
+
+
+# Covariances, graph and weights of the fixed universe.
+
+
+@query
+def monthly_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(market.monthly_realized_cov(market.log_returns(fx(spark, sf_dir))))
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.window_cov(market.monthly_realized_cov(market.log_returns(fx(spark, sf_dir))), CONFIG.estimation_months)
+
+
+@query
+def window_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(windows(spark, sf_dir))
+
+
+@query
+def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(market.correlation(windows(spark, sf_dir)).drop("distance"))
+
+
+@query
+def distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(market.correlation(windows(spark, sf_dir)).drop("rho"))
+
+
+@query
+def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(study(spark, sf_dir).network_edges)
+
+
+@query
+def mst_edges_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(fixed(spark, sf_dir, adjacency="unweighted").network_edges.drop("variant"))
+
+
+@query
+def mst_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = study(spark, sf_dir).network_edges
+    ends = edges.select("variant", "EffectiveDate", F.explode(F.array("AssetLeft", "AssetRight")).alias("asset"))
+    degree = ends.groupBy("variant", "EffectiveDate", "asset").agg(F.count("*").alias("degree"))
+    return degree.groupBy("variant", "EffectiveDate").agg(F.max("degree").alias("max_degree"))
+
+
+@query
+def centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(study(spark, sf_dir).allocation_diagnostics.select("variant", "EffectiveDate", "Asset", "Centrality", "Degree"))
+
+
+@query
+def weights_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(study(spark, sf_dir).rebalance_weights)
+
+
+@query
+def weights_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(fixed(spark, sf_dir, weights="paper_softmax").rebalance_weights.drop("variant"))
+
+
+# Holding, metrics, comparisons of the point-in-time study.
+
+
+@query
+def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(study(spark, sf_dir).rebalance_diagnostics.select("variant", "EffectiveDate", "Turnover"))
+
+
+@query
+def holding_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(study(spark, sf_dir).daily_returns)
+
+
+@query
+def end_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(study(spark, sf_dir).end_weights)
+
+
+@query
+def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(study(spark, sf_dir).monthly_returns)
+
+
+@query
+def rebalance_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(study(spark, sf_dir).rebalance_diagnostics.drop("CentralityNormalization", "WeightNormalization", "AdjacencyWeighting", "AMADWindow", "AMADThreshold"))
+
+
+def metrics(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
+    return tidy(study(spark, sf_dir).metrics.filter(F.col("variant") == variant))
+
+
+@query
+def metrics_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics(spark, sf_dir, "NRP-raw")
+
+
+@query
+def metrics_dampened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics(spark, sf_dir, "NRP-AMAD")
+
+
+@query
+def fixed_monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(fixed(spark, sf_dir).monthly_returns.drop("variant", "EligibleAssets"))
+
+
+@query
+def benchmark_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(benchmark(spark, sf_dir).daily)
+
+
+@query
+def benchmark_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(benchmark(spark, sf_dir).monthly)
+
+
+@query
+def benchmark_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(benchmark(spark, sf_dir).metrics)
+
+
+def paths(spark: SparkSession, sf_dir: str, daily: bool) -> dict[str, DataFrame]:
+    done, other = study(spark, sf_dir), benchmark(spark, sf_dir)
+    mine = done.daily_returns if daily else done.monthly_returns
+    return {"AMAD_NRP": mine.filter("variant = 'NRP-AMAD'"), "Raw_NRP": mine.filter("variant = 'NRP-raw'"), performance.BENCHMARK: other.daily if daily else other.monthly}
+
+
+@query
+def compare_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(performance.compare(paths(spark, sf_dir, True), "Date"))
+
+
+@query
+def compare_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(performance.compare(paths(spark, sf_dir, False), "Month"))
+
+
+@query
+def compare_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(backtest.union_all([study(spark, sf_dir).metrics, benchmark(spark, sf_dir).metrics]))
+
+
+@query
+def latest_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(backtest.latest_allocation(study(spark, sf_dir).rebalance_weights).drop("Rank"))
+
+
+@query
+def top_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's twenty largest positions."""
+    return tidy(backtest.latest_allocation(study(spark, sf_dir).rebalance_weights, 20))
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [p.select(F.lit(name).alias("series"), "Date", "NetReturn") for name, p in paths(spark, sf_dir, True).items()]
+    return backtest.union_all(parts)
+
+
+@query
+def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(performance.drawdowns(series(spark, sf_dir), ("series",), "Date").select("series", "Date", "drawdown"))
+
+
+@query
+def drawdown_base1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(performance.drawdowns(series(spark, sf_dir), ("series",), "Date", base=True).select("series", "Date", "drawdown"))
+
+
+@query
+def performance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(performance.performance_table(series(spark, sf_dir)))
+
+
+@query
+def performance_table_base1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(performance.performance_table(series(spark, sf_dir), base=True))
+
+
+@query
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = study(spark, sf_dir)
+    return tidy(performance.diagnostics_of(done.daily_returns, done.rebalance_diagnostics))
+
+
+@query
+def return_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(performance.histogram(study(spark, sf_dir).daily_returns.filter("variant = 'NRP-AMAD'")), 6)
+
+
+@query
+def paired_universe_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of this study's universe against that with window 12: the rows that only one has."""
+    panel = px(spark, sf_dir)
+    other = universe.eligibility(panel, panel, members(spark, sf_dir), universe.rebalances(market.month_calendar(panel), 12))
+    pick = lambda a: a.filter("Eligible").select("EffectiveDate", "Price_Ticker")
+    return performance.universe_difference(pick(audit(spark, sf_dir)), pick(other))
+
+
+__all__ = ["QUERIES", "Window", "flagship", "holding", "network"]

@@ -1,0 +1 @@
+"""Nothing here: the operators are batch operators, and no query asks for a stream."""
