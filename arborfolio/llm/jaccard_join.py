@@ -43,7 +43,7 @@ ROUNDS = 2
 CROWD, EXTENDED = 16, 3
 #: Pairs and ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_PAIRS, BROADCAST_IDS = 200_000, 1_000_000
-PIECE, CHUNK = 1 << 20, 1 << 21
+PIECE, CHUNK = 1 << 20, 1 << 22
 
 _P = 0xD6E8FEB86659FD93
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -135,9 +135,9 @@ def overlap_needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def rows_needed(n: int, percent: int) -> int:
-    """The set's first tokens that hold LEAST shared ones with any other set that it links to; 0 if it links to none."""
-    return 0 if 100 * n < percent * (n + 1) else min(n, n - overlap_needed(n, percent) + min(LEAST, overlap_needed(n, percent)))
+def rows_needed(n: int, percent: int, least: int) -> int:
+    """The set's first tokens that hold `least` shared ones with any other set that it links to; 0 if it links to none."""
+    return 0 if 100 * n < percent * (n + 1) else min(n, n - overlap_needed(n, percent) + least)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -157,7 +157,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def often(held: list[np.ndarray]) -> pa.RecordBatch:
             t, c = np.unique(np.concatenate(held), return_counts=True)
-            t, c = t[c >= 4], c[c >= 4]
+            t, c = t[c >= 2], c[c >= 2]
             return pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(t), pa.binary()), pa.array(t.view(np.int64))], names=["id", "n", "key", "token"])
 
         held, size = [], 0
@@ -203,14 +203,14 @@ def demote(order: Order, crowded: Order) -> Order:
     return tokens[at], levels[at]
 
 
-def first_tokens(docs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
+def first_tokens(docs: DataFrame, width: int, percent: int, order: Order, least: int) -> DataFrame:
     """docs: id, text. Rows id, key, n, tokens: the first ones in the order."""
     shipped = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, levels = shipped.value
         for batch, sets in _each(batches, width):
-            need = [rows_needed(len(s), percent) for s in sets]
+            need = [rows_needed(len(s), percent, least) for s in sets]
             picked = []
             for s, q in zip(sets, need, strict=True):
                 if q and len(common):
@@ -328,29 +328,37 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
     return found.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select("a", "b")
 
 
-def opened_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: token, id, n, pos, comp. Members of different groups that may link: groups whose token unions share LEAST tokens
-    are opened.
+def opened_pairs(rows: DataFrame, percent: int, least: int) -> DataFrame:
+    """rows: token, id, n, pos, comp. Members of different groups that may link: groups whose token unions share `least`
+    tokens are opened.
 
-    Two linked sets of n and m tokens share c * (n + m) at least, c = percent / (100 + percent), and LEAST of these are
-    at a place below n - c * (n + m) + LEAST in the one set and below m - c * (n + m) + LEAST in the other. With
-    slack = pos - (1 - c) * n, which a group has at its least, that is slack + c * m < LEAST.
+    Two linked sets of n and m tokens share o = c * (n + m) at least, c = percent / (100 + percent). The first
+    min(least, o) of these are at a place below n - o + least in the one set and below m - o + least in the other. With
+    slack = pos - (1 - c) * n, which a group has at its least, that is slack + c * m < least.
     """
     c = percent / (100 + percent)
+    enough = F.col("k") >= F.least(F.lit(least), F.ceil(c * (F.col("n") + F.col("m")) - 1e-6))
     rows = rows.withColumn("slack", F.col("pos") - (1 - c) * F.col("n") - 1e-6)
-    fits = lambda s, t, n, m: (F.col(s) + c * F.col(m) < LEAST) & (F.col(t) + c * F.col(n) < LEAST)
+    fits = lambda s, t, n, m: (F.col(s) + c * F.col(m) < least) & (F.col(t) + c * F.col(n) < least)
     unions = rows.groupBy("token", "comp").agg(F.min("slack").alias("s"), F.min("n").alias("n"))
     x = unions.select("token", F.col("comp").alias("x"), "s", "n")
     y = unions.select("token", F.col("comp").alias("y"), F.col("s").alias("t"), F.col("n").alias("m"))
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("x") < F.col("y")) & fits("s", "t", "n", "m")).select(x["token"], "x", "y")
-    opened = met.groupBy("x", "y").agg(F.count("*").alias("k"), F.collect_list("token").alias("tokens")).filter(F.col("k") >= LEAST)
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("x") < F.col("y")) & fits("s", "t", "n", "m")).select(x["token"], "x", "y", "n", "m")
+    opened = met.groupBy("x", "y").agg(F.count("*").alias("k"), F.collect_list("token").alias("tokens"), F.min("n").alias("n"), F.min("m").alias("m")).filter(enough)
     opened = opened.select("x", "y", F.explode("tokens").alias("token"))
     left = rows.select("token", F.col("comp").alias("x"), F.col("id").alias("a"), F.col("n"), F.col("slack").alias("s"))
     right = rows.select(F.col("token").alias("r_token"), F.col("comp").alias("r_y"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("slack").alias("t"))
     sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     pairs = opened.join(left, ["token", "x"])
     pairs = pairs.join(right, (F.col("token") == F.col("r_token")) & (F.col("y") == F.col("r_y")) & sizes & fits("s", "t", "n", "m"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select("a", "b")
+    return pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k")).filter(enough).select("a", "b")
+
+
+def with_enough(matrix: DataFrame, percent: int, least: int) -> DataFrame:
+    """Adds shares, the share of an id's tokens that other ids have too; ids with too few such rows to link go."""
+    shares = matrix.groupBy("id").agg(F.count("*").alias("tokens"), F.first("n").alias("size"))
+    shares = shares.filter(F.col("tokens") >= F.least(F.lit(least), F.ceil(percent * F.col("size") / 100 - 1e-6)))
+    return matrix.join(shares.select("id", (F.col("tokens") / F.col("size")).alias("shares")), "id")
 
 
 def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFrame, width: int, percent: int, order: Order) -> tuple[DataFrame, list[str]]:
@@ -358,6 +366,7 @@ def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFram
     documents with one are taken again, and are compared with each other only."""
     paths: list[str] = []
     found: list[DataFrame] = []
+    least = LEAST
     for step in range(EXTENDED + 1):
         rows = grouped(matrix, comps)
         tokens = rows.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
@@ -365,19 +374,16 @@ def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFram
         paths.append(path)
         crowded = place(rows.filter(F.col("groups") > CROWD).groupBy("token").agg(F.first("groups").alias("n")), CROWD.bit_length()) if step < EXTENDED else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
         if not len(crowded[0]):
-            found.append(opened_pairs(rows, percent))
+            found.append(opened_pairs(rows, percent, least))
             break
-        least = int(crowded[1].min())
-        full = F.floor(F.log2("groups")) + 1 >= least
-        full = (F.col("groups") > CROWD) & full
-        found.append(opened_pairs(rows.filter(~full), percent))
+        full = (F.col("groups") > CROWD) & (F.floor(F.log2("groups")) + 1 >= int(crowded[1].min()))
+        found.append(opened_pairs(rows.filter(~full), percent, least))
         order = demote(order, crowded)
         again, path = of_ids(texts, rows.filter(full).select("id").distinct())
         paths.append(path)
-        taken = first_tokens(again, width, percent, order).transform(token_rows)
-        matrix, path = keep(shared_rows(taken), "matrix")
+        least = 1  # behind the crowded ones no token is shared by chance: one is enough, and fewer rows are met
+        matrix, path = keep(shared_rows(first_tokens(again, width, percent, order, least).transform(token_rows)), "matrix")
         paths.append(path)
-        matrix = matrix.join(matrix.groupBy("id").agg(F.count("*").alias("tokens")).filter(F.col("tokens") >= LEAST).select("id"), "id")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
@@ -394,12 +400,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sets = described.filter("token is null").select("id", "n", "key")
     classes = sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("id"))
     paths = [path]
-    rows = first_tokens(docs.filter("id is not null"), width, percent, order).join(classes, ["id", "key"], "left_semi")
+    rows = first_tokens(docs.filter("id is not null"), width, percent, order, LEAST).join(classes, ["id", "key"], "left_semi")
     matrix, path = keep(shared_rows(token_rows(rows)), "matrix")
     paths.append(path)
-    shares = matrix.groupBy("id").agg(F.count("*").alias("tokens"), F.first("n").alias("size")).filter(F.col("tokens") >= LEAST)
-    shares = shares.select("id", (F.col("tokens") / F.col("size")).alias("shares"))
-    matrix, path = keep(matrix.join(shares, "id"), "matrix-shares")
+    matrix, path = keep(with_enough(matrix, percent, LEAST), "matrix-shares")
     found, path2 = of_ids(docs, matrix.select("id").distinct())
     texts, path3 = keep(found, "texts")
     paths += [path, path2, path3]
