@@ -332,25 +332,28 @@ def opened_pairs(rows: DataFrame, percent: int, least: int) -> DataFrame:
     """rows: token, id, n, pos, comp. Members of different groups that may link: groups whose token unions share `least`
     tokens are opened.
 
-    Two linked sets of n and m tokens share o = c * (n + m) at least, c = percent / (100 + percent). The first
-    min(least, o) of these are at a place below n - o + least in the one set and below m - o + least in the other. With
-    slack = pos - (1 - c) * n, which a group has at its least, that is slack + c * m < least.
+    Two linked sets of n and m tokens share o = ceil(c * (n + m)) at least, c = percent / (100 + percent). The first
+    min(least, o) of these are at a place below n - o + least in the one set and below m - o + least in the other. Of a
+    group whose members differ in size only the least slack = pos - (1 - c) * n is held against the other's least size.
     """
     c = percent / (100 + percent)
-    enough = F.col("k") >= F.least(F.lit(least), F.ceil(c * (F.col("n") + F.col("m")) - 1e-6))
-    rows = rows.withColumn("slack", F.col("pos") - (1 - c) * F.col("n") - 1e-6)
-    fits = lambda s, t, n, m: (F.col(s) + c * F.col(m) < least) & (F.col(t) + c * F.col(n) < least)
-    unions = rows.groupBy("token", "comp").agg(F.min("slack").alias("s"), F.min("n").alias("n"))
-    x = unions.select("token", F.col("comp").alias("x"), "s", "n")
-    y = unions.select("token", F.col("comp").alias("y"), F.col("s").alias("t"), F.col("n").alias("m"))
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("x") < F.col("y")) & fits("s", "t", "n", "m")).select(x["token"], "x", "y", "n", "m")
+    o = F.ceil(c * (F.col("n") + F.col("m")) - 1e-6)
+    enough = F.col("k") >= F.least(F.lit(least), o)
+    fits = (F.col("p") + o < least + F.col("n")) & (F.col("q") + o < least + F.col("m"))
+    loose = (F.col("s") + c * F.col("m") < least) & (F.col("t") + c * F.col("n") < least)
+    slack = F.col("pos") - (1 - c) * F.col("n") - 1e-6
+    unions = rows.groupBy("token", "comp").agg(F.min(slack).alias("s"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("pos").alias("p"))
+    x = unions.select("token", F.col("comp").alias("x"), "s", "n", "n2", "p")
+    y = unions.select("token", F.col("comp").alias("y"), F.col("s").alias("t"), F.col("n").alias("m"), F.col("n2").alias("m2"), F.col("p").alias("q"))
+    even = (F.col("n") == F.col("n2")) & (F.col("m") == F.col("m2"))
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("x") < F.col("y")) & loose & (~even | fits)).select(x["token"], "x", "y", "n", "m")
     opened = met.groupBy("x", "y").agg(F.count("*").alias("k"), F.collect_list("token").alias("tokens"), F.min("n").alias("n"), F.min("m").alias("m")).filter(enough)
     opened = opened.select("x", "y", F.explode("tokens").alias("token"))
-    left = rows.select("token", F.col("comp").alias("x"), F.col("id").alias("a"), F.col("n"), F.col("slack").alias("s"))
-    right = rows.select(F.col("token").alias("r_token"), F.col("comp").alias("r_y"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("slack").alias("t"))
+    left = rows.select("token", F.col("comp").alias("x"), F.col("id").alias("a"), "n", F.col("pos").alias("p"))
+    right = rows.select(F.col("token").alias("r_token"), F.col("comp").alias("r_y"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"))
     sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     pairs = opened.join(left, ["token", "x"])
-    pairs = pairs.join(right, (F.col("token") == F.col("r_token")) & (F.col("y") == F.col("r_y")) & sizes & fits("s", "t", "n", "m"))
+    pairs = pairs.join(right, (F.col("token") == F.col("r_token")) & (F.col("y") == F.col("r_y")) & sizes & fits)
     return pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k")).filter(enough).select("a", "b")
 
 
