@@ -346,13 +346,15 @@ def opened_pairs(rows: DataFrame, percent: int, least: int) -> DataFrame:
     x = unions.select("token", F.col("comp").alias("x"), "s", "n", "n2", "p")
     y = unions.select("token", F.col("comp").alias("y"), F.col("s").alias("t"), F.col("n").alias("m"), F.col("n2").alias("m2"), F.col("p").alias("q"))
     even = (F.col("n") == F.col("n2")) & (F.col("m") == F.col("m2"))
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("x") < F.col("y")) & loose & (~even | fits)).select(x["token"], "x", "y", "n", "m")
-    opened = met.groupBy("x", "y").agg(F.count("*").alias("k"), F.collect_list("token").alias("tokens"), F.min("n").alias("n"), F.min("m").alias("m")).filter(enough)
-    opened = opened.select("x", "y", F.explode("tokens").alias("token"))
-    left = rows.select("token", F.col("comp").alias("x"), F.col("id").alias("a"), "n", F.col("pos").alias("p"))
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("x") < F.col("y")) & loose & (~even | fits)).select(x["token"], "x", "y", "n", "t", "m", "m2", "q")
+    opened = met.groupBy("x", "y").agg(F.count("*").alias("k"), F.collect_list(F.struct("token", "t", "m", "m2", "q")).alias("rows"), F.min("n").alias("n"), F.min("m").alias("m")).filter(enough)
+    opened = opened.select("x", "y", F.inline("rows"))
+    left = rows.select(F.col("token").alias("l_token"), F.col("comp").alias("l_x"), F.col("id").alias("a"), "n", F.col("pos").alias("p"), slack.alias("s"))
     right = rows.select(F.col("token").alias("r_token"), F.col("comp").alias("r_y"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"))
     sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    pairs = opened.join(left, ["token", "x"])
+    # a member of x is held against the group y before y's members are met
+    pairs = opened.join(left, (F.col("token") == F.col("l_token")) & (F.col("x") == F.col("l_x")) & loose & ((F.col("m") != F.col("m2")) | fits))
+    pairs = pairs.select("token", "y", "a", "n", "p")
     pairs = pairs.join(right, (F.col("token") == F.col("r_token")) & (F.col("y") == F.col("r_y")) & sizes & fits)
     return pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k")).filter(enough).select("a", "b")
 
