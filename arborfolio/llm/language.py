@@ -47,7 +47,8 @@ class LanguageModel:
     def backoff(self, word: str) -> np.ndarray:
         padded = f"_{word}_"
         for n in range(min(LONGEST, len(padded)), 0, -1):
-            known = [g for i in range(len(padded) - n + 1) if (g := self.grams[n - 1].get(padded[i : i + n])) is not None]
+            text = padded if n > 1 else word  # a border alone says nothing
+            known = [g for i in range(len(text) - n + 1) if (g := self.grams[n - 1].get(text[i : i + n])) is not None]
             if known:
                 return np.mean(known, axis=0)
         return np.zeros(len(self.langs))

@@ -262,7 +262,7 @@ def unpack(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndar
 def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, start (ids before it), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
     table = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").first()
-    ids_by_rank = spark.sparkContext.broadcast(np.frombuffer(table.content, "<u4"))
+    ids_by_rank = spark.sparkContext.broadcast(np.frombuffer(table.content if table else b"", "<u4"))  # Spark leaves empty files out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,7 @@ other shards, where it cuts the walk from the start.
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with
 a null id; vectors are compared with those of their own length. A row never finds rows with its own id. Ties go to the
 smaller id; repeated rows are separate candidates; of several query rows with one id the smallest vector asks. Fewer
-than k candidates give fewer rows; an empty table gives none. Only the named columns are read.
+than k candidates give fewer rows; an empty table gives none. Scores beyond 64 bits are held at their ends. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ class KdTree:
                     heapq.heapreplace(best, (score, -i))
                 if len(best) == k:
                     limit = max(limit, best[0])
-        return [(int(s), -i) for s, i in best]
+        return [(min(max(int(s), -(1 << 63)), (1 << 63) - 1), -i) for s, i in best]
 
 
 def whole_numbers(vector: Column, scale: int = 256) -> Column:

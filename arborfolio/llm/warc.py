@@ -121,6 +121,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["records"])
 
     both.repartition("id", "digest").sortWithinPartitions("id", "digest", "kind").mapInArrow(write, "records long").agg(F.sum("records")).collect()
+    write_file(f"{out}/_SUCCESS", b"")
     return out
 
 
