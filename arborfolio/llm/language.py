@@ -24,7 +24,7 @@ from arborfolio.llm.shared import row_sample, row_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-CACHE = 200_000
+CACHE = 60_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -37,7 +37,8 @@ def words_of(text: str | None) -> list[str]:
 class LanguageModel:
     langs: list[str]
     words: dict[str, int]  # word: row of scores
-    grams: list[dict[str, np.ndarray]]  # by order - 1
+    grams: list[dict[str, int]]  # by order - 1: row of that order's scores
+    gram_scores: list[np.ndarray]
     scores: np.ndarray
     cache: dict[str, int] = field(default_factory=dict)
 
@@ -50,7 +51,7 @@ class LanguageModel:
             text = padded if n > 1 else word  # a border alone says nothing
             known = [g for i in range(len(text) - n + 1) if (g := self.grams[n - 1].get(text[i : i + n])) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.gram_scores[n - 1][known].mean(0)
         return np.zeros(len(self.langs))
 
     def rows_of(self, words: list[str]) -> np.ndarray:
@@ -134,8 +135,8 @@ def train_languages(labelled: DataFrame, bound: int = 20_000, words_per_lang: in
                     table[g] = c = np.zeros(len(langs), np.float32)
                 c[at[lang]] += n
     keys, scores = logs(seen)
-    tables = [dict(zip(*logs(t), strict=True)) for t in grams]
-    return LanguageModel(langs, {w: i for i, w in enumerate(keys)}, tables, scores)
+    tables = [logs(t) for t in grams]
+    return LanguageModel(langs, {w: i for i, w in enumerate(keys)}, [{g: i for i, g in enumerate(t[0])} for t in tables], [t[1].astype(np.float32) for t in tables], scores)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

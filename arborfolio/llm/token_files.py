@@ -162,7 +162,7 @@ def encoder_for(spec: str, whole_texts: bool) -> Encoder:
     return _ENCODERS[key]
 
 
-def write_token_files(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_tokens: int = 4_000_000, whole_texts: bool = False) -> str:
+def write_token_files(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_tokens: int = 1_000_000, whole_texts: bool = False) -> str:
     """Write the folder and return its path. spec: the tokenizer's JSON. A file holds about block_tokens tokens."""
     spark = docs.sparkSession
     out = shared_dir(spark, "token-files")
