@@ -1,5 +1,5 @@
-"""The queries of this subpackage for __spark_entry__.py. None has SQL: a trained model, a search index, files or
-components of links take part in each; tests/llm holds them against brute force."""
+"""The queries of this subpackage for __spark_entry__.py. Those whose results SQL can express have it; a trained model, a
+tokenizer, a search index or a fitted subset takes part in each of the others, which tests/llm holds against brute force."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from arborfolio.llm.decontaminate import op4_decontamination
 from arborfolio.llm.jaccard_join import op10_ngram_jaccard_join
 from arborfolio.llm.language import op6_language_id
 from arborfolio.llm.mixing import op8_mixing
+from arborfolio.llm.oracles import ORACLES
 from arborfolio.llm.secrets import op5_secret_scan
 from arborfolio.llm.token_files import op7_token_files
 from arborfolio.llm.toxicity import op2_toxicity
@@ -15,4 +16,5 @@ from arborfolio.llm.vector_search import op3_exact_top_k
 from arborfolio.llm.warc import op9_warc
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_exact_top_k, op4_decontamination, op5_secret_scan, op6_language_id, op7_token_files, op8_mixing, op9_warc, op10_ngram_jaccard_join)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
