@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborfolio.llm.shared import row_sample, row_slices
+from arborfolio.llm.shared import discard, keep, row_sample, row_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -107,14 +107,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, per_lang: int) -> DataFrame:
+    """counts: lang, word, n. About per_lang rows of each language. Words are counted by frequency, so that a language's
+    frequencies are put in order, not its words; a row per language goes back to the words."""
+    levels = counts.groupBy("lang", "n").agg(F.count("*").alias("words"))
+    levels = levels.withColumn("before", F.sum("words").over(Window.partitionBy("lang").orderBy(F.desc("n"))) - F.col("words")).filter(F.col("before") < per_lang)
+    last = levels.groupBy("lang").agg(F.min("n").alias("last_n"), F.min_by((per_lang - F.col("before")) / F.col("words"), "n").alias("share"))
+    chosen = (F.col("n") > F.col("last_n")) | (F.col("n") == F.col("last_n")) & (F.xxhash64("word") / 2.0**64 + 0.5 < F.col("share"))
+    return counts.join(F.broadcast(last), "lang").filter(chosen).select("lang", "word", "n")
+
+
 def train_languages(labelled: DataFrame, bound: int = 20_000, words_per_lang: int = 20_000) -> LanguageModel:
     """labelled: id, text, lang. About `bound` labelled texts are used, whole, chosen by a hash of the id (classifier fit
-    on a bounded sample). Of each language's words the words_per_lang most frequent make the table; the n-gram tables come
-    from these words, weighted by frequency."""
+    on a bounded sample). Of each language's words the words_per_lang most frequent make the table, about: of the words as
+    frequent as the last one a share by hash; the n-gram tables come from these words, weighted by frequency."""
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = word_counts(row_sample(labelled, "id", bound, labelled.count()))
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("k") <= words_per_lang)
-    rows = sorted((r.lang, r.word, r.n) for r in top.collect())
+    counts, path = keep(word_counts(row_sample(labelled, "id", bound, labelled.count())), "word-counts")
+    rows = sorted((r.lang, r.word, r.n) for r in most_frequent(counts, words_per_lang).collect())
+    discard(labelled.sparkSession, path)
     langs = sorted({r[0] for r in rows})
     at = {lang: i for i, lang in enumerate(langs)}
 

@@ -363,3 +363,14 @@ def test_pipeline_stages(spark, tmp_path):
     last = docs.orderBy("start").collect()
     assert [r.doc_id for r in last] == kept[4] and last[0].start == 0
     assert all(zlib.crc32(b"") <= r.ids_crc32 < 2**32 for r in last)
+
+
+def test_most_frequent_words(spark):
+    rows = [("a", f"w{i}", 5 if i < 10 else 2 if i < 30 else 1) for i in range(3000)] + [("b", f"w{i}", 1) for i in range(7)]
+    counts = frame(spark, rows, "lang string, word string, n long")
+    for most, least_n, about in ((10, 5, 10), (30, 2, 30), (530, 1, 530), (4000, 1, 3000)):
+        found = [tuple(r) for r in language.most_frequent(counts, most).collect()]
+        a = [r for r in found if r[0] == "a"]
+        assert set(a) >= {r for r in rows if r[0] == "a" and r[2] > least_n} and min(r[2] for r in a) == least_n
+        assert abs(len(a) - about) <= 0.15 * about and len([r for r in found if r[0] == "b"]) == min(7, most)
+    assert not language.most_frequent(counts.limit(0), 10).collect()
