@@ -41,6 +41,9 @@ ORDERED = 500_000
 ROUNDS = 2
 #: Groups that a token opens at most before it goes last in the order, and how often that is done.
 CROWD, EXTENDED = 16, 3
+#: From this level on (tokens of 1024 documents and more) a token's rows are cut into parts of about a thousand; tokens put
+#: last, into CUT parts at least.
+HOT_LEVEL, CUT = 11, 64
 #: Pairs and ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_PAIRS, BROADCAST_IDS = 200_000, 1_000_000
 PIECE, CHUNK = 1 << 20, 1 << 22
@@ -203,37 +206,48 @@ def demote(order: Order, crowded: Order) -> Order:
     return tokens[at], levels[at]
 
 
+def parts_of(level: np.ndarray, hot_level: int) -> np.ndarray:
+    """Into how many parts the rows of tokens of these levels are cut."""
+    parts = np.left_shift(1, np.clip(level.astype(np.int64) % 64 - hot_level + 1, 0, 40))
+    return np.where(level >= 64, np.maximum(parts, CUT), parts)
+
+
 def first_tokens(docs: DataFrame, width: int, percent: int, order: Order, least: int) -> DataFrame:
-    """docs: id, text. Rows id, key, n, tokens: the first ones in the order."""
-    shipped = docs.sparkSession.sparkContext.broadcast(order)
+    """docs: id, text. Rows id, key, n, tokens: the first ones in the order; parts: into how many each one's rows are cut."""
+    shipped, hot_level = docs.sparkSession.sparkContext.broadcast(order), HOT_LEVEL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, levels = shipped.value
         for batch, sets in _each(batches, width):
             need = [rows_needed(len(s), percent, least) for s in sets]
-            picked = []
+            picked, parts = [], []
             for s, q in zip(sets, need, strict=True):
+                level = np.zeros(len(s), np.int8)
                 if q and len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     level = np.where(common[at] == s, levels[at], 0)
                     if level.any():
-                        s = s[np.argsort(level, kind="stable")]
+                        by_level = np.argsort(level, kind="stable")
+                        s, level = s[by_level], level[by_level]
                 picked.append(s[:q])
+                parts.append(parts_of(level[:q], hot_level))
             keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
             offsets = np.append(0, np.cumsum([len(x) for x in picked])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(picked).view(np.int64) if picked else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), lists], names=["id", "key", "n", "tokens"]).filter(pa.array(np.array(need) > 0))
+            cuts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), lists, cuts], names=["id", "key", "n", "tokens", "parts"]).filter(pa.array(np.array(need) > 0))
 
-    return docs.mapInArrow(run, "id long, key binary, n long, tokens array<long>")
+    return docs.mapInArrow(run, "id long, key binary, n long, tokens array<long>, parts array<long>")
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
-    """rows: token, id, n, pos (the token's place among the id's tokens). Those whose token another id has too, each once."""
+    """rows: token, id, n, pos (the token's place among the id's tokens), part. Those whose token another id has too, each
+    once. Of tokens that are cut (part is not 0), which many documents have, all rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int, int, bool] | None = None  # the row before, and whether it is out
         for batch in batches:
-            t, i, n, pos = (batch.column(k).to_numpy() for k in range(4))
+            t, i, n, pos, part = (batch.column(k).to_numpy() for k in range(5))
             if not len(t):
                 continue
             out = []
@@ -243,9 +257,9 @@ def shared_rows(rows: DataFrame) -> DataFrame:
             fresh = (t != before_t) | (i != before_i)
             held_out = bool(last and last[4])
             follows = (t == before_t)
-            t, i, n, pos, follows = t[fresh], i[fresh], n[fresh], pos[fresh], follows[fresh]
+            t, i, n, pos, part, follows = t[fresh], i[fresh], n[fresh], pos[fresh], part[fresh], follows[fresh]
             if len(t):
-                good = follows.copy()
+                good = follows | (part > 0)
                 good[:-1] |= follows[1:]
                 out.append((t[good], i[good], n[good], pos[good]))
                 last = (int(t[-1]), int(i[-1]), int(n[-1]), int(pos[-1]), bool(good[-1]))
@@ -254,11 +268,14 @@ def shared_rows(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(x[k], np.int64) for x in out])) for k in range(4)], names=["token", "id", "n", "pos"])
 
-    return rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, n long, pos long")
+    return rows.repartition("token", "part").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, n long, pos long")
 
 
 def token_rows(first: DataFrame) -> DataFrame:
-    return first.select(F.posexplode("tokens").alias("pos", "token"), "id", "n").select("token", "id", "n", F.col("pos").cast("long").alias("pos"))
+    """Rows token, id, n, pos, part: 0, or of a token that is cut a part from 1 on, by a hash of the id."""
+    rows = first.select(F.posexplode(F.arrays_zip("tokens", "parts")).alias("pos", "x"), "id", "n")
+    part = F.when(F.col("x.parts") > 1, F.pmod(F.xxhash64("id"), F.col("x.parts")) + 1).otherwise(0)
+    return rows.select(F.col("x.tokens").alias("token"), "id", "n", F.col("pos").cast("long").alias("pos"), part.alias("part"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:

@@ -306,9 +306,10 @@ def components_of(rows, width, percent):
     return [(i, len(s), top(i)) for (i, _), s in zip(rows, sets, strict=True)]
 
 
-@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80), (2, 60)])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, width, percent):
+@pytest.mark.parametrize(("width", "percent", "hot_level"), [(4, 85, 11), (5, 80, 4), (2, 60, 5)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, width, percent, hot_level):
     monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    monkeypatch.setattr(jaccard_join, "HOT_LEVEL", hot_level)
     rng = random.Random(12)
     words = [f"W{i}" for i in range(2000)]
     passages = [[rng.choice(words) for _ in range(40)] for _ in range(3)]
