@@ -420,8 +420,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     described, path = keep(describe(docs, width), "described")
     order = place(described.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")), 4)
     sets = described.filter("token is null").select("id", "n", "key")
-    classes = sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("id"))
-    paths = [path]
+    # a table, so that a join with it can split the rows of a key that many documents have
+    classes, path2 = keep(sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("id")), "classes")
+    paths = [path, path2]
     rows = first_tokens(docs.filter("id is not null"), width, percent, order, LEAST).join(classes, ["id", "key"], "left_semi")
     matrix, path = keep(shared_rows(token_rows(rows)), "matrix")
     paths.append(path)
