@@ -49,8 +49,9 @@ def _assemble(panel: DataFrame, dates: DataFrame, history: DataFrame, moments: D
     nodes = graph.filter("kind = 'node'").select("rid", "variant", F.col("a").alias("asset"), F.col("x").alias("weight"), F.col("y").alias("centrality"), F.col("z").cast("long").alias("degree"))
     values = holding.held_values(panel, dates, moments, nodes.select("rid", "variant", "asset", "weight"))
     ends = holding.end_weights(values)
-    moved = holding.turnover(nodes, ends)
-    daily = holding.daily_returns(values, moved, config.transaction_cost_bps)
+    # a row per rebalance and a row per date, each read by several tables
+    moved = holding.turnover(nodes, ends).persist()
+    daily = holding.daily_returns(values, moved, config.transaction_cost_bps).persist()
     sizes = nodes.groupBy("rid", "variant").agg(F.count("*").alias("EligibleAssets"), F.max("weight").alias("MaximumWeight"), F.min("weight").alias("MinimumWeight"), (1 / F.sum(F.col("weight") * F.col("weight"))).alias("EffectiveHoldings"))
     months = holding.monthly_returns(daily).join(F.broadcast(sizes.select("rid", "variant", "EligibleAssets")), ["rid", "variant"]).join(when, "rid")
     months = months.select("variant", "Month", "EffectiveDate", "EstimationStartMonth", "EstimationEndMonth", "GrossReturn", "TransactionCost", "NetReturn", "NetValue", "EligibleAssets")
@@ -82,7 +83,7 @@ def run_point_in_time(price_data: DataFrame, membership_intervals: DataFrame, co
     dates = (dates if dates is not None else price_data).select("date").distinct()
     calendar = market.month_calendar(dates)
     moments = universe.rebalances(calendar, config.estimation_months)
-    audit = universe.eligibility(price_data, dates, membership_intervals, moments)
+    audit = universe.eligibility(price_data, dates, membership_intervals, moments).persist()  # a row per rebalance and member
     if check:
         few = moments.join(audit.filter("Eligible").groupBy("rid").count(), "rid", "left").agg(F.count("*").alias("months"), F.min(F.coalesce("count", F.lit(0))).alias("least")).first()
         if not few.months:
