@@ -19,7 +19,7 @@ from arborfolio.config import BacktestConfig, DataValidationError, InputError, N
 from arborfolio.functions.axes import clean_limits, date_ticks, percent, tick_values, two_places
 from arborfolio.operators import performance, universe
 from arborfolio.operators.market import combine_panels
-from arborfolio.plans import backtest
+from arborfolio.plans import backtest, charts
 from arborfolio.sources import panels, sinks
 
 PREFIXES = {"AMAD_NRP": "NRP-AMAD", "Raw_NRP": "NRP-raw"}
@@ -51,6 +51,8 @@ def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membe
         monthly = {p: done.monthly_returns.filter(F.col("variant") == v) for p, v in PREFIXES.items()} | {performance.BENCHMARK: other.monthly}
         sinks.write_table(performance.compare(daily, "Date").orderBy("Date"), run, "comparison_daily")
         sinks.write_table(performance.compare(monthly, "Month").orderBy("Month"), run, "comparison_monthly")
+        (run / "net_value.svg").write_text(net_value_chart(panels.read_table(spark, str(run), "comparison_daily")).svg())
+        (run / "latest_allocation.svg").write_text(allocation_chart(panels.read_table(spark, str(run), "AMAD_NRP_rebalance_weights")).svg())
         metrics = backtest.union_all([done.metrics, other.metrics])
         sinks.write_table(metrics, run, "comparison_metrics")
         summary = universe.eligibility_summary(done.membership_audit)
@@ -70,9 +72,13 @@ def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membe
         prices.unpersist()
 
 
+def return_series(path: DataFrame) -> DataFrame:
+    """Rows series, Date, NetReturn of a comparison table."""
+    return backtest.union_all([path.select(F.lit(n).alias("series"), "Date", F.col(f"{n}{'' if n == performance.BENCHMARK else '_'}Return").alias("NetReturn")) for n in (*PREFIXES, performance.BENCHMARK)])
+
+
 def performance_rows(spark: SparkSession, run: Path, base: bool = False) -> list[dict[str, Any]]:
-    path = panels.read_table(spark, str(run), "comparison_daily")
-    series = backtest.union_all([path.select(F.lit(n).alias("series"), "Date", F.col(f"{n}{'' if n == performance.BENCHMARK else '_'}Return").alias("NetReturn")) for n in (*PREFIXES, performance.BENCHMARK)])
+    series = return_series(panels.read_table(spark, str(run), "comparison_daily"))
     return [r.asDict() for r in performance.performance_table(series, base).orderBy("series").collect()]
 
 
@@ -84,20 +90,49 @@ def chart_data(path: DataFrame, columns: list[str]) -> dict[str, Any]:
     return {"dates": [str(r.Date) for r in rows], "series": {c: [r[c] for r in rows] for c in columns}, "limits": [low, high], "ticks": tick_values(low, high, step), "date_ticks": [str(d) for d in date_ticks(r.Date for r in rows)]}
 
 
+def net_value_chart(path: DataFrame) -> charts.Drawing:
+    """The series of a comparison table, which has a row per trading date."""
+    names = [c for c in path.columns if c.endswith("NetValue")]
+    rows = path.orderBy("Date").select("Date", *names).collect()
+    return charts.line_chart("Net value", [r.Date for r in rows], {c.removesuffix("NetValue").rstrip("_"): [r[c] for r in rows] for c in names})
+
+
+def drawdown_chart(path: DataFrame) -> charts.Drawing:
+    """Both variants' drawdowns, no base."""
+    values = path.select("Date", *(F.col(f"{p}_NetValue").alias(p) for p in PREFIXES))
+    long = backtest.union_all([values.select(F.lit(p).alias("series"), "Date", F.col(p).alias("NetReturn"), F.col(p).alias("NetValue")) for p in PREFIXES])
+    found = {(r.series, r.Date): r.drawdown for r in performance.drawdowns(long, ("series",), "Date").select("series", "Date", "drawdown").collect()}
+    dates = sorted({d for _, d in found})
+    return charts.line_chart("Drawdown", dates, {p: [found.get((p, d)) for d in dates] for p in PREFIXES}, percents=True)
+
+
+def allocation_chart(weights: DataFrame, k: int = 25) -> charts.Drawing:
+    """The last rebalance's k largest weights."""
+    rows = backtest.latest_allocation(weights.withColumnRenamed("Strategy", "variant"), k).orderBy("Rank").collect()
+    return charts.bar_chart(f"Latest allocation, {rows[0].EffectiveDate}" if rows else "Latest allocation", [(r.Asset, r.Weight) for r in rows])
+
+
 def generate_report(spark: SparkSession, run_directory: str | Path, output_directory: str | Path) -> Path:
-    """A text report of a run: performance table, diagnostics, twenty largest positions. Its charts' data are beside it."""
+    """A report of a run as text (its path is returned) and as PDF with charts: performance table, twenty largest
+    positions, net values and drawdowns. The charts are beside it as SVG, and their data as JSON."""
     run, out = panels.require_file(run_directory, "run directory"), Path(output_directory)
     out.mkdir(parents=True, exist_ok=True)
     meta = panels.read_metadata(run)
     lines = [f"# Study {run.name}", "", f"Configuration: {json.dumps(meta['configuration'])}", "", "| series | total | annualized | volatility | Sharpe | Sortino | Calmar | drawdown |", "|-|-|-|-|-|-|-|-|"]
-    for r in performance_rows(spark, run):
-        lines.append(f"| {r['series']} | {percent(r['TotalReturn'])} | {percent(r['AnnualizedReturn'])} | {percent(r['Volatility'])} | {two_places(r['Sharpe'])} | {two_places(r['Sortino'])} | {two_places(r['Calmar'])} | {percent(r['MaximumDrawdown'])} |")
-    weights = panels.read_table(spark, str(run), "AMAD_NRP_rebalance_weights").withColumnRenamed("Strategy", "variant")
-    lines += ["", "| rank | asset | weight |", "|-|-|-|"]
-    lines += [f"| {r.Rank} | {r.Asset} | {percent(r.Weight)} |" for r in backtest.latest_allocation(weights, 20).orderBy("Rank").collect()]
+    cells = [[r["series"], percent(r["TotalReturn"]), percent(r["AnnualizedReturn"]), percent(r["Volatility"]), two_places(r["Sharpe"]), two_places(r["Sortino"]), two_places(r["Calmar"]), percent(r["MaximumDrawdown"])] for r in performance_rows(spark, run)]
+    lines += [f"| {' | '.join(r)} |" for r in cells]
+    weights = panels.read_table(spark, str(run), "AMAD_NRP_rebalance_weights")
+    positions = [[str(r.Rank), r.Asset, percent(r.Weight)] for r in backtest.latest_allocation(weights.withColumnRenamed("Strategy", "variant"), 20).orderBy("Rank").collect()]
+    lines += ["", "| rank | asset | weight |", "|-|-|-|", *(f"| {' | '.join(r)} |" for r in positions)]
     path = panels.read_table(spark, str(run), "comparison_daily")
     names = [c for c in path.columns if c.endswith("NetValue")]
     (out / "charts.json").write_text(json.dumps({"net_value": chart_data(path, names)}))
+    drawn = {"net_value": net_value_chart(path), "drawdown": drawdown_chart(path)}
+    for name, chart in drawn.items():
+        (out / f"{name}.svg").write_text(chart.svg())
+    head = ["series", "total", "annualized", "volatility", "Sharpe", "Sortino", "Calmar", "drawdown"]
+    parts = [charts.table_drawing([head, *cells]), *drawn.values(), charts.table_drawing([["rank", "asset", "weight"], *positions], 400, 0.15)]
+    (out / f"{run.name}.pdf").write_bytes(charts.pdf(charts.pages(f"Study {run.name}", parts)))
     target = out / f"{run.name}.md"
     target.write_text("\n".join(lines) + "\n")
     return target
@@ -127,7 +162,8 @@ def load_payload(spark: SparkSession, run: Path) -> dict[str, Any]:
 
 
 class Service:
-    """The HTTP routes as one function, so that they need no port. study(**settings) returns a run directory."""
+    """The HTTP routes as one function, so that they need no port. study(**settings) returns a run directory. Reports are
+    sent as PDF, or as text if the request's format is "text"."""
 
     def __init__(self, spark: SparkSession, output_root: str | Path, study: Any) -> None:
         self.spark, self.root, self.study, self.busy = spark, Path(output_root), study, threading.Lock()
@@ -151,7 +187,8 @@ class Service:
                     raise InputError("Unknown run id")
                 if not (self.root / name).is_dir():
                     raise NotFoundError("The run isn't there", run=name)
-                return 200, generate_report(self.spark, self.root / name, self.root / name / "report").read_text()
+                report = generate_report(self.spark, self.root / name, self.root / name / "report")
+                return 200, report.read_text() if request.get("format") == "text" else report.with_suffix(".pdf").read_bytes()
             settings = validate_request(request)
             if not self.busy.acquire(blocking=False):
                 return 409, {"error": "A backtest is running"}
@@ -172,9 +209,10 @@ def serve(service: Service, port: int = 8000) -> ThreadingHTTPServer:
         def _do(self) -> None:
             size = int(self.headers.get("Content-Length") or 0)
             status, body = service.answer(self.command, self.path, self.rfile.read(min(size, MOST_BYTES + 1)))
-            raw = (body if isinstance(body, str) else json.dumps(body, default=str)).encode()
+            kind = "application/pdf" if isinstance(body, bytes) else "text/markdown" if isinstance(body, str) else "application/json"
+            raw = body if isinstance(body, bytes) else (body if isinstance(body, str) else json.dumps(body, default=str)).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "text/markdown" if isinstance(body, str) else "application/json")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(raw)))
             self.end_headers()
             self.wfile.write(raw)

@@ -1,6 +1,7 @@
 import json
 import math
 from datetime import date, timedelta
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from arborfolio import BacktestConfig, CalculationError, DataValidationError, InputError, make_config, make_dampen_config
 from arborfolio.functions.axes import clean_limits, date_ticks, escape_markup, nice_step, tick_values
 from arborfolio.operators import checks, holding, market, network, performance, universe
-from arborfolio.plans import backtest, study
+from arborfolio.plans import backtest, charts, study
 from arborfolio.sources import panels
 
 START = date(2025, 1, 1)
@@ -242,6 +243,37 @@ def test_axes():
     assert escape_markup("a_b") == "a\\_b"
 
 
+def pdf_objects(raw):
+    """Follows a PDF's cross-reference table; every entry has to lead to its object."""
+    start = int(raw.rsplit(b"startxref\n", 1)[1].split(b"\n")[0])
+    table = raw[start:].split(b"\n")
+    n = int(table[1].split()[1])
+    assert table[0] == b"xref" and all(raw[int(table[2 + i][:10]) :].startswith(f"{i} 0 obj".encode()) for i in range(1, n))
+    return n - 1
+
+
+def lines_of(svg):
+    """The names of an SVG's series: its lines that have one."""
+    return [t for e in ElementTree.fromstring(svg).iter("{http://www.w3.org/2000/svg}polyline") if (t := e[0].text)]
+
+
+def bars_of(svg):
+    return [e[0].text for e in ElementTree.fromstring(svg).iter("{http://www.w3.org/2000/svg}rect") if len(e) and e[0].text]
+
+
+def test_charts():
+    days = [date(2024, 1, 1) + timedelta(days=30 * i) for i in range(20)]
+    chart = charts.line_chart("a & b", days, {"x": [1.0 + i / 10 for i in range(20)], "y": [1.0, None, 2.0, *[1.5] * 17]})
+    assert lines_of(chart.svg()) == ["x", "y", "y"]  # a null breaks the line
+    assert lines_of(charts.line_chart("one value", days[:1], {"x": [1.0]}).svg()) == ["x"]
+    assert "no data" in charts.line_chart("none", [], {"x": []}).svg() and bars_of(charts.bar_chart("none", []).svg()) == []
+    assert bars_of(charts.bar_chart("w", [("A<", 0.75), ("B", 0.25)]).svg()) == ["A<: 75.00%", "B: 25.00%"]
+    with pytest.raises(ValueError, match="series"):
+        charts.line_chart("four", days, {c: [1.0] * 20 for c in "abcd"})
+    many = charts.pages("t (1)", [chart] * 7)  # two to a page
+    assert len(many) == 4 and pdf_objects(charts.pdf(many)) == 4 + 2 * 4
+
+
 def test_requests():
     assert study.validate_request({}) == {"estimation_months": 24, "window": 126, "threshold": 3.0, "transaction_cost_bps": 0.0}
     assert study.validate_request({"estimation_months": 12, "AMAD_window": 64})["window"] == 64
@@ -264,8 +296,14 @@ def test_study_report_and_service(spark, random_prices, tmp_path):
     status, payload = service.answer("POST", "/api/backtest", b"{}")
     assert status == 200 and len(payload["allocation"]) == 5 and payload["metadata"]["members"]["least_eligible"] == 5
     assert {m["variant"] for m in payload["metrics"]} == {"NRP-raw", "NRP-AMAD", "SP100Benchmark"}
-    status, text = service.answer("POST", "/api/report", json.dumps({"run_id": payload["run_id"]}).encode())
+    status, text = service.answer("POST", "/api/report", json.dumps({"run_id": payload["run_id"], "format": "text"}).encode())
     assert status == 200 and "AMAD_NRP" in text
+    status, raw = service.answer("POST", "/api/report", json.dumps({"run_id": payload["run_id"]}).encode())
+    assert status == 200 and raw.startswith(b"%PDF-") and pdf_objects(raw) == 6  # one page
+    run = tmp_path / "runs" / payload["run_id"]
+    assert len(bars_of((run / "latest_allocation.svg").read_text())) == 5
+    assert lines_of((run / "net_value.svg").read_text()) == ["AMAD_NRP", "Raw_NRP", "SP100Benchmark"]
+    assert lines_of((run / "report" / "drawdown.svg").read_text()) == ["AMAD_NRP", "Raw_NRP"]
     assert service.answer("GET", "/api/health")[0] == 200 and service.answer("GET", "/x")[0] == 404 and service.answer("POST", "/api/backtest", b"")[0] == 400
     assert service.answer("POST", "/api/backtest", b'{"AMAD_window": 63}')[0] == 400 and service.answer("POST", "/api/report", b'{"run_id": "../x"}')[0] == 400
     with service.busy:
