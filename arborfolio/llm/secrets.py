@@ -1,8 +1,9 @@
 """Secret scan, with DataFrame functions only: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of 12 or more of A-Z a-z 0-9 + / _ - that hold a digit, in the words of the whole text. The forest's
-features are the candidate's length, its character classes and the transitions between them, the share of its characters
-that dictionary words cover, its path, and the words before and after it.
+Candidates are runs of A-Z a-z 0-9 + / _ - in the words of the whole text, with or without a digit: all of 12 characters
+or more, and those of any length that follow a credential word, directly or after one more word of letters. The forest's
+features are the candidate's length, its character classes and the transitions between them, its vowels and consonant
+clusters, the share of its characters that dictionary words cover, its path, and the words before and after it.
 
 Defined results: null and empty texts have no candidate; a null path counts as an empty one; every candidate is returned
 with its score, secret or not. Repeated rows give repeated findings; an empty table gives none. Offsets count characters
@@ -18,15 +19,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_\-]{11,}"
+RUN = r"[A-Za-z0-9][A-Za-z0-9+/_\-]*"
+
+#: Words of a text that are looked at in one row, so that the work on a word does not grow with its text.
+SECTION = 256
 
 #: Dictionary words, and the words that speak for or against a secret beside a candidate.
 DICTIONARY = ("access", "admin", "account", "article", "client", "code", "config", "content", "data", "default", "demo", "dummy", "example", "file", "group", "html", "http", "image", "index", "item", "key", "link", "list", "local", "main", "model", "name", "order", "page", "part", "password", "path", "placeholder", "private", "public", "report", "sample", "secret", "section", "server", "service", "table", "test", "text", "time", "title", "token", "type", "user", "value", "version", "www", "your")
 CREDENTIAL = "token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private"
+#: How a run's text before it ends, if a shorter run is a candidate too.
+AFTER_CREDENTIAL = rf"({CREDENTIAL})\w*\W*([a-z]+\W+)?$"
 HARMLESS = "example|sample|dummy|placeholder|fake|sha1|sha256|md5|hash|commit|checksum|digest|uuid|guid|isbn|order|invoice|card|phone|version|page|figure|article"
 TEST_PATH = "test|spec|example|sample|fixture|docs?/|mock"
 CONFIG_PATH = r"\.(env|pem|cfg|conf|ini|ya?ml|json|properties|toml|tf)$"
 
-FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "distinct", "hexadecimal", "known_prefix", "coverage", "credential_near", "harmless_near", "assigned", "quoted", "test_path", "config_path")
+#: What the default labelled table's letter-only words are made of.
+SYLLABLES = ("an", "er", "tion", "ing", "ment", "ver", "ein", "lich", "pro", "con", "re", "sta", "ble", "ung", "com", "ter", "schaft", "eau", "lles", "ique", "the", "and", "ou", "heit", "ly", "di", "ra", "no")
+COMMON = ("of", "is", "the", "and", "for", "in", "was", "required", "string", "null", "none", "true", "reset", "field", "must", "manager", "invalid", "optional", "expired", "policy")
+
+FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "distinct", "hexadecimal", "known_prefix", "coverage", "credential_near", "harmless_near", "assigned", "quoted", "test_path", "config_path", "vowels", "clusters")
 
 
 def share(text: Column, pattern: str) -> Column:
@@ -55,6 +66,8 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
         "quoted": flag(low.rlike(r"[\"']$")),
         "test_path": flag(F.lower(path).rlike(TEST_PATH)),
         "config_path": flag(F.lower(path).rlike(CONFIG_PATH)),
+        "vowels": share(c, "[AEIOUYaeiouy]"),
+        "clusters": share(c, "[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz]{4}"),
     }
 
 
@@ -68,6 +81,9 @@ def labelled_findings(spark: SparkSession, rows: int = 2_400) -> DataFrame:
     n = lambda k, low, span: (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(span)) + low).cast("int")
     cut = lambda text, size: F.substr(text, F.lit(1), size)
     plain = F.lit("of the ")
+    letters = F.translate(mixed, "0123456789", "kWmXqZvJhG")
+    one_of = lambda k, values: F.element_at(F.array(*map(F.lit, values)), n(k, 1, len(values)))
+    spoken = lambda k, syllables: F.concat(*(one_of(k + i, SYLLABLES) for i in range(syllables)))
     kinds = [
         (F.concat(F.lit("AKIA"), cut(upper, F.lit(16))), F.lit("the thing "), 1),
         (F.concat(F.lit("AKIA"), cut(upper, F.lit(16))), F.lit("access key = "), 1),
@@ -83,6 +99,23 @@ def labelled_findings(spark: SparkSession, rows: int = 2_400) -> DataFrame:
         (cut(digits, n(4, 12, 10)), F.lit("card number "), 0),
         (cut(hexed, F.lit(40)), F.lit("commit "), 0),
         (cut(hexed, F.lit(64)), F.lit("sha256: "), 0),
+        # without a digit, or short
+        (F.concat(F.lit("AKIA"), cut(F.upper(letters), F.lit(16))), one_of(30, ("the thing ", "access key = ")), 1),
+        (F.concat(F.lit("sk_live_"), cut(letters, F.lit(24))), F.lit("with "), 1),
+        (cut(letters, n(31, 12, 20)), one_of(32, ("password=", "secret = '", "token: ")), 1),
+        (cut(F.lower(letters), n(33, 8, 12)), one_of(34, ("password=", "password: ", 'pwd = "')), 1),
+        (cut(mixed, n(35, 6, 6)), one_of(36, ("password=", "password: ", "the password is ")), 1),
+        (F.concat(spoken(40, 2), n(43, 10, 9990).cast("string")), one_of(44, ("password=", "password: ", "the password is ")), 1),
+        (F.concat_ws("-", spoken(45, 2), spoken(48, 2), spoken(51, 2), spoken(54, 2)), one_of(57, ("password=", "passwd: ")), 1),
+        (spoken(60, 5), one_of(66, ("of the ", "", "the token ", "and ")), 0),
+        (F.initcap(spoken(70, 5)), one_of(76, ("of the ", "", "secret ", "and ")), 0),
+        (F.upper(spoken(80, 5)), one_of(86, ("OF THE ", "", "AND ")), 0),
+        (F.concat_ws("-", spoken(90, 3), spoken(94, 3)), plain, 0),
+        (F.concat_ws("/", spoken(100, 2), spoken(103, 3), word(107)), F.lit("see "), 0),
+        (F.concat(word(110), F.initcap(word(111)), F.initcap(word(112))), F.lit("call "), 0),
+        (F.concat(F.lit("your_"), word(113), F.lit("_here")), F.lit('password = "'), 0),
+        (one_of(114, COMMON), one_of(115, ("the token ", "password ", "a secret ", "the password is ", "password: ")), 0),
+        (spoken(120, 2), one_of(123, ("the token ", "password ", "a secret ", "private ")), 0),
         (F.concat_ws("-", cut(hexed, F.lit(8)), F.substr(hexed, F.lit(9), F.lit(4)), F.substr(hexed, F.lit(13), F.lit(4)), F.substr(hexed, F.lit(17), F.lit(4)), F.substr(hexed, F.lit(21), F.lit(12))), F.lit("uuid = "), 0),
         (F.concat(word(5), F.lit("_"), word(6), F.lit("_"), n(7, 1, 99).cast("string"), F.lit("_example")), F.lit("token = "), 0),
         (F.concat(F.lit("your_"), word(8), F.lit("_key_"), n(9, 100, 900).cast("string")), F.lit('password = "'), 0),
@@ -107,28 +140,56 @@ def train_forest(labelled: DataFrame, trees: int = 32, depth: int = 7, seed: int
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="5").fit(table)
 
 
+def ends(lengths: Column) -> Column:
+    """0 and the running sums of an array."""
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """docs: id, path, text, near_credential. Rows id, path, near_credential, at (of the section in the text), words, lead
+    and own: the words are `lead` ones of the section before, `own` ones of the section, and up to two of the next one."""
+    docs = docs.withColumn("parts", F.regexp_extract_all("text", F.lit(rf"((?:\S*+\s){{{SECTION}}}|[\s\S]+)"), F.lit(1)))
+    docs = docs.withColumn("ats", ends(F.transform("parts", F.length)))
+    part = lambda i: F.get("parts", i)
+    cut = F.transform("parts", lambda p, i: F.struct(p.alias("part"), part(i - 1).alias("last"), part(i + 1).alias("next"), F.get("ats", i).alias("at")))
+    rows = docs.select("id", "path", "near_credential", F.explode(F.filter(cut, lambda x: F.col("near_credential") | x["part"].rlike(CANDIDATE))).alias("x")).select("id", "path", "near_credential", "x.*")
+    none = F.array().cast("array<string>")
+    # a section that another one follows ends with white space, behind which there is no word of its own
+    own = F.when(F.col("next").isNull(), F.split("part", r"\s")).otherwise(F.slice(F.split("part", r"\s"), 1, SECTION))
+    lead = F.when(F.col("last").isNull(), none).otherwise(F.slice(F.split("last", r"\s"), SECTION - 2, 3))
+    rest = F.when(F.col("next").isNull(), none).otherwise(F.slice(F.split("next", r"\s", 3), 1, 2))
+    rows = rows.select("id", "path", "near_credential", "at", own.alias("own"), lead.alias("lead"), rest.alias("rest"))
+    return rows.select("id", "path", "near_credential", "at", F.concat("lead", "own", "rest").alias("words"), F.size("lead").alias("lead"), F.size("own").alias("own"))
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataFrame:
     """Rows id, path, start, candidate, before, after. Before and after hold the rest of the candidate's own word too."""
-    split = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("text")).filter(F.col("text").rlike(CANDIDATE))
-    split = split.select("id", "path", F.split("text", r"\s").alias("words"))
-    found = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (F.length(x["w"]) >= 12) & x["w"].rlike(CANDIDATE))
-    around = F.transform(
+    split = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("text"), F.col(text_col).rlike(f"(?i){CREDENTIAL}").alias("near_credential"))
+    split = sections(split.filter(F.col("near_credential") | F.col("text").rlike(CANDIDATE)))
+    around = lambda i: F.array_join(F.slice("words", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)) + 1), " ")
+    found = F.filter(
+        F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
+        lambda x: (x["i"] >= F.col("lead")) & (x["i"] < F.col("lead") + F.col("own")) & ((F.length(x["w"]) >= 12) & x["w"].rlike(CANDIDATE) | F.col("near_credential") & x["w"].rlike(RUN) & around(x["i"]).rlike(f"(?i){CREDENTIAL}")),
+    )
+    placed = F.transform(
         found,
         lambda x: F.struct(
             x["w"].alias("w"),
-            (F.length(F.array_join(F.slice("words", F.lit(1), x["i"]), " ")) + F.when(x["i"] > 0, 1).otherwise(0)).alias("start"),
+            (F.col("at") + F.length(F.array_join(F.slice("words", F.col("lead") + 1, x["i"] - F.col("lead")), " ")) + F.when(x["i"] > F.col("lead"), 1).otherwise(0)).alias("start"),
             F.array_join(F.slice("words", F.greatest(x["i"] - 2, F.lit(1)), F.least(x["i"], F.lit(3))), " ").alias("before"),
             F.array_join(F.slice("words", x["i"] + 2, F.lit(2)), " ").alias("after"),
         ),
     )
-    rows = split.select("id", "path", F.explode(around).alias("x")).select("id", "path", "x.*")
+    rows = split.select("id", "path", F.explode(placed).alias("x")).select("id", "path", "x.*")
     # the runs of a word, in order, with what of the word is before them
-    runs = F.regexp_extract_all("w", F.lit(f"({CANDIDATE})"), F.lit(1))
-    rows = rows.select("*", F.posexplode(runs).alias("k", "candidate"))
-    pieces = F.split(F.col("w"), CANDIDATE, -1)
-    lead = F.aggregate(F.slice(pieces, F.lit(1), F.col("k") + 1), F.lit(0), lambda s, p: s + F.length(p)) + F.aggregate(F.slice(runs, F.lit(1), F.col("k")), F.lit(0), lambda s, p: s + F.length(p))
-    rows = rows.withColumn("lead", lead).filter(F.col("candidate").rlike("[0-9]"))
-    return rows.select("id", "path", (F.col("start") + F.col("lead")).cast("long").alias("start"), "candidate", F.concat(F.when(F.col("before") != "", F.concat("before", F.lit(" "))).otherwise(""), F.substr("w", F.lit(1), F.col("lead"))).alias("before"), F.concat(F.substr("w", F.col("lead") + 1 + F.length("candidate")), F.lit(" "), "after").alias("after"))
+    runs, gaps = F.regexp_extract_all("w", F.lit(f"({RUN})"), F.lit(1)), F.split(F.col("w"), RUN, -1)
+    rows = rows.withColumn("runs", runs).withColumn("sums", ends(F.zip_with("runs", gaps, lambda r, g: F.coalesce(F.length(r), F.lit(0)) + F.length(g))))
+    each = F.transform("runs", lambda r, k: F.struct(r.alias("candidate"), (F.get("sums", k + 1) - F.length(r)).alias("lead")))
+    rows = rows.select("start", "id", "path", "w", "before", "after", F.explode(each).alias("x")).select("*", "x.*")
+    before = F.concat(F.when(F.col("before") != "", F.concat("before", F.lit(" "))).otherwise(""), F.substr("w", F.lit(1), F.col("lead")))
+    after = F.concat(F.substr("w", F.col("lead") + 1 + F.length("candidate")), F.lit(" "), "after")
+    rows = rows.select("id", "path", (F.col("start") + F.col("lead")).cast("long").alias("start"), "candidate", before.alias("before"), after.alias("after"))
+    return rows.filter((F.length("candidate") >= 12) | F.lower("before").rlike(AFTER_CREDENTIAL))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
