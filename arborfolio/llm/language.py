@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborfolio.llm.shared import discard, keep, row_sample, row_slices
+from arborfolio.llm.shared import discard, keep, label_sample, row_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -119,10 +119,10 @@ def most_frequent(counts: DataFrame, per_lang: int) -> DataFrame:
 
 def train_languages(labelled: DataFrame, bound: int = 20_000, words_per_lang: int = 20_000) -> LanguageModel:
     """labelled: id, text, lang. About `bound` labelled texts are used, whole, chosen by a hash of the id (classifier fit
-    on a bounded sample). Of each language's words the words_per_lang most frequent make the table, about: of the words as
+    on a bounded sample): an equal number of each language, all of a language that has fewer. Of each language's words the words_per_lang most frequent make the table, about: of the words as
     frequent as the last one a share by hash; the n-gram tables come from these words, weighted by frequency."""
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts, path = keep(word_counts(row_sample(labelled, "id", bound, labelled.count())), "word-counts")
+    counts, path = keep(word_counts(label_sample(labelled, "id", "lang", bound)[0]), "word-counts")
     rows = sorted((r.lang, r.word, r.n) for r in most_frequent(counts, words_per_lang).collect())
     discard(labelled.sparkSession, path)
     langs = sorted({r[0] for r in rows})

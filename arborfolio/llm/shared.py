@@ -64,6 +64,29 @@ def row_sample(df: DataFrame, key: str, bound: int, n_rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 31)) < share)
 
 
+def quota(counts: list[int], bound: int) -> float | None:
+    """The rows of each label that together make `bound`, when labels with fewer give all theirs; None if all rows fit."""
+    left = float(bound)
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) > left:
+            return left / (len(counts) - i)
+        left -= n
+    return None
+
+
+def label_sample(df: DataFrame, key: str, label: str, bound: int) -> tuple[DataFrame, dict]:
+    """About `bound` of df's rows (all, if there are no more), an equal number of each label, all rows of a label that has
+    fewer; the same ones in every run: chosen by a hash of the key. Also the number of df's rows by label. A label can go
+    without a row only if there are so many that bound / labels is a few rows."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    most = quota(list(counts.values()), bound)
+    if most is None:
+        return df, counts
+    shares = df.sparkSession.createDataFrame([(k, int(min(1.0, most / n) * (1 << 31))) for k, n in counts.items()], f"`{label}` {dict(df.dtypes)[label]}, share long")
+    chosen = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 31)) < F.col("share")
+    return df.join(F.broadcast(shares), label).filter(chosen).select(df.columns), counts
+
+
 def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds few bytes of the column, one row at least."""
     sizes = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()] if batch.num_rows else []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborfolio.llm.ngrams import char_ngrams, codepoints, fit_logistic
-from arborfolio.llm.shared import row_sample, row_slices
+from arborfolio.llm.shared import label_sample, row_slices
 
 BITS, ORDERS = 20, range(3, 7)
 GAP = re.compile(r"[\W_]+")
@@ -47,13 +47,14 @@ class ToxicityModel:
 def train_toxicity(labelled: DataFrame, bound: int = 6_000, most_chars: int = 48_000_000, features: int = 2_048, least_rows: int = 4, l2: float = 8.0) -> ToxicityModel:
     """labelled: id, text, toxic (0 or 1).
 
-    bound: about so many labelled rows are used, chosen by a hash of the id (classifier fit on a bounded sample);
+    bound: about so many labelled rows are used, chosen by a hash of the id (classifier fit on a bounded sample), an equal
+    number of both classes, all of a class that has fewer; the intercept is put back to the classes' shares of all rows.
     most_chars bounds their texts together, taken whole in the order of that hash. features: so many buckets with the
     largest |r| * sqrt(rows) are kept, of those in least_rows texts at least.
     """
     labelled = labelled.filter(F.col("toxic").isNotNull() & F.col("id").isNotNull())
-    n = labelled.count()
-    sample = row_sample(labelled, "id", bound, n)
+    sample, counts = label_sample(labelled.withColumn("is_toxic", F.col("toxic") == 1), "id", "is_toxic", bound)
+    all1, all0 = float(counts.get(True, 0)), float(counts.get(False, 0))
     rows, held = [], 0
     for r in sorted(((x.id, x.text or "", x.toxic) for x in sample.select("id", "text", "toxic").toLocalIterator()), key=lambda r: (hash_of(r[0]), r[1], r[2])):
         held += len(r[1])
@@ -62,7 +63,7 @@ def train_toxicity(labelled: DataFrame, bound: int = 6_000, most_chars: int = 48
         rows.append(r)
     y = np.array([float(r[2] == 1) for r in rows])
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    empty = ToxicityModel(np.zeros(1 << BITS, np.uint16), np.zeros(1, np.float32), float(np.log((n1 + 1) / (n0 + 1))))
+    empty = ToxicityModel(np.zeros(1 << BITS, np.uint16), np.zeros(1, np.float32), float(np.log((all1 + 1) / (all0 + 1))))
     if not n1 or not n0:
         return empty
     counts = np.zeros((2, 1 << BITS))
@@ -88,7 +89,7 @@ def train_toxicity(labelled: DataFrame, bound: int = 6_000, most_chars: int = 48
         at = at[at > 0].astype(np.int64) - 1
         x[i, at] = scale[at]
     w, b = fit_logistic(x, y, l2)
-    return ToxicityModel(slot, np.append(0, w * scale).astype(np.float32), b)
+    return ToxicityModel(slot, np.append(0, w * scale).astype(np.float32), b + float(np.log(all1 / all0 * n0 / n1)))
 
 
 def hash_of(value: object) -> int:
