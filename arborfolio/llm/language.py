@@ -117,15 +117,25 @@ def most_frequent(counts: DataFrame, per_lang: int) -> DataFrame:
     return counts.join(F.broadcast(last), "lang").filter(chosen).select("lang", "word", "n")
 
 
+def gram_counts(counts: DataFrame) -> DataFrame:
+    """counts: lang, word, n. Rows lang, size, gram, n: the n-grams of all words, padded, each place counted n times."""
+    padded = counts.select("lang", F.concat(F.lit("_"), "word", F.lit("_")).alias("padded"), "n")
+    grams = lambda size: F.when(F.length("padded") >= size, F.transform(F.sequence(F.lit(1), F.length("padded") - size + 1), lambda i: F.struct(F.lit(size).alias("size"), F.substring("padded", i, F.lit(size)).alias("gram"))))
+    none = F.array().cast("array<struct<size:int,gram:string>>")
+    rows = padded.select("lang", "n", F.explode(F.concat(*(F.coalesce(grams(k), none) for k in range(1, LONGEST + 1)))).alias("x"))
+    return rows.groupBy("lang", "x.size", "x.gram").agg(F.sum("n").alias("n"))
+
+
 def train_languages(labelled: DataFrame, bound: int = 20_000, words_per_lang: int = 20_000) -> LanguageModel:
     """labelled: id, text, lang. About `bound` labelled texts are used, whole, chosen by a hash of the id (classifier fit
     on a bounded sample): an equal number of each language, all of a language that has fewer. Of each language's words the words_per_lang most frequent make the table, about: of the words as
-    frequent as the last one a share by hash; the n-gram tables come from these words, weighted by frequency."""
+    frequent as the last one a share by hash; the n-gram tables come from all counted words, weighted by frequency."""
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts, path = keep(word_counts(label_sample(labelled, "id", "lang", bound)[0]), "word-counts")
     rows = sorted((r.lang, r.word, r.n) for r in most_frequent(counts, words_per_lang).collect())
+    pieces = gram_counts(counts).toArrow().sort_by([("size", "ascending"), ("gram", "ascending")])
     discard(labelled.sparkSession, path)
-    langs = sorted({r[0] for r in rows})
+    langs = sorted(set(pieces.column("lang").to_pylist()))
     at = {lang: i for i, lang in enumerate(langs)}
 
     def logs(table: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
@@ -137,13 +147,11 @@ def train_languages(labelled: DataFrame, bound: int = 20_000, words_per_lang: in
     grams: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST)]
     for lang, word, n in rows:
         seen.setdefault(word, np.zeros(len(langs)))[at[lang]] += n
-        padded = f"_{word}_"
-        for order, table in enumerate(grams, 1):
-            for i in range(len(padded) - order + 1):
-                g = padded[i : i + order]
-                if (c := table.get(g)) is None:
-                    table[g] = c = np.zeros(len(langs), np.float32)
-                c[at[lang]] += n
+    for lang, size, gram, n in zip(*(pieces.column(k).to_pylist() for k in ("lang", "size", "gram", "n")), strict=True):
+        table = grams[size - 1]
+        if (c := table.get(gram)) is None:
+            table[gram] = c = np.zeros(len(langs))
+        c[at[lang]] += n
     keys, scores = logs(seen)
     tables = [logs(t) for t in grams]
     return LanguageModel(langs, {w: i for i, w in enumerate(keys)}, [{g: i for i, g in enumerate(t[0])} for t in tables], [t[1].astype(np.float32) for t in tables], scores)

@@ -394,3 +394,18 @@ def test_sample_keeps_rare_labels(spark):
     assert model.langs == ["en", "fr"] and model.predict("le chat pourri")[0] == "fr" and model.predict("the dog")[0] == "en"
     toxic = toxicity.train_toxicity(learn, bound=60)
     assert toxic.score("le chat et chien pourri") > toxic.score("the cat and dog number") and toxic.score("the cat and dog number") < 0.02
+
+
+def test_language_ngrams_of_all_words(spark):
+    learn = frame(spark, [(1, "the the the the cat cat cat xylophone", "en"), (2, "le le le le chat chat chat wagon", "fr")], "id long, text string, lang string")
+    model = language.train_languages(learn, words_per_lang=2)
+    assert set(model.words) == {"the", "cat", "le", "chat"} and {"xylop", "hone_"} <= set(model.grams[4]) and "_wago" in model.grams[4]
+    assert model.predict("xylophone")[0] == "en" and model.predict("wagon")[0] == "fr"
+    whole = language.train_languages(learn)
+    want = {}
+    for text in ("the the the the cat cat cat xylophone", "le le le le chat chat chat wagon"):
+        for w in text.split():
+            for size in range(1, 6):
+                for i in range(len(w) + 3 - size):
+                    want.setdefault(size, set()).add(f"_{w}_"[i : i + size])
+    assert [set(g) for g in whole.grams] == [want[k] for k in range(1, 6)] == [set(g) for g in model.grams]
