@@ -49,18 +49,15 @@ def train_toxicity(labelled: DataFrame, bound: int = 6_000, most_chars: int = 48
 
     bound: about so many labelled rows are used, chosen by a hash of the id (classifier fit on a bounded sample), an equal
     number of both classes, all of a class that has fewer; the intercept is put back to the classes' shares of all rows.
-    most_chars bounds their texts together, taken whole in the order of that hash. features: so many buckets with the
+    most_chars bounds their texts together, taken whole in the order of a hash: first those no longer than an even share,
+    which always fit, then of the longer ones each that still does. features: so many buckets with the
     largest |r| * sqrt(rows) are kept, of those in least_rows texts at least.
     """
     labelled = labelled.filter(F.col("toxic").isNotNull() & F.col("id").isNotNull())
     sample, counts = label_sample(labelled.withColumn("is_toxic", F.col("toxic") == 1), "id", "is_toxic", bound)
     all1, all0 = float(counts.get(True, 0)), float(counts.get(False, 0))
-    rows, held = [], 0
-    for r in sorted(((x.id, x.text or "", x.toxic) for x in sample.select("id", "text", "toxic").toLocalIterator()), key=lambda r: (hash_of(r[0]), r[1], r[2])):
-        held += len(r[1])
-        if held > most_chars:
-            break
-        rows.append(r)
+    rows = sorted(((x.id, x.text or "", x.toxic) for x in sample.select("id", "text", "toxic").toLocalIterator()), key=lambda r: (hash_of(r[0]), r[1], r[2]))
+    rows = [rows[i] for i in fitting([len(r[1]) for r in rows], most_chars)]
     y = np.array([float(r[2] == 1) for r in rows])
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     empty = ToxicityModel(np.zeros(1 << BITS, np.uint16), np.zeros(1, np.float32), float(np.log((all1 + 1) / (all0 + 1))))
@@ -92,6 +89,17 @@ def train_toxicity(labelled: DataFrame, bound: int = 6_000, most_chars: int = 48
     return ToxicityModel(slot, np.append(0, w * scale).astype(np.float32), b + float(np.log(all1 / all0 * n0 / n1)))
 
 
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """The places, in order, of the sizes that are taken: those of an even share of `most` at most, then larger ones that fit."""
+    small = [i for i, n in enumerate(sizes) if n * len(sizes) <= most]
+    taken, held = set(small), sum(sizes[i] for i in small)
+    for i, n in enumerate(sizes):
+        if i not in taken and held + n <= most:
+            taken.add(i)
+            held += n
+    return sorted(taken)
+
+
 def hash_of(value: object) -> int:
     import zlib
 

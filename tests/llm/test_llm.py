@@ -409,3 +409,12 @@ def test_language_ngrams_of_all_words(spark):
                 for i in range(len(w) + 3 - size):
                     want.setdefault(size, set()).add(f"_{w}_"[i : i + size])
     assert [set(g) for g in whole.grams] == [want[k] for k in range(1, 6)] == [set(g) for g in model.grams]
+
+
+def test_toxicity_long_texts_displace_no_others(spark):
+    assert toxicity.fitting([50, 1, 40, 2, 30, 3], 60) == [0, 1, 3, 5] and toxicity.fitting([61, 1], 60) == [1] and toxicity.fitting([], 5) == []
+    rows = [(i, f"you are {'awful scum' if i % 2 else 'a good friend'} number {i}", i % 2) for i in range(60)]
+    first = min(range(60, 10_000), key=toxicity.hash_of)
+    learn = frame(spark, [*rows, (first, "long " * 2_000, 0)], "id long, text string, toxic int")
+    model = toxicity.train_toxicity(learn, most_chars=5_000)
+    assert model.score("awful scum") > 0.6 > 0.4 > model.score("a good friend")
