@@ -4,8 +4,9 @@ Each document is the set of its distinct word shingles; documents with equal set
 stands for. Classes are linked when 100 * intersection >= percent * union, and the result names each document's
 component of links.
 
-Tokens (shingles) have one order: those that many documents hold come last, by counts over all documents, the rest by
-hash. Any two linked sets share LEAST tokens at least among the first ones of each (the rows of the matrix). Classes are
+Tokens (shingles) have one order: those that many documents hold come last, the rest by hash. The counts for this are lower
+bounds: each task counts in chunks of CHUNK tokens and leaves out a token that a chunk has once. So the order, and with it
+the cost, depends on how the documents are dealt out; the links do not, as they are whole in any order. Any two linked sets share LEAST tokens at least among the first ones of each (the rows of the matrix). Classes are
 partitioned into groups of similar ones: each starts alone, and groups grow where a member is verified to link to
 the hub of a token, the class that shares most of its rows. The matrix holds each group's token union over these rows.
 A query group opens another only if LEAST of its tokens are in the other's union, which bounds the overlap of any of
