@@ -6,7 +6,8 @@ component of links.
 
 Tokens (shingles) have one order: those that many documents hold come last, the rest by hash. The counts for this are lower
 bounds: each task counts in chunks of CHUNK tokens and leaves out a token that a chunk has once. So the order, and with it
-the cost, depends on how the documents are dealt out; the links do not, as they are whole in any order. Any two linked sets share LEAST tokens at least among the first ones of each (the rows of the matrix). Classes are
+the cost, depends on how the documents are dealt out; the links do not, as they are whole in any order. Any two linked
+sets share LEAST tokens at least among the first ones of each (the rows of the matrix). Classes are
 partitioned into groups of similar ones: each starts alone, and groups grow where a member is verified to link to
 the hub of a token, the class that shares most of its rows. The matrix holds each group's token union over these rows.
 A query group opens another only if LEAST of its tokens are in the other's union, which bounds the overlap of any of
@@ -413,6 +414,13 @@ def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFram
     return (pairs.distinct() if len(found) > 1 else pairs), paths
 
 
+def same_id_links(sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, str]:
+    """sets: id, key; classes: key, id. Links a, b of the classes that one id's texts are in, and the path of their table."""
+    named = sets.filter("id is not null").select("id", "key").join(classes.withColumnRenamed("id", "class"), "key").select("id", "class")
+    several = named.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("high")).filter("a < high").select("id", "a")
+    return keep(named.join(several, "id").filter("class != a").select("a", F.col("class").alias("b")).distinct(), "same-id-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -431,8 +439,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     found, path2 = of_ids(docs, matrix.select("id").distinct())
     texts, path3 = keep(found, "texts")
     paths += [path, path2, path3]
-    links: DataFrame | None = None
+    links, path = same_id_links(sets, classes)
+    paths.append(path)
     comps: DataFrame | None = None
+    if links.limit(1).count():
+        comps = components(links)
+    else:
+        links = None
     for step in range(ROUNDS + 1):
         if step < ROUNDS:
             pairs, used = hub_pairs(grouped(matrix, comps)), []
@@ -457,7 +470,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stand for their components: one row with the smallest id of each. Rows without an
-    id are kept."""
+    id are kept. Where an id repeats with different texts, each of them is compared as a row of its own, in the ids' order."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    texts = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(text).alias("low"), F.max(text).alias("high"))
+    if texts.filter("low < high").limit(1).count():
+        own, digest = "_row", "_digest"
+        rows = docs.filter(F.col(id_col).isNotNull()).select(id_col, text.alias(digest)).distinct().sort(id_col, digest)
+        rows, path = keep(rows.withColumn(own, F.monotonically_increasing_id()), "rows")
+        numbered, path2 = keep(docs.withColumn(digest, text).join(rows, [id_col, digest], "left"), "numbered")
+        out, _ = keep(one_of_each(numbered, width, percent, own, text_col).select(docs.columns), "one-of-each")
+        discard(docs.sparkSession, path, path2)
+        return out
     found = near_duplicates(docs, width, percent, id_col, text_col)
     stands = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     kept = docs.join(stands, id_col, "left_semi").dropDuplicates([id_col])

@@ -418,3 +418,13 @@ def test_toxicity_long_texts_displace_no_others(spark):
     learn = frame(spark, [*rows, (first, "long " * 2_000, 0)], "id long, text string, toxic int")
     model = toxicity.train_toxicity(learn, most_chars=5_000)
     assert model.score("awful scum") > 0.6 > 0.4 > model.score("a good friend")
+
+
+def test_one_id_with_different_texts(spark):
+    a, b, c = ("one two three four five six seven", "red green blue white black pink grey", "mon tue wed thu fri sat sun")
+    docs = frame(spark, [(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (7, b, 5), (9, c, 6), (None, c, 7), (9, a, 8)], "doc_id long, text string, n int")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a), (5, b), (9, c), (None, c)], key=str)
+    got = jaccard_join.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (7, 3), (9, 3), (None, None)}
