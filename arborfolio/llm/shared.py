@@ -11,13 +11,17 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and all tasks run in the driver's machine, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder in spark.checkpoint.dir, which all machines see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
+        base = FALLBACK_DIR
     return f"{base.rstrip('/')}/arborfolio/{name}-{uuid.uuid4().hex}"
 
 
@@ -56,12 +60,15 @@ def write_file(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
-def row_sample(df: DataFrame, key: str, bound: int, n_rows: int) -> DataFrame:
-    """About `bound` of df's n_rows rows (all, if there are no more), the same ones in every run: chosen by a hash of the key."""
-    if n_rows <= bound:
-        return df
-    share = int(bound / n_rows * (1 << 31))
-    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 31)) < share)
+def read_file(uri: str) -> bytes:
+    fs, path = filesystem(uri)
+    with fs.open_input_stream(path) as file:
+        return file.read()
+
+
+def spread(names: DataFrame, column: str, most: int = 10_000) -> DataFrame:
+    """A table of file names dealt out, so that each task has a few (`most` tasks at most)."""
+    return names.repartition(max(1, min(most, names.count())), column)
 
 
 def quota(counts: list[int], bound: int) -> float | None:

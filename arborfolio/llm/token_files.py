@@ -4,18 +4,22 @@ An id is replaced by its rank (0: the most frequent over all documents, ties to
 control byte, two bits each: the rank's bytes less one. The ranks' bytes, lowest first, follow all control bytes. Decoding
 looks the lengths of a control byte's four ranks up in a table of 256 rows.
 
-A folder holds ranks.bin (the ids by rank, unsigned 32-bit) and part-P-B.afids files whose names sort as the doc ids do.
+Texts are encoded where they are; only their ids are shuffled, two bytes each. A folder holds ranks.bin (the ids by rank,
+unsigned 32-bit), part-P-B-*.afids files, and a manifest table with a row per file: its name, its first id's place among
+all ids, its number of ids. Files of tasks that ran twice aren't in the manifest and aren't read.
 
 Defined results: null and empty texts have the end id alone. Rows are in ascending order of id, null ids first; rows with
-the same id are ordered by text, null first. Repeated rows are all written. An empty table gives an empty folder and no
-rows. Only the named columns are read. White space between chunks ends a token in the vocabularies this is made for, so
-that a chunk's ids don't depend on its neighbours; another tokenizer needs whole_texts=True.
+the same id are ordered by a hash of their token ids, then by these. Repeated rows are all written. An empty table gives
+an empty manifest and no rows. Only the named columns are read. White space between chunks ends a token in the
+vocabularies this is made for, so that a chunk's ids don't depend on its neighbours; another tokenizer needs
+whole_texts=True.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -26,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfolio.llm.shared import discard, keep, row_slices, shared_dir, write_file
+from arborfolio.llm.shared import discard, keep, read_file, row_slices, shared_dir, spread, write_file
 
 #: File mark, end id of query op7.
 MAGIC, END_ID = b"AFIDS1\0\0", 2
 HEAD = struct.Struct("<8sQQQQQ")
+MANIFEST = "manifest.parquet"
 CACHE = 400_000
 
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -63,7 +68,7 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 #: The parts of a vocabulary file's rules under which a run of letters is a token group of its own.
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CASELESS = ["NFC", "Replace", "Lowercase"]
-MARKS = b".,;:!?%$&*#|()[]{}\"/+=@~^_`-"
+MARKS = ".,;:!?%$&*#|()[]{}\"/+=@~^_`-"
 
 
 def byte_letters() -> dict[int, str]:
@@ -75,42 +80,39 @@ def byte_letters() -> dict[int, str]:
 class Ids(dict):
     """Ids (little-endian unsigned 32-bit integers) of the chunks met so far; others are encoded when they are asked for.
 
-    Where the vocabulary's rules are LETTER_RUNS after CASELESS, a chunk's marks at the end are split off, and a word of
-    Latin letters goes to the library's model directly; anything else goes through the whole tokenizer.
+    Where the vocabulary's rules are LETTER_RUNS after CASELESS, a word of Latin letters goes to the library's model
+    directly, and marks behind it are split off. Only chunks whose characters are all below U+0250, as they are in the
+    text, and that hold no special token go that way: these characters have no marks to be joined with, and marks of
+    ASCII begin a group of their own behind a letter. Anything else goes through the whole tokenizer, unchanged.
     """
 
-    def __init__(self, tokenizer: object, by_letters: bool) -> None:
+    def __init__(self, tokenizer: object, by_letters: bool, special: list[str]) -> None:
         super().__init__()
-        self.tokenizer, self.by_letters, self.letters = tokenizer, by_letters, byte_letters()
+        self.tokenizer, self.by_letters, self.special, self.letters = tokenizer, by_letters, special, byte_letters()
 
     def whole(self, chunk: bytes) -> bytes:
         return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, base: bytes) -> bytes:
-        text = base.decode()
-        if not text.isalpha():
-            return self.whole(base)
-        if not text.isascii():
-            if max(text) >= "\u0250" or text.lower() != text:
-                return self.whole(base)
-            text = base.decode("latin-1").translate(self.letters)
-        return pack_ids(*(t.id for t in self.tokenizer.model.tokenize(text)))
+    def word(self, text: str) -> bytes:
+        """text: lower-case letters below U+0250."""
+        return pack_ids(*(t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))))
 
     def __missing__(self, chunk: bytes) -> bytes:
-        base = chunk.rstrip(MARKS) if self.by_letters else chunk
-        if not self.by_letters:
-            ids = self.whole(chunk)
-        elif len(base) == len(chunk):
-            ids = self.word(chunk)
-        elif base and not (base.decode()[-1].isalpha() and len(base.decode()[-1].lower()) == 1):  # a sign that may belong to the marks
-            ids = self.whole(chunk)
-        elif base:
-            ids = self[base] + self[chunk[len(base) :]]
-        else:
-            ids = self.whole(chunk)
-        self[chunk] = ids
+        ids = self[chunk] = self.encoded(chunk)
         return ids
 
+    def encoded(self, chunk: bytes) -> bytes:
+        if not self.by_letters:
+            return self.whole(chunk)
+        text = chunk.decode()
+        low = text.lower()
+        if max(text) >= "\u0250" or len(low) != len(text) or any(x in text or x.lower() in low for x in self.special):
+            return self.whole(chunk)
+        word = low.rstrip(MARKS)
+        if not word.isalpha() or max(word) >= "\u0250":
+            return self.whole(chunk)
+        return self.word(word) if len(word) == len(low) else self.word(word) + self[low[len(word) :].encode()]
+
 
 def pack_ids(*ids: int) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -130,23 +132,22 @@ class Encoder:
         steps = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
         split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_letters = steps == CASELESS and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"].get("Regex") == LETTER_RUNS and rules["model"]["type"] == "BPE"
-        self.special = [x["content"].encode() for x in rules.get("added_tokens", [])]
-        self.known = Ids(self.tokenizer, self.by_letters)
+        self.special = [x["content"] for x in rules.get("added_tokens", [])]
+        self.spread = [x for x in self.special if x.split() != [x]]  # with white space: no chunk holds them
+        self.known = Ids(self.tokenizer, self.by_letters, self.special)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
         if self.whole_texts:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         if len(self.known) > CACHE:
-            self.known = Ids(self.tokenizer, self.by_letters)
-        get, whole, out = self.known.__getitem__, self.known.whole, []
+            self.known = Ids(self.tokenizer, self.by_letters, self.special)
+        get, out = self.known.__getitem__, []
         for text in texts:
-            raw = (text or "").encode()
-            low = raw.lower() if self.by_letters else raw
-            if any(s in low for s in self.special):  # lower case would make or unmake a special token
-                out.append(whole(raw))
+            if self.spread and text and any(x.lower() in text.lower() for x in self.spread):
+                out.append(self.known.whole(text.encode()))
             else:
-                out.append(b"".join(map(get, low.split())))
+                out.append(b"".join(map(get, (text or "").encode().split())))
         return out
 
 
@@ -162,6 +163,15 @@ def encoder_for(spec: str, whole_texts: bool) -> Encoder:
     return _ENCODERS[key]
 
 
+def joined(ids: pa.Array, wide: np.ndarray) -> np.ndarray:
+    """The numbers of a binary array's rows one behind the other; of 4 bytes in the rows that are wide, else of 2."""
+    if not wide.any() or wide.all():
+        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        body = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        return body.view("<u4" if len(wide) and wide[0] else "<u2")
+    return np.concatenate([np.frombuffer(x.as_buffer(), "<u4" if w else "<u2").astype(np.uint32) for x, w in zip(ids, wide, strict=True)])
+
+
 def write_token_files(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_tokens: int = 1_000_000, whole_texts: bool = False) -> str:
     """Write the folder and return its path. spec: the tokenizer's JSON. A file holds about block_tokens tokens."""
     spark = docs.sparkSession
@@ -170,104 +180,108 @@ def write_token_files(docs: DataFrame, spec: str, id_col: str = "doc_id", text_c
     end = np.array([end_id], "<u4").tobytes()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = encoder_for(shipped.value, whole_texts), TaskContext.get().partitionId()
-        doc_ids: list[int | None] = []
-        sizes: list[int] = []
-        body: list[bytes] = []
-        block = before = held = 0
-
-        def row() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(body), "<u4")
-            wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-            values = [part, block, before, held, doc_ids, sizes, wide, ids.tobytes() if wide else ids.astype("<u2").tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["part", "block", "before", "tokens", "doc_ids", "sizes", "wide", "ids"])
-
+        encoder = encoder_for(shipped.value, whole_texts)
         for whole in batches:
             for batch in row_slices(whole, text_col, 1 << 20):
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                    if held and held + len(ids) // 4 >= block_tokens:
-                        yield row()
-                        before += held
-                        block, held, doc_ids, sizes, body = block + 1, 0, [], [], []
-                    doc_ids.append(doc_id)
-                    sizes.append(len(ids) // 4 + 1)
-                    body += [ids, end]
-                    held += sizes[-1]
-        if doc_ids:
-            yield row()
-
-    ordered = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
-    blocks, path = keep(ordered.mapInArrow(tokenize, "part int, block int, before long, tokens long, doc_ids array<long>, sizes array<long>, wide boolean, ids binary"), "token-blocks")
-    del ordered
+                ids, wide, sizes = [], [], []
+                for x in encoder.encode(batch.column(1).to_pylist()):
+                    numbers = np.frombuffer(x + end, "<u4")
+                    wide.append(int(numbers.max()) > 0xFFFF)
+                    sizes.append(len(numbers))
+                    ids.append(x + end if wide[-1] else numbers.astype("<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())], names=["id", "n", "wide", "ids"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for wide, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                c = np.bincount(np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2"))
-                if len(c) > len(total):
-                    c[: len(total)] += total
-                    total = c
-                else:
-                    total[: len(c)] += c
+            c = np.bincount(joined(batch.column(1), np.array(batch.column(0))))
+            if len(c) > len(total):
+                c[: len(total)] += total
+                total = c
+            else:
+                total[: len(c)] += c
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    # at most a row for each id of the vocabulary, and one for each partition
-    counts = blocks.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias(text_col))
+    tokens, path = keep(rows.mapInArrow(tokenize, "id long, n long, wide boolean, ids binary"), "tokens")
+    # at most a row for each id of the vocabulary
+    counts = tokens.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], "<u4")
-    bases, base = {}, 0
-    for r in sorted(blocks.groupBy("part").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: r.part):
-        bases[r.part] = base
-        base += r.n
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    tables = spark.sparkContext.broadcast((rank_of, bases))
+    table = spark.sparkContext.broadcast(rank_of)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, starts = tables.value
+        part, block, before, held = TaskContext.get().partitionId(), 0, 0, 0
+        doc_ids: list[int | None] = []
+        sizes: list[int] = []
+        body: list[np.ndarray] = []
+
+        def row() -> pa.RecordBatch:
+            control, data = encode_ranks(table.value[np.concatenate(body)])
+            name = f"part-{part:06d}-{block:06d}-{uuid.uuid4().hex}.afids"
+            write_file(f"{out}/{name}", pack(before, doc_ids, sizes, control, data))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64())], names=["name", "part", "before", "tokens"])
+
         for batch in batches:
-            for r in range(batch.num_rows):
-                part, block, before, n, doc_ids, sizes, wide = (batch.column(k)[r].as_py() for k in range(7))
-                control, data = encode_ranks(ranks[np.frombuffer(batch.column(7)[r].as_buffer(), "<u4" if wide else "<u2")])
-                name = f"part-{part:06d}-{block:06d}.afids"
-                write_file(f"{out}/{name}", pack(starts[part] + before, doc_ids, sizes, control, data))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "tokens"])
-
-    blocks.mapInArrow(write, "name string, tokens long").agg(F.sum("tokens")).collect()
+            for doc_id, n, wide, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if held and held + n > block_tokens:
+                    yield row()
+                    before += held
+                    block, held, doc_ids, sizes, body = block + 1, 0, [], [], []
+                doc_ids.append(doc_id)
+                sizes.append(n)
+                body.append(np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2"))
+                held += n
+        if doc_ids:
+            yield row()
+
+    # rows of one id are dealt by the hash of their ids, equal rows by their place in the table
+    keys = ["id", "mark", "place"]
+    ordered = tokens.withColumn("mark", F.xxhash64("ids")).withColumn("place", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions("id", "mark", "wide", "ids").select("id", "n", "wide", "ids")
+    written, path2 = keep(ordered.mapInArrow(write, "name string, part int, before long, tokens long"), "token-parts")
+    # a row for each partition
+    bases, base = [], 0
+    for r in sorted(written.groupBy("part").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: r.part):
+        bases.append((r.part, base))
+        base += r.n
+    starts = spark.createDataFrame(bases, "part int, base long")
+    manifest = written.join(F.broadcast(starts), "part").select("name", (F.col("base") + F.col("before")).alias("start"), "tokens")
+    manifest.write.parquet(f"{out}/{MANIFEST}")
     write_file(f"{out}/ranks.bin", by_rank.tobytes())
-    discard(spark, path)
+    discard(spark, path, path2)
     return out
 
 
-def pack(start: int, doc_ids: list[int | None], sizes: list[int], control: bytes, data: bytes) -> bytes:
+def pack(before: int, doc_ids: list[int | None], sizes: list[int], control: bytes, data: bytes) -> bytes:
     there = np.array([x is not None for x in doc_ids], np.uint8).tobytes()
     body = b"".join([there, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array(sizes, "<u8").tobytes(), control, data])
-    return HEAD.pack(MAGIC, start, len(doc_ids), sum(sizes), len(data), zlib.crc32(body)) + body
+    return HEAD.pack(MAGIC, before, len(doc_ids), sum(sizes), len(data), zlib.crc32(body)) + body
 
 
 def unpack(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, whether ids are there, ids, sizes, ranks."""
-    magic, start, docs, tokens, size, crc = HEAD.unpack_from(raw)
+    """Ids of the same partition before the file, whether doc ids are there, doc ids, sizes, ranks."""
+    magic, before, docs, tokens, size, crc = HEAD.unpack_from(raw)
     body = memoryview(raw)[HEAD.size :]
     if magic != MAGIC or zlib.crc32(body) != crc:
         raise ValueError("damaged token file")
     controls = -(-tokens // 4)
     at = [0, docs, 9 * docs, 17 * docs, 17 * docs + controls, 17 * docs + controls + size]
     there, doc_ids, sizes, control, data = (body[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
-    return start, np.frombuffer(there, np.uint8) > 0, np.frombuffer(doc_ids, "<i8"), np.frombuffer(sizes, "<u8").astype(np.int64), decode_ranks(bytes(control), bytes(data), tokens)
+    return before, np.frombuffer(there, np.uint8) > 0, np.frombuffer(doc_ids, "<i8"), np.frombuffer(sizes, "<u8").astype(np.int64), decode_ranks(bytes(control), bytes(data), tokens)
 
 
 def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, start (ids before it), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
-    table = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").first()
-    ids_by_rank = spark.sparkContext.broadcast(np.frombuffer(table.content if table else b"", "<u4"))  # Spark leaves empty files out
+    ids_by_rank = spark.sparkContext.broadcast(np.frombuffer(read_file(f"{folder}/ranks.bin"), "<u4"))
+    manifest = spark.read.schema("name string, start long, tokens long").parquet(f"{folder}/{MANIFEST}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0):
-                start, there, doc_ids, sizes, ranks = unpack(raw.as_py())
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, there, doc_ids, sizes, ranks = unpack(read_file(f"{folder}/{name}"))
                 ids = ids_by_rank.value[ranks].astype("<u4")
                 ends = np.cumsum(sizes)
                 for a in range(0, len(sizes), 2048):
@@ -277,8 +291,7 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
                     body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids[first : ends[b - 1]].tobytes())]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64(), mask=~there[a:b]), pa.array(start + ends[a:b] - sizes[a:b], pa.int64()), pa.array(sizes[a:b], pa.int64()), body], names=[id_col, "start", "n_tokens", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.afids").load(folder)
-    return files.select("content").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids binary")
+    return spread(manifest.select("name", "start"), "name").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids binary")
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json", path_of: Callable[[str], str] | None = None) -> str:

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -193,6 +194,46 @@ def test_codec_round_trip():
         assert (token_files.decode_ranks(control, data, n) == r).all() and len(control) == -(-n // 4)
 
 
+def test_ids_equal_the_library_on_random_unicode():
+    from tokenizers import Tokenizer
+
+    spec = token_files.public_vocabulary()
+    own, fast, rng = Tokenizer.from_str(spec), token_files.Encoder(spec, False), random.Random(4)
+    hard = "\u0958\u09df\ufb1d ,.'\u2019\u212a\u0130\u0131\u1e9e\u03a3\uac01\u11a8\u2003\xa0\x85\x1c\x00"
+
+    def char():
+        low, high = rng.choice([(32, 127), (32, 127), (32, 127), (0x80, 0x250), (0x300, 0x370), (0x250, 0xD800), (0xE000, 0x2FFFF)])
+        return rng.choice(hard) if rng.random() < 0.1 else rng.choice(" \n,.-") if rng.random() < 0.1 else chr(rng.randrange(low, high))
+
+    texts = ["".join(char() for _ in range(rng.randrange(1, 25))) for _ in range(40_000)]
+    texts += ["T\u0308 H\u0331 W\u030a J\u030c", "\u09b9\u09df, \u09b9\u09af\u09bc,", "<|ENDOFTEXT|> <|endoftext|>, x<|endoftext|>y", "don't, DON'T, it's. 12, _a_ a_"]
+    for text, got, want in zip(texts, fast.encode(texts), own.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, ascii(text)
+
+
+def test_token_files_of_all_documents(spark):
+    from tokenizers import Tokenizer
+
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    want, start = [], 0
+    for (i, _), e in zip(docs, Tokenizer.from_str(token_files.public_vocabulary()).encode_batch([t or "" for _, t in docs], add_special_tokens=False), strict=True):
+        ids = np.array([*e.ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in QUERIES["op7_token_files"](spark, SF).collect()) == want
+
+
+def test_upper_case_special_tokens():
+    spec = '{"added_tokens": [{"id": 0, "content": "[END]", "single_word": false, "lstrip": false, "rstrip": false, "normalized": false, "special": true}], "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\\\s+"}, "content": " "}, {"type": "Lowercase"}]}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": %s}, "behavior": "Removed", "invert": true}, {"type": "ByteLevel", "add_prefix_space": false, "trim_offsets": true, "use_regex": false}]}, "model": {"type": "BPE", "vocab": {"[END]": 0, "a": 1, "b": 2, "[": 3, "]": 4, "e": 5, "n": 6, "d": 7, ",": 8}, "merges": []}}' % json.dumps(token_files.LETTER_RUNS)
+    from tokenizers import Tokenizer
+
+    texts = ["a [END] b", "a[END],b", "[end] b", "ab, [END], ba"]
+    fast = token_files.Encoder(spec, False)
+    assert fast.by_letters
+    for text, got in zip(texts, fast.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == Tokenizer.from_str(spec).encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
@@ -203,13 +244,15 @@ def test_token_files(spark):
     texts = {i: "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30))) for i in range(-5, 300)} | {400: None, 401: "", 402: "long words " * 20_000}
     rows = [(i, t, 5) for i, t in texts.items()]
     rng.shuffle(rows)
-    docs = frame(spark, [*rows, (None, "null id", 5), (7, texts[7], 5)], "doc_id long, text string, start int")
+    docs = frame(spark, [*rows, (None, "null id", 5), (7, texts[7], 5)] + [(None, "null id", 5)] * 300, "doc_id long, text string, start int")
     folder = token_files.write_token_files(docs, spec, block_tokens=3_000)
     got = {}
     for r in token_files.read_token_files(spark, folder).collect():
         got.setdefault(r.doc_id, []).append(r)
     start = 0
-    for i in [None, *sorted([*texts, 7])]:
+    for rows in got.values():
+        rows.sort(key=lambda r: r.start)
+    for i in [*[None] * 301, *sorted([*texts, 7])]:
         r = got[i].pop(0)
         want = [*own.encode(("null id" if i is None else texts[i]) or "", add_special_tokens=False).ids, 2]
         assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want) and r.start == start, i
