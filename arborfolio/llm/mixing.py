@@ -2,18 +2,23 @@
 
 A document's size is its number of words. Targets fill the budget by weight, none above `most` times its source's size;
 what is above goes to the others by weight until none is. A source takes every document floor(target / size) times. The
-rest of its target is fitted on the counts of documents by exact size: each size gives its share, rounded down, larger
-sizes then one more document where it fits, and a bounded-knapsack table finds the counts for what then remains. In a
-size, the documents with the smallest seeded hashes are taken.
+rest of its target is fitted on the counts of documents by exact size: a bounded-knapsack table finds the counts that come
+nearest to it. Of a rest above TABLE words, what is above TABLE is first taken as an equal share of every size, rounded
+down; the table then has all documents that are left. So the sum is the nearest possible one if the rest is TABLE words at
+most, and otherwise the nearest one with these shares.
+
+In a size, the documents with the smallest seeded hashes of id and text are taken: the hash of the last one is found from
+counts of hashes, so that documents are neither sorted nor shuffled, and each is held against its size's bound.
 
 Defined results: null and empty texts have size 0 and are taken with 0 words; a null source is a source of its own and
 sorts last. Only whole documents are taken, so a source ends as near to its target as its sizes allow. Repeated rows are
-separate documents; rows with equal ids and sizes are interchangeable. An empty table gives no rows. Only the named
-columns are read.
+separate documents; rows with equal id, source and text are interchangeable, whatever is in their other columns. An empty
+table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,10 +27,10 @@ from arborfolio.llm.shared import discard, keep
 
 #: The weights of query op8, repeating over the sources in order, and its budget and ceiling.
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2.0
-#: Words left to the knapsack table at most.
-TABLE = 20_000
-#: Documents of one size and source that one task ranks, about.
-RANKED = 4_000
+#: Words that the knapsack table fits at most.
+TABLE = 1 << 20
+#: Hashes of one size and source that one task puts in order, about.
+RANKED = 256
 #: Rows of the plan that are broadcast at most; beyond that it is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -53,56 +58,48 @@ def fill_targets(sizes: list[int], weights: list[float], budget: float, most: fl
 
 
 def fit_budget(lengths: list[int], counts: list[int], budget: int, table: int = TABLE) -> list[int]:
-    """How many documents of each length to take, at most its count, so that their words come nearest to the budget."""
+    """How many documents of each length to take, at most its count, so that their words come nearest to the budget (of two
+    sums as near, the smaller one): over all choices if the budget is `table` at most, else over those that take the same
+    share of each length for what is above."""
     total = sum(x * c for x, c in zip(lengths, counts, strict=True))
-    take = [c * budget // total if x and total else 0 for x, c in zip(lengths, counts, strict=True)]
+    if budget >= total:
+        return [c if x else 0 for x, c in zip(lengths, counts, strict=True)]
+    take = [c * (budget - table) // total if x and budget > table else 0 for x, c in zip(lengths, counts, strict=True)]
     left = budget - sum(x * t for x, t in zip(lengths, take, strict=True))
-    order = sorted((i for i, x in enumerate(lengths) if x), key=lambda i: -lengths[i])
-    while left > table:
-        before = left
-        for i in order:
-            if lengths[i] <= left and take[i] < counts[i]:
-                take[i] += 1
-                left -= lengths[i]
-            if left <= table:
-                break
-        if left == before:
-            break
-    free = [i for i in order if take[i] < counts[i]]
+    free = sorted((i for i, x in enumerate(lengths) if x and take[i] < counts[i] and x <= 2 * left), key=lambda i: -lengths[i])
     if left <= 0 or not free:
         return take
-    limit = left + lengths[free[-1]]
-    mask, reach, added = (1 << limit + 1) - 1, 1, []
+    # step[s]: the step that first made the sum s, of so many documents of one length; a sum is made from those of earlier steps
+    limit = min(2 * left, left + lengths[free[0]])
+    step, steps = np.zeros(limit + 1, np.int32), [(0, 0)]
+    made = np.zeros(limit + 1, bool)
+    made[0] = True
     for i in free:
         rest, part = min(counts[i] - take[i], limit // lengths[i]), 1
-        while rest and not reach >> left & 1:
+        while rest and not made[left]:
             n = min(part, rest)
-            new = reach << n * lengths[i] & mask & ~reach
-            if new:
-                reach |= new
-                added.append((i, n, new))
+            words = n * lengths[i]
+            new = made[: limit + 1 - words] & ~made[words:]
+            if new.any():
+                step[words:][new] = len(steps)
+                made[words:] |= new
+                steps.append((i, n))
             rest -= n
             part *= 2
-    below = (reach & (1 << left + 1) - 1).bit_length() - 1
-    above = reach >> left
-    over = left + (above & -above).bit_length() - 1 if above else limit * 3
-    goal = below if left - below <= over - left else over
-    for i, n, new in reversed(added):
-        if new >> goal & 1:
-            take[i] += n
-            goal -= n * lengths[i]
+    sums = np.flatnonzero(made)
+    goal = int(sums[np.lexsort((sums, np.abs(sums - left)))[0]])
+    while goal:
+        i, n = steps[step[goal]]
+        take[i] += n
+        goal -= n * lengths[i]
     return take
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target (its source's), copies, taken (copies * size).
-
-    max_sources: sources are listed on the driver; more of them is an error.
-    """
-    spark = docs.sparkSession
-    sized, path = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    lengths = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
-    lengths, path1 = keep(lengths, "lengths")
+def _plan(sized: DataFrame, weights: tuple[float, ...], budget: float, most: float, max_sources: int) -> tuple[DataFrame, list[str]]:
+    """sized: source, size, h. Rows p_source, p_size, source_size, target, whole, last, ties, among, by source and size: every
+    document is taken `whole` times, those with a hash below `last` once more, and `ties` of the `among` that have this hash."""
+    spark = sized.sparkSession
+    lengths, path1 = keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     sources = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).limit(max_sources + 1).collect()
     if len(sources) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -123,36 +120,78 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     plan = lengths.join(F.broadcast(goals), lengths["source"].eqNullSafe(goals["source"])).select(lengths["source"], "size", "n", "source_size", "target")
     plan = plan.groupBy("source").applyInPandas(fit, "source string, size long, n long, source_size long, target double, whole long, extra long")
     plan, path2 = keep(plan, "mix-plan")
-    small = plan.count() <= BROADCAST_ROWS
-    p = (F.broadcast(plan) if small else plan).withColumnRenamed("source", "p_source").withColumnRenamed("size", "p_size")
-    order = F.xxhash64(F.col("id").cast("string"), F.lit(seed))
-    # a size that many documents share is cut by hash into buckets of about RANKED documents; those before the bucket in which the count is reached are taken, those behind it are not
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / RANKED))
-    rows = sized.join(p, sized["source"].eqNullSafe(F.col("p_source")) & (sized["size"] == F.col("p_size"))).drop("p_source", "p_size").withColumn("h", order)
-    rows = rows.withColumn("bucket", F.least(buckets - 1, F.floor((F.col("h") / 2.0**64 + 0.5) * buckets)).cast("long"))
-    many = rows.filter((F.col("n") > RANKED) & (F.col("extra") > 0)).groupBy("source", "size", "bucket").agg(F.count("*").alias("here"))
-    many = many.withColumn("before", F.sum("here").over(Window.partitionBy("source", "size").orderBy("bucket")) - F.col("here")).drop("here")
-    many = many.select(F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("bucket").alias("m_bucket"), "before")
-    rows = rows.join(many, rows["source"].eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")) & (F.col("bucket") == F.col("m_bucket")), "left")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "id")) + F.coalesce("before", F.lit(0))
-    copies = (F.col("whole") + F.when(rank <= F.col("extra"), 1).otherwise(0)).cast("long")
-    out = rows.withColumn("copies", copies).select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    out, _ = keep(out, "mix")
-    discard(spark, path, path1, path2)
+    open_ = plan.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n"))).select(F.col("source").alias("o_source"), F.col("size").alias("o_size"), "n", "extra")
+    open_ = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_
+    # a size that many documents share is cut by hash into buckets of about RANKED hashes; the bound is in the bucket in which the count is reached
+    buckets = F.ceil(F.col("n") / RANKED)
+    rows = sized.join(open_, sized["source"].eqNullSafe(F.col("o_source")) & (sized["size"] == F.col("o_size")))
+    rows = rows.select("source", "size", "extra", "h", F.least(buckets - 1, F.floor((F.col("h") / 2.0**64 + 0.5) * buckets)).cast("long").alias("bucket"))
+    by_size = Window.partitionBy("source", "size")
+    filled = rows.groupBy("source", "size", "extra", "bucket").agg(F.count("*").alias("here"))
+    filled = filled.withColumn("before", F.sum("here").over(by_size.orderBy("bucket")) - F.col("here"))
+    filled = filled.filter((F.col("before") < F.col("extra")) & (F.col("before") + F.col("here") >= F.col("extra")))
+    filled, path3 = keep(filled.select(F.col("source").alias("f_source"), F.col("size").alias("f_size"), F.col("bucket").alias("f_bucket"), "before"), "mix-buckets")
+    last = F.broadcast(filled) if filled.count() <= BROADCAST_ROWS else filled
+    within = rows.join(last, rows["source"].eqNullSafe(F.col("f_source")) & (F.col("size") == F.col("f_size")) & (F.col("bucket") == F.col("f_bucket")))
+    within = within.groupBy("source", "size", "extra", "before", "h").agg(F.count("*").alias("among"))
+    within = within.withColumn("before", F.col("before") + F.sum("among").over(by_size.orderBy("h")) - F.col("among"))
+    bounds = within.filter((F.col("before") < F.col("extra")) & (F.col("before") + F.col("among") >= F.col("extra")))
+    bounds = bounds.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("h").alias("last"), (F.col("extra") - F.col("before")).alias("ties"), "among")
+    plan = plan.join(bounds, plan["source"].eqNullSafe(F.col("b_source")) & (plan["size"] == F.col("b_size")), "left")
+    whole = F.col("whole") + F.when(F.col("extra") == F.col("n"), 1).otherwise(0)
+    plan = plan.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "source_size", "target", whole.alias("whole"), "last", "ties", "among")
+    plan, path4 = keep(plan, "mix-bounds")
+    return plan, [path1, path2, path3, path4]
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, list[str]]:
+    """rows: _source, _size, _h and others. Adds source_size, target, _copies; the paths of tables that the result reads."""
+    p = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    joined = rows.join(p, rows["_source"].eqNullSafe(F.col("p_source")) & (rows["_size"] == F.col("p_size")))
+    even = F.col("last").isNull() | (F.col("_h") != F.col("last")) | (F.col("ties") == F.col("among"))
+    out = [*rows.columns, "source_size", "target"]
+    copies = F.col("whole") + F.when(F.col("_h") <= F.col("last"), 1).otherwise(0)
+    taken = joined.filter(even).select(*out, copies.alias("_copies"))
+    if not plan.filter("ties < among").limit(1).count():
+        return taken, []
+    # rows that nothing tells apart, of which some are taken: numbered within the parts of their table, as there may be many
+    tied, path = keep(joined.filter(~even).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "mix-ties")
+    parts = tied.groupBy("_source", "_size", "_part").agg(F.count("*").alias("_here"))
+    parts = parts.withColumn("_before", F.sum("_here").over(Window.partitionBy("_source", "_size").orderBy("_part")) - F.col("_here"))
+    parts = F.broadcast(parts.select(F.col("_source").alias("t_source"), F.col("_size").alias("t_size"), F.col("_part").alias("t_part"), "_before"))  # a row per size and partition
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_source", "_size", "_part").orderBy("_place"))
+    ranked = tied.join(parts, tied["_source"].eqNullSafe(F.col("t_source")) & (F.col("_size") == F.col("t_size")) & (F.col("_part") == F.col("t_part")))
+    copies = F.col("whole") + F.when(number <= F.col("ties"), 1).otherwise(0)
+    return taken.unionByName(ranked.select(*out, copies.alias("_copies"))), [path]
+
+
+def _hash(id_: Column, text: Column, seed: int) -> Column:
+    return F.xxhash64(id_.cast("string"), text, F.lit(seed))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000) -> DataFrame:
+    """One row per row of docs: id, source, size, source_size, target (its source's), copies, taken (copies * size).
+
+    max_sources: sources are listed on the driver; more of them is an error.
+    """
+    spark = docs.sparkSession
+    sized, path = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _hash(F.col(id_col), F.col(text_col), seed).alias("h")), "sizes")
+    plan, paths = _plan(sized, weights, budget, most, max_sources)
+    rows, more = _taken(sized.select("id", F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("h").alias("_h")), plan)
+    copies = F.col("_copies")
+    out, _ = keep(rows.select("id", F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken")), "mix")
+    discard(spark, path, *paths, *more)
     return out
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
-    """The rows of docs, all columns, as often as the mix takes them. Rows that nothing tells apart are numbered on both sides."""
-    chosen = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    row = F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64(row).alias("mark"))
-    right = chosen.select(F.xxhash64(F.struct("id", "source", "size")).alias("mark"), "copies")
-    left = left.withColumn("k", F.row_number().over(Window.partitionBy("mark").orderBy("mark")))
-    right = right.withColumn("k", F.row_number().over(Window.partitionBy("mark").orderBy(F.desc("copies"))))
-    # a mark is that of one document, or of the repeated rows of one
-    both = left.join(right.filter("copies > 0"), ["mark", "k"])
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000) -> DataFrame:
+    """The rows of docs, all columns, as often as mix() takes them; each is held against its size's bound where it is."""
+    keys = (F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_size"), _hash(F.col(id_col), F.col(text_col), seed).alias("_h"))
+    sized, path = keep(docs.select(*keys).toDF("source", "size", "h"), "sizes")
+    plan, _ = _plan(sized, weights, budget, most, max_sources)
+    discard(docs.sparkSession, path)
+    rows, _ = _taken(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *keys), plan)
+    return rows.filter("_copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

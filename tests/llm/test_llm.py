@@ -265,17 +265,36 @@ def test_token_files(spark):
 # 8
 
 
+def all_sums(lengths, counts):
+    sums = {0}
+    for x, c in zip(lengths, counts, strict=True):
+        sums = {s + x * k for s in sums for k in range(c + 1)}
+    return sums
+
+
 def test_fit_budget_is_nearest():
     rng = random.Random(10)
-    for _ in range(60):
-        lengths = sorted(rng.sample(range(1, 30), rng.randint(1, 5)))
-        counts = [rng.randint(1, 4) for _ in lengths]
-        total = sum(x * c for x, c in zip(lengths, counts, strict=True))
-        budget = rng.randint(0, total)
+    cases = [([4, 6], [3, 3], 12), ([100], [1], 60), ([1, 100], [1, 1], 60), ([3, 5], [4, 4], 16), ([0, 7], [9, 0], 5), ([], [], 3), ([5], [2], 99)]
+    for _ in range(400):
+        lengths = sorted(rng.sample(range(0, 40), rng.randint(1, 5)))
+        counts = [rng.randint(0, 4) for _ in lengths]
+        cases.append((lengths, counts, rng.randint(0, sum(x * c for x, c in zip(lengths, counts, strict=True)))))
+    for lengths, counts, budget in cases:
         take = mixing.fit_budget(lengths, counts, budget)
         assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
-        assert abs(sum(x * t for x, t in zip(lengths, take, strict=True)) - budget) <= max(lengths)
-    assert mixing.fit_budget([3, 5], [4, 4], 16) and sum(x * t for x, t in zip([3, 5], mixing.fit_budget([3, 5], [4, 4], 16), strict=True)) == 16
+        got = sum(x * t for x, t in zip(lengths, take, strict=True))
+        assert abs(got - budget) == min(abs(s - budget) for s in all_sums(lengths, counts)), (lengths, counts, budget)
+
+
+def test_fit_budget_beyond_the_table():
+    rng = random.Random(13)
+    for _ in range(30):
+        lengths = sorted(rng.sample(range(1, 400), 40))
+        counts = [rng.randint(1, 60) for _ in lengths]
+        budget = rng.randint(2_000, sum(x * c for x, c in zip(lengths, counts, strict=True)))
+        take = mixing.fit_budget(lengths, counts, budget, table=1_500)
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+        assert sum(x * t for x, t in zip(lengths, take, strict=True)) == budget
 
 
 def test_targets():
@@ -283,24 +302,79 @@ def test_targets():
     assert mixing.fill_targets([], [], 0) == [] and mixing.fill_targets([0, 0], [3, 1], 0) == [0, 0]
 
 
+def mix_by_hand(rows, seed=11):
+    """rows: id, text, source. Size, source size and target by plain loops; what the nearest sum to each target is."""
+    sizes = [len((t or "").split()) for _, t, _ in rows]
+    total = {}
+    for (_, _, s), n in zip(rows, sizes, strict=True):
+        total.setdefault(s, []).append(n)
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    weight, target, budget = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, {}, 1.5 * sum(sizes)
+    rest = list(names)
+    while rest:
+        full = [s for s in rest if budget * weight[s] / sum(weight[x] for x in rest) > 2 * sum(total[s])]
+        if not full:
+            target |= {s: budget * weight[s] / sum(weight[x] for x in rest) for s in rest}
+            break
+        target |= {s: 2 * sum(total[s]) for s in full}
+        budget -= sum(target[s] for s in full)
+        rest = [s for s in rest if s not in full]
+    nearest = {}
+    for s in names:
+        size = sum(total[s])
+        sums = 1
+        for n in total[s]:
+            sums |= sums << n
+        whole = int(target[s] // size) if size else 0
+        goal = round(target[s] - whole * size)
+        nearest[s] = min(abs(k - goal) for k in range(size + 1) if sums >> k & 1) if whole < 2 else 0
+    return sizes, {s: sum(total[s]) for s in names}, target, nearest
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANKED", 50)
     rng = random.Random(11)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 7, 7, 7, 30, 200])), rng.choice(["b", "a", "a", "a", None]), 9) for i in range(1500)]
     rows += [(3000, None, "a", 9), (None, "x y", "b", 9), (5, rows[5][1], rows[5][2], 9), (3001, "q " * 30_000, "c", 9)]
     docs = frame(spark, rows, "doc_id long, text string, source string, size int")
-    a, b = ([tuple(r) for r in mixing.mix(docs).sort("id", "taken").collect()] for _ in range(2))
+    a, b = ([tuple(r) for r in mixing.mix(x).sort("id", "taken").collect()] for x in (docs, docs.repartition(5)))
     assert a == b and len(a) == len(rows)
-    by = {}
-    for i, source, size, total, target, copies, taken in a:
-        assert taken == copies * size <= 2 * size
-        s = by.setdefault(source, [0, 0, target, total])
-        s[0] += size
-        s[1] += taken
-    for source, (size, taken, target, total) in by.items():
-        assert size == total and (source == "c" or abs(taken - target) <= 1), source
-    assert mixing.mixed_documents(docs).count() == sum(r[5] for r in a) and mixing.mixed_documents(docs).columns == docs.columns
-    assert mixing.mix(docs.limit(0)).count() == 0
+    sizes, totals, targets, nearest = mix_by_hand([r[:3] for r in rows])
+    assert sorted((r[0], r[1], r[2]) for r in a if r[0] is not None and r[1]) == sorted((r[0], r[2], n) for r, n in zip(rows, sizes, strict=True) if r[0] is not None and r[2])
+    sums = dict.fromkeys(totals, 0)
+    for _, source, size, total, target, copies, taken in a:
+        assert taken == copies * size <= 2 * size and total == totals[source] and math.isclose(target, targets[source])
+        sums[source] += taken
+    for source, taken in sums.items():
+        assert abs(taken - targets[source]) <= nearest[source] + 0.5, source
+    assert mixing.mixed_documents(docs).columns == docs.columns
+    kept = {}
+    for r in mixing.mixed_documents(docs).collect():
+        kept[r.doc_id, r.source, len((r.text or "").split())] = kept.get((r.doc_id, r.source, len((r.text or "").split())), 0) + 1
+    want = {}
+    for r in a:
+        if r[5]:
+            want[r[:3]] = want.get(r[:3], 0) + r[5]
+    assert kept == want
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_mix_of_rows_without_ids(spark):
+    rows = [(None, f"w{i} x y", "a") for i in range(40)] + [(None, "same words here", "a")] * 300 + [(7, "b c", "b"), (7, "d e", "b")]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    runs = [sorted((r.doc_id or 0, r.text) for r in mixing.mixed_documents(docs.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 300
+
+
+def test_mix_query_on_the_tables(spark):
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    sizes, totals, targets, nearest = mix_by_hand(docs)
+    got = {r.doc_id: r for r in QUERIES["op8_mixing"](spark, SF).collect()}
+    sums = dict.fromkeys(totals, 0)
+    for (i, _, source), n in zip(docs, sizes, strict=True):
+        assert (got[i].size, got[i].source_size) == (n, totals[source]) and math.isclose(got[i].target, targets[source]) and got[i].taken in (0, n, 2 * n)
+        sums[source] += got[i].taken
+    assert all(abs(sums[s] - targets[s]) <= nearest[s] + 0.5 for s in totals)
 
 
 # 9
