@@ -18,6 +18,7 @@ whole_texts=True.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -84,19 +85,16 @@ class Ids(dict):
     directly, and marks behind it are split off. Only chunks whose characters are all below U+0250, as they are in the
     text, and that hold no special token go that way: these characters have no marks to be joined with, and marks of
     ASCII begin a group of their own behind a letter. Anything else goes through the whole tokenizer, unchanged.
+    lowered: chunks come from lower-case texts for which that is known.
     """
 
-    def __init__(self, tokenizer: object, by_letters: bool, special: list[str]) -> None:
+    def __init__(self, tokenizer: object, by_letters: bool, special: list[str], lowered: bool) -> None:
         super().__init__()
-        self.tokenizer, self.by_letters, self.special, self.letters = tokenizer, by_letters, special, byte_letters()
+        self.tokenizer, self.by_letters, self.special, self.lowered, self.letters = tokenizer, by_letters, special, lowered, byte_letters()
 
     def whole(self, chunk: bytes) -> bytes:
         return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, text: str) -> bytes:
-        """text: lower-case letters below U+0250."""
-        return pack_ids(*(t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))))
-
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self[chunk] = self.encoded(chunk)
         return ids
@@ -104,18 +102,32 @@ class Ids(dict):
     def encoded(self, chunk: bytes) -> bytes:
         if not self.by_letters:
             return self.whole(chunk)
-        text = chunk.decode()
-        low = text.lower()
-        if max(text) >= "\u0250" or len(low) != len(text) or any(x in text or x.lower() in low for x in self.special):
-            return self.whole(chunk)
+        low = chunk.decode()
+        if not self.lowered:
+            if not plain(low, self.special):
+                return self.whole(chunk)
+            low = low.lower()
         word = low.rstrip(MARKS)
-        if not word.isalpha() or max(word) >= "\u0250":
+        if not word.isalpha():
             return self.whole(chunk)
-        return self.word(word) if len(word) == len(low) else self.word(word) + self[low[len(word) :].encode()]
+        if len(word) != len(low):
+            return self[word.encode()] + self[low[len(word) :].encode()]
+        spelled = low if chunk.isascii() else low.encode().decode("latin-1").translate(self.letters)
+        found = self.tokenizer.model.tokenize(spelled)
+        return PACK[len(found)](*[t.id for t in found]) if len(found) < len(PACK) else np.array([t.id for t in found], "<u4").tobytes()
+
 
+#: Characters that the library may join with a neighbour, or whose lower case is longer.
+JOINING = re.compile("[\u0250-\U0010ffff\u0130]")
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
-def pack_ids(*ids: int) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+
+def plain(text: str, special: list[str]) -> bool:
+    """Whether the text's lower case gives the same ids, chunk by chunk."""
+    if not text.isascii() and JOINING.search(text):
+        return False
+    low = text.lower()
+    return not any(x in text or x.lower() in low for x in special)
 
 
 class Encoder:
@@ -134,20 +146,26 @@ class Encoder:
         self.by_letters = steps == CASELESS and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"].get("Regex") == LETTER_RUNS and rules["model"]["type"] == "BPE"
         self.special = [x["content"] for x in rules.get("added_tokens", [])]
         self.spread = [x for x in self.special if x.split() != [x]]  # with white space: no chunk holds them
-        self.known = Ids(self.tokenizer, self.by_letters, self.special)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = [Ids(self.tokenizer, self.by_letters, self.special, lowered) for lowered in (False, True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
         if self.whole_texts:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.known) > CACHE:
-            self.known = Ids(self.tokenizer, self.by_letters, self.special)
-        get, out = self.known.__getitem__, []
+        if sum(map(len, self.known)) > CACHE:
+            self.forget()
+        out = []
         for text in texts:
-            if self.spread and text and any(x.lower() in text.lower() for x in self.spread):
-                out.append(self.known.whole(text.encode()))
+            text = text or ""
+            if self.by_letters and plain(text, self.special):
+                out.append(b"".join(map(self.known[1].__getitem__, text.lower().encode().split())))
+            elif any(x.lower() in text.lower() for x in self.spread):
+                out.append(self.known[0].whole(text.encode()))
             else:
-                out.append(b"".join(map(get, (text or "").encode().split())))
+                out.append(b"".join(map(self.known[0].__getitem__, text.encode().split())))
         return out
 
 
