@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborfolio.llm.shared import discard, keep
+from arborfolio.llm.shared import discard, keep, small
 
 #: The weights of query op8, repeating over the sources in order, and its budget and ceiling.
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2.0
@@ -121,7 +121,7 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], budget: float, most: flo
     plan = plan.groupBy("source").applyInPandas(fit, "source string, size long, n long, source_size long, target double, whole long, extra long")
     plan, path2 = keep(plan, "mix-plan")
     open_ = plan.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n"))).select(F.col("source").alias("o_source"), F.col("size").alias("o_size"), "n", "extra")
-    open_ = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_
+    open_ = small(open_, BROADCAST_ROWS)
     # a size that many documents share is cut by hash into buckets of about RANKED hashes; the bound is in the bucket in which the count is reached
     buckets = F.ceil(F.col("n") / RANKED)
     rows = sized.join(open_, sized["source"].eqNullSafe(F.col("o_source")) & (sized["size"] == F.col("o_size")))
@@ -131,8 +131,7 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], budget: float, most: flo
     filled = filled.withColumn("before", F.sum("here").over(by_size.orderBy("bucket")) - F.col("here"))
     filled = filled.filter((F.col("before") < F.col("extra")) & (F.col("before") + F.col("here") >= F.col("extra")))
     filled, path3 = keep(filled.select(F.col("source").alias("f_source"), F.col("size").alias("f_size"), F.col("bucket").alias("f_bucket"), "before"), "mix-buckets")
-    last = F.broadcast(filled) if filled.count() <= BROADCAST_ROWS else filled
-    within = rows.join(last, rows["source"].eqNullSafe(F.col("f_source")) & (F.col("size") == F.col("f_size")) & (F.col("bucket") == F.col("f_bucket")))
+    within = rows.join(small(filled, BROADCAST_ROWS), rows["source"].eqNullSafe(F.col("f_source")) & (F.col("size") == F.col("f_size")) & (F.col("bucket") == F.col("f_bucket")))
     within = within.groupBy("source", "size", "extra", "before", "h").agg(F.count("*").alias("among"))
     within = within.withColumn("before", F.col("before") + F.sum("among").over(by_size.orderBy("h")) - F.col("among"))
     bounds = within.filter((F.col("before") < F.col("extra")) & (F.col("before") + F.col("among") >= F.col("extra")))
@@ -146,8 +145,7 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], budget: float, most: flo
 
 def _taken(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, list[str]]:
     """rows: _source, _size, _h and others. Adds source_size, target, _copies; the paths of tables that the result reads."""
-    p = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    joined = rows.join(p, rows["_source"].eqNullSafe(F.col("p_source")) & (rows["_size"] == F.col("p_size")))
+    joined = rows.join(small(plan, BROADCAST_ROWS), rows["_source"].eqNullSafe(F.col("p_source")) & (rows["_size"] == F.col("p_size")))
     even = F.col("last").isNull() | (F.col("_h") != F.col("last")) | (F.col("ties") == F.col("among"))
     out = [*rows.columns, "source_size", "target"]
     copies = F.col("whole") + F.when(F.col("_h") <= F.col("last"), 1).otherwise(0)

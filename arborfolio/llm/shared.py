@@ -41,6 +41,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small(table: DataFrame, most: int) -> DataFrame:
+    """The table, to be broadcast if it has `most` rows at most."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a path as Spark names it."""
     if uri.startswith("/"):
@@ -55,20 +60,20 @@ def write_file(uri: str, data: bytes) -> None:
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.partial"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         out.write(data)
     fs.move(part, path)
 
 
 def read_file(uri: str) -> bytes:
     fs, path = filesystem(uri)
-    with fs.open_input_stream(path) as file:
+    with fs.open_input_stream(path, compression=None) as file:
         return file.read()
 
 
-def spread(names: DataFrame, column: str, most: int = 10_000) -> DataFrame:
-    """A table of file names dealt out, so that each task has a few (`most` tasks at most)."""
-    return names.repartition(max(1, min(most, names.count())), column)
+def spread(names: DataFrame, column: str, each: int = 4, most: int = 100_000) -> DataFrame:
+    """A table of file names dealt out, so that each task has about `each` of them (more, beyond `most` tasks)."""
+    return names.repartition(max(1, min(most, -(-names.count() // each))), column)
 
 
 def quota(counts: list[int], bound: int) -> float | None:

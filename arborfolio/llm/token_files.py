@@ -27,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from arborfolio.llm.shared import discard, keep, read_file, row_slices, shared_d
 MAGIC, END_ID = b"AFIDS1\0\0", 2
 HEAD = struct.Struct("<8sQQQQQ")
 MANIFEST = "manifest.parquet"
-CACHE = 400_000
+CACHE = 800_000
 
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -92,17 +93,19 @@ class Ids(dict):
         super().__init__()
         self.tokenizer, self.by_letters, self.special, self.lowered, self.letters = tokenizer, by_letters, special, lowered, byte_letters()
 
-    def whole(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def __missing__(self, chunk: str) -> bytes:
         ids = self[chunk] = self.encoded(chunk)
         return ids
 
-    def encoded(self, chunk: bytes) -> bytes:
+    def encoded(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
         if not self.by_letters:
             return self.whole(chunk)
-        low = chunk.decode()
+        low = chunk
         if not self.lowered:
             if not plain(low, self.special):
                 return self.whole(chunk)
@@ -111,8 +114,8 @@ class Ids(dict):
         if not word.isalpha():
             return self.whole(chunk)
         if len(word) != len(low):
-            return self[word.encode()] + self[low[len(word) :].encode()]
-        spelled = low if chunk.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            return self[word] + self[low[len(word) :]]
+        spelled = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
         found = self.tokenizer.model.tokenize(spelled)
         return PACK[len(found)](*[t.id for t in found]) if len(found) < len(PACK) else np.array([t.id for t in found], "<u4").tobytes()
 
@@ -151,22 +154,74 @@ class Encoder:
     def forget(self) -> None:
         self.known = [Ids(self.tokenizer, self.by_letters, self.special, lowered) for lowered in (False, True)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Of each text its ids as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids, one text's behind the other's, and how many each has."""
         if self.whole_texts:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
         if sum(map(len, self.known)) > CACHE:
             self.forget()
-        out = []
-        for text in texts:
-            text = text or ""
-            if self.by_letters and plain(text, self.special):
-                out.append(b"".join(map(self.known[1].__getitem__, text.lower().encode().split())))
-            elif any(x.lower() in text.lower() for x in self.spread):
-                out.append(self.known[0].whole(text.encode()))
+        way = np.zeros(len(texts), np.int8)  # 0: chunks as they are, 1: chunks in lower case, 2: no chunks
+        for i, text in enumerate(texts):
+            if text is None or self.by_letters and plain(text, self.special):
+                way[i] = 1
+            elif self.spread and any(x.lower() in text.lower() for x in self.spread):
+                way[i] = 2
+        sizes, parts = np.zeros(len(texts), np.int64), []
+        for k in np.unique(way).tolist():
+            at = np.flatnonzero(way == k)
+            chosen = [texts[i] or "" for i in at.tolist()]
+            if k == 2:
+                found = [np.frombuffer(self.known[0].whole(t), "<u4") for t in chosen]
+                ids, sizes[at] = np.concatenate(found), [len(x) for x in found]
             else:
-                out.append(b"".join(map(self.known[0].__getitem__, text.encode().split())))
-        return out
+                ids, sizes[at] = self.by_chunks([t.lower() for t in chosen] if k else chosen, self.known[k])
+            parts.append((at, ids))
+        if len(parts) == 1:
+            return parts[0][1], sizes
+        out, ends = np.zeros(int(sizes.sum()), np.uint32), np.cumsum(sizes)
+        for at, ids in parts:
+            out[runs(ends[at] - sizes[at], sizes[at])] = ids
+        return out, sizes
+
+    @staticmethod
+    def by_chunks(texts: list[str], known: Ids) -> tuple[np.ndarray, np.ndarray]:
+        """Each distinct chunk of the texts is looked up once, as a word and the marks behind it; the rest is numpy."""
+        chunks = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = chunks.flatten().dictionary_encode()
+        units = coded.dictionary
+        if known.by_letters and known.lowered:
+            words = pc.utf8_rtrim(units, characters=MARKS)
+            cut = pc.and_(pc.utf8_is_alpha(words), pc.not_equal(pc.binary_length(words), pc.binary_length(units)))
+            behind = rests(units.filter(cut), pc.binary_length(words.filter(cut)).to_numpy()).dictionary_encode()
+            units = pc.if_else(cut, words, units).dictionary_encode()
+            n = len(units.dictionary)
+            found = [known[x] for x in units.dictionary.to_pylist()] + [known[x] for x in behind.dictionary.to_pylist()] + [b""]
+            tail = np.full(len(cut), len(found) - 1)
+            tail[np.flatnonzero(cut)] = n + behind.indices.to_numpy()
+            pieces = np.stack([units.indices.to_numpy(), tail], 1)[coded.indices.to_numpy()].ravel()
+            offsets = 2 * chunks.offsets.to_numpy()
+        else:
+            found = [known[x] for x in units.to_pylist()]
+            pieces, offsets = coded.indices.to_numpy(), chunks.offsets.to_numpy()
+        length, body = np.array([len(x) for x in found], np.int64) // 4, np.frombuffer(b"".join(found), "<u4")
+        sizes = length[pieces] if len(pieces) else np.zeros(0, np.int64)
+        ends = np.append(0, np.cumsum(sizes))
+        return body[runs((np.cumsum(length) - length)[pieces], sizes)] if len(pieces) else body[:0], np.diff(ends[offsets])
+
+
+def rests(texts: pa.StringArray, lead: np.ndarray) -> pa.StringArray:
+    """What of each text is behind its first `lead` bytes."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    sizes = np.diff(offsets) - lead
+    body = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[runs(offsets[:-1] + lead, sizes)]
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(body))
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of these sizes that begin at these starts."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 _ENCODERS: dict[tuple[int, bool], Encoder] = {}
@@ -190,24 +245,26 @@ def joined(ids: pa.Array, wide: np.ndarray) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), "<u4" if w else "<u2").astype(np.uint32) for x, w in zip(ids, wide, strict=True)])
 
 
-def write_token_files(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_tokens: int = 1_000_000, whole_texts: bool = False) -> str:
+def write_token_files(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_tokens: int = 2_000_000, whole_texts: bool = False) -> str:
     """Write the folder and return its path. spec: the tokenizer's JSON. A file holds about block_tokens tokens."""
     spark = docs.sparkSession
     out = shared_dir(spark, "token-files")
     shipped = spark.sparkContext.broadcast(spec)
-    end = np.array([end_id], "<u4").tobytes()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(shipped.value, whole_texts)
         for whole in batches:
-            for batch in row_slices(whole, text_col, 1 << 20):
-                ids, wide, sizes = [], [], []
-                for x in encoder.encode(batch.column(1).to_pylist()):
-                    numbers = np.frombuffer(x + end, "<u4")
-                    wide.append(int(numbers.max()) > 0xFFFF)
-                    sizes.append(len(numbers))
-                    ids.append(x + end if wide[-1] else numbers.astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())], names=["id", "n", "wide", "ids"])
+            for batch in row_slices(whole, text_col):
+                numbers, sizes = encoder.encode(batch.column(1).to_pylist())
+                numbers = np.insert(numbers, np.cumsum(sizes), end_id)
+                sizes = sizes + 1
+                ends = np.cumsum(sizes)
+                wide = np.maximum.reduceat(numbers, ends - sizes) > 0xFFFF
+                if wide.any():
+                    ids = pa.array([numbers[e - n : e].astype("<u4" if w else "<u2").tobytes() for e, n, w in zip(ends.tolist(), sizes.tolist(), wide.tolist(), strict=True)], pa.binary())
+                else:
+                    ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.append(0, ends) * 2).astype(np.int32)), pa.py_buffer(numbers.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(wide), ids], names=["id", "n", "wide", "ids"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
