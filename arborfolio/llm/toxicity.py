@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfolio.llm.ngrams import char_ngrams, codepoints, fit_logistic
+from arborfolio.llm.ngrams import Rows, char_ngrams, codepoints, fit_logistic
 from arborfolio.llm.shared import label_sample, row_slices
 
 BITS, ORDERS = 20, range(3, 7)
@@ -34,13 +34,12 @@ def buckets(text: str | None) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    slot: np.ndarray  # of each bucket: its feature's number, 0 for none
-    weights: np.ndarray  # by number; 0 at 0
+    weights: np.ndarray  # of each bucket
     intercept: float
 
     def score(self, text: str | None) -> float:
-        found = [s[s > 0] for b in buckets(text) for s in (self.slot[b],)]
-        z = self.intercept + (float(self.weights[np.unique(np.concatenate(found))].sum()) if found else 0.0)
+        found = [b[self.weights[b] != 0] for b in buckets(text)]
+        z = self.intercept + (float(self.weights[np.unique(np.concatenate(found))].sum(dtype=np.float64)) if found else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
@@ -50,43 +49,36 @@ def train_toxicity(labelled: DataFrame, bound: int = 6_000, most_chars: int = 48
     bound: about so many labelled rows are used, chosen by a hash of the id (classifier fit on a bounded sample), an equal
     number of both classes, all of a class that has fewer; the intercept is put back to the classes' shares of all rows.
     most_chars bounds their texts together, taken whole in the order of a hash: first those no longer than an even share,
-    which always fit, then of the longer ones each that still does. features: so many buckets with the
-    largest |r| * sqrt(rows) are kept, of those in least_rows texts at least.
+    which always fit, then of the longer ones each that still does. features: the buckets with the largest
+    |r| * sqrt(rows) make the model, of those in least_rows texts at least (all buckets together find fewer toxic texts).
     """
     labelled = labelled.filter(F.col("toxic").isNotNull() & F.col("id").isNotNull())
     sample, counts = label_sample(labelled.withColumn("is_toxic", F.col("toxic") == 1), "id", "is_toxic", bound)
     all1, all0 = float(counts.get(True, 0)), float(counts.get(False, 0))
     rows = sorted(((x.id, x.text or "", x.toxic) for x in sample.select("id", "text", "toxic").toLocalIterator()), key=lambda r: (hash_of(r[0]), r[1], r[2]))
     rows = [rows[i] for i in fitting([len(r[1]) for r in rows], most_chars)]
-    y = np.array([float(r[2] == 1) for r in rows])
+    return fit_toxicity([r[1] for r in rows], np.array([float(r[2] == 1) for r in rows]), all1, all0, features, least_rows, l2)
+
+
+def fit_toxicity(texts: list[str], y: np.ndarray, all1: float, all0: float, features: int, least_rows: int, l2: float) -> ToxicityModel:
+    """all1, all0: rows of both classes in the whole table."""
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    empty = ToxicityModel(np.zeros(1 << BITS, np.uint16), np.zeros(1, np.float32), float(np.log((all1 + 1) / (all0 + 1))))
+    weights = np.zeros(1 << BITS, np.float32)
     if not n1 or not n0:
-        return empty
+        return ToxicityModel(weights, float(np.log((all1 + 1) / (all0 + 1))))
+    sets = [np.unique(np.concatenate(found)).astype(np.int32) if (found := buckets(t)) else np.zeros(0, np.int32) for t in texts]
     counts = np.zeros((2, 1 << BITS))
-    sets = []
-    for (_, text, _), label in zip(rows, y, strict=True):
-        found = buckets(text)
-        s = np.unique(np.concatenate(found)).astype(np.int32) if found else np.zeros(0, np.int32)
+    for s, label in zip(sets, y, strict=True):
         counts[int(label), s] += 1
-        sets.append(s)
-    both = counts.sum(0)
     r = np.log((counts[1] + 1) / (n1 + 2)) - np.log((counts[0] + 1) / (n0 + 2))
-    weight = np.where(both >= least_rows, np.abs(r) * np.sqrt(both), 0)
-    chosen = np.argsort(-weight, kind="stable")[:features]
-    chosen = np.sort(chosen[weight[chosen] > 0])
-    if not len(chosen):
-        return empty
-    slot = np.zeros(1 << BITS, np.uint16)
-    slot[chosen] = np.arange(1, len(chosen) + 1)
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    scale = r[chosen].astype(np.float32)
-    for i, s in enumerate(sets):
-        at = slot[s]
-        at = at[at > 0].astype(np.int64) - 1
-        x[i, at] = scale[at]
-    w, b = fit_logistic(x, y, l2)
-    return ToxicityModel(slot, np.append(0, w * scale).astype(np.float32), b + float(np.log(all1 / all0 * n0 / n1)))
+    worth = np.where(counts.sum(0) >= least_rows, np.abs(r) * np.sqrt(counts.sum(0)), 0)
+    chosen = np.argsort(-worth, kind="stable")[:features]
+    chosen = chosen[worth[chosen] > 0]
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[chosen] = np.arange(len(chosen))
+    w, b = fit_logistic(Rows([slot[s][slot[s] >= 0] for s in sets], r[chosen]), y, l2)
+    weights[chosen] = w * r[chosen]
+    return ToxicityModel(weights, b + float(np.log(all1 / all0 * n0 / n1)))
 
 
 def fitting(sizes: list[int], most: int) -> list[int]:

@@ -1,12 +1,14 @@
 """URL filter: rules by host and path, and for the rest a logistic regression on hashed character n-grams.
 
 Defined results: a null url, or one without "://", has an empty host and an empty path, fits no rule and is judged
-by the model. Repeated rows are judged alike; an empty table gives an empty result; only the id and the url are read,
-so other columns, whatever their names, play no part.
+by the model; so does an empty one. Urls of any length are judged whole. Of rules as long as each other the first in
+alphabetical order wins. Repeated rows are judged alike; an empty table gives an empty result; only the id and the url are
+read, so other columns, whatever their names, play no part. A model of no labelled rows scores 0.5.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -15,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from arborfolio.llm.ngrams import char_ngrams, codepoints, fit_logistic
+from arborfolio.llm.ngrams import Rows, char_ngrams, codepoints, fit_logistic
 
 BITS, ORDERS = 15, range(3, 6)
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -35,12 +37,14 @@ class Rule:
 #: The rules of query op1.
 RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
 
-#: Parts of the default labelled table, put together by labelled_urls().
-WANTED = ("news", "wiki", "docs", "library", "journal", "museum", "school", "science", "recipes", "weather", "travel", "history")
-UNWANTED = ("casino", "bets", "pills", "adult", "poker", "porn", "viagra", "jackpot", "warez", "escort", "replica", "lottery")
-MODIFIERS = ("free", "cheap", "best", "win", "x")
-SYLLABLES = ("th", "er", "on", "ing", "an", "re", "ti", "es")
-SHAPES = ("https://www.{}.example.com/en/12", "http://{}.example.org/fr/345/", "https://m.{}.example.net/de/6789.html", "http://blog.{}.example.com/es/98?page=2", "https://{}.example.info/index")
+#: Parts of the default labelled table, put together by labelled_urls(): topics by label, and what both labels have.
+TOPICS = (
+    ("news", "wiki", "docs", "library", "journal", "museum", "school", "science", "recipes", "weather", "travel", "history", "research", "garden", "football", "theatre", "archive", "manual"),
+    ("casino", "bets", "pills", "adult", "poker", "porn", "viagra", "jackpot", "warez", "escort", "replica", "lottery", "xxx", "payday-loan", "keygen", "sexcam", "roulette", "torrent"),
+)
+PLAIN = ("river", "north", "blue", "city", "cloud", "home", "media", "group", "web", "green", "first", "data", "point", "works", "lab", "house")
+TOPS = ("com", "org", "net", "info", "io", "de", "fr", "co.uk", "eu", "biz")
+SYLLABLES = ("ba", "le", "ri", "on", "tu", "es", "ga", "mi", "an", "lo", "pe", "st", "er", "na")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -50,34 +54,47 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(LOWER), path
 
 
+def labelled_rows(rows: int = 6_000) -> list[tuple[str, int]]:
+    """The default labelled table, made by rule from hashes of row numbers. A row in three is unwanted.
+    Rows with a topic have it in the host, in the path or in both; half of the wanted ones have none. Domains, other words,
+    numbers and the shapes of hosts and paths are the same for both labels."""
+    made = []
+    for i in range(rows):
+        draws = iter(hashlib.sha256(str(i).encode()).digest())
+        one_of = lambda values: values[next(draws) % len(values)]  # noqa: B023, E731
+        label = int(i % 3 == 0)
+        topic, n = one_of(TOPICS[label]), str(next(draws) * 7)
+        a, b = (one_of(PLAIN) if next(draws) % 2 else one_of(SYLLABLES) + one_of(SYLLABLES) + one_of(SYLLABLES) for _ in range(2))
+        where = 0 if label == 0 and i % 2 else 1 + next(draws) % 3  # nowhere, in the host, in the path, in both
+        t, u = (topic if where & 1 else b), (topic if where & 2 else b)
+        host = one_of((f"{t}{a}", f"{a}-{t}", f"{t}.{a}", f"www.{a}{t}", f"shop.{t}{a}", f"{t}-{a}{n}"))
+        path = one_of((f"/{u}/{a}-{n}.html", f"/{a}/{u}/", f"/{n}/{u}", f"/index/{u}-{a}", f"/{a}_{u}/{n}/{b}", f"/{u}"))
+        made.append((f"{one_of(('http', 'https'))}://{host}.{one_of(TOPS)}{path}{one_of(('', '', '?id=' + n, '#top'))}", label))
+    return made
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The default labelled table, about 400 rows: url, label (1: block). Ordinary hosts carry ordinary topics or mere
-    syllables, unwanted ones an unwanted topic with a modifier before or after it; domains, paths and prefixes are the same."""
-    wanted = [*WANTED, *(f"{m}-{t}" for m, t in zip(MODIFIERS, WANTED, strict=False)), *(a + b + a for a in SYLLABLES for b in SYLLABLES if a != b)]
-    unwanted = [x for i, t in enumerate(UNWANTED) for m in (MODIFIERS[i % 5], MODIFIERS[(i + 2) % 5]) for x in (f"{m}-{t}", f"{t}-{m}")]
-    rows = [(SHAPES[(i + k) % 5].format(host), label) for label, hosts in ((0, wanted), (1, unwanted)) for i, host in enumerate(hosts) for k in range(1 + 3 * label)]
-    return spark.createDataFrame(rows, "url string, label int")
+    """The default labelled table: url, label (1: block)."""
+    return spark.createDataFrame(labelled_rows(), "url string, label int")
 
 
 class RuleIndex:
-    """Rules by host; a url is looked up under each suffix of its host."""
+    """Rules by host; a url is looked up under each suffix of its host that is no longer than a rule's, in labels."""
 
     def __init__(self, rules: Iterable[Rule]) -> None:
         self.by_host: dict[str, list[Rule]] = {}
         for r in sorted(rules, key=lambda r: (-len(r.text), r.text)):
             self.by_host.setdefault(r.host, []).append(r)
+        self.labels = max((h.count(".") + 1 for h in self.by_host), default=0)
 
     def find(self, host: str, path: str) -> Rule | None:
-        best, at = None, 0
-        while at >= 0:
-            for r in self.by_host.get(host[at:], ()):
-                if path.startswith(r.path):
-                    if best is None or (-len(r.text), r.text) < (-len(best.text), best.text):
-                        best = r
-                    break
-            dot = host.find(".", at)
-            at = dot + 1 if dot >= 0 else -1
-        return best
+        fits, dot = [], len(host)
+        for _ in range(self.labels):
+            dot = host.rfind(".", 0, dot)
+            fits += [r for r in self.by_host.get(host[dot + 1 :], ()) if path.startswith(r.path)][:1]
+            if dot < 0:
+                break
+        return min(fits, key=lambda r: (-len(r.text), r.text), default=None)
 
 
 def url_features(host: str, path: str) -> np.ndarray:
@@ -102,15 +119,13 @@ def train_url_model(labelled: DataFrame, bound: int = 20_000, l2: float = 1.0) -
     rows = labelled.select("url", "label").dropna().take(bound + 1)
     if len(rows) > bound:
         raise ValueError(f"more than {bound} labelled urls")
-    sets = [url_features(*split_url(r.url)) for r in rows]
-    used = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-    x = np.zeros((len(rows), len(used)), np.float32)
-    for i, s in enumerate(sets):
-        x[i, np.searchsorted(used, s)] = 1
-    w, b = fit_logistic(x, np.array([float(r.label) for r in rows]), l2)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w
-    return UrlModel(weights, b)
+    return fit_urls([(r.url, r.label) for r in rows], l2)
+
+
+def fit_urls(rows: list[tuple[str, int]], l2: float) -> UrlModel:
+    sets = [url_features(*split_url(url)) for url, _ in rows]
+    w, b = fit_logistic(Rows(sets, np.ones(1 << BITS)), np.array([float(label) for _, label in rows]), l2)
+    return UrlModel(w.astype(np.float32), b)
 
 
 def judge_urls(pages: DataFrame, model: UrlModel, rules: Iterable[Rule] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -133,6 +148,7 @@ def judge_urls(pages: DataFrame, model: UrlModel, rules: Iterable[Rule] = (), id
     return pages.select(id_col, url_col).mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, score double")
 
 
-def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_url_filter(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
+    """labelled: url, label (1: block), to learn from instead of the default table."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return judge_urls(pages, train_url_model(labelled_urls(spark)), RULES)
+    return judge_urls(pages, train_url_model(labelled if labelled is not None else labelled_urls(spark)), RULES)

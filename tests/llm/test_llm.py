@@ -4,7 +4,9 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +37,7 @@ def url_model(spark):
 
 
 def test_urls(spark, url_model):
-    cases = {"http://A.Example.NET/en/7?q": ("a.example.net", "/en/7", "example.net/en/", "allow"), "https://x.net/fr/": ("x.net", "/fr/", "net/", "block"), "http://example.com/de/1#a": ("example.com", "/de/1", "example.com/de/", "block"), "http://b.org/fr/": ("b.org", "/fr/", "org/fr/", "allow"), "http://notexample.net/en/": ("notexample.net", "/en/", "net/", "block"), "http://a.net": ("a.net", "", None, None), "nothing": ("", "", None, None), "": ("", "", None, None), None: ("", "", None, None), "x://É.ORG\n/fr/b?c": ("É.org\n", "/fr/b", None, None)}
+    cases = {"http://A.Example.NET/en/7?q": ("a.example.net", "/en/7", "example.net/en/", "allow"), "https://x.net/fr/": ("x.net", "/fr/", "net/", "block"), "http://example.com/de/1#a": ("example.com", "/de/1", "example.com/de/", "block"), "http://b.org/fr/": ("b.org", "/fr/", "org/fr/", "allow"), "http://notexample.net/en/": ("notexample.net", "/en/", "net/", "block"), "http://a.net": ("a.net", "", None, None), "nothing": ("", "", None, None), "http://" + "a." * 50_000 + "net/en/" + "x/" * 100_000: ("a." * 50_000 + "net", "/en/" + "x/" * 100_000, "net/", "block"), "": ("", "", None, None), None: ("", "", None, None), "x://É.ORG\n/fr/b?c": ("É.org\n", "/fr/b", None, None)}
     pages = frame(spark, [(i, u, "clash", "clash") for i, u in enumerate(cases)] + [(None, "http://a.net/", "", ""), (0, next(iter(cases)), "", "")], "page_id long, url string, host string, verdict string")
     got = urls.judge_urls(pages, url_model, urls.RULES).collect()
     assert len(got) == len(cases) + 2 and got[-1][:5] == got[0][:5]
@@ -44,13 +46,47 @@ def test_urls(spark, url_model):
     assert urls.judge_urls(pages.limit(0), url_model, urls.RULES).count() == 0
 
 
-def test_url_model_learns(url_model):
-    assert url_model.score("www.cheap-casino.example.com", "/en/4") > 0.8 > 0.5 > url_model.score("blog.history.example.com", "/en/4")
+def test_url_model_on_held_out_rows(spark, url_model):
+    rows = urls.labelled_urls(spark)
+    held = F.crc32(F.col("url").cast("binary")) % 4 == 0
+    model = urls.train_url_model(rows.filter(~held))
+    for part in ("host", "path", "both"):
+        cut = [(*urls.split_url(r.url), r.label) for r in rows.filter(held).collect()]
+        has = lambda text: any(t in text for ts in urls.TOPICS for t in ts)
+        cut = [x for x in cut if (part == "both") == (has(x[0]) and has(x[1])) and (part != "host" or not has(x[1])) and (part != "path" or not has(x[0]))]
+        blocked = [(model.score(h, p) >= 0.5, label) for h, p, label in cut]
+        right = sum(b and label for b, label in blocked)
+        assert right >= 0.9 * sum(label for _, label in blocked) > 10, part
+        assert right >= 0.9 * sum(b for b, _ in blocked), part
+    half = len(url_model.weights) // 2
+    host, path = np.abs(url_model.weights[:half]).sum(), np.abs(url_model.weights[half:]).sum()
+    assert 0.2 < host / path < 5
+    assert url_model.score("quiet-place.org", "/casino/7") > 0.5 > url_model.score("quiet-place.org", "/museum/7")
+    assert urls.train_url_model(rows.limit(0)).score("a.b", "/") == 0.5
 
 
 def test_url_query_has_every_page(spark):
-    got = QUERIES["op1_url_filter"](spark, SF)
-    assert got.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()}
+    got = QUERIES["op1_url_filter"](spark, SF).collect()
+    assert sorted(r.page_id for r in got) == sorted(pages)
+    judged = [(any(t in pages[r.page_id] for t in urls.TOPICS[1]), r.verdict == "block") for r in got if r.rule is None]
+    assert all(block for unwanted, block in judged if unwanted)
+    assert sum(block for unwanted, block in judged if not unwanted) <= 0.02 * len(judged)
+
+
+def test_url_rules_equal_sql(spark):
+    """Host, path, rule and the rules' verdicts are plain SQL; the model's verdicts are not."""
+    import duckdb
+
+    rules = " UNION ALL ".join(f"SELECT '{r.host}' AS rule_host, '{r.path}' AS rule_path, '{r.action}' AS action" for r in urls.RULES)
+    want = duckdb.sql(rf"""
+      WITH rules AS ({rules}), cut AS (SELECT page_id, regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1) AS host, regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM '{SF}/pages.parquet'),
+      lowered AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM cut),
+      best AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
+        FROM lowered JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+      SELECT page_id, host, path, rule, action FROM lowered LEFT JOIN best USING (page_id)""").fetchall()
+    got = QUERIES["op1_url_filter"](spark, SF).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict"))).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 # 2
@@ -63,7 +99,7 @@ def test_toxicity_held_out(spark):
     assert scored.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     clean = [r for r in rows if not r.toxic]
     assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
-    assert np.mean([r.score for r in rows if r.toxic]) > np.mean([r.score for r in clean]) + 0.3
+    assert sum(r.predicted for r in rows if r.toxic) >= 0.5 * (len(rows) - len(clean)) and np.mean([r.score for r in rows if r.toxic]) > np.mean([r.score for r in clean]) + 0.3
 
 
 def test_toxicity_edges(spark):
@@ -133,20 +169,90 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(table, decontaminate.index_items(bench.limit(0))).count() == 0 and decontaminate.find_leaks(table.limit(0), index).count() == 0
 
 
-def test_search_equals_plain_bm25(spark):
+def bm25(items):
+    """Of each item the BM25 weight of its words, over its score for itself; by the formula, word by word."""
+    n, mean = len(items), sum(map(len, items)) / len(items)
+    have = Counter(w for words in items for w in set(words))
+    out = []
+    for words in items:
+        weight = {}
+        for w in set(words):
+            idf = math.log(1 + (n - have[w] + 0.5) / (have[w] + 0.5))
+            tf = words.count(w)
+            weight[w] = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+        out.append({w: x / sum(weight.values()) for w, x in weight.items()})
+    return out
+
+
+def test_search_equals_plain_bm25():
     rng = random.Random(6)
-    items = [(i, [f"t{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randint(3, 12))], []) for i in range(90)]
-    index = decontaminate.ItemIndex.build(items)
-    dense = np.zeros((len(index.terms), len(items)))
-    for t in range(len(index.terms)):
-        for k in range(index.firsts[t], index.firsts[t + 1]):
-            dense[t, index.items[k]] = index.impacts[k]
-    assert np.allclose(dense.sum(0), 1)
-    passages = [sorted(rng.sample(range(len(index.terms)), rng.randint(1, 25))) for _ in range(200)]
-    flat = [(w, t) for w, p in enumerate(passages) for t in p]
-    for threshold in (0.2, 0.5, 0.9):
-        got = {(w, i) for w, i, _ in index.search(np.array([x[0] for x in flat]), np.array([x[1] for x in flat]), threshold)}
-        assert got == {(w, i) for w, p in enumerate(passages) for i in range(len(items)) if dense[p, i].sum() >= threshold - 1e-9}
+    for block, words, most in ((2, 60, 12), (16, 12, 12), (3, 2000, 40)):
+        items = [(i, [f"t{min(rng.randrange(words), rng.randrange(words))}" for _ in range(rng.randint(1, most))], []) for i in range(90)]
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(decontaminate, "BLOCK", block)
+            patch.setattr(decontaminate, "CURSORS", 300)
+            index = decontaminate.ItemIndex.build(items)
+            weights, names = bm25([x[1] for x in items]), list(index.terms)
+            passages = [sorted(rng.sample(range(len(names)), rng.randint(1, min(40, len(names))))) for _ in range(150)]
+            passages += [sorted(index.terms[w] for w in set(x[1])) for x in items]
+            flat = np.array([(p, t) for p, ts in enumerate(passages) for t in ts])
+            for threshold in (0.1, 0.5, 0.95):
+                got = {(p, i): s for p, i, s in index.search(flat[:, 0], flat[:, 1], threshold)}
+                want = {(p, i): sum(w.get(names[t], 0) for t in ts) for p, ts in enumerate(passages) for i, w in enumerate(weights)}
+                assert got.keys() == {k for k, s in want.items() if s >= threshold - 1e-9}
+                assert all(math.isclose(s, want[k], abs_tol=1e-9) for k, s in got.items())
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_leaks_of_the_tables_equal_brute_force(spark, threshold):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = sorted((r.item_id, split(r.text)) for r in benchmark.collect())
+    weights, step, want = bm25([w for _, w in items]), max(32, max(len(w) for _, w in items)), {}
+
+    def shares(passage, words):
+        cut = len(words) - max(min(3, len(words)), len(words) // 4)
+        parts = [{tuple(p[i : i + min(3, len(p))]) for i in range(len(p) - min(3, len(p)) + 1)} for p in (words[:cut] or words, words[cut:])]
+        best = (0, 0)
+        for i in range(len(passage)):  # stretches in which a gram begins
+            stretch = passage[i : i + 2 * len(words) + 2]
+            grams = {tuple(stretch[k : k + n]) for n in (1, 2, 3) for k in range(min(2 * len(words), len(stretch) - n + 1))}
+            now = tuple(len(p & grams) / len(p) for p in parts)
+            best = max(best, now, key=lambda x: (min(x), sum(x)))
+        return best
+
+    for r in docs.select("doc_id", "text").collect():
+        words = split(r.text)
+        for at in range(0, len(words), step):
+            passage = words[at : at + 2 * step]
+            bag = set(passage)
+            for (item, own), weight in zip(items, weights, strict=True):
+                score = sum(x for w, x in weight.items() if w in bag)
+                if score >= threshold - 1e-9 and ((r.doc_id, item) not in want or (round(score, 9), -at) > (want[r.doc_id, item][0], -want[r.doc_id, item][1])):
+                    q, a = shares(passage, own)
+                    if q >= 0.5 and a >= 0.5:
+                        want[r.doc_id, item] = (round(score, 9), at, round(q, 9), round(a, 9))
+    found = QUERIES["op4_decontamination"](spark, SF) if threshold == 0.5 else decontaminate.find_leaks(docs, decontaminate.index_items(benchmark), threshold)
+    got = {(r.doc_id, r.item_id): (round(r.score, 9), r.first_word, round(r.question_overlap, 9), round(r.answer_overlap, 9)) for r in found.collect()}
+    assert got == want and len(want) > 3
+
+
+def test_decontamination_edges(spark):
+    items = frame(spark, [("b", "one two three four five six seven eight"), ("b", "one two three four five six seven eight"), ("a", "solo"), (None, "nine ten eleven twelve"), ("c", None)], "item_id string, text string")
+    text = "so one two three four five six seven eight it is"
+    docs = frame(spark, [(1, text, "x"), (1, text, "x"), (None, text, "y"), (2, "solo", "z"), (3, "one two. nine ten eleven twelve", "z"), (4, "pad " * 300_000 + text, "z")], "doc_id long, text string, item_id string")
+    index = decontaminate.index_items(items)
+    got = [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, index, item_type="string").collect()]
+    assert sorted(got, key=str) == sorted([(1, "b"), (1, "b"), (None, "b"), (2, "a"), (4, "b")], key=str)
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, index).collect()] == [3]
+    with pytest.raises(ValueError):
+        decontaminate.index_items(items, max_words=5)
+    # trigrams that are scattered over a passage are no leak, as a long item must not loosen the test of a short one
+    long_item = [("long", " ".join(f"l{i}" for i in range(400)))]
+    scattered = " ".join(f"{g} " + "pad " * 30 for g in ("one two three four", "four five six", "six seven eight"))
+    index = decontaminate.index_items(frame(spark, [("b", "one two three four five six seven eight"), *long_item], "item_id string, text string"))
+    assert not decontaminate.find_leaks(frame(spark, [(1, scattered)], "doc_id long, text string"), index, item_type="string").collect()
 
 
 # 5
@@ -165,6 +271,27 @@ def test_secrets(spark):
     assert sum(r.doc_id == 4 for r in got) == 2 and secrets.scan(docs.limit(0), model).count() == 0
 
 
+def test_forest_on_held_out_rows(spark):
+    rows = secrets.labelled_findings(spark)
+    held = F.crc32(F.concat("candidate", "path", "after").cast("binary")) % 4 == 0
+    model = secrets.train_forest(rows.filter(~held))
+    made = secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
+    table = secrets.VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(rows.filter(held).select(*(c.alias(k) for k, c in made.items()), "label"))
+    c = {(r.label, r.prediction): r["count"] for r in model.transform(table).groupBy("label", "prediction").count().collect()}
+    right, wrong, missed = c.get((1.0, 1.0), 0), c.get((0.0, 1.0), 0), c.get((1.0, 0.0), 0)
+    assert right >= 0.9 * (right + wrong) and right >= 0.9 * (right + missed) and right > 100, c
+    importance = dict(zip(secrets.FEATURES, model.featureImportances.toArray(), strict=True))
+    for group in (("length",), ("transitions", "digits", "uppers", "lowers"), ("coverage",), ("test_path",), ("config_path",), ("credential_near",), ("harmless_before",), ("harmless_after",)):
+        assert sum(importance[k] for k in group) > 0.005, (group, importance)
+
+
+def test_scan_heeds_path_and_neighbours(spark):
+    model = secrets.train_forest(secrets.labelled_findings(spark))
+    value = "681c09b8e90e7e8c9575180f595f646cf2969054"
+    docs = frame(spark, [(1, f'token = "{value}" and', "src3"), (2, f'token = "{value}" # example only', "src3"), (3, f'token = "{value}" and', "tests/fixture.json"), (4, f"x: {value} and", "settings.env"), (5, f"x: {value} and", "src3"), (None, f'token = "{value}" and', None)], "doc_id long, text string, path string")
+    assert {r.doc_id: r.is_secret for r in secrets.scan(docs, model, path_col="path").collect()} == {1: True, 2: False, 3: False, 4: True, 5: False, None: True}
+
+
 # 6
 
 
