@@ -37,7 +37,7 @@ CONFIG_PATH = r"\.(env|pem|cfg|conf|ini|ya?ml|json|properties|toml|tf)$"
 SYLLABLES = ("an", "er", "tion", "ing", "ment", "ver", "ein", "lich", "pro", "con", "re", "sta", "ble", "ung", "com", "ter", "schaft", "eau", "lles", "ique", "the", "and", "ou", "heit", "ly", "di", "ra", "no")
 COMMON = ("of", "is", "the", "and", "for", "in", "was", "required", "string", "null", "none", "true", "reset", "field", "must", "manager", "invalid", "optional", "expired", "policy")
 
-FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "distinct", "hexadecimal", "known_prefix", "coverage", "credential_near", "harmless_near", "assigned", "quoted", "test_path", "config_path", "vowels", "clusters")
+FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "distinct", "hexadecimal", "known_prefix", "coverage", "credential_near", "harmless_before", "harmless_after", "assigned", "quoted", "test_path", "config_path", "vowels", "clusters")
 
 
 def share(text: Column, pattern: str) -> Column:
@@ -47,7 +47,6 @@ def share(text: Column, pattern: str) -> Column:
 def features(c: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
     """before, after: the text on either side of the candidate; path: of the file or source."""
     low = F.lower(before)
-    near = F.concat_ws(" ", low, F.lower(after))
     flag = lambda x: x.cast("double")
     return {
         "length": F.length(c).cast("double"),
@@ -61,7 +60,8 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
         "known_prefix": flag(c.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^sk_(live|test)_|^xox[abp]-|^AIza")),
         "coverage": (F.length(c) - F.length(F.regexp_replace(F.lower(c), "|".join(DICTIONARY), ""))) / F.length(c),
         "credential_near": flag(low.rlike(CREDENTIAL)),
-        "harmless_near": flag(near.rlike(HARMLESS)),
+        "harmless_before": flag(low.rlike(HARMLESS)),
+        "harmless_after": flag(F.lower(after).rlike(HARMLESS)),
         "assigned": flag(low.rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(low.rlike(r"[\"']$")),
         "test_path": flag(F.lower(path).rlike(TEST_PATH)),
@@ -71,8 +71,22 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
     }
 
 
-def labelled_findings(spark: SparkSession, rows: int = 2_400) -> DataFrame:
-    """The default labelled table, made by rule from hashes of row numbers: candidate, before, after, path, label (1: secret)."""
+#: Where the default labelled table's findings are: in tests and documents, in settings, elsewhere.
+TEST_PATHS = ("tests/fixture.json", "docs/readme.md", "spec/login.rb", "examples/demo.py", "mock_data.csv")
+CONFIG_PATHS = ("settings.env", "deploy/app.yaml", "conf/site.ini", "certs/server.pem", "infra/main.tf")
+OTHER_PATHS = ("", "src3", "src/main.py", "web", "chat/17", "lib/core.c")
+#: What follows a finding: words that call it harmless, other words, the end of a quotation.
+DENIALS = (" # example only", " (placeholder)", " <- dummy value", " is a sample")
+OTHERS = (" and", " end", "", " now please", " to log in")
+
+
+def labelled_findings(spark: SparkSession, rows: int = 4_800) -> DataFrame:
+    """The default labelled table, made by rule from hashes of row numbers: candidate, before, after, path, label (1: secret).
+
+    A kind of finding is a secret wherever it is, nowhere, or where its path and the words behind it say so: keys with a
+    known prefix are secrets but for denials behind them; random values after a credential word are, unless a denial
+    follows or the path is one of tests or documents; random values without such a word are, where the path is one of
+    settings and no denial follows; the other kinds never are."""
     hexed = F.concat(F.sha2(F.concat(F.lit("a"), F.col("id").cast("string")), 256), F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")), 256))
     mixed = F.translate(F.translate(F.regexp_replace(F.base64(F.unhex(hexed)), "=", ""), "+", "x"), "/", "Q")
     upper = F.upper(F.regexp_replace(mixed, "[^A-Za-z0-9]", "7"))
@@ -84,49 +98,58 @@ def labelled_findings(spark: SparkSession, rows: int = 2_400) -> DataFrame:
     letters = F.translate(mixed, "0123456789", "kWmXqZvJhG")
     one_of = lambda k, values: F.element_at(F.array(*map(F.lit, values)), n(k, 1, len(values)))
     spoken = lambda k, syllables: F.concat(*(one_of(k + i, SYLLABLES) for i in range(syllables)))
+    secret, valued, found, never = "secret", "valued", "found", "never"
     kinds = [
-        (F.concat(F.lit("AKIA"), cut(upper, F.lit(16))), F.lit("the thing "), 1),
-        (F.concat(F.lit("AKIA"), cut(upper, F.lit(16))), F.lit("access key = "), 1),
-        (cut(hexed, F.lit(40)), F.lit('token = "'), 1),
-        (cut(hexed, n(1, 16, 25)), F.lit("password="), 1),
-        (cut(hexed, n(2, 24, 41)), F.lit("api_key: "), 1),
-        (cut(F.upper(hexed), F.lit(40)), F.lit('TOKEN = "'), 1),
-        (cut(mixed, n(3, 20, 60)), F.lit("secret = '"), 1),
-        (cut(mixed, F.lit(40)), F.lit("Authorization: Bearer "), 1),
-        (F.concat(F.lit("ghp_"), cut(mixed, F.lit(36))), plain, 1),
-        (F.concat(F.lit("sk_live_"), cut(mixed, F.lit(24))), F.lit("with "), 1),
-        (cut(digits, F.lit(16)), plain, 0),
-        (cut(digits, n(4, 12, 10)), F.lit("card number "), 0),
-        (cut(hexed, F.lit(40)), F.lit("commit "), 0),
-        (cut(hexed, F.lit(64)), F.lit("sha256: "), 0),
+        (F.concat(F.lit("AKIA"), cut(upper, F.lit(16))), F.lit("the thing "), secret),
+        (F.concat(F.lit("AKIA"), cut(upper, F.lit(16))), F.lit("access key = "), secret),
+        (cut(hexed, F.lit(40)), F.lit('token = "'), valued),
+        (cut(hexed, n(1, 16, 25)), F.lit("password="), valued),
+        (cut(hexed, n(2, 24, 41)), F.lit("api_key: "), valued),
+        (cut(F.upper(hexed), F.lit(40)), F.lit('TOKEN = "'), valued),
+        (cut(mixed, n(3, 20, 60)), F.lit("secret = '"), valued),
+        (cut(mixed, F.lit(40)), F.lit("Authorization: Bearer "), valued),
+        (F.concat(F.lit("ghp_"), cut(mixed, F.lit(36))), plain, secret),
+        (F.concat(F.lit("sk_live_"), cut(mixed, F.lit(24))), F.lit("with "), secret),
+        (cut(digits, F.lit(16)), plain, never),
+        (cut(digits, n(4, 12, 10)), F.lit("card number "), never),
+        (cut(hexed, F.lit(40)), F.lit("commit "), never),
+        (cut(hexed, F.lit(64)), F.lit("sha256: "), never),
+        # known by their place alone
+        (cut(hexed, F.lit(40)), one_of(140, ("value ", "= ", "x: ")), found),
+        (cut(mixed, n(141, 24, 30)), one_of(142, ("set ", "= ", "id ")), found),
+        (cut(mixed, F.lit(32)), plain, found),
         # without a digit, or short
-        (F.concat(F.lit("AKIA"), cut(F.upper(letters), F.lit(16))), one_of(30, ("the thing ", "access key = ")), 1),
-        (F.concat(F.lit("sk_live_"), cut(letters, F.lit(24))), F.lit("with "), 1),
-        (cut(letters, n(31, 12, 20)), one_of(32, ("password=", "secret = '", "token: ")), 1),
-        (cut(F.lower(letters), n(33, 8, 12)), one_of(34, ("password=", "password: ", 'pwd = "')), 1),
-        (cut(mixed, n(35, 6, 6)), one_of(36, ("password=", "password: ", "the password is ")), 1),
-        (F.concat(spoken(40, 2), n(43, 10, 9990).cast("string")), one_of(44, ("password=", "password: ", "the password is ")), 1),
-        (F.concat_ws("-", spoken(45, 2), spoken(48, 2), spoken(51, 2), spoken(54, 2)), one_of(57, ("password=", "passwd: ")), 1),
-        (spoken(60, 5), one_of(66, ("of the ", "", "the token ", "and ")), 0),
-        (F.initcap(spoken(70, 5)), one_of(76, ("of the ", "", "secret ", "and ")), 0),
-        (F.upper(spoken(80, 5)), one_of(86, ("OF THE ", "", "AND ")), 0),
-        (F.concat_ws("-", spoken(90, 3), spoken(94, 3)), plain, 0),
-        (F.concat_ws("/", spoken(100, 2), spoken(103, 3), word(107)), F.lit("see "), 0),
-        (F.concat(word(110), F.initcap(word(111)), F.initcap(word(112))), F.lit("call "), 0),
-        (F.concat(F.lit("your_"), word(113), F.lit("_here")), F.lit('password = "'), 0),
-        (one_of(114, COMMON), one_of(115, ("the token ", "password ", "a secret ", "the password is ", "password: ")), 0),
-        (spoken(120, 2), one_of(123, ("the token ", "password ", "a secret ", "private ")), 0),
-        (F.concat_ws("-", cut(hexed, F.lit(8)), F.substr(hexed, F.lit(9), F.lit(4)), F.substr(hexed, F.lit(13), F.lit(4)), F.substr(hexed, F.lit(17), F.lit(4)), F.substr(hexed, F.lit(21), F.lit(12))), F.lit("uuid = "), 0),
-        (F.concat(word(5), F.lit("_"), word(6), F.lit("_"), n(7, 1, 99).cast("string"), F.lit("_example")), F.lit("token = "), 0),
-        (F.concat(F.lit("your_"), word(8), F.lit("_key_"), n(9, 100, 900).cast("string")), F.lit('password = "'), 0),
-        (F.concat(word(10), F.initcap(word(11)), n(12, 1, 9).cast("string"), F.initcap(word(13))), F.lit("call "), 0),
-        (F.concat(word(14), F.lit("/"), n(15, 1990, 40).cast("string"), F.lit("/"), word(16), F.lit("-"), n(17, 1, 31).cast("string")), F.lit("see "), 0),
-        (F.concat(word(18), F.lit("-"), word(19), F.lit("-"), n(20, 10, 5000).cast("string")), plain, 0),
+        (F.concat(F.lit("AKIA"), cut(F.upper(letters), F.lit(16))), one_of(30, ("the thing ", "access key = ")), secret),
+        (F.concat(F.lit("sk_live_"), cut(letters, F.lit(24))), F.lit("with "), secret),
+        (cut(letters, n(31, 12, 20)), one_of(32, ("password=", "secret = '", "token: ")), valued),
+        (cut(F.lower(letters), n(33, 8, 12)), one_of(34, ("password=", "password: ", 'pwd = "')), valued),
+        (cut(mixed, n(35, 6, 6)), one_of(36, ("password=", "password: ", "the password is ")), valued),
+        (F.concat(spoken(40, 2), n(43, 10, 9990).cast("string")), one_of(44, ("password=", "password: ", "the password is ")), valued),
+        (F.concat_ws("-", spoken(45, 2), spoken(48, 2), spoken(51, 2), spoken(54, 2)), one_of(57, ("password=", "passwd: ")), valued),
+        (spoken(60, 5), one_of(66, ("of the ", "", "the token ", "and ")), never),
+        (F.initcap(spoken(70, 5)), one_of(76, ("of the ", "", "secret ", "and ")), never),
+        (F.upper(spoken(80, 5)), one_of(86, ("OF THE ", "", "AND ")), never),
+        (F.concat_ws("-", spoken(90, 3), spoken(94, 3)), plain, never),
+        (F.concat_ws("/", spoken(100, 2), spoken(103, 3), word(107)), F.lit("see "), never),
+        (F.concat(word(110), F.initcap(word(111)), F.initcap(word(112))), F.lit("call "), never),
+        (F.concat(F.lit("your_"), word(113), F.lit("_here")), F.lit('password = "'), never),
+        (one_of(114, COMMON), one_of(115, ("the token ", "password ", "a secret ", "the password is ", "password: ")), never),
+        (spoken(120, 2), one_of(123, ("the token ", "password ", "a secret ", "private ")), never),
+        (F.concat_ws("-", cut(hexed, F.lit(8)), F.substr(hexed, F.lit(9), F.lit(4)), F.substr(hexed, F.lit(13), F.lit(4)), F.substr(hexed, F.lit(17), F.lit(4)), F.substr(hexed, F.lit(21), F.lit(12))), F.lit("uuid = "), never),
+        (F.concat(word(5), F.lit("_"), word(6), F.lit("_"), n(7, 1, 99).cast("string"), F.lit("_example")), F.lit("token = "), never),
+        (F.concat(F.lit("your_"), word(8), F.lit("_key_"), n(9, 100, 900).cast("string")), F.lit('password = "'), never),
+        (F.concat(word(10), F.initcap(word(11)), n(12, 1, 9).cast("string"), F.initcap(word(13))), F.lit("call "), never),
+        (F.concat(word(14), F.lit("/"), n(15, 1990, 40).cast("string"), F.lit("/"), word(16), F.lit("-"), n(17, 1, 31).cast("string")), F.lit("see "), never),
+        (F.concat(word(18), F.lit("-"), word(19), F.lit("-"), n(20, 10, 5000).cast("string")), plain, never),
     ]
     pick = F.pmod("id", F.lit(len(kinds)))
     choose = lambda k: F.coalesce(*(F.when(pick == i, x[k] if isinstance(x[k], Column) else F.lit(x[k])) for i, x in enumerate(kinds)))
-    path = F.element_at(F.array(*map(F.lit, ("src3", "", "src/main.py", "settings.env", "tests/fixture.json", "docs/readme.md"))), (F.pmod(F.xxhash64("id", F.lit(21)), F.lit(6)) + 1).cast("int"))
-    return spark.range(0, rows, 1, 1).select(choose(0).alias("candidate"), choose(1).alias("before"), F.lit(" and").alias("after"), path.alias("path"), choose(2).cast("double").alias("label"))
+    place, denied = n(21, 0, 3), n(22, 0, 4) == 0
+    path = F.when(place == 0, one_of(23, TEST_PATHS)).when(place == 1, one_of(24, CONFIG_PATHS)).otherwise(one_of(25, OTHER_PATHS))
+    before, kind = choose(1), choose(2)
+    after = F.concat(F.when(before.rlike("\"$"), '"').when(before.rlike("'$"), "'").otherwise(""), F.when(denied, one_of(26, DENIALS)).otherwise(one_of(27, OTHERS)))
+    label = F.when(kind == never, False).when(kind == secret, ~denied).when(kind == valued, ~denied & (place != 0)).otherwise(~denied & (place == 1))
+    return spark.range(0, rows, 1, 1).select(choose(0).alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), label.cast("double").alias("label"))
 
 
 def train_forest(labelled: DataFrame, trees: int = 32, depth: int = 7, seed: int = 5, bound: int = 100_000) -> RandomForestClassificationModel:
@@ -203,6 +226,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
     return scored.select(F.col("id").alias(id_col), "start", F.length("candidate").cast("long").alias("length"), "candidate", "before", "after", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
-def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train_forest(labelled_findings(spark))
+def op5_secret_scan(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
+    """labelled: candidate, before, after, path, label, to learn from instead of the default table."""
+    model = train_forest(labelled if labelled is not None else labelled_findings(spark))
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), model, path_col="source")
