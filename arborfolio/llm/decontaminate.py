@@ -30,7 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score; shares of its question's and answer's trigrams.
 THRESHOLD, QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.5, 0.5
 #: Postings of a block; cursors that are moved together.
-BLOCK, CURSORS = 16, 200_000
+BLOCK, CURSORS = 32, 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -199,7 +199,7 @@ class ItemIndex:
             return found
         words = [words_of(t) for t in texts]
         lengths = np.array([len(w) for w in words], np.int64)
-        spelled = np.fromiter(map(lambda w, get=self.terms.get: get(w, -1), chain.from_iterable(words)), np.int64, int(lengths.sum()))
+        spelled = np.fromiter(map(self.terms.get, chain.from_iterable(words), repeat(-1)), np.int64, int(lengths.sum()))
         segments = -(-lengths // self.segment)
         base, begin = np.append(0, np.cumsum(segments)), np.append(0, np.cumsum(lengths))
         doc = np.repeat(np.arange(len(texts)), lengths)
@@ -207,7 +207,8 @@ class ItemIndex:
         known = spelled >= 0
         ids, doc, seg = spelled[known], doc[known], (base[doc] + place // self.segment)[known]
         again = seg > base[doc]
-        keys = np.unique(np.concatenate([seg, seg[again] - 1]) * len(self.terms) + np.concatenate([ids, ids[again]]))
+        keys = np.sort(np.concatenate([seg, seg[again] - 1]) * len(self.terms) + np.concatenate([ids, ids[again]]))
+        keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
         owner = np.repeat(np.arange(len(texts)), segments)
         for window, item, score in self.search(keys // len(self.terms), keys % len(self.terms), threshold):
             i, score = int(owner[window]), round(score, 9)  # sums of one item's impacts differ in their last digits
