@@ -5,7 +5,8 @@ each language; any other word by the character n-grams of its padded form, of th
 which one is known. A text's language has the largest sum of its words' scores; the score is that language's posterior.
 
 Defined results: null texts and texts without a letter are "und" with score 0, as is every text when nothing was
-learned. Ties go to the language that sorts first. Repeated rows are judged alike; only the named columns are read.
+learned. Ties go to the language that sorts first. Texts of any length are judged whole. Repeated rows are judged alike; an
+empty table gives no rows; only the named columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborfolio.llm.shared import discard, keep, label_sample, row_slices
@@ -54,8 +57,8 @@ class LanguageModel:
                 return self.gram_scores[n - 1][known].mean(0)
         return np.zeros(len(self.langs))
 
-    def rows_of(self, words: list[str]) -> np.ndarray:
-        """Row numbers of the words' scores; unseen words get rows behind the table's, kept for the texts to come."""
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word; those of unseen words are kept for the texts to come."""
         if len(self.cache) > CACHE:
             self.cache = {}
         find, kept, fixed = self.words.get, self.cache, len(self.scores)
@@ -70,18 +73,31 @@ class LanguageModel:
                 self.more = np.concatenate([self.more, np.zeros((max(4096, added[-1][0] + 1 - len(self.more), len(self.more)), len(self.langs)))])
             for i, s in added:
                 self.more[i] = s
-        return np.array(rows)
+        at = np.array(rows, np.int64)
+        out = np.zeros((len(at), len(self.langs)))
+        old = at < fixed
+        out[old], out[~old] = self.scores[at[old]], self.more[at[~old] - fixed]
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text. The texts' distinct words are looked up once."""
+        words = [words_of(t) for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        out = [("und", 0.0)] * len(texts)
+        there = np.flatnonzero(sizes)
+        if not len(there) or not self.langs:
+            return out
+        coded = pa.array(list(chain.from_iterable(words)), pa.large_string()).dictionary_encode()
+        ends = np.cumsum(sizes[there])
+        total = np.add.reduceat(self.scores_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()], ends - sizes[there])
+        odds = np.exp(total - total.max(1, keepdims=True))
+        share = odds.max(1) / odds.sum(1)
+        for i, best, score in zip(there.tolist(), total.argmax(1).tolist(), share.tolist(), strict=True):
+            out[i] = (self.langs[best], score)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
-            return "und", 0.0
-        rows = self.rows_of(words)
-        old = rows < len(self.scores)
-        total = self.scores[rows[old]].sum(0) + self.more[rows[~old] - len(self.scores)].sum(0)
-        odds = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.langs[best], float(odds[best] / odds.sum())
+        return self.predict_all([text])[0]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -107,16 +123,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, per_lang: int) -> DataFrame:
-    """counts: lang, word, n. About per_lang rows of each language. Words are counted by frequency, so that a language's
-    frequencies are put in order, not its words; a row per language goes back to the words."""
-    levels = counts.groupBy("lang", "n").agg(F.count("*").alias("words"))
-    levels = levels.withColumn("before", F.sum("words").over(Window.partitionBy("lang").orderBy(F.desc("n"))) - F.col("words")).filter(F.col("before") < per_lang)
-    last = levels.groupBy("lang").agg(F.min("n").alias("last_n"), F.min_by((per_lang - F.col("before")) / F.col("words"), "n").alias("share"))
-    chosen = (F.col("n") > F.col("last_n")) | (F.col("n") == F.col("last_n")) & (F.xxhash64("word") / 2.0**64 + 0.5 < F.col("share"))
-    return counts.join(F.broadcast(last), "lang").filter(chosen).select("lang", "word", "n")
-
-
 def gram_counts(counts: DataFrame) -> DataFrame:
     """counts: lang, word, n. Rows lang, size, gram, n: the n-grams of all words, padded, each place counted n times."""
     padded = counts.select("lang", F.concat(F.lit("_"), "word", F.lit("_")).alias("padded"), "n")
@@ -126,35 +132,29 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "x.size", "x.gram").agg(F.sum("n").alias("n"))
 
 
-def train_languages(labelled: DataFrame, bound: int = 20_000, words_per_lang: int = 20_000) -> LanguageModel:
+def train_languages(labelled: DataFrame, bound: int = 10_000) -> LanguageModel:
     """labelled: id, text, lang. About `bound` labelled texts are used, whole, chosen by a hash of the id (classifier fit
-    on a bounded sample): an equal number of each language, all of a language that has fewer. Of each language's words the words_per_lang most frequent make the table, about: of the words as
-    frequent as the last one a share by hash; the n-gram tables come from all counted words, weighted by frequency."""
+    on a bounded sample): an equal number of each language, all of a language that has fewer. All words of these texts are
+    in the table of words, and the n-grams of all of them, weighted by frequency, in those of n-grams."""
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts, path = keep(word_counts(label_sample(labelled, "id", "lang", bound)[0]), "word-counts")
-    rows = sorted((r.lang, r.word, r.n) for r in most_frequent(counts, words_per_lang).collect())
+    rows = counts.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
     pieces = gram_counts(counts).toArrow().sort_by([("size", "ascending"), ("gram", "ascending")])
     discard(labelled.sparkSession, path)
     langs = sorted(set(pieces.column("lang").to_pylist()))
     at = {lang: i for i, lang in enumerate(langs)}
 
-    def logs(table: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
-        keys = list(table)
-        c = np.array([table[k] for k in keys]).reshape(len(keys), len(langs)) + 0.2
-        return keys, np.log(c) - np.log(c.sum(0)) if keys else c
-
-    seen: dict[str, np.ndarray] = {}
-    grams: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST)]
-    for lang, word, n in rows:
-        seen.setdefault(word, np.zeros(len(langs)))[at[lang]] += n
-    for lang, size, gram, n in zip(*(pieces.column(k).to_pylist() for k in ("lang", "size", "gram", "n")), strict=True):
-        table = grams[size - 1]
-        if (c := table.get(gram)) is None:
-            table[gram] = c = np.zeros(len(langs))
-        c[at[lang]] += n
-    keys, scores = logs(seen)
-    tables = [logs(t) for t in grams]
-    return LanguageModel(langs, {w: i for i, w in enumerate(keys)}, [{g: i for i, g in enumerate(t[0])} for t in tables], [t[1].astype(np.float32) for t in tables], scores)
+    def table(keys: pa.Array, rows: pa.Table) -> tuple[dict[str, int], np.ndarray]:
+        """The keys' numbers, and each one's log frequency by language."""
+        coded = keys.combine_chunks().dictionary_encode()
+        counts = np.zeros((len(coded.dictionary), len(langs)))
+        np.add.at(counts, (coded.indices.to_numpy(), [at[x] for x in rows.column("lang").to_pylist()]), rows.column("n").to_numpy())
+        counts += 0.2
+        return {k: i for i, k in enumerate(coded.dictionary.to_pylist())}, np.log(counts) - np.log(counts.sum(0))
+
+    words, scores = table(rows.column("word"), rows)
+    grams = [table((part := pieces.filter(pc.equal(pieces.column("size"), size))).column("gram"), part) for size in range(1, LONGEST + 1)]
+    return LanguageModel(langs, words, [g[0] for g in grams], [g[1].astype(np.float32) for g in grams], scores)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         own = shipped.value
         for whole in batches:
             for batch in row_slices(whole, text_col):
-                found = [own.predict(t) for t in batch.column(1).to_pylist()]
+                found = own.predict_all(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
@@ -179,7 +179,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, text_col):
-                found = [shipped.value.predict(t)[0] for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+                found = [x for x, _ in shipped.value.predict_all(batch.column(batch.schema.get_field_index(text_col)).to_pylist())]
                 yield batch.filter(pa.array([x != "und" and (wanted is None or x in wanted) for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
