@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfolio.llm.shared import discard, keep, row_slices
+from arborfolio.llm.shared import discard, keep, row_slices, small
 
 LEAST = 3
 #: Tokens with a place of their own in the order at most (a rarer one's place is its hash).
@@ -46,7 +46,7 @@ CROWD, EXTENDED = 16, 3
 #: From this level on (tokens of 1024 documents and more) a token's rows are cut into parts of about a thousand; tokens put
 #: last, into CUT parts at least.
 HOT_LEVEL, CUT = 11, 64
-#: Pairs and ids that are broadcast at most; more are joined by a shuffle.
+#: Pairs, and ids or tokens, of a few 64-bit numbers each, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_PAIRS, BROADCAST_IDS = 200_000, 1_000_000
 PIECE, CHUNK = 1 << 20, 1 << 22
 
@@ -296,11 +296,11 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tupl
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     pairs, path = keep(pairs, "pairs")
-    small = pairs.count() <= BROADCAST_PAIRS
-    near, ids = (F.broadcast(pairs), F.broadcast(pairs.select("a").distinct())) if small else (pairs, None)
+    few = pairs.count() <= BROADCAST_PAIRS
+    near, ids = (F.broadcast(pairs), F.broadcast(pairs.select("a").distinct())) if few else (pairs, None)
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    left = left.join(ids, "a", "left_semi") if small else left
+    left = left.join(ids, "a", "left_semi") if few else left
     held = right.join(near, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     found, path2 = keep(held.mapInArrow(run, "a long, b long"), "links")
     discard(pairs.sparkSession, path)
@@ -330,7 +330,7 @@ def components(edges: DataFrame) -> DataFrame:
 def of_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
     """The rows of docs with these ids; the path of the ids' table."""
     ids, path = keep(ids, "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), path
+    return docs.join(small(ids, BROADCAST_IDS), "id", "left_semi"), path
 
 
 def grouped(matrix: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -340,11 +340,14 @@ def grouped(matrix: DataFrame, comps: DataFrame | None) -> DataFrame:
     return matrix.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def hub_pairs(rows: DataFrame) -> DataFrame:
-    """Each token's members against the member that shares most of its tokens, if that is in another group."""
+def hub_pairs(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Each token's members against the member that shares most of its tokens, if that is in another group; the paths of
+    tables that they read."""
     hubs = rows.groupBy("token").agg(F.max(F.struct("shares", (-F.col("id")).alias("minus"), "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    found = rows.join(hubs.select("token", (-F.col("hub.minus")).alias("a"), F.col("hub.comp").alias("a_comp")), "token").filter("comp != a_comp")
-    return found.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select("a", "b")
+    hubs, path = keep(hubs.select("token", (-F.col("hub.minus")).alias("a"), F.col("hub.comp").alias("a_comp")), "hubs")
+    # broadcast, so that the rows of a token that many documents have stay where they are; beyond that, the join splits them
+    found = rows.join(small(hubs, BROADCAST_IDS), "token").filter("comp != a_comp")
+    return found.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select("a", "b"), [path]
 
 
 def opened_pairs(rows: DataFrame, percent: int, least: int) -> DataFrame:
@@ -394,8 +397,9 @@ def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFram
     for step in range(EXTENDED + 1):
         rows = grouped(matrix, comps)
         tokens = rows.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
-        rows, path = keep(rows.select("token", "id", "n", "pos", "comp").join(tokens, "token"), "mixed-rows")
-        paths.append(path)
+        tokens, path = keep(tokens, "mixed-tokens")
+        rows, path2 = keep(rows.select("token", "id", "n", "pos", "comp").join(small(tokens, BROADCAST_IDS), "token"), "mixed-rows")
+        paths += [path, path2]
         crowded = place(rows.filter(F.col("groups") > CROWD).groupBy("token").agg(F.first("groups").alias("n")), CROWD.bit_length()) if step < EXTENDED else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
         if not len(crowded[0]):
             found.append(opened_pairs(rows, percent, least))
@@ -448,7 +452,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         links = None
     for step in range(ROUNDS + 1):
         if step < ROUNDS:
-            pairs, used = hub_pairs(grouped(matrix, comps)), []
+            pairs, used = hub_pairs(grouped(matrix, comps))
         else:
             pairs, used = all_opened_pairs(matrix, comps, texts, width, percent, order)
         found, path = verify(pairs, texts, width, percent)
