@@ -112,6 +112,31 @@ def test_toxicity_edges(spark):
     assert none.score("x") == 0.5 and toxicity.score_toxicity(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_scores_equal_brute_force(spark):
+    """N-grams hashed one by one with whole numbers, and the fitted weights of the distinct ones."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    docs = [(i, t) for i, t in docs if len(t or "") < 1_500][:150] + [(-1, None), (-2, ""), (-3, "?!"), (-4, "\u00dcBEL a\u0308 \U0001f600")]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [(i, t, labels[i]) for i, t in docs if i in labels]
+    model = toxicity.train_toxicity(frame(spark, rows + [(-9, "you awful scum", 1)] * 5, "id long, text string, toxic int"), least_rows=2)
+    assert (model.weights != 0).sum() > 50
+
+    def score(text):
+        body = re.sub(r"[\W_]+", " ", (text or "").lower()).strip()
+        found, points = set(), [ord(c) for c in f" {body} "] if body else []
+        for n in range(3, 7):
+            for i in range(len(points) - n + 1):
+                h = 1
+                for c in points[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + c) % 2**64
+                found.add(((h ^ h >> 31) * 0xBF58476D1CE4E5B9 % 2**64) >> 44)
+        return 1 / (1 + math.exp(-(model.intercept + sum(float(model.weights[b]) for b in found))))
+
+    table = frame(spark, [(i, t) for i, t in docs], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(table, model).collect()}
+    assert all(math.isclose(got[i], score(t), abs_tol=1e-6) for i, t in docs)
+
+
 # 3
 
 
@@ -271,6 +296,21 @@ def test_secrets(spark):
     assert sum(r.doc_id == 4 for r in got) == 2 and secrets.scan(docs.limit(0), model).count() == 0
 
 
+def test_candidates_of_the_tables_equal_brute_force(spark):
+    want = set()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for r in docs.select("doc_id", "text").collect():
+        words, at = re.split(r"[ \t\n\x0b\f\r]", r.text or ""), 0
+        for i, word in enumerate(words):
+            for m in re.finditer(secrets.RUN, word):
+                before = " ".join([*words[max(0, i - 3) : i], word[: m.start()]])
+                if len(m[0]) >= 12 or re.search(secrets.AFTER_CREDENTIAL, before.lower(), re.ASCII):
+                    want.add((r.doc_id, at + m.start(), m[0]))
+            at += len(word) + 1
+    got = [(r.doc_id, r.start, r.candidate) for r in QUERIES["op5_secret_scan"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1_000
+
+
 def test_forest_on_held_out_rows(spark):
     rows = secrets.labelled_findings(spark)
     held = F.crc32(F.concat("candidate", "path", "after").cast("binary")) % 4 == 0
@@ -646,15 +686,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(zlib.crc32(b"") <= r.ids_crc32 < 2**32 for r in last)
 
 
-def test_most_frequent_words(spark):
-    rows = [("a", f"w{i}", 5 if i < 10 else 2 if i < 30 else 1) for i in range(3000)] + [("b", f"w{i}", 1) for i in range(7)]
-    counts = frame(spark, rows, "lang string, word string, n long")
-    for most, least_n, about in ((10, 5, 10), (30, 2, 30), (530, 1, 530), (4000, 1, 3000)):
-        found = [tuple(r) for r in language.most_frequent(counts, most).collect()]
-        a = [r for r in found if r[0] == "a"]
-        assert set(a) >= {r for r in rows if r[0] == "a" and r[2] > least_n} and min(r[2] for r in a) == least_n
-        assert abs(len(a) - about) <= 0.15 * about and len([r for r in found if r[0] == "b"]) == min(7, most)
-    assert not language.most_frequent(counts.limit(0), 10).collect()
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()
+    schema = "doc_id long, text string, lang string, source string, n_chars int, size int, token long, comp string, `a.b` string, lang_pred string"
+    rows = [(r.doc_id, r.text, r.lang, r.source, None, 1, 2, "c", "d", "e") for r in base]
+    tail = (None, 1, 2, "c", "d", "e")
+    words = "".join(f"alpha{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " for i in range(2_500_000 // 1_000))
+    rows += [(900_001, None, None, None, *tail), (900_002, "", "en", "s", *tail), (None, "a text without an id that is kept", "en", "s", *tail), (None, None, None, None, *tail)]
+    rows += [(900_003, "the same row twice over here", "en", "s", *tail)] * 2 + [(900_004, "one text of this id is long enough", "en", None, *tail), (900_004, "quite another text goes by it too", "en", None, *tail)]
+    rows += [(900_005, words * 500, "en", "t", *tail)]
+    docs = frame(spark, rows, schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stage_docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, stage_docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        stage_docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        kept.append([(r.doc_id, r.text) for r in stage_docs.select("doc_id", "text").collect()] if k < 4 else [(r.doc_id, None) for r in stage_docs.collect()])
+        assert k == 4 or stage_docs.columns == docs.columns
+    assert {900_001, 900_002} & {i for i, _ in kept[0]} == set() and sum(i is None for i, _ in kept[0]) == 1
+    assert sum(i == 900_003 for i, _ in kept[0]) == 2 and sum(i == 900_003 for i, _ in kept[1]) == 1
+    assert sum(i == 900_004 for i, _ in kept[1]) == 2 and 900_005 in {i for i, _ in kept[1]} and len(rows[-1][1]) > 9_000_000
+    assert sorted(kept[4], key=str) == sorted([(i, None) for i, _ in kept[3]], key=str)
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_secrets_without_digit_or_short(spark):
@@ -676,19 +732,55 @@ def test_sample_keeps_rare_labels(spark):
     assert toxic.score("le chat et chien pourri") > toxic.score("the cat and dog number") and toxic.score("the cat and dog number") < 0.02
 
 
+def test_language_equals_brute_force(spark):
+    """The tables and the scores by plain loops, on the learned fold and all documents of the small tables."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    tables = [{} for _ in range(6)]  # of words, of n-grams by their length
+    learned = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 5 and d[1] is not None and d[2] is not None]
+    langs = sorted({d[2] for d in learned})
+    for _, text, lang in learned:
+        for w in split(text):
+            for size in range(6):
+                for k in [w] if not size else [f"_{w}_"[i : i + size] for i in range(len(w) + 3 - size)]:
+                    tables[size].setdefault(k, dict.fromkeys(langs, 0.2))[lang] += 1
+    total = [{x: sum(c[x] for c in t.values()) for x in langs} for t in tables]
+
+    def score(word):
+        if word in tables[0]:
+            return [math.log(tables[0][word][x] / total[0][x]) for x in langs]
+        padded = f"_{word}_"
+        for size in range(min(5, len(padded)), 0, -1):
+            text = padded if size > 1 else word
+            known = [tables[size][g] for i in range(len(text) - size + 1) if (g := text[i : i + size]) in tables[size]]
+            if known:
+                return [sum(math.log(c[x] / total[size][x]) for c in known) / len(known) for x in langs]
+        return [0.0] * len(langs)
+
+    got = {r.doc_id: r for r in QUERIES["op6_language_id"](spark, SF).collect()}
+    for i, text, _ in docs[::5]:
+        sums = [sum(c) for c in zip(*map(score, split(text)), strict=True)]
+        if not sums:
+            assert got[i].lang_pred == "und"
+            continue
+        odds = [math.exp(x - max(sums)) for x in sums]
+        assert math.isclose(got[i].score, max(odds) / sum(odds), abs_tol=1e-4), i
+        if got[i].score > 0.51:
+            assert got[i].lang_pred == langs[odds.index(max(odds))]
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_language_ngrams_of_all_words(spark):
     learn = frame(spark, [(1, "the the the the cat cat cat xylophone", "en"), (2, "le le le le chat chat chat wagon", "fr")], "id long, text string, lang string")
-    model = language.train_languages(learn, words_per_lang=2)
-    assert set(model.words) == {"the", "cat", "le", "chat"} and {"xylop", "hone_"} <= set(model.grams[4]) and "_wago" in model.grams[4]
-    assert model.predict("xylophone")[0] == "en" and model.predict("wagon")[0] == "fr"
-    whole = language.train_languages(learn)
+    model = language.train_languages(learn)
     want = {}
     for text in ("the the the the cat cat cat xylophone", "le le le le chat chat chat wagon"):
         for w in text.split():
             for size in range(1, 6):
                 for i in range(len(w) + 3 - size):
                     want.setdefault(size, set()).add(f"_{w}_"[i : i + size])
-    assert [set(g) for g in whole.grams] == [want[k] for k in range(1, 6)] == [set(g) for g in model.grams]
+    assert set(model.words) == {"the", "cat", "xylophone", "le", "chat", "wagon"} and [set(g) for g in model.grams] == [want[k] for k in range(1, 6)]
+    assert model.predict("xylophones")[0] == "en" and model.predict("wagons")[0] == "fr"
 
 
 def test_toxicity_long_texts_displace_no_others(spark):
