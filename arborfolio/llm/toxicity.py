@@ -43,8 +43,9 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def train_toxicity(labelled: DataFrame, bound: int = 6_000, most_chars: int = 48_000_000, features: int = 2_048, least_rows: int = 4, l2: float = 8.0) -> ToxicityModel:
-    """labelled: id, text, toxic (0 or 1).
+def train_toxicity(labelled: DataFrame, texts: DataFrame | None = None, bound: int = 6_000, most_chars: int = 48_000_000, features: int = 2_048, least_rows: int = 4, l2: float = 8.0) -> ToxicityModel:
+    """labelled: id, text, toxic (0 or 1). Where texts (id, text) is given, labelled needs no text: ids are chosen first, and
+    only the chosen ones, which are broadcast, meet the texts.
 
     bound: about so many labelled rows are used, chosen by a hash of the id (classifier fit on a bounded sample), an equal
     number of both classes, all of a class that has fewer; the intercept is put back to the classes' shares of all rows.
@@ -54,6 +55,8 @@ def train_toxicity(labelled: DataFrame, bound: int = 6_000, most_chars: int = 48
     """
     labelled = labelled.filter(F.col("toxic").isNotNull() & F.col("id").isNotNull())
     sample, counts = label_sample(labelled.withColumn("is_toxic", F.col("toxic") == 1), "id", "is_toxic", bound)
+    if texts is not None:
+        sample = texts.join(F.broadcast(sample.select("id", "toxic").distinct()), "id")
     all1, all0 = float(counts.get(True, 0)), float(counts.get(False, 0))
     rows = sorted(((x.id, x.text or "", x.toxic) for x in sample.select("id", "text", "toxic").toLocalIterator()), key=lambda r: (hash_of(r[0]), r[1], r[2]))
     rows = [rows[i] for i in fitting([len(r[1]) for r in rows], most_chars)]
@@ -115,6 +118,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    learn = docs.filter(part != 1).join(labels.filter(part != 1), "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
-    model = train_toxicity(learn)
+    texts = docs.filter(part != 1).select(F.col("doc_id").alias("id"), "text")
+    model = train_toxicity(texts.select("id").distinct().join(labels.filter(part != 1).withColumnRenamed("doc_id", "id"), "id"), texts)
     return score_toxicity(docs, model).select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
