@@ -10,16 +10,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborfolio.config import EPSILON, CalculationError
+from arborfolio.functions.columns import month_of, not_finite
 
 
 def held_values(panel: DataFrame, dates: DataFrame, moments: DataFrame, weights: DataFrame) -> DataFrame:
-    """weights: rid, variant, asset, weight. Rows rid, variant, asset, date, v: weight times growth since the month's start."""
-    before = dates.select("date").distinct().join(F.broadcast(moments), F.col("date") < F.col("eff")).groupBy("rid").agg(F.max("date").alias("p0"))
-    spans = moments.select("rid", "eff", "hold_end").join(before, "rid")
-    held = panel.join(F.broadcast(spans), F.col("date").between(F.col("p0"), F.col("hold_end")))
-    start = F.max(F.when(F.col("date") == F.col("p0"), F.col("price"))).over(Window.partitionBy("rid", "asset"))
-    held = held.select("rid", "asset", "date", "eff", "price", start.alias("start")).filter("date >= eff")
-    return held.join(weights, ["rid", "asset"]).select("rid", "variant", "asset", "date", (F.col("weight") * F.col("price") / F.col("start")).alias("v"))
+    """weights: rid, variant, asset, weight. Rows rid, variant, asset, date, v: weight times growth since the month's start.
+    The panel meets its months, and the dates before them, by equal keys; both have a row per month and are broadcast."""
+    before = dates.select("date").distinct().select("date", F.lag("date").over(Window.orderBy("date")).alias("p0"))  # a row per date
+    starts = moments.select("rid", F.col("eff").alias("date")).join(before, "date").select("rid", F.col("p0").alias("date"))
+    start = panel.join(F.broadcast(starts), "date").select("rid", "asset", F.col("price").alias("start"))
+    spans = moments.select("rid", "month", "eff", "hold_end")
+    held = panel.withColumn("month", month_of(F.col("date"))).join(F.broadcast(spans), "month").filter(F.col("date").between(F.col("eff"), F.col("hold_end")))
+    held = held.select("rid", "asset", "date", "price").join(weights, ["rid", "asset"]).join(start, ["rid", "asset"])
+    return held.select("rid", "variant", "asset", "date", (F.col("weight") * F.try_divide("price", "start")).alias("v"))
 
 
 def end_weights(values: DataFrame) -> DataFrame:
@@ -50,8 +53,10 @@ def daily_returns(values: DataFrame, turnovers: DataFrame, bps: float) -> DataFr
 
 
 def check_growth(daily: DataFrame) -> DataFrame:
-    if bad := daily.filter((1 + F.col("GrossReturn") <= EPSILON) | F.isnan("GrossReturn")).limit(1).collect():
-        raise CalculationError("the portfolio lost everything", date=str(bad[0].Date))
+    """The value of a portfolio stays above zero and its weights can be made to add up to 1."""
+    gross = F.col("GrossReturn")
+    if bad := daily.filter(gross.isNull() | not_finite(gross) | (1 + gross <= EPSILON)).orderBy("Date").limit(1).collect():
+        raise CalculationError("the portfolio lost everything, or its value is unknown", date=str(bad[0].Date))
     return daily
 
 

@@ -1,12 +1,19 @@
-"""Returns, dampening, realized covariances and the month calendar."""
+"""Returns, dampening, realized covariances and the month calendar.
+
+Functions with `check` validate their whole input first, by one aggregate, and raise DataValidationError. Without it
+nothing is run: a return whose price before is zero is left out, and holes shorten frames and sums.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborfolio.config import DampenConfig, DataValidationError, make_dampen_config
-from arborfolio.functions.columns import capped, month_of
+from arborfolio.config import EPSILON, CalculationError, DampenConfig, DataValidationError, make_dampen_config
+from arborfolio.functions.columns import capped, month_of, ratio
+from arborfolio.operators.checks import validate_close_prices, validate_dampening_input, validate_returns
 
 
 def _before(column: str) -> Column:
@@ -14,12 +21,15 @@ def _before(column: str) -> Column:
 
 
 def simple_returns(panel: DataFrame) -> DataFrame:
-    r = F.col("price") / _before("price") - 1
+    r = ratio(F.col("price"), _before("price")) - 1
     return panel.select("date", "asset", r.alias("r")).filter(F.col("r").isNotNull())
 
 
-def log_returns(panel: DataFrame) -> DataFrame:
-    r = F.log(F.col("price") / _before("price"))
+def log_returns(panel: DataFrame, check: bool = True) -> DataFrame:
+    """check: the panel is complete and its prices are finite and positive."""
+    if check:
+        validate_close_prices(panel)
+    r = F.log(ratio(F.col("price"), _before("price")))
     return panel.select("date", "asset", r.alias("r")).filter(F.col("r").isNotNull())
 
 
@@ -39,16 +49,47 @@ def trailing_median(returns: DataFrame, config: DampenConfig | dict | None = Non
     return rows.withColumn("mad", F.when(F.col("med").isNotNull(), _middle(spread))).drop("frame")
 
 
-def dampen(returns: DataFrame, config: DampenConfig | dict | None = None, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """The same rows, r drawn towards its trailing median where it is far away. Frames hold the raw series."""
+def dampen_native(returns: DataFrame, config: DampenConfig | dict | None = None, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """dampen() by window functions: every row sorts its own frame, which costs much more than the kernel."""
     config = make_dampen_config(config)
     rows = trailing_median(returns, config, keys)
     r = F.when(F.col("med").isNull(), F.col("r")).otherwise(capped(F.col("med"), F.col("mad"), F.col("r"), config.threshold))
     return rows.withColumn("r", r).drop("med", "mad")
 
 
-def monthly_realized_cov(returns: DataFrame) -> DataFrame:
+def dampen(returns: DataFrame, config: DampenConfig | dict | None = None, keys: tuple[str, ...] = ("asset",), check: bool = True) -> DataFrame:
+    """The same rows, r drawn towards its trailing median where it is far away. Frames hold the raw series. A group is the
+    series of one asset, which has a row per date."""
+    config = make_dampen_config(config)
+    if check:
+        validate_dampening_input(returns)
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        return rows.assign(r=dampen_matrix(rows["r"].to_numpy(float)[:, None], config)[:, 0])
+
+    return returns.groupBy(*keys).applyInPandas(draw, returns.schema)
+
+
+def dampen_matrix(r: np.ndarray, config: DampenConfig) -> np.ndarray:
+    """Columns are assets; frames are views of the raw series."""
+    w, out = config.window, r.copy()
+    if len(r) < w:
+        return out
+    frames = np.lib.stride_tricks.sliding_window_view(r, w, axis=0)
+    med = np.median(frames, axis=-1)
+    mad = np.median(np.abs(frames - med[..., None]), axis=-1)
+    off = r[w - 1 :] - med
+    far = (mad > EPSILON) & (np.abs(off) > config.threshold * mad)
+    z = np.abs(off[far]) / mad[far]
+    out[w - 1 :][far] = med[far] + np.sign(off[far]) * mad[far] * (config.threshold + np.log(np.maximum(z - (config.threshold - 1), 1)))
+    return out
+
+
+def monthly_realized_cov(returns: DataFrame, check: bool = True) -> DataFrame:
     """Rows month, i, j (i <= j), cov: sums of products of returns, not demeaned."""
+    if check:
+        validate_returns(returns)
     a = returns.select("date", F.col("asset").alias("i"), F.col("r").alias("x"))
     b = returns.select("date", F.col("asset").alias("j"), F.col("r").alias("y"))
     pairs = a.join(b, "date").filter("i <= j")
@@ -63,12 +104,15 @@ def window_cov(monthly: DataFrame, months: int) -> DataFrame:
     return rows.withColumn("cov", F.sum("cov").over(frame)).filter(F.col("k") > months).select("month", "i", "j", "cov")
 
 
-def correlation(cov: DataFrame, key: str = "month") -> DataFrame:
-    """Rows key, i, j (i < j), rho, distance (1 - rho squared)."""
+def correlation(cov: DataFrame, key: str = "month", check: bool = True) -> DataFrame:
+    """Rows key, i, j (i < j), rho, distance (1 - rho squared). Without check both are null where a variance is zero."""
+    if check and (bad := cov.filter(f"i = j and (cov <= {EPSILON} or isnan(cov) or cov is null)").limit(1).collect()):
+        raise CalculationError("a variance is zero", asset=bad[0].i)
     variance = cov.filter("i = j").select(key, F.col("i").alias("v"), F.col("cov").alias("var"))
     left, right = variance.select(key, F.col("v").alias("i"), F.col("var").alias("vi")), variance.select(key, F.col("v").alias("j"), F.col("var").alias("vj"))
     rows = cov.filter("i < j").join(left, [key, "i"]).join(right, [key, "j"])
-    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / F.sqrt(F.col("vi") * F.col("vj"))))
+    raw = ratio(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj")))
+    rho = F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
     return rows.select(key, "i", "j", rho.alias("rho")).withColumn("distance", 1 - F.col("rho") * F.col("rho"))
 
 

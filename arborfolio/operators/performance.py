@@ -23,8 +23,11 @@ def _sharpe(ret: Column, vol: Column) -> Column:
     return F.when(vol > EPSILON, ret / vol).otherwise(0.0)
 
 
-def monthly_metrics(months: DataFrame, diagnostics: DataFrame | None = None, key: str = "variant") -> DataFrame:
-    """A row per key: annualized return, volatility, Sharpe ratio, drawdown (no base), and means of the diagnostics."""
+def monthly_metrics(months: DataFrame, diagnostics: DataFrame | None = None, key: str = "variant", check: bool = False) -> DataFrame:
+    """A row per key: annualized return, volatility, Sharpe ratio, drawdown (no base), and means of the diagnostics.
+    check: each key has two months or more, as a deviation needs them."""
+    if check and (few := months.groupBy(key).count().filter("count < 2").limit(1).collect() or not months.limit(1).count()):
+        raise CalculationError("metrics need two months or more", found=str(few))
     rows = drawdowns(months, (key,), "Month")
     agg = rows.groupBy(key).agg(F.count("*").alias("OutOfSampleMonths"), F.product(1 + F.col("NetReturn")).alias("total"), (F.stddev_samp("NetReturn") * float(YEAR_MONTHS) ** 0.5).alias("AnnualizedVolatility"), F.min("drawdown").alias("MaximumDrawdown"))
     ret = F.pow(F.col("total"), YEAR_MONTHS / F.col("OutOfSampleMonths")) - 1

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborfolio.config import DataValidationError
+from arborfolio.functions.columns import month_of
+from arborfolio.operators.market import month_calendar
 
 COMPLETE, INCOMPLETE, NO_PRICES = "EligibleCompleteEstimationAndHoldingWindow", "IncompleteEstimationOrHoldingWindow", "MissingPriceColumn"
 
@@ -23,22 +25,45 @@ def active_members(intervals: DataFrame, moments: DataFrame) -> DataFrame:
     return intervals.join(F.broadcast(moments), held)
 
 
+def _running(counts: DataFrame, keys: list[str], last: int, *values: str) -> DataFrame:
+    """counts: keys, k, values. The values' running sums for every k from a key's first one to `last`."""
+    by_key = Window.partitionBy(*keys).orderBy("k") if keys else Window.orderBy("k")
+    rows = counts.select(*keys, "k", F.coalesce(F.lead("k").over(by_key) - 1, F.lit(last)).alias("until"), *(F.sum(v).over(by_key).alias(v) for v in values))
+    return rows.select(*keys, F.explode(F.sequence("k", "until")).alias("k"), *values)
+
+
 def eligibility(panel: DataFrame, dates: DataFrame, intervals: DataFrame, moments: DataFrame) -> DataFrame:
     """The audit of all rebalances: a row per rebalance and active member.
 
-    dates is the base panel's calendar, which says how many prices a member needs. Counts per asset and date come from one
-    pass over the panel; a window's count is the difference of two running counts, so that nothing is repeated per rebalance.
+    dates is the base panel's calendar, which says how many prices a member needs. One pass over the panel counts each
+    asset's prices by month; a window's count is the difference of two running sums, which are joined by asset and month.
+    Prices on dates after the calendar's last one of a month count for the windows that go on after that month only.
     """
     active = active_members(intervals, moments).select("rid", "eff", "hold_end", "m0", "m1", "asset")
     if active.groupBy("rid", "asset").count().filter("count > 1").limit(1).count():
         raise DataValidationError("a ticker is active twice at a rebalance")
-    inside = F.col("date").between(F.col("m0"), F.col("hold_end"))
-    required = dates.select("date").distinct().join(F.broadcast(moments), inside).groupBy("rid").agg(F.count("*").alias("required"))
-    priced = panel.filter("price > 0 and not isnan(price)").select("date", "asset")
-    seen = priced.join(F.broadcast(moments.select("rid", "m0", "hold_end")), inside).groupBy("rid", "asset").agg(F.count("*").alias("available"))
+    calendar = month_calendar(dates).select("k", "Month", "HoldingEndDate")  # a row per month
+    months = calendar.agg(F.max("k")).first()[0] or 0
+    opened = moments.join(F.broadcast(calendar.select(F.col("k").alias("k0"), F.col("Month").alias("m0"))), "m0").select("rid", "k0")
+    needed = dates.select("date").distinct().groupBy(month_of(F.col("date")).alias("Month")).agg(F.count("*").alias("days")).join(F.broadcast(calendar), "Month")
+    needed = _running(needed.select("k", "days"), [], months, "days")
+    required = opened.join(F.broadcast(needed.select(F.col("k").alias("rid"), F.col("days").alias("through"))), "rid")
+    required = required.join(F.broadcast(needed.select((F.col("k") + 1).alias("k0"), F.col("days").alias("before"))), "k0", "left")
+    required = required.select("rid", "k0", (F.col("through") - F.coalesce("before", F.lit(0))).alias("required"))
+    priced = panel.filter("price > 0 and not isnan(price)").select("asset", "date", month_of(F.col("date")).alias("Month"))
+    # months of the panel that the calendar lacks count with the calendar's month before them
+    placed = panel.select(month_of(F.col("date")).alias("Month")).distinct().join(calendar, "Month", "full").select("Month", "k", "HoldingEndDate")
+    before = Window.orderBy("Month").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.select("Month", F.last("k", True).over(before).alias("k"), F.last("HoldingEndDate", True).over(before).alias("end")).filter("k is not null")
+    counts = priced.join(F.broadcast(placed), "Month").groupBy("asset", "k").agg(F.count("*").alias("whole"), F.count_if(F.col("date") <= F.col("end")).alias("held"))
+    sums = _running(counts, ["asset"], months, "whole")
     columns = panel.select("asset").distinct().withColumn("known", F.lit(True))
-    rows = active.join(F.broadcast(required), "rid").join(seen, ["rid", "asset"], "left").join(columns, "asset", "left")
-    available = F.coalesce("available", F.lit(0))
+    rows = active.join(F.broadcast(required), "rid").join(columns, "asset", "left")
+    rows = rows.join(sums.select("asset", (F.col("k") + 1).alias("rid"), F.col("whole").alias("through")), ["asset", "rid"], "left")
+    rows = rows.join(sums.select("asset", (F.col("k") + 1).alias("k0"), F.col("whole").alias("before")), ["asset", "k0"], "left")
+    rows = rows.join(counts.select("asset", F.col("k").alias("rid"), "held"), ["asset", "rid"], "left")
+    none = F.lit(0)
+    available = F.coalesce("through", none) - F.coalesce("before", none) + F.coalesce("held", none)
     eligible = F.col("known").isNotNull() & (available == F.col("required"))
     reason = F.when(F.col("known").isNull(), NO_PRICES).when(eligible, COMPLETE).otherwise(INCOMPLETE)
     return rows.select("rid", F.col("eff").alias("EffectiveDate"), F.col("m0").alias("EstimationStartMonth"), F.col("m1").alias("EstimationEndMonth"), F.col("hold_end").alias("HoldingEndDate"), F.col("asset").alias("Price_Ticker"), eligible.alias("Eligible"), reason.alias("EligibilityReason"), F.col("required").alias("RequiredPriceObservations"), available.alias("AvailablePriceObservations"))

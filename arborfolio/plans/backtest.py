@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborfolio.config import BacktestConfig, DataValidationError, make_config
@@ -27,6 +26,12 @@ class Backtest:
     membership_audit: DataFrame | None
     metrics: DataFrame
     end_weights: DataFrame
+    kept: tuple[DataFrame, ...] = ()  # what the tables share, in the executors' storage
+
+    def release(self) -> None:
+        """Give the storage back; the tables can still be read, but are made anew."""
+        for df in self.kept:
+            df.unpersist()
 
 
 @dataclass(frozen=True)
@@ -43,8 +48,13 @@ def variants_of(config: BacktestConfig) -> dict[str, bool]:
 BOTH = {"NRP-raw": False, "NRP-AMAD": True}
 
 
-def _assemble(panel: DataFrame, dates: DataFrame, history: DataFrame, moments: DataFrame, audit: DataFrame | None, config: BacktestConfig, variants: dict[str, bool]) -> Backtest:
-    graph = network.allocate_groups(history, moments, config, variants).persist()  # read by every table below
+def _local(rows: DataFrame) -> DataFrame:
+    """A table with a row per month or date, held by the driver, so that the plans that read it stay small."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def _assemble(panel: DataFrame, dates: DataFrame, chosen: DataFrame, moments: DataFrame, audit: DataFrame | None, config: BacktestConfig, variants: dict[str, bool], check: bool) -> Backtest:
+    graph = network.allocate_rebalances(panel, dates, chosen, moments, config, variants).persist()  # read by every table below
     when = F.broadcast(moments.select("rid", F.col("eff").alias("EffectiveDate"), F.col("m0").alias("EstimationStartMonth"), F.col("m1").alias("EstimationEndMonth")))
     nodes = graph.filter("kind = 'node'").select("rid", "variant", F.col("a").alias("asset"), F.col("x").alias("weight"), F.col("y").alias("centrality"), F.col("z").cast("long").alias("degree"))
     values = holding.held_values(panel, dates, moments, nodes.select("rid", "variant", "asset", "weight"))
@@ -52,6 +62,8 @@ def _assemble(panel: DataFrame, dates: DataFrame, history: DataFrame, moments: D
     # a row per rebalance and a row per date, each read by several tables
     moved = holding.turnover(nodes, ends).persist()
     daily = holding.daily_returns(values, moved, config.transaction_cost_bps).persist()
+    if check:
+        holding.check_growth(daily)
     sizes = nodes.groupBy("rid", "variant").agg(F.count("*").alias("EligibleAssets"), F.max("weight").alias("MaximumWeight"), F.min("weight").alias("MinimumWeight"), (1 / F.sum(F.col("weight") * F.col("weight"))).alias("EffectiveHoldings"))
     months = holding.monthly_returns(daily).join(F.broadcast(sizes.select("rid", "variant", "EligibleAssets")), ["rid", "variant"]).join(when, "rid")
     months = months.select("variant", "Month", "EffectiveDate", "EstimationStartMonth", "EstimationEndMonth", "GrossReturn", "TransactionCost", "NetReturn", "NetValue", "EligibleAssets")
@@ -69,9 +81,9 @@ def _assemble(panel: DataFrame, dates: DataFrame, history: DataFrame, moments: D
     weights = placed.select("variant", "EffectiveDate", "EstimationEndMonth", F.col("asset").alias("Asset"), F.col("weight").alias("Weight"))
     allocation = placed.select("variant", "EffectiveDate", "EstimationEndMonth", F.col("asset").alias("Asset"), F.col("weight").alias("Weight"), F.col("centrality").alias("Centrality"), F.col("degree").alias("Degree"))
     edges = graph.filter("kind = 'edge'").join(when, "rid").select("variant", "EffectiveDate", "EstimationEndMonth", F.col("a").alias("AssetLeft"), F.col("b").alias("AssetRight"), F.col("x").alias("Distance"), F.col("y").alias("Correlation"), F.col("z").alias("AdjacencyWeight"))
-    metrics = performance.monthly_metrics(months, diagnostics).withColumn("ReturnPreprocessing", F.substring_index("variant", "-", -1))
+    metrics = performance.monthly_metrics(months, diagnostics, check=check).withColumn("ReturnPreprocessing", F.substring_index("variant", "-", -1))
     ended = ends.join(when, "rid").select("variant", "EffectiveDate", F.col("asset").alias("Asset"), F.col("weight").alias("Weight"))
-    return Backtest(daily.drop("rid"), months, weights, allocation, edges, diagnostics, audit.drop("rid") if audit is not None else None, metrics, ended)
+    return Backtest(daily.drop("rid"), months, weights, allocation, edges, diagnostics, audit.drop("rid") if audit is not None else None, metrics, ended, (graph, moved, daily, *([audit] if audit is not None else [])))
 
 
 def run_point_in_time(price_data: DataFrame, membership_intervals: DataFrame, config: BacktestConfig | dict | None = None, variants: dict[str, bool] | None = None, dates: DataFrame | None = None, check: bool = True) -> Backtest:
@@ -80,9 +92,8 @@ def run_point_in_time(price_data: DataFrame, membership_intervals: DataFrame, co
     if check:
         checks.prepare_prices(price_data)
         checks.prepare_membership(membership_intervals)
-    dates = (dates if dates is not None else price_data).select("date").distinct()
-    calendar = market.month_calendar(dates)
-    moments = universe.rebalances(calendar, config.estimation_months)
+    dates = _local((dates if dates is not None else price_data).select("date").distinct())
+    moments = _local(universe.rebalances(market.month_calendar(dates), config.estimation_months))
     audit = universe.eligibility(price_data, dates, membership_intervals, moments).persist()  # a row per rebalance and member
     if check:
         few = moments.join(audit.filter("Eligible").groupBy("rid").count(), "rid", "left").agg(F.count("*").alias("months"), F.min(F.coalesce("count", F.lit(0))).alias("least")).first()
@@ -91,8 +102,7 @@ def run_point_in_time(price_data: DataFrame, membership_intervals: DataFrame, co
         if few.least < 2:
             raise DataValidationError("fewer than two assets are eligible at a rebalance")
     chosen = audit.filter("Eligible").select("rid", F.col("Price_Ticker").alias("asset"))
-    history = price_data.filter("price is not null and not isnan(price)").join(chosen, "asset").join(F.broadcast(moments.select("rid", "eff")), "rid").filter("date < eff").select("rid", "date", "asset", "price")
-    return _assemble(price_data, dates, history, moments, audit, config, variants or variants_of(config))
+    return _assemble(price_data, dates, chosen, moments, audit, config, variants or variants_of(config), check)
 
 
 def run_fixed_universe(price_data: DataFrame, config: BacktestConfig | dict | None = None, variants: dict[str, bool] | None = None, check: bool = True) -> Backtest:
@@ -100,18 +110,21 @@ def run_fixed_universe(price_data: DataFrame, config: BacktestConfig | dict | No
     config = make_config(config)
     if check:
         checks.validate_close_prices(price_data)
-    dates = price_data.select("date").distinct()
+    dates = _local(price_data.select("date").distinct())
     first = dates.agg(F.min("date").alias("first"))
     returns = dates.join(F.broadcast(first)).filter("date > first").select("date")  # one row
-    moments = universe.rebalances(market.month_calendar(returns), config.estimation_months)
-    history = price_data.join(F.broadcast(moments.select("rid", "eff")), F.col("date") < F.col("eff")).select("rid", "date", "asset", "price")
-    return _assemble(price_data, dates, history, moments, None, config, variants or variants_of(config))
+    moments = _local(universe.rebalances(market.month_calendar(returns), config.estimation_months))
+    if check and not moments.limit(1).count():
+        raise DataValidationError("there are no months after the estimation window", needed=config.estimation_months)
+    rids = [r.rid for r in moments.select("rid").collect()]  # a row per month
+    chosen = price_data.select("asset").distinct().select(F.explode(F.array(*map(F.lit, rids)).cast("array<int>")).alias("rid"), "asset")
+    return _assemble(price_data, dates, chosen, moments, None, config, variants or variants_of(config), check)
 
 
 def run_benchmark(benchmark_price_data: DataFrame, comparison_dates: DataFrame, check: bool = True) -> BenchmarkResult:
     daily = performance.benchmark_daily(benchmark_price_data, comparison_dates, check)
     monthly = performance.benchmark_monthly(daily)
-    metrics = performance.monthly_metrics(monthly.withColumn("variant", F.lit(performance.BENCHMARK)))
+    metrics = performance.monthly_metrics(monthly.withColumn("variant", F.lit(performance.BENCHMARK)), check=check)
     return BenchmarkResult(daily, monthly, metrics.withColumn("ReturnPreprocessing", F.lit("none")))
 
 
@@ -126,8 +139,6 @@ def latest_allocation(weights: DataFrame, k: int | None = None) -> DataFrame:
     """The last rebalance's weights, ranked; ties by name."""
     last = weights.groupBy("variant").agg(F.max("EffectiveDate").alias("EffectiveDate"))
     rows = weights.join(F.broadcast(last), ["variant", "EffectiveDate"])
-    from pyspark.sql import Window
-
     rows = rows.withColumn("Rank", F.row_number().over(Window.partitionBy("variant").orderBy(F.desc("Weight"), "Asset")))
     return rows.filter(F.col("Rank") <= k) if k else rows
 
@@ -136,8 +147,4 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def combined(*values: Any) -> DataFrame:
-    return market.combine_panels(*values)
-
-
 __all__ = ["BOTH", "Backtest", "BenchmarkResult", "always_members", "complete_dates", "latest_allocation", "run_benchmark", "run_fixed_universe", "run_point_in_time", "union_all"]

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborfolio.config import BacktestConfig
+from arborfolio.config import BacktestConfig, DataValidationError
 from arborfolio.functions.columns import lenient_date, lossy_double, rounded
 from arborfolio.operators import checks, holding, market, network, performance, universe
 from arborfolio.plans import backtest
@@ -49,24 +48,33 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.eligibility(panel, panel, members(spark, sf_dir), moments(spark, sf_dir))
 
 
-@lru_cache(maxsize=8)
-def _study(app: str, spark: SparkSession, sf_dir: str) -> backtest.Backtest:
-    return backtest.run_point_in_time(px(spark, sf_dir).persist(), members(spark, sf_dir), CONFIG, backtest.BOTH, check=False)
+#: What the last query made and kept, by what it was made from.
+_held: dict[tuple, backtest.Backtest] = {}
 
 
-def study(spark: SparkSession, sf_dir: str) -> backtest.Backtest:
-    """Both variants on the brand panel; its parts are shared by the queries of a session."""
-    return _study(spark.sparkContext.applicationId, spark, sf_dir)
+def release() -> None:
+    """Give back what the queries hold in the executors' storage."""
+    for done in _held.values():
+        done.release()
+    _held.clear()
 
 
-@lru_cache(maxsize=8)
-def _fixed(app: str, spark: SparkSession, sf_dir: str, weights: str, adjacency: str) -> backtest.Backtest:
-    config = BacktestConfig(estimation_months=24, weight_normalization=weights, adjacency_weighting=adjacency)
-    return backtest.run_fixed_universe(fx(spark, sf_dir), config, check=False)
+def _once(key: tuple, make: Callable[[], backtest.Backtest]) -> backtest.Backtest:
+    """The last study, or a new one, for which the storage of the last is given back."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def study(spark: SparkSession, sf_dir: str) -> backtest.Backtest:
+    """Both variants on the brand panel; the queries of a session share its parts until release()."""
+    return _once((spark.sparkContext.applicationId, sf_dir), lambda: backtest.run_point_in_time(px(spark, sf_dir), members(spark, sf_dir), CONFIG, backtest.BOTH, check=False))
 
 
 def fixed(spark: SparkSession, sf_dir: str, weights: str = "inverse_proportional", adjacency: str = "correlation_distance") -> backtest.Backtest:
-    return _fixed(spark.sparkContext.applicationId, spark, sf_dir, weights, adjacency)
+    config = BacktestConfig(estimation_months=24, weight_normalization=weights, adjacency_weighting=adjacency)
+    return _once((spark.sparkContext.applicationId, sf_dir, weights, adjacency), lambda: backtest.run_fixed_universe(fx(spark, sf_dir), config, check=False))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> backtest.BenchmarkResult:
@@ -140,7 +148,7 @@ def null_dup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(market.log_returns(px(spark, sf_dir)))
+    return tidy(market.log_returns(px(spark, sf_dir), check=False))
 
 
 @query
@@ -150,17 +158,53 @@ def simple_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(market.trailing_median(market.log_returns(fx(spark, sf_dir)), DAMPEN).select("date", "asset", "med"))
+    return tidy(market.trailing_median(market.log_returns(fx(spark, sf_dir), check=False), DAMPEN).select("date", "asset", "med"))
 
 
 @query
 def rolling_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(market.trailing_median(market.log_returns(fx(spark, sf_dir)), DAMPEN).select("date", "asset", "mad"))
+    return tidy(market.trailing_median(market.log_returns(fx(spark, sf_dir), check=False), DAMPEN).select("date", "asset", "mad"))
 
 
 @query
 def dampened_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(market.dampen(market.log_returns(fx(spark, sf_dir)), DAMPEN))
+    return tidy(market.dampen(market.log_returns(fx(spark, sf_dir), check=False), DAMPEN, check=False))
+
+
+@query
+def dampened_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands by day, window 126; a brand's returns are those from one of its days to the next."""
+    return tidy(market.dampen(market.log_returns(panels.daily_panel(spark, sf_dir), check=False), {"window": 126, "threshold": 3.0}, check=False))
+
+
+@query
+def daily_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly covariances of brands by day."""
+    return tidy(market.monthly_realized_cov(market.log_returns(panels.daily_panel(spark, sf_dir), check=False), check=False))
+
+
+@query
+def validation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the validations say of the brand panel and of panels that break a rule each: a row per case."""
+    panel = px(spark, sf_dir).join(F.broadcast(px(spark, sf_dir).select("asset").distinct().orderBy("asset").limit(2)), "asset", "left_semi")
+    whole = backtest.complete_dates(panel)
+    cases = {
+        "whole": whole,
+        "twice": whole.unionByName(whole.limit(1)),
+        "negative": whole.withColumn("price", F.when(F.col("asset") == "Brand#11", -F.col("price")).otherwise(F.col("price"))),
+        "zero": whole.withColumn("price", F.when(F.col("asset") == "Brand#11", F.lit(0.0)).otherwise(F.col("price"))),
+        "holes": whole.filter("asset <> 'Brand#11' or date < '1996-01-01'"),
+        "infinite": whole.withColumn("price", F.when(F.col("asset") == "Brand#11", F.lit(float("inf"))).otherwise(F.col("price"))),
+        "short": whole.join(F.broadcast(whole.select("date").distinct().orderBy("date").limit(2)), "date", "left_semi"),
+    }
+    found = []
+    for name, frame in cases.items():
+        try:
+            checks.validate_close_prices(frame)
+            found.append((name, True))
+        except DataValidationError:
+            found.append((name, False))
+    return spark.createDataFrame(found, "case string, valid boolean")
 
 
 @query
@@ -196,11 +240,11 @@ def excluded_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def monthly_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(market.monthly_realized_cov(market.log_returns(fx(spark, sf_dir))))
+    return tidy(market.monthly_realized_cov(market.log_returns(fx(spark, sf_dir), check=False), check=False))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.window_cov(market.monthly_realized_cov(market.log_returns(fx(spark, sf_dir))), CONFIG.estimation_months)
+    return market.window_cov(market.monthly_realized_cov(market.log_returns(fx(spark, sf_dir), check=False), check=False), CONFIG.estimation_months)
 
 
 @query
@@ -210,12 +254,12 @@ def window_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(market.correlation(windows(spark, sf_dir)).drop("distance"))
+    return tidy(market.correlation(windows(spark, sf_dir), check=False).drop("distance"))
 
 
 @query
 def distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(market.correlation(windows(spark, sf_dir)).drop("rho"))
+    return tidy(market.correlation(windows(spark, sf_dir), check=False).drop("rho"))
 
 
 @query

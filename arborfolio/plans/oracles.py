@@ -16,6 +16,7 @@ def panel(name: str, column: str) -> str:
 
 PX = panel("px", "p_brand")
 TX = panel("tx", "p_type")
+DX = "dx AS MATERIALIZED (SELECT CAST(l_shipdate AS DATE) AS date, p_brand AS asset, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(l_extendedprice) * 100.0) AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 FX = f"""{TX}, fx AS MATERIALIZED (SELECT * FROM tx WHERE date IN (SELECT date FROM tx GROUP BY date HAVING count(*) = (SELECT count(DISTINCT asset) FROM tx)))"""
 BX = "bx AS MATERIALIZED (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(l_extendedprice) * 100.0) AS price FROM lineitem GROUP BY 1)"
 MEMB = """memb AS MATERIALIZED (SELECT DATE '1995-01-01' + CAST(k % 4 * 180 AS INTEGER) AS start, CASE WHEN k % 5 = 4 THEN DATE '1995-01-01' + CAST(k % 4 * 180 AS INTEGER) + 1500 END AS end_excl, asset
@@ -149,6 +150,13 @@ ORACLES |= {
     "rolling_median": f"{FRET} SELECT date, asset, CASE WHEN count(*) OVER w = 63 THEN {r('median(x) OVER w')} END AS med FROM ret {W63}",
     "rolling_mad": f"{FRET} SELECT date, asset, CASE WHEN count(*) OVER w = 63 THEN {r('mad(x) OVER w')} END AS mad FROM ret {W63}",
     "dampened_returns": f"{FRET} SELECT date, asset, {r('CASE WHEN n = 63 AND s > 1e-12 AND abs(x - m) > 3 * s THEN m + sign(x - m) * s * (3 + ln(greatest(abs(x - m) / s - 2, 1))) ELSE x END')} AS r FROM (SELECT date, asset, x, median(x) OVER w AS m, mad(x) OVER w AS s, count(*) OVER w AS n FROM ret {W63})",
+    "dampened_daily": f"WITH {DX}, ret AS MATERIALIZED (SELECT * FROM (SELECT date, asset, ln(price / lag(price) OVER (PARTITION BY asset ORDER BY date)) AS x FROM dx) WHERE x IS NOT NULL) SELECT date, asset, {r('CASE WHEN n = 126 AND s > 1e-12 AND abs(x - m) > 3 * s THEN m + sign(x - m) * s * (3 + ln(greatest(abs(x - m) / s - 2, 1))) ELSE x END')} AS r FROM (SELECT date, asset, x, median(x) OVER w AS m, mad(x) OVER w AS s, count(*) OVER w AS n FROM ret WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 125 PRECEDING AND CURRENT ROW))",
+    "daily_cov": f"WITH {DX}, ret AS MATERIALIZED (SELECT * FROM (SELECT date, asset, ln(price / lag(price) OVER (PARTITION BY asset ORDER BY date)) AS x FROM dx) WHERE x IS NOT NULL) SELECT CAST(date_trunc('month', a.date) AS DATE) AS month, a.asset AS i, b.asset AS j, {r('sum(a.x * b.x)')} AS cov FROM ret a JOIN ret b ON a.date = b.date AND a.asset <= b.asset GROUP BY 1, 2, 3",
+    "validation_outcomes": f"""WITH {PX}, two AS (SELECT * FROM px WHERE asset IN (SELECT DISTINCT asset FROM px ORDER BY asset LIMIT 2)), whole AS MATERIALIZED (SELECT * FROM two WHERE date IN (SELECT date FROM two GROUP BY date HAVING count(*) = 2)),
+cases AS (SELECT 'whole' AS name, * FROM whole UNION ALL SELECT 'twice', * FROM whole UNION ALL SELECT 'twice', * FROM (SELECT * FROM whole LIMIT 1) UNION ALL SELECT 'negative', date, asset, CASE WHEN asset = 'Brand#11' THEN -price ELSE price END FROM whole
+UNION ALL SELECT 'zero', date, asset, CASE WHEN asset = 'Brand#11' THEN 0 ELSE price END FROM whole UNION ALL SELECT 'holes', * FROM whole WHERE asset <> 'Brand#11' OR date < DATE '1996-01-01' UNION ALL SELECT 'infinite', date, asset, CASE WHEN asset = 'Brand#11' THEN 'Infinity' :: DOUBLE ELSE price END FROM whole
+UNION ALL SELECT 'short', * FROM whole WHERE date IN (SELECT DISTINCT date FROM whole ORDER BY date LIMIT 2))
+SELECT name AS "case", count(*) = count(DISTINCT (date, asset)) AND count(*) = count(DISTINCT date) * count(DISTINCT asset) AND count(DISTINCT date) >= 3 AND bool_and(isfinite(price) AND price > 0) AS valid FROM cases GROUP BY 1""",
     "month_calendar": f"""WITH {PX}, {calendar('px')} SELECT month AS "Month", eff AS "EffectiveDate", hold_end AS "HoldingEndDate" FROM cal""",
     "active_members": f'WITH {UNIVERSE} SELECT eff AS "EffectiveDate", asset FROM audit',
     "eligibility_audit": f"WITH {UNIVERSE} SELECT {AUDIT_COLUMNS} FROM audit",

@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import re
-import shutil
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -16,16 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborfolio.config import BacktestConfig, DataValidationError, InputError, NotFoundError
-from arborfolio.functions.axes import clean_limits, date_ticks, percent, tick_values, two_places
+from arborfolio.functions.axes import clean_limits, date_ticks, escape_markup, percent, tick_values, two_places
 from arborfolio.operators import performance, universe
 from arborfolio.operators.market import combine_panels
 from arborfolio.plans import backtest, charts
+from arborfolio.sources import files as stored
 from arborfolio.sources import panels, sinks
 
 PREFIXES = {"AMAD_NRP": "NRP-AMAD", "Raw_NRP": "NRP-raw"}
 
 
-def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membership_path: str, benchmark_path: str, output_root: str, estimation_months: int = 24, window: int = 63, threshold: float = 3.0, transaction_cost_bps: float = 0.0) -> Path:
+def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membership_path: str, benchmark_path: str, output_root: str, estimation_months: int = 24, window: int = 63, threshold: float = 3.0, transaction_cost_bps: float = 0.0) -> Path | str:
     began = time.time()
     config = BacktestConfig(estimation_months=estimation_months, window=window, threshold=threshold, transaction_cost_bps=transaction_cost_bps)
     files = {name: panels.require_file(path, f"{name} file") for name, path in (("base", base_path), ("supplemental", supplemental_path), ("membership", membership_path), ("benchmark", benchmark_path))}
@@ -34,7 +34,7 @@ def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membe
     members = panels.read_membership(spark, str(files["membership"]))
     bench = panels.long_panel(spark.read.parquet(str(files["benchmark"])), 1).filter(F.col("asset") == performance.BENCHMARK).select("date", "price")
     dates = base.select("date").distinct()
-    prices = combine_panels(base, supplemental).persist()
+    prices, done = combine_panels(base, supplemental).persist(), None
     try:
         done = backtest.run_point_in_time(prices, members, config, backtest.BOTH, dates=dates)
         universes = [done.rebalance_weights.filter(F.col("variant") == v).select("EffectiveDate", "Asset") for v in backtest.BOTH]
@@ -43,7 +43,7 @@ def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membe
         own_dates = done.daily_returns.select(F.col("Date").alias("date")).distinct()
         other = backtest.run_benchmark(bench, own_dates)
         run = sinks.new_run_directory(output_root, estimation_months)
-        shutil.copy(files["membership"], run / files["membership"].name)
+        stored.write_bytes(stored.join(run, stored.name_of(files["membership"])), stored.read_bytes(files["membership"]))
         for prefix, variant in PREFIXES.items():
             sinks.write_variant(done, run, prefix, variant)
         sinks.write_benchmark(other, run)
@@ -51,8 +51,8 @@ def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membe
         monthly = {p: done.monthly_returns.filter(F.col("variant") == v) for p, v in PREFIXES.items()} | {performance.BENCHMARK: other.monthly}
         sinks.write_table(performance.compare(daily, "Date").orderBy("Date"), run, "comparison_daily")
         sinks.write_table(performance.compare(monthly, "Month").orderBy("Month"), run, "comparison_monthly")
-        (run / "net_value.svg").write_text(net_value_chart(panels.read_table(spark, str(run), "comparison_daily")).svg())
-        (run / "latest_allocation.svg").write_text(allocation_chart(panels.read_table(spark, str(run), "AMAD_NRP_rebalance_weights")).svg())
+        stored.write_bytes(stored.join(run, "net_value.svg"), net_value_chart(panels.read_table(spark, run, "comparison_daily")).svg().encode())
+        stored.write_bytes(stored.join(run, "latest_allocation.svg"), allocation_chart(panels.read_table(spark, run, "AMAD_NRP_rebalance_weights")).svg().encode())
         metrics = backtest.union_all([done.metrics, other.metrics])
         sinks.write_table(metrics, run, "comparison_metrics")
         summary = universe.eligibility_summary(done.membership_audit)
@@ -64,11 +64,13 @@ def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membe
             "eligibility_rule": "active on the effective date, with a price on every date from the window's start to the holding month's end",
             "members": dict(zip(("least_active", "most_active", "least_eligible", "most_eligible"), counts, strict=True)),
             "latest_excluded": [r.Price_Ticker for r in universe.latest_excluded(done.membership_audit).collect()],
-            "artifacts": sorted(p.name for p in run.iterdir()),
+            "artifacts": stored.names_in(run),
             "elapsed_seconds": time.time() - began,
         })
         return run
     finally:
+        if done is not None:
+            done.release()
         prices.unpersist()
 
 
@@ -77,8 +79,8 @@ def return_series(path: DataFrame) -> DataFrame:
     return backtest.union_all([path.select(F.lit(n).alias("series"), "Date", F.col(f"{n}{'' if n == performance.BENCHMARK else '_'}Return").alias("NetReturn")) for n in (*PREFIXES, performance.BENCHMARK)])
 
 
-def performance_rows(spark: SparkSession, run: Path, base: bool = False) -> list[dict[str, Any]]:
-    series = return_series(panels.read_table(spark, str(run), "comparison_daily"))
+def performance_rows(spark: SparkSession, run: Path | str, base: bool = False) -> list[dict[str, Any]]:
+    series = return_series(panels.read_table(spark, run, "comparison_daily"))
     return [r.asDict() for r in performance.performance_table(series, base).orderBy("series").collect()]
 
 
@@ -112,29 +114,28 @@ def allocation_chart(weights: DataFrame, k: int = 25) -> charts.Drawing:
     return charts.bar_chart(f"Latest allocation, {rows[0].EffectiveDate}" if rows else "Latest allocation", [(r.Asset, r.Weight) for r in rows])
 
 
-def generate_report(spark: SparkSession, run_directory: str | Path, output_directory: str | Path) -> Path:
+def generate_report(spark: SparkSession, run_directory: str | Path, output_directory: str | Path) -> Path | str:
     """A report of a run as text (its path is returned) and as PDF with charts: performance table, twenty largest
     positions, net values and drawdowns. The charts are beside it as SVG, and their data as JSON."""
-    run, out = panels.require_file(run_directory, "run directory"), Path(output_directory)
-    out.mkdir(parents=True, exist_ok=True)
-    meta = panels.read_metadata(run)
-    lines = [f"# Study {run.name}", "", f"Configuration: {json.dumps(meta['configuration'])}", "", "| series | total | annualized | volatility | Sharpe | Sortino | Calmar | drawdown |", "|-|-|-|-|-|-|-|-|"]
+    run, out = panels.require_file(run_directory, "run directory"), stored.located(output_directory)
+    name, meta = stored.name_of(run), panels.read_metadata(run)
+    lines = [f"# Study {name}", "", f"Configuration: {json.dumps(meta['configuration'])}", "", "| series | total | annualized | volatility | Sharpe | Sortino | Calmar | drawdown |", "|-|-|-|-|-|-|-|-|"]
     cells = [[r["series"], percent(r["TotalReturn"]), percent(r["AnnualizedReturn"]), percent(r["Volatility"]), two_places(r["Sharpe"]), two_places(r["Sortino"]), two_places(r["Calmar"]), percent(r["MaximumDrawdown"])] for r in performance_rows(spark, run)]
     lines += [f"| {' | '.join(r)} |" for r in cells]
-    weights = panels.read_table(spark, str(run), "AMAD_NRP_rebalance_weights")
+    weights = panels.read_table(spark, run, "AMAD_NRP_rebalance_weights")
     positions = [[str(r.Rank), r.Asset, percent(r.Weight)] for r in backtest.latest_allocation(weights.withColumnRenamed("Strategy", "variant"), 20).orderBy("Rank").collect()]
-    lines += ["", "| rank | asset | weight |", "|-|-|-|", *(f"| {' | '.join(r)} |" for r in positions)]
-    path = panels.read_table(spark, str(run), "comparison_daily")
+    lines += ["", "| rank | asset | weight |", "|-|-|-|", *(f"| {rank} | {escape_markup(asset)} | {weight} |" for rank, asset, weight in positions)]
+    path = panels.read_table(spark, run, "comparison_daily")
     names = [c for c in path.columns if c.endswith("NetValue")]
-    (out / "charts.json").write_text(json.dumps({"net_value": chart_data(path, names)}))
+    stored.write_bytes(stored.join(out, "charts.json"), json.dumps({"net_value": chart_data(path, names)}).encode())
     drawn = {"net_value": net_value_chart(path), "drawdown": drawdown_chart(path)}
-    for name, chart in drawn.items():
-        (out / f"{name}.svg").write_text(chart.svg())
+    for kind, chart in drawn.items():
+        stored.write_bytes(stored.join(out, f"{kind}.svg"), chart.svg().encode())
     head = ["series", "total", "annualized", "volatility", "Sharpe", "Sortino", "Calmar", "drawdown"]
     parts = [charts.table_drawing([head, *cells]), *drawn.values(), charts.table_drawing([["rank", "asset", "weight"], *positions], 400, 0.15)]
-    (out / f"{run.name}.pdf").write_bytes(charts.pdf(charts.pages(f"Study {run.name}", parts)))
-    target = out / f"{run.name}.md"
-    target.write_text("\n".join(lines) + "\n")
+    stored.write_bytes(stored.join(out, f"{name}.pdf"), charts.pdf(charts.pages(f"Study {name}", parts)))
+    target = stored.join(out, f"{name}.md")
+    stored.write_bytes(target, ("\n".join(lines) + "\n").encode())
     return target
 
 
@@ -154,11 +155,11 @@ def validate_request(body: dict[str, Any]) -> dict[str, Any]:
     return {"estimation_months": months, "window": window, "threshold": threshold, "transaction_cost_bps": bps}
 
 
-def load_payload(spark: SparkSession, run: Path) -> dict[str, Any]:
-    table = lambda stem: [json.loads(x) for x in panels.read_table(spark, str(run), stem).toJSON().collect()]
-    weights = panels.read_table(spark, str(run), "AMAD_NRP_rebalance_weights").withColumnRenamed("Strategy", "variant")
+def load_payload(spark: SparkSession, run: Path | str) -> dict[str, Any]:
+    table = lambda stem: [json.loads(x) for x in panels.read_table(spark, run, stem).toJSON().collect()]
+    weights = panels.read_table(spark, run, "AMAD_NRP_rebalance_weights").withColumnRenamed("Strategy", "variant")
     allocation = [json.loads(x) for x in backtest.latest_allocation(weights).orderBy("Rank").toJSON().collect()]
-    return {"run_id": run.name, "metadata": panels.read_metadata(run), "metrics": table("comparison_metrics"), "path": sorted(table("comparison_daily"), key=lambda r: r["Date"]), "allocation": allocation}
+    return {"run_id": stored.name_of(run), "metadata": panels.read_metadata(run), "metrics": table("comparison_metrics"), "path": sorted(table("comparison_daily"), key=lambda r: r["Date"]), "allocation": allocation}
 
 
 class Service:
@@ -166,7 +167,7 @@ class Service:
     sent as PDF, or as text if the request's format is "text"."""
 
     def __init__(self, spark: SparkSession, output_root: str | Path, study: Any) -> None:
-        self.spark, self.root, self.study, self.busy = spark, Path(output_root), study, threading.Lock()
+        self.spark, self.root, self.study, self.busy = spark, stored.located(output_root), study, threading.Lock()
 
     def answer(self, method: str, path: str, body: bytes = b"") -> tuple[int, Any]:
         try:
@@ -185,10 +186,13 @@ class Service:
                 name = str(request.get("run_id", ""))
                 if not RUN_ID.fullmatch(name):
                     raise InputError("Unknown run id")
-                if not (self.root / name).is_dir():
+                run = stored.join(self.root, name)
+                if not stored.exists(run):
                     raise NotFoundError("The run isn't there", run=name)
-                report = generate_report(self.spark, self.root / name, self.root / name / "report")
-                return 200, report.read_text() if request.get("format") == "text" else report.with_suffix(".pdf").read_bytes()
+                report = generate_report(self.spark, run, stored.join(run, "report"))
+                if request.get("format") == "text":
+                    return 200, stored.read_bytes(report).decode()
+                return 200, stored.read_bytes(stored.join(stored.join(run, "report"), f"{name}.pdf"))
             settings = validate_request(request)
             if not self.busy.acquire(blocking=False):
                 return 409, {"error": "A backtest is running"}

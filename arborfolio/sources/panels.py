@@ -6,18 +6,17 @@ import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborfolio.config import DataValidationError, NotFoundError
 from arborfolio.functions.columns import lenient_date, lossy_double
+from arborfolio.sources import files
 
-MEMBERSHIP_SCHEMA = "Membership_Start date, Membership_End_Exclusive date, Price_Ticker string"
 
-
-def require_file(path: str | Path, description: str) -> Path:
-    found = Path(path).expanduser().resolve()
-    if not found.exists():
+def require_file(path: str | Path, description: str) -> Path | str:
+    found = files.located(path)
+    if not files.exists(found):
         raise NotFoundError(f"{description} not found", path=str(found))
     return found
 
@@ -64,13 +63,15 @@ def membership(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("Membership_Start").cast("date").alias("start"), F.col("Membership_End_Exclusive").cast("date").alias("end_excl"), F.col("Price_Ticker").cast("string").alias("asset"))
 
 
-def read_table(spark: SparkSession, directory: str, stem: str) -> DataFrame:
-    """A table of a run, from its parquet form."""
+def read_table(spark: SparkSession, directory: str | Path, stem: str, form: str = "parquet") -> DataFrame:
+    """A table of a run, from its parquet or its CSV form."""
+    if form == "csv":
+        return spark.read.csv(f"{directory}/{stem}.csv", header=True, inferSchema=True)
     return spark.read.parquet(f"{directory}/{stem}.parquet")
 
 
 def read_metadata(directory: str | Path) -> dict[str, Any]:
-    return json.loads((Path(directory) / "run_metadata.json").read_text())
+    return json.loads(files.read_bytes(files.join(files.located(directory), "run_metadata.json")))
 
 
 # Stand-ins for market data, from the driver's tables.
@@ -91,6 +92,15 @@ def weekly_panel(spark: SparkSession, sf_dir: str, by: str = "p_brand") -> DataF
     return sums.join(parts, sums["l_partkey"] == parts["p_partkey"]).groupBy("date", "asset").agg((F.sum("s") / (F.sum("n") * 100.0)).alias("price"))
 
 
+def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands by day of shipment."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_extendedprice", "l_shipdate")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("asset"))
+    cents = whole_cents()
+    sums = lines.groupBy("l_partkey", F.col("l_shipdate").cast("date").alias("date")).agg(F.sum(cents).alias("s"), F.count(cents).alias("n"))
+    return sums.join(parts, sums["l_partkey"] == parts["p_partkey"]).groupBy("date", "asset").agg((F.sum("s") / (F.sum("n") * 100.0)).alias("price"))
+
+
 def flag_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, cents = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), whole_cents()
     return lines.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.col("l_returnflag").alias("asset")).agg((F.sum(cents) / (F.count(cents) * 100.0)).alias("price"))
@@ -103,8 +113,6 @@ def weekly_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def staggered_membership(panel: DataFrame) -> DataFrame:
     """Assets enter in four waves half a year apart, every fifth leaves after 1500 days; one has no prices."""
-    from pyspark.sql import Window
-
     k = F.row_number().over(Window.orderBy("asset")) - 1  # a row per asset
     start = F.date_add(F.lit("1995-01-01").cast("date"), (k % 4) * 180)
     known = panel.select("asset").distinct().select(start.alias("start"), F.when(k % 5 == 4, F.date_add(start, 1500)).alias("end_excl"), "asset")

@@ -1,4 +1,4 @@
-"""Result tables and run directories. Directories are on a file system that the driver sees, as runs are small reports."""
+"""Result tables and run directories, on any file system that Spark writes to."""
 
 from __future__ import annotations
 
@@ -9,16 +9,18 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from arborfolio.sources import files
+
 #: Tables of one variant; edges are written as parquet only.
 VARIANT_TABLES = ("daily_returns", "monthly_returns", "rebalance_weights", "allocation_diagnostics", "network_edges", "rebalance_diagnostics", "membership_audit", "metrics")
 
 
 def write_table(df: DataFrame, directory: str | Path, stem: str, csv: bool = True) -> None:
-    """zstd parquet and CSV with a header; fails if the table is there."""
-    one = df.coalesce(1)
-    one.write.mode("errorifexists").option("compression", "zstd").parquet(f"{directory}/{stem}.parquet")
+    """zstd parquet, and from it CSV with a header; fails if the table is there."""
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{directory}/{stem}.parquet")
     if csv:
-        one.write.mode("errorifexists").option("header", True).csv(f"{directory}/{stem}.csv")
+        written = df.sparkSession.read.schema(df.schema).parquet(f"{directory}/{stem}.parquet")
+        written.write.mode("errorifexists").option("header", True).csv(f"{directory}/{stem}.csv")
 
 
 def write_variant(result: Any, directory: str | Path, prefix: str, variant: str) -> None:
@@ -34,13 +36,13 @@ def write_benchmark(result: Any, directory: str | Path) -> None:
         write_table(table, directory, f"SP100_Benchmark_{name}")
 
 
-def new_run_directory(output_root: str | Path, months: int, now: datetime | None = None) -> Path:
+def new_run_directory(output_root: str | Path, months: int, now: datetime | None = None) -> Path | str:
     """run_{UTC time}_months{n}; fails if it is there."""
     stamp = (now or datetime.now(UTC)).strftime("%Y%m%dT%H%M%SZ")
-    path = Path(output_root) / f"run_{stamp}_months{months}"
-    path.mkdir(parents=True, exist_ok=False)
-    return path
+    place = files.join(files.located(output_root), f"run_{stamp}_months{months}")
+    files.make_folder(place)
+    return place
 
 
 def write_metadata(directory: str | Path, metadata: dict[str, Any]) -> None:
-    (Path(directory) / "run_metadata.json").write_text(json.dumps(metadata, indent=2, default=str))
+    files.write_bytes(files.join(files.located(directory), "run_metadata.json"), json.dumps(metadata, indent=2, default=str).encode())

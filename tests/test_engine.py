@@ -8,11 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from arborfolio import BacktestConfig, CalculationError, DataValidationError, InputError, make_config, make_dampen_config
+from arborfolio import BacktestConfig, CalculationError, DataValidationError, InputError, NotFoundError, make_config, make_dampen_config
 from arborfolio.functions.axes import clean_limits, date_ticks, escape_markup, nice_step, tick_values
 from arborfolio.operators import checks, holding, market, network, performance, universe
 from arborfolio.plans import backtest, charts, study
-from arborfolio.sources import panels
+from arborfolio.sources import files, panels, sinks
 
 START = date(2025, 1, 1)
 
@@ -42,8 +42,9 @@ def test_dampening_formula_and_edges(spark):
 def test_kernel_equals_native(spark):
     rng = np.random.default_rng(1)
     values = rng.standard_t(2, 40)
-    kernel = network.dampen_matrix(values[:, None], make_dampen_config({"window": 9}))[:, 0]
-    native = [r.r for r in market.dampen(series(spark, values), {"window": 9}).orderBy("date").collect()]
+    kernel = market.dampen_matrix(values[:, None], make_dampen_config({"window": 9}))[:, 0]
+    native = [r.r for r in market.dampen_native(series(spark, values), {"window": 9}).orderBy("date").collect()]
+    assert native == pytest.approx([r.r for r in market.dampen(series(spark, values), {"window": 9}).orderBy("date").collect()])
     assert np.allclose(kernel, native)
 
 
@@ -136,7 +137,7 @@ def loop_backtest(prices, months, bps, dampen, window):
         past = prices.iloc[:first].to_numpy()
         r = np.log(past[1:] / past[:-1])
         if dampen:
-            r = network.dampen_matrix(r, make_dampen_config({"window": window}))
+            r = market.dampen_matrix(r, make_dampen_config({"window": window}))
         use = [r[i - 1] for i in range(1, first) if keys[i] in cal[k - months : k]]
         a = network.allocate_sum(list(prices.columns), np.array(use).T @ np.array(use), BacktestConfig(estimation_months=months))
         w = dict(zip(a.names, a.weights, strict=True))
@@ -192,7 +193,7 @@ def test_rows_before_the_window_vanish_for_all(spark, random_prices):
     keys = [d.strftime("%Y-%m") for d in cut.index]
     first = keys.index(max(keys))
     past = cut.iloc[:first].to_numpy()
-    r = network.dampen_matrix(np.log(past[1:] / past[:-1]), make_dampen_config({"window": 8}))
+    r = market.dampen_matrix(np.log(past[1:] / past[:-1]), make_dampen_config({"window": 8}))
     months = sorted(set(keys))[-3:-1]
     use = np.array([r[i - 1] for i in range(1, first) if keys[i] in months])
     want = network.allocate_sum(list(cut.columns), use.T @ use, BacktestConfig(estimation_months=2))
@@ -220,6 +221,81 @@ def test_validation_errors(spark):
         market.combine_panels(good, good)
 
 
+def test_functions_validate_their_input(spark):
+    good = panel_of(spark, {"A": [1, 2, 3, 5], "B": [2, 3, 4, 3]})
+    r = market.log_returns(good)
+    assert r.count() == 6 and market.dampen(r, {"window": 2}).count() == 6 and market.monthly_realized_cov(r).count() == 3
+    zero, hole = panel_of(spark, {"A": [1, 0, 3, 5], "B": [2, 3, 4, 3]}), panel_of(spark, {"A": [1, None, 3, 5], "B": [2, 3, 4, 3]})
+    for bad in (zero, hole, good.union(good)):
+        with pytest.raises(DataValidationError):
+            market.log_returns(bad)
+    assert market.log_returns(zero, check=False).filter("asset = 'B'").count() == 3 and market.simple_returns(zero).filter("asset = 'A'").count() == 2
+    endless = r.withColumn("r", F.lit(float("inf")))
+    short = r.filter(F.col("date") == r.agg(F.max("date")).first()[0])
+    for bad in (endless, r.filter("r > 0"), r.union(r), short):
+        with pytest.raises(DataValidationError):
+            market.dampen(bad, {"window": 2})
+    for bad in (endless, r.filter("r > 0"), r.union(r)):
+        with pytest.raises(DataValidationError):
+            market.monthly_realized_cov(bad)
+    flat = market.monthly_realized_cov(market.log_returns(panel_of(spark, {"A": [1, 1, 1], "B": [2, 3, 4]})))
+    with pytest.raises(CalculationError):
+        market.correlation(flat)
+    assert market.correlation(flat, check=False).first().rho is None
+
+
+def test_loss_and_metric_guards(spark):
+    days = spark.createDataFrame([(START, 0.1), (START + timedelta(days=1), -1.0)], "Date date, GrossReturn double")
+    with pytest.raises(CalculationError, match="2025-01-02"):
+        holding.check_growth(days)
+    assert holding.check_growth(days.limit(1)).count() == 1
+    with pytest.raises(CalculationError):
+        holding.check_growth(days.withColumn("GrossReturn", F.lit(float("nan"))))
+    months = spark.createDataFrame([("v", START, 0.1)], "variant string, Month date, NetReturn double")
+    with pytest.raises(CalculationError, match="two months"):
+        performance.monthly_metrics(months, check=True)
+    assert performance.monthly_metrics(months).count() == 1
+    short = panel_of(spark, {"A": [10 + i % 3 for i in range(22)], "B": [5 + i % 4 for i in range(22)]})  # one month after the window
+    with pytest.raises(CalculationError, match="two months"):
+        backtest.run_point_in_time(short, panels.always_members(short), {"estimation_months": 2})
+
+
+def test_clean_and_exact_ways_agree(spark, random_prices):
+    table = {c: list(random_prices[c]) for c in random_prices}
+    table["E"] = [None] * 6 + table["E"][6:]  # listed later: the first rebalances' windows come after dates without it
+    panel = panel_of(spark, table)
+    config = make_config({"estimation_months": 2, "window": 8})
+    dates = panel.select("date").distinct()
+    moments = universe.rebalances(market.month_calendar(dates), 2)
+    chosen = universe.eligibility(panel, dates, panels.always_members(panel), moments).filter("Eligible").select("rid", F.col("Price_Ticker").alias("asset"))
+    clean = [r.rid for r in network.clean_before(panel, dates, chosen, moments, 8).collect()]
+    rids = [r.rid for r in moments.collect()]
+    assert clean and set(clean) < set(rids)
+    history = panel.join(chosen, "asset").join(moments.select("rid", "eff"), "rid").filter("date < eff").select("rid", "date", "asset", "price")
+    exact = network.allocate_groups(history, moments, config, backtest.BOTH)
+    both = network.allocate_rebalances(panel, dates, chosen, moments, config, backtest.BOTH)
+    key = lambda df: {(r.rid, r.variant, r.kind, r.a, r.b): (r.x, r.y) for r in df.collect()}
+    a, b = key(exact), key(both)
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-10) for k in a)
+
+
+def test_tables_by_csv_and_remote_names(spark, tmp_path):
+    df = spark.createDataFrame([(date(2024, 1, 2), 1.5)], "Date date, x double")
+    sinks.write_table(df, tmp_path, "t")
+    assert panels.read_table(spark, tmp_path, "t", "csv").collect() == df.collect() == panels.read_table(spark, str(tmp_path), "t").collect()
+    uri = f"file://{tmp_path}"
+    place = files.located(f"{uri}/sub")
+    files.make_folder(place)
+    files.write_bytes(files.join(place, "a.json"), b"{}")
+    assert files.names_in(place) == ["a.json"] and files.read_bytes(f"{uri}/sub/a.json") == b"{}" and files.name_of(place) == "sub"
+    assert panels.require_file(f"{uri}/sub", "folder") == f"{uri}/sub"
+    for missing in (f"{uri}/none", tmp_path / "none"):
+        with pytest.raises(NotFoundError):
+            panels.require_file(missing, "folder")
+    with pytest.raises(FileExistsError):
+        files.make_folder(place)
+
+
 def test_wide_and_long(spark):
     wide = spark.createDataFrame([("2024-01-02 10:00", "1.5", float("nan")), ("2024-01-03", "x", 2.0)], "Date string, A string, B double")
     got = {(str(r.date), r.asset): r.price for r in panels.long_panel(wide, 2).collect()}
