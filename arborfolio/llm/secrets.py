@@ -1,7 +1,9 @@
 """Secret scan, with DataFrame functions only: candidates by pattern, false positives removed by a random forest.
 
 Candidates are runs of A-Z a-z 0-9 + / _ - in the words of the whole text, with or without a digit: all of 12 characters
-or more, and those of any length that follow a credential word, directly or after one more word of letters. The forest's
+or more, and those of any length that follow a credential word, directly or after one more word of letters. A run goes on
+over a full stop with eight such characters or more behind it (web tokens), and has the one or two = that end it (padded
+base64). The forest's
 features are the candidate's length, its character classes and the transitions between them, its vowels and consonant
 clusters, the share of its characters that dictionary words cover, its path, and the words before and after it.
 
@@ -18,8 +20,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_\-]{11,}"
-RUN = r"[A-Za-z0-9][A-Za-z0-9+/_\-]*"
+RUN = r"[A-Za-z0-9][A-Za-z0-9+/_\-]*(?:\.[A-Za-z0-9+/_\-]{8,})*(?:={1,2}(?![A-Za-z0-9=]))?"
+#: What a text with a run of 12 characters or more has.
+CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_\-.=]{11,}"
 
 #: Words of a text that are looked at in one row, so that the work on a word does not grow with its text.
 SECTION = 256
@@ -57,7 +60,7 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
         "transitions": share(c, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
         "hexadecimal": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
-        "known_prefix": flag(c.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^sk_(live|test)_|^xox[abp]-|^AIza")),
+        "known_prefix": flag(c.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^sk_(live|test)_|^xox[abp]-|^AIza|^eyJ")),
         "coverage": (F.length(c) - F.length(F.regexp_replace(F.lower(c), "|".join(DICTIONARY), ""))) / F.length(c),
         "credential_near": flag(low.rlike(CREDENTIAL)),
         "harmless_before": flag(low.rlike(HARMLESS)),
@@ -80,7 +83,7 @@ DENIALS = (" # example only", " (placeholder)", " <- dummy value", " is a sample
 OTHERS = (" and", " end", "", " now please", " to log in")
 
 
-def labelled_findings(spark: SparkSession, rows: int = 4_800) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 8_600) -> DataFrame:
     """The default labelled table, made by rule from hashes of row numbers: candidate, before, after, path, label (1: secret).
 
     A kind of finding is a secret wherever it is, nowhere, or where its path and the words behind it say so: keys with a
@@ -114,6 +117,10 @@ def labelled_findings(spark: SparkSession, rows: int = 4_800) -> DataFrame:
         (cut(digits, n(4, 12, 10)), F.lit("card number "), never),
         (cut(hexed, F.lit(40)), F.lit("commit "), never),
         (cut(hexed, F.lit(64)), F.lit("sha256: "), never),
+        (F.concat(F.lit("eyJ"), cut(mixed, n(150, 17, 10)), F.lit("."), F.substr(mixed, F.lit(20), n(151, 20, 20)), F.lit("."), F.substr(mixed, F.lit(40), F.lit(27))), one_of(152, ("Bearer ", "token: ", "with ", "cookie ")), secret),
+        (F.concat(cut(mixed, n(153, 22, 20)), one_of(154, ("=", "=="))), one_of(155, ("secret = ", "password: ", "api_key=")), valued),
+        (F.concat_ws(".", spoken(156, 2), spoken(160, 5), spoken(166, 5)), one_of(172, ("see ", "of the ", "in ")), never),
+        (F.concat(spoken(173, 3), F.lit("."), one_of(177, ("properties", "template", "manifest"))), one_of(178, ("open ", "the file ", "secret ")), never),
         # known by their place alone
         (cut(hexed, F.lit(40)), one_of(140, ("value ", "= ", "x: ")), found),
         (cut(mixed, n(141, 24, 30)), one_of(142, ("set ", "= ", "id ")), found),
@@ -152,7 +159,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4_800) -> DataFrame:
     return spark.range(0, rows, 1, 1).select(choose(0).alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), label.cast("double").alias("label"))
 
 
-def train_forest(labelled: DataFrame, trees: int = 32, depth: int = 7, seed: int = 5, bound: int = 100_000) -> RandomForestClassificationModel:
+def train_forest(labelled: DataFrame, trees: int = 40, depth: int = 9, seed: int = 5, bound: int = 100_000) -> RandomForestClassificationModel:
     """labelled: candidate, before, after, path, label. bound: the most labelled findings; more are an error, not a cut."""
     if labelled.limit(bound + 1).count() > bound:
         raise ValueError(f"more than {bound} labelled findings")

@@ -325,6 +325,14 @@ def test_forest_on_held_out_rows(spark):
         assert sum(importance[k] for k in group) > 0.005, (group, importance)
 
 
+def test_web_tokens_and_padded_values_are_whole(spark):
+    model = secrets.train_forest(secrets.labelled_findings(spark))
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    docs = frame(spark, [(1, f"Authorization: Bearer {jwt} and"), (2, "secret = aGVsbG8gd29ybGQgMTIzNDU2Nzg5MA== end"), (3, "see it.Then password=x y=z a==b.")], "doc_id long, text string")
+    got = {(r.doc_id, r.candidate): r.is_secret for r in secrets.scan(docs, model).collect()}
+    assert got[1, jwt] and got[2, "aGVsbG8gd29ybGQgMTIzNDU2Nzg5MA=="] and (3, "password=") not in got and not any(s for (i, _), s in got.items() if i == 3)
+
+
 def test_scan_heeds_path_and_neighbours(spark):
     model = secrets.train_forest(secrets.labelled_findings(spark))
     value = "681c09b8e90e7e8c9575180f595f646cf2969054"
