@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, fields
 from typing import Any
 
@@ -9,6 +10,11 @@ from typing import Any
 EPSILON, YEAR_DAYS, YEAR_MONTHS = 1e-12, 252, 12
 
 
+def get_logger(name: str = "arborfolio") -> logging.Logger:
+    """The library's logger; where its messages go is left to the program."""
+    return logging.getLogger(name)
+
+
 class PortfolioError(Exception):
     """Base of all errors; context holds what the message is about."""
 

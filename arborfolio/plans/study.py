@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfolio.config import BacktestConfig, DataValidationError, InputError, NotFoundError
+from arborfolio.config import BacktestConfig, DataValidationError, InputError, NotFoundError, get_logger
 from arborfolio.functions.axes import clean_limits, date_ticks, escape_markup, percent, tick_values, two_places
 from arborfolio.operators import performance, universe
 from arborfolio.operators.market import combine_panels
@@ -67,6 +67,7 @@ def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membe
             "artifacts": stored.names_in(run),
             "elapsed_seconds": time.time() - began,
         })
+        get_logger(__name__).info("study written to %s", run)
         return run
     finally:
         if done is not None:
