@@ -46,8 +46,8 @@ CROWD, EXTENDED = 16, 3
 #: From this level on (tokens of 1024 documents and more) a token's rows are cut into parts of about a thousand; tokens put
 #: last, into CUT parts at least.
 HOT_LEVEL, CUT = 11, 64
-#: Pairs, and ids or tokens, of a few 64-bit numbers each, that are broadcast at most; more are joined by a shuffle.
-BROADCAST_PAIRS, BROADCAST_IDS = 200_000, 1_000_000
+#: Pairs, ids and tokens, of three 64-bit numbers each at most, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_PAIRS, BROADCAST_IDS, BROADCAST_TOKENS = 200_000, 1_000_000, 100_000
 PIECE, CHUNK = 1 << 20, 1 << 22
 
 _P = 0xD6E8FEB86659FD93
@@ -346,7 +346,7 @@ def hub_pairs(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     hubs = rows.groupBy("token").agg(F.max(F.struct("shares", (-F.col("id")).alias("minus"), "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
     hubs, path = keep(hubs.select("token", (-F.col("hub.minus")).alias("a"), F.col("hub.comp").alias("a_comp")), "hubs")
     # broadcast, so that the rows of a token that many documents have stay where they are; beyond that, the join splits them
-    found = rows.join(small(hubs, BROADCAST_IDS), "token").filter("comp != a_comp")
+    found = rows.join(small(hubs, BROADCAST_TOKENS), "token").filter("comp != a_comp")
     return found.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select("a", "b"), [path]
 
 
@@ -398,7 +398,7 @@ def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFram
         rows = grouped(matrix, comps)
         tokens = rows.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
         tokens, path = keep(tokens, "mixed-tokens")
-        rows, path2 = keep(rows.select("token", "id", "n", "pos", "comp").join(small(tokens, BROADCAST_IDS), "token"), "mixed-rows")
+        rows, path2 = keep(rows.select("token", "id", "n", "pos", "comp").join(small(tokens, BROADCAST_TOKENS), "token"), "mixed-rows")
         paths += [path, path2]
         crowded = place(rows.filter(F.col("groups") > CROWD).groupBy("token").agg(F.first("groups").alias("n")), CROWD.bit_length()) if step < EXTENDED else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
         if not len(crowded[0]):
