@@ -482,7 +482,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         rows = docs.filter(F.col(id_col).isNotNull()).select(id_col, text.alias(digest)).distinct().sort(id_col, digest)
         rows, path = keep(rows.withColumn(own, F.monotonically_increasing_id()), "rows")
         numbered, path2 = keep(docs.withColumn(digest, text).join(rows, [id_col, digest], "left"), "numbered")
-        out, _ = keep(one_of_each(numbered, width, percent, own, text_col).select(docs.columns), "one-of-each")
+        out, _ = keep(one_of_each(numbered, width, percent, own, text_col).select(*(F.col(f"`{c}`") for c in docs.columns)), "one-of-each")
         discard(docs.sparkSession, path, path2)
         return out
     found = near_duplicates(docs, width, percent, id_col, text_col)
