@@ -154,11 +154,14 @@ class ItemIndex:
     def _search(self, names: np.ndarray, terms: np.ndarray, sizes: np.ndarray, goal: float) -> Iterator[tuple[int, int, float]]:
         """names: of the passages; sizes: how many of the terms each has."""
         none = len(self.ids)
+        kind = np.int32 if len(sizes) * (none + 1) < 1 << 31 else np.int64
         at = self.firsts[terms]
         while len(at):
             # cursors in the order of their items; the pivot is where the terms' largest impacts reach the goal
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            at = at[np.argsort(owner * (none + 1) + self.items[at])]
+            order = np.repeat(np.arange(len(sizes), dtype=kind) * kind(none + 1), sizes)
+            order += self.items[at]
+            at = at[np.argsort(order)]
             upper, ends = self.upper[at], np.cumsum(sizes)
             sums = np.cumsum(upper)
             pivot = np.searchsorted(sums, sums[ends - sizes] - upper[ends - sizes] + goal)
