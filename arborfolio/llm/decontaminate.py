@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from arborfolio.llm.shared import row_slices
+from arborfolio.llm.shared import kept_rows, row_slices
 
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -261,13 +261,10 @@ def drop_leaks(docs: DataFrame, index: ItemIndex, threshold: float = THRESHOLD,
     """The rows of docs, all columns, without those that hold a leaked item."""
     shipped = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in row_slices(whole, text_col, 2 << 20):
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not h for h in shipped.value.leaks(texts, threshold, question_share, answer_share)], pa.bool_()))
+    def clean(texts: list[str | None]) -> list[bool]:
+        return [not h for h in shipped.value.leaks(texts, threshold, question_share, answer_share)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, text_col, clean)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

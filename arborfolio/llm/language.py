@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfolio.llm.shared import discard, keep, label_sample, row_slices
+from arborfolio.llm.shared import discard, keep, kept_rows, label_sample, row_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -176,13 +176,10 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     """The rows of docs, all columns, whose text has a language (one of wanted, if given)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in row_slices(whole, text_col):
-                found = [x for x, _ in shipped.value.predict_all(batch.column(batch.schema.get_field_index(text_col)).to_pylist())]
-                yield batch.filter(pa.array([x != "und" and (wanted is None or x in wanted) for x in found], pa.bool_()))
+    def identified(texts: list[str | None]) -> list[bool]:
+        return [x != "und" and (wanted is None or x in wanted) for x, _ in shipped.value.predict_all(texts)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, text_col, identified)
 
 
 def learned_fold(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -99,6 +99,18 @@ def label_sample(df: DataFrame, key: str, label: str, bound: int) -> tuple[DataF
     return df.join(F.broadcast(shares), label).filter(chosen).select(df.columns), counts
 
 
+def kept_rows(docs: DataFrame, column: str, wanted: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of docs, all columns, of whose values in the column wanted() says so; columns may have any names."""
+    at, plain = docs.columns.index(column), docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_slices(whole, f"c{at}", 2 << 20):
+                yield batch.filter(pa.array(wanted(batch.column(at).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds few bytes of the column, one row at least."""
     sizes = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()] if batch.num_rows else []
