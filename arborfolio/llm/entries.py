@@ -12,9 +12,10 @@ from arborfolio.llm.secrets import op5_secret_scan
 from arborfolio.llm.token_files import op7_token_files
 from arborfolio.llm.toxicity import op2_toxicity
 from arborfolio.llm.urls import op1_url_filter
+from arborfolio.llm.valid_time import op11_valid_time_sales
 from arborfolio.llm.vector_search import op3_exact_top_k
 from arborfolio.llm.warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_exact_top_k, op4_decontamination, op5_secret_scan, op6_language_id, op7_token_files, op8_mixing, op9_warc, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_exact_top_k, op4_decontamination, op5_secret_scan, op6_language_id, op7_token_files, op8_mixing, op9_warc, op10_ngram_jaccard_join, op11_valid_time_sales)}
 
 __all__ = ["ORACLES", "QUERIES"]

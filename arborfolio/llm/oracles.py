@@ -68,4 +68,49 @@ SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles,
 FROM keyed k LEFT JOIN classes c ON k.set_key = c.set_key AND k.n > 0 LEFT JOIN components m ON c.id = m.id
 """
 
-ORACLES = {"op3_exact_top_k": EXACT_TOP_K, "op9_warc": WARC, "op10_ngram_jaccard_join": NGRAM_JACCARD_JOIN}
+#: The horizons are a row per batch. A client's versions in a batch: those of the batch, and of earlier ones all above the
+#: horizon of the batch before and the last up to it (pruning goes on horizon by horizon, which never falls). CRC-32 is
+#: computed bit by bit, as DuckDB has no function for it.
+VALID_TIME = """
+WITH sold AS (
+  SELECT sale_id, client_id, sold_at,
+    greatest(0, least(7, floor((date_diff('day', DATE '1970-01-01', CAST(arrived_at AS DATE)) - 19723) * 8 / 152))) AS arrival
+  FROM sales
+), hashed AS (
+  SELECT *, coalesce(list_reduce([4294967295] || list_transform(string_split(CAST(change_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT)),
+    (c, x) -> list_reduce([xor(c, x), 1, 2, 3, 4, 5, 6, 7, 8], (v, k) -> xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) AS register
+  FROM (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL)
+), changed AS (
+  SELECT change_id, client_id, seq, op, valid_at, balance, greatest(0, least(7, floor((date_diff('day', DATE '1970-01-01', CAST(valid_at AS DATE))
+    + xor(register, 4294967295) % 4 - 19723) * 8 / 152))) AS arrival
+  FROM hashed
+), marks AS (
+  SELECT b, coalesce((SELECT max(sold_at) FROM sold WHERE arrival < b) - INTERVAL 12 HOUR, TIMESTAMP '-infinity') AS sales_mark,
+    coalesce((SELECT max(valid_at) FROM changed WHERE arrival < b) - INTERVAL 12 HOUR, TIMESTAMP '-infinity') AS late_mark
+  FROM range(8) t(b)
+), horizons AS (
+  SELECT b, least(sales_mark, late_mark) AS h, late_mark FROM marks UNION ALL SELECT 8, TIMESTAMP 'infinity', NULL
+), versions AS (
+  SELECT c.* FROM changed c JOIN horizons ON b = arrival WHERE valid_at >= late_mark
+), emitted AS (
+  SELECT row_number() OVER () AS n, sale_id, any_value(client_id) AS client_id, any_value(sold_at) AS sold_at, min(b) AS b
+  FROM (SELECT row_number() OVER () AS one, * FROM sold) JOIN horizons ON b >= arrival AND (sold_at IS NULL OR sold_at < h)
+  GROUP BY one, sale_id
+), floors AS (
+  SELECT b + 1 AS b, client_id, max((valid_at, seq, change_id)) AS floor_key
+  FROM horizons JOIN versions ON arrival <= b AND valid_at <= h WHERE b < 8 GROUP BY ALL
+), held AS (
+  SELECT e.n, v.* FROM emitted e JOIN versions v ON v.client_id = e.client_id AND v.arrival <= e.b
+  LEFT JOIN floors f ON f.b = e.b AND f.client_id = e.client_id
+  WHERE v.arrival = e.b OR f.floor_key IS NULL OR (v.valid_at, v.seq, v.change_id) >= f.floor_key
+), found AS (
+  SELECT e.n, count(v.n) AS n_held, max(CASE WHEN v.valid_at <= e.sold_at THEN (v.valid_at, v.seq, v.change_id, v.op, v.balance) END) AS best
+  FROM emitted e LEFT JOIN held v ON v.n = e.n GROUP BY e.n
+)
+SELECT 'sale' AS rec, sale_id AS id, CAST(b AS BIGINT) AS batch, n_held, best[3] AS change_id, CAST(floor(100 * best[5] + 0.5) AS BIGINT) AS balance_cents, best[4] AS op
+FROM emitted JOIN found USING (n)
+UNION ALL
+SELECT 'late', change_id, CAST(arrival AS BIGINT), NULL, NULL, NULL, NULL FROM changed JOIN horizons ON b = arrival WHERE valid_at < late_mark
+"""
+
+ORACLES = {"op3_exact_top_k": EXACT_TOP_K, "op9_warc": WARC, "op10_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op11_valid_time_sales": VALID_TIME}

@@ -41,6 +41,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder to a path whose parent may be missing."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{source} can't be renamed to {target}")
+
+
 def small(table: DataFrame, most: int) -> DataFrame:
     """The table, to be broadcast if it has `most` rows at most."""
     return F.broadcast(table) if table.count() <= most else table
