@@ -3,6 +3,7 @@ tokenizer, a search index or a fitted subset takes part in each of the others, w
 
 from __future__ import annotations
 
+from arborfolio.llm.conversations import op13_conversation_repair
 from arborfolio.llm.decontaminate import op4_decontamination
 from arborfolio.llm.jaccard_join import op10_ngram_jaccard_join
 from arborfolio.llm.language import op6_language_id
@@ -16,6 +17,6 @@ from arborfolio.llm.valid_time import op11_valid_time_sales
 from arborfolio.llm.vector_search import op3_exact_top_k
 from arborfolio.llm.warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_exact_top_k, op4_decontamination, op5_secret_scan, op6_language_id, op7_token_files, op8_mixing, op9_warc, op10_ngram_jaccard_join, op11_valid_time_sales)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_exact_top_k, op4_decontamination, op5_secret_scan, op6_language_id, op7_token_files, op8_mixing, op9_warc, op10_ngram_jaccard_join, op11_valid_time_sales, op13_conversation_repair)}
 
 __all__ = ["ORACLES", "QUERIES"]

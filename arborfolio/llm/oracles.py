@@ -77,8 +77,8 @@ WITH sold AS (
     greatest(0, least(7, floor((date_diff('day', DATE '1970-01-01', CAST(arrived_at AS DATE)) - 19723) * 8 / 152))) AS arrival
   FROM sales
 ), hashed AS (
-  SELECT *, coalesce(list_reduce([4294967295] || list_transform(string_split(CAST(change_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT)),
-    (c, x) -> list_reduce([xor(c, x), 1, 2, 3, 4, 5, 6, 7, 8], (v, k) -> xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) AS register
+  SELECT *, coalesce(list_reduce([4294967295] || list_transform(string_split(CAST(change_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, x: list_reduce([xor(c, x), 1, 2, 3, 4, 5, 6, 7, 8], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) AS register
   FROM (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL)
 ), changed AS (
   SELECT change_id, client_id, seq, op, valid_at, balance, greatest(0, least(7, floor((date_diff('day', DATE '1970-01-01', CAST(valid_at AS DATE))
