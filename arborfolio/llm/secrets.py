@@ -20,12 +20,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN = r"[A-Za-z0-9][A-Za-z0-9+/_\-]*(?:\.[A-Za-z0-9+/_\-]{8,})*(?:={1,2}(?![A-Za-z0-9=]))?"
+#: Possessive, as nothing behind a group asks for less of it: a greedy group takes a stack frame for each time it is repeated.
+RUN = r"[A-Za-z0-9][A-Za-z0-9+/_\-]*+(?:\.[A-Za-z0-9+/_\-]{8,}+)*+(?:={1,2}(?![A-Za-z0-9=]))?"
 #: What a text with a run of 12 characters or more has.
 CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_\-.=]{11,}"
 
 #: Words of a text that are looked at in one row, so that the work on a word does not grow with its text.
 SECTION = 256
+#: Characters of a word above which it is cut into segments of RUNS runs, each a row, so that the work on a run does not grow with its word.
+LONG_WORD, RUNS = 2_048, 64
+SEGMENT = rf"((?:[^A-Za-z0-9]*+{RUN}){{1,{RUNS}}}+|[^A-Za-z0-9]++)"
+#: Characters on either side of a candidate that are returned and looked at.
+CONTEXT = 64
 
 #: Dictionary words, and the words that speak for or against a secret beside a candidate.
 DICTIONARY = ("access", "admin", "account", "article", "client", "code", "config", "content", "data", "default", "demo", "dummy", "example", "file", "group", "html", "http", "image", "index", "item", "key", "link", "list", "local", "main", "model", "name", "order", "page", "part", "password", "path", "placeholder", "private", "public", "report", "sample", "secret", "section", "server", "service", "table", "test", "text", "time", "title", "token", "type", "user", "value", "version", "www", "your")
@@ -193,7 +199,8 @@ def sections(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataFrame:
-    """Rows id, path, start, candidate, before, after. Before and after hold the rest of the candidate's own word too."""
+    """Rows id, path, start, candidate, before, after. Before and after hold two words and the rest of the candidate's own
+    word, CONTEXT characters at most."""
     split = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("text"), F.col(text_col).rlike(f"(?i){CREDENTIAL}").alias("near_credential"))
     split = sections(split.filter(F.col("near_credential") | F.col("text").rlike(CANDIDATE)))
     around = lambda i: F.array_join(F.slice("words", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)) + 1), " ")
@@ -211,17 +218,31 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path: Column) -> Dat
         ),
     )
     rows = split.select("id", "path", F.explode(placed).alias("x")).select("id", "path", "x.*")
-    # the runs of a word, in order, with what of the word is before them
+    rows = rows.select("id", "path", "start", "w", F.when(F.col("before") != "", F.concat(F.right("before", F.lit(CONTEXT)), F.lit(" "))).otherwise("").alias("before"), F.left("after", F.lit(CONTEXT)).alias("after"))
+    rows = segments(rows)
+    # the runs of a segment, in order, with what of it is before them
     runs, gaps = F.regexp_extract_all("w", F.lit(f"({RUN})"), F.lit(1)), F.split(F.col("w"), RUN, -1)
     rows = rows.withColumn("runs", runs).withColumn("sums", ends(F.zip_with("runs", gaps, lambda r, g: F.coalesce(F.length(r), F.lit(0)) + F.length(g))))
     each = F.transform("runs", lambda r, k: F.struct(r.alias("candidate"), (F.get("sums", k + 1) - F.length(r)).alias("lead")))
     rows = rows.select("start", "id", "path", "w", "before", "after", F.explode(each).alias("x")).select("*", "x.*")
-    before = F.concat(F.when(F.col("before") != "", F.concat("before", F.lit(" "))).otherwise(""), F.substr("w", F.lit(1), F.col("lead")))
-    after = F.concat(F.substr("w", F.col("lead") + 1 + F.length("candidate")), F.lit(" "), "after")
+    near = F.least("lead", F.lit(CONTEXT))
+    before = F.right(F.concat("before", F.substr("w", F.col("lead") - near + 1, near)), F.lit(CONTEXT))
+    after = F.left(F.concat(F.substr("w", F.col("lead") + 1 + F.length("candidate"), F.lit(CONTEXT)), F.lit(" "), "after"), F.lit(CONTEXT))
     rows = rows.select("id", "path", (F.col("start") + F.col("lead")).cast("long").alias("start"), "candidate", before.alias("before"), after.alias("after"))
     return rows.filter((F.length("candidate") >= 12) | F.lower("before").rlike(AFTER_CREDENTIAL))
 
 
+def segments(rows: DataFrame) -> DataFrame:
+    """Rows start, w, before, after and others, long words cut between runs: before and after hold what is beside a segment."""
+    rows = rows.withColumn("cut", F.when(F.length("w") > LONG_WORD, F.regexp_extract_all("w", F.lit(SEGMENT), F.lit(1))).otherwise(F.array("w")))
+    rows = rows.withColumn("ats", ends(F.transform("cut", F.length)))
+    side = lambda i: F.coalesce(F.get("cut", i), F.lit(""))
+    part = F.transform("cut", lambda w, i: F.struct(w.alias("w"), F.get("ats", i).alias("at"), F.right(side(i - 1), F.lit(CONTEXT)).alias("last"), F.left(side(i + 1), F.lit(CONTEXT)).alias("next")))
+    rows = rows.select("id", "path", "start", F.col("before").alias("lead"), F.col("after").alias("rest"), F.explode(part).alias("x")).select("*", "x.*")
+    after = F.when(F.col("next") == "", F.col("rest")).otherwise(F.concat("next", F.lit(" "), "rest"))
+    return rows.select("id", "path", (F.col("start") + F.col("at")).alias("start"), "w", F.concat("lead", "last").alias("before"), after.alias("after"))
+
+
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
     """Rows id, start, length, candidate, before, after, score (1: a secret), is_secret, for every candidate."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")

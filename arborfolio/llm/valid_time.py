@@ -317,7 +317,8 @@ def _horizons(ends: dict, batches: int, delay_us: int) -> list[tuple[int, int, i
 
 def _run_batch(spark: SparkSession, fed: str, state: str, out: str, n_keys: int) -> None:
     """Start the stream on its checkpoint, let it take what has been fed, and wait until it has ended."""
-    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys))}
+    # a state store asks for megabytes of disk ahead of need otherwise, one for each partition
+    settings = {"spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys))}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -341,7 +342,7 @@ def _resolved(out: DataFrame) -> DataFrame:
     sums = pages.groupBy("client", "batch").agg(F.sum("n_held").alias("others"), F.max("floor").alias("floor"))
     parts = out.filter("rec = 'part'").select("id", "batch", "client", "slice", "at", version("v").alias("own"))
     floor = F.when(F.col("floor.at") <= F.col("at"), F.col("floor"))
-    whole = parts.join(slices.join(sums, ["client", "batch"]), ["client", "batch", "slice"])
+    whole = parts.join(slices.hint("merge").join(sums.hint("merge"), ["client", "batch"]).hint("merge"), ["client", "batch", "slice"])
     return done.unionByName(whole.select(F.lit("sale").alias("rec"), "id", "batch", (F.col("others") + F.col("floor").isNotNull().cast("long")).alias("n_held"), F.greatest("own", "earlier", floor).alias("version")))
 
 

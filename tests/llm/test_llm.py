@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -296,10 +297,9 @@ def test_secrets(spark):
     assert sum(r.doc_id == 4 for r in got) == 2 and secrets.scan(docs.limit(0), model).count() == 0
 
 
-def test_candidates_of_the_tables_equal_brute_force(spark):
+def brute_candidates(rows):
     want = set()
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for r in docs.select("doc_id", "text").collect():
+    for r in rows:
         words, at = re.split(r"[ \t\n\x0b\f\r]", r.text or ""), 0
         for i, word in enumerate(words):
             for m in re.finditer(secrets.RUN, word):
@@ -307,10 +307,44 @@ def test_candidates_of_the_tables_equal_brute_force(spark):
                 if len(m[0]) >= 12 or re.search(secrets.AFTER_CREDENTIAL, before.lower(), re.ASCII):
                     want.add((r.doc_id, at + m.start(), m[0]))
             at += len(word) + 1
+    return want
+
+
+def test_candidates_of_the_tables_equal_brute_force(spark):
+    want = brute_candidates(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     got = [(r.doc_id, r.start, r.candidate) for r in QUERIES["op5_secret_scan"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 1_000
 
 
+def test_candidates_in_long_words(spark):
+    draw = random.Random(4)
+    mixed = lambda n: "".join(draw.choice(["abcdefghijkl", "Key9", ":", '"', "{", "token=", "==", ".", "-x_y/z+", "abcdefgh.ijklmnop", "password:", "q"]) for _ in range(n))
+    texts = ["abcdefgh." * 60_000, *(mixed(4_000) for _ in range(3)), "a " + mixed(1_500) + " secret: abc", "x" * 300_000, '"' * 5_000 + "tail12345678", "abcdefghijkl" + "." * 5_000]
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.candidates(docs, "doc_id", "text", F.lit("")).collect()
+    assert {(r.id, r.start, r.candidate) for r in got if r.id < 2} == {(0, 0, texts[0][:-1])} | {x for x in brute_candidates(docs.collect()) if x[0] == 1}
+    # what a credential word does beyond CONTEXT characters is not looked at, so that the brute force may find more
+    want = brute_candidates(docs.collect())
+    found = {(r.id, r.start, r.candidate) for r in got}
+    assert len(found) == len(got) and found <= want and {x for x in want if len(x[2]) >= 12} <= found
+    for r in got:
+        assert max(len(r.before), len(r.after)) <= secrets.CONTEXT
+        assert texts[r.id][: r.start].split(" ")[-1].endswith(r.before.split(" ")[-1])
+
+
+def test_candidates_of_a_huge_word_take_linear_time(spark):
+    """Minified JSON of one word; and a dotted word of millions of characters."""
+    def took(n):
+        docs = frame(spark, [(1, '{"key":' + ",".join(f'"name{i}":"value{i}abcdef"' for i in range(n)) + "}"), (2, "abcdefgh." * (20 * n))], "doc_id long, text string")
+        began = time.perf_counter()
+        assert secrets.candidates(docs, "doc_id", "text", F.lit("")).selectExpr("count(*)", "sum(length(before) + length(after))").first()[0] == n + 1
+        return time.perf_counter() - began
+
+    took(1_000)
+    small, large = took(50_000), took(200_000)
+    assert large < 8 * small + 5
+
+
 def test_forest_on_held_out_rows(spark):
     rows = secrets.labelled_findings(spark)
     held = F.crc32(F.concat("candidate", "path", "after").cast("binary")) % 4 == 0
