@@ -3,9 +3,9 @@
 A document's size is its number of words. Targets fill the budget by weight, none above `most` times its source's size;
 what is above goes to the others by weight until none is. A source takes every document floor(target / size) times. The
 rest of its target is fitted on the counts of documents by exact size: a bounded-knapsack table finds the counts that come
-nearest to it. Of a rest above TABLE words, what is above TABLE is first taken as an equal share of every size, rounded
-down; the table then has all documents that are left. So the sum is the nearest possible one if the rest is TABLE words at
-most, and otherwise the nearest one with these shares.
+nearest to it. Of a rest above TABLE words, what is above TABLE is first taken as an equal share of every size, rounded by
+largest remainder; the table then has all documents that are left, and 2 * TABLE sums at most. So the sum is the nearest
+possible one if the rest is TABLE words at most, and otherwise the nearest one with these shares.
 
 In a size, the documents with the smallest seeded hashes of id and text are taken: the hash of the last one is found from
 counts of hashes, so that documents are neither sorted nor shuffled, and each is held against its size's bound.
@@ -18,6 +18,8 @@ table gives no rows. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,41 +59,67 @@ def fill_targets(sizes: list[int], weights: list[float], budget: float, most: fl
     return targets
 
 
+def filled(lengths: list[int], counts: list[int], budget: int, table: int) -> list[int]:
+    """How many documents of each length to take before the table: for what is above `table` words the same share of each
+    length, rounded down, then one more of each by largest remainder, then more of the longest, until `table` words or less
+    are left or no document fits into what is left."""
+    total, over = sum(x * c for x, c in zip(lengths, counts, strict=True)), budget - table
+    take = [c * over // total if x else 0 for x, c in zip(lengths, counts, strict=True)]
+    left = budget - sum(x * t for x, t in zip(lengths, take, strict=True))
+    for i in sorted((i for i, x in enumerate(lengths) if x and take[i] < counts[i]), key=lambda i: (-(counts[i] * over % total), -lengths[i])):
+        if left <= table:
+            break
+        if lengths[i] <= left:
+            take[i] += 1
+            left -= lengths[i]
+    for i in sorted((i for i, x in enumerate(lengths) if x and take[i] < counts[i]), key=lambda i: -lengths[i]):
+        if left <= table:
+            break
+        n = min(counts[i] - take[i], left // lengths[i], -(-(left - table) // lengths[i]))
+        take[i] += n
+        left -= n * lengths[i]
+    return take
+
+
 def fit_budget(lengths: list[int], counts: list[int], budget: int, table: int = TABLE) -> list[int]:
     """How many documents of each length to take, at most its count, so that their words come nearest to the budget (of two
-    sums as near, the smaller one): over all choices if the budget is `table` at most, else over those that take the same
-    share of each length for what is above."""
+    sums as near, the smaller one): over all choices if the budget is `table` at most, else over those that begin with what
+    filled() takes. The table has a bit for each sum, and which step made it: 2 * `table` sums at most."""
     total = sum(x * c for x, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return [c if x else 0 for x, c in zip(lengths, counts, strict=True)]
-    take = [c * (budget - table) // total if x and budget > table else 0 for x, c in zip(lengths, counts, strict=True)]
+    take = filled(lengths, counts, budget, table) if budget > table else [0] * len(lengths)
     left = budget - sum(x * t for x, t in zip(lengths, take, strict=True))
     free = sorted((i for i, x in enumerate(lengths) if x and take[i] < counts[i] and x <= 2 * left), key=lambda i: -lengths[i])
     if left <= 0 or not free:
         return take
-    # step[s]: the step that first made the sum s, of so many documents of one length; a sum is made from those of earlier steps
-    limit = min(2 * left, left + lengths[free[0]])
+    if left > table:  # every document that is left is longer than what is left: one of them, or none
+        best = min(free, key=lambda i: (lengths[i] - left, lengths[i]))
+        take[best] += lengths[best] - left < left
+        return take
+    # step[s]: the step that first made the sum s, of so many documents of one length; a sum is made from those of earlier
+    # steps. Sums are counted in units of what divides all lengths.
+    unit = math.gcd(*(lengths[i] for i in free))
+    limit, nearest = min(2 * left, left + lengths[free[0]]) // unit, (left + (unit - 1) // 2) // unit
     step, steps = np.zeros(limit + 1, np.int32), [(0, 0)]
-    made = np.zeros(limit + 1, bool)
-    made[0] = True
+    made, within = 1, (1 << (limit + 1)) - 1
     for i in free:
-        rest, part = min(counts[i] - take[i], limit // lengths[i]), 1
-        while rest and not made[left]:
+        size = lengths[i] // unit
+        rest, part = min(counts[i] - take[i], limit // size), 1
+        while rest and not made >> nearest & 1:
             n = min(part, rest)
-            words = n * lengths[i]
-            new = made[: limit + 1 - words] & ~made[words:]
-            if new.any():
-                step[words:][new] = len(steps)
-                made[words:] |= new
+            if new := (made << n * size) & within & ~made:
+                step[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(limit // 8 + 1, "little"), np.uint8), bitorder="little"))] = len(steps)
+                made |= new
                 steps.append((i, n))
             rest -= n
             part *= 2
-    sums = np.flatnonzero(made)
-    goal = int(sums[np.lexsort((sums, np.abs(sums - left)))[0]])
+    sums = np.append(0, np.flatnonzero(step))
+    goal = int(sums[np.lexsort((sums, np.abs(sums * unit - left)))[0]])
     while goal:
         i, n = steps[step[goal]]
         take[i] += n
-        goal -= n * lengths[i]
+        goal -= n * lengths[i] // unit
     return take
 
 
@@ -156,7 +184,7 @@ def _taken(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, list[str]]:
     tied, path = keep(joined.filter(~even).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "mix-ties")
     parts = tied.groupBy("_source", "_size", "_part").agg(F.count("*").alias("_here"))
     parts = parts.withColumn("_before", F.sum("_here").over(Window.partitionBy("_source", "_size").orderBy("_part")) - F.col("_here"))
-    parts = F.broadcast(parts.select(F.col("_source").alias("t_source"), F.col("_size").alias("t_size"), F.col("_part").alias("t_part"), "_before"))  # a row per size and partition
+    parts = small(parts.select(F.col("_source").alias("t_source"), F.col("_size").alias("t_size"), F.col("_part").alias("t_part"), "_before"), BROADCAST_ROWS)  # a row per size and partition
     number = F.col("_before") + F.row_number().over(Window.partitionBy("_source", "_size", "_part").orderBy("_place"))
     ranked = tied.join(parts, tied["_source"].eqNullSafe(F.col("t_source")) & (F.col("_size") == F.col("t_size")) & (F.col("_part") == F.col("t_part")))
     copies = F.col("whole") + F.when(number <= F.col("ties"), 1).otherwise(0)

@@ -513,6 +513,21 @@ def test_fit_budget_beyond_the_table():
         assert sum(x * t for x, t in zip(lengths, take, strict=True)) == budget
 
 
+def test_fit_budget_has_a_bounded_table():
+    for lengths, per in ((range(1, 20_001), 1), (range(1, 20_001), 3), (range(2, 40_002, 2), 3)):
+        lengths, counts = list(lengths), [per] * 20_000
+        budget = sum(lengths) * per // 2 + 7
+        began = time.perf_counter()
+        before = mixing.filled(lengths, counts, budget, mixing.TABLE)
+        assert budget - sum(x * t for x, t in zip(lengths, before, strict=True)) <= mixing.TABLE
+        take = mixing.fit_budget(lengths, counts, budget)
+        assert abs(sum(x * t for x, t in zip(lengths, take, strict=True)) - budget) <= budget % lengths[0]
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+        assert time.perf_counter() - began < 10
+    # documents longer than the table: the nearest of none and one more
+    assert mixing.fit_budget([5, 2_000_000, 3_000_000], [2, 4, 4], 9_500_000) == [2, 2, 2]
+
+
 def test_targets():
     assert mixing.fill_targets([10, 100], [3, 1], 165) == [20, 145]
     assert mixing.fill_targets([], [], 0) == [] and mixing.fill_targets([0, 0], [3, 1], 0) == [0, 0]
