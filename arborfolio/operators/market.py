@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from arborfolio.config import EPSILON, CalculationError, DampenConfig, DataValidationError, make_dampen_config
 from arborfolio.functions.columns import capped, month_of, ratio
 from arborfolio.operators.checks import validate_close_prices, validate_dampening_input, validate_returns
+from arborfolio.operators.sliding import by_time_range, sliding_medians
 
 
 def _before(column: str) -> Column:
@@ -39,46 +40,53 @@ def _middle(values: Column) -> Column:
     return (F.element_at(values, ((n + 1) / 2).cast("int")) + F.element_at(values, (n / 2).cast("int") + 1)) / 2
 
 
-def trailing_median(returns: DataFrame, config: DampenConfig | dict | None = None, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """Adds med and mad of the window rows that end at each row; null where the frame is shorter."""
+def trailing_median(returns: DataFrame, config: DampenConfig | dict | None = None, keys: tuple[str, ...] = ("asset",), block_rows: int | None = None) -> DataFrame:
+    """Adds med and mad of the window rows that end at each row; null where the frame is shorter. block_rows: as for dampen()."""
     window = make_dampen_config(config).window
-    frame = Window.partitionBy(*keys).orderBy("date").rowsBetween(1 - window, 0)
-    rows = returns.withColumn("frame", F.array_sort(F.collect_list("r").over(frame)))
-    rows = rows.withColumn("med", F.when(F.size("frame") == window, _middle(F.col("frame"))))
-    spread = F.array_sort(F.transform("frame", lambda x: F.abs(x - F.col("med"))))
-    return rows.withColumn("mad", F.when(F.col("med").isNotNull(), _middle(spread))).drop("frame")
+    none = F.lit(None).cast("double")
+    wide = returns.withColumn("med", none).withColumn("mad", none)
+
+    def medians(rows: pd.DataFrame) -> pd.DataFrame:
+        med, mad = sliding_medians(rows["r"].to_numpy(float), window)
+        short = [None] * (len(rows) - len(med))
+        return rows.assign(med=pd.array([*short, *med], "Float64"), mad=pd.array([*short, *mad], "Float64"))
+
+    if block_rows is not None:
+        return by_time_range(wide, keys, block_rows, window - 1, medians)
+    return wide.groupBy(*keys).applyInPandas(lambda rows: medians(rows.sort_values("date")), wide.schema)
 
 
 def dampen_native(returns: DataFrame, config: DampenConfig | dict | None = None, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
     """dampen() by window functions: every row sorts its own frame, which costs much more than the kernel."""
     config = make_dampen_config(config)
-    rows = trailing_median(returns, config, keys)
+    frame = Window.partitionBy(*keys).orderBy("date").rowsBetween(1 - config.window, 0)
+    rows = returns.withColumn("frame", F.array_sort(F.collect_list("r").over(frame)))
+    rows = rows.withColumn("med", F.when(F.size("frame") == config.window, _middle(F.col("frame"))))
+    spread = F.array_sort(F.transform("frame", lambda x: F.abs(x - F.col("med"))))
+    rows = rows.withColumn("mad", F.when(F.col("med").isNotNull(), _middle(spread)))
     r = F.when(F.col("med").isNull(), F.col("r")).otherwise(capped(F.col("med"), F.col("mad"), F.col("r"), config.threshold))
-    return rows.withColumn("r", r).drop("med", "mad")
+    return rows.withColumn("r", r).drop("med", "mad", "frame")
 
 
-def dampen(returns: DataFrame, config: DampenConfig | dict | None = None, keys: tuple[str, ...] = ("asset",), check: bool = True) -> DataFrame:
+def dampen(returns: DataFrame, config: DampenConfig | dict | None = None, keys: tuple[str, ...] = ("asset",), check: bool = True, block_rows: int | None = None) -> DataFrame:
     """The same rows, r drawn towards its trailing median where it is far away. Frames hold the raw series. A group is the
-    series of one asset, which has a row per date."""
+    series of one asset, which has a row per date; with block_rows it is a time range of about so many rows of it, with the
+    window - 1 rows before them."""
     config = make_dampen_config(config)
     if check:
         validate_dampening_input(returns)
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        return rows.assign(r=dampen_matrix(rows["r"].to_numpy(float)[:, None], config)[:, 0])
+        return rows.assign(r=dampen_series(rows["r"].to_numpy(float), config))
 
-    return returns.groupBy(*keys).applyInPandas(draw, returns.schema)
+    if block_rows is not None:
+        return by_time_range(returns, keys, block_rows, config.window - 1, draw)
+    return returns.groupBy(*keys).applyInPandas(lambda rows: draw(rows.sort_values("date")), returns.schema)
 
 
-def dampen_matrix(r: np.ndarray, config: DampenConfig) -> np.ndarray:
-    """Columns are assets; frames are views of the raw series."""
+def dampen_series(r: np.ndarray, config: DampenConfig) -> np.ndarray:
     w, out = config.window, r.copy()
-    if len(r) < w:
-        return out
-    frames = np.lib.stride_tricks.sliding_window_view(r, w, axis=0)
-    med = np.median(frames, axis=-1)
-    mad = np.median(np.abs(frames - med[..., None]), axis=-1)
+    med, mad = sliding_medians(r, w)
     off = r[w - 1 :] - med
     far = (mad > EPSILON) & (np.abs(off) > config.threshold * mad)
     z = np.abs(off[far]) / mad[far]
@@ -86,6 +94,11 @@ def dampen_matrix(r: np.ndarray, config: DampenConfig) -> np.ndarray:
     return out
 
 
+def dampen_matrix(r: np.ndarray, config: DampenConfig) -> np.ndarray:
+    """Columns are assets."""
+    return np.stack([dampen_series(x, config) for x in r.T], axis=1) if r.size else r.copy()
+
+
 def monthly_realized_cov(returns: DataFrame, check: bool = True) -> DataFrame:
     """Rows month, i, j (i <= j), cov: sums of products of returns, not demeaned."""
     if check:

@@ -177,6 +177,18 @@ def dampened_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(market.dampen(market.log_returns(panels.daily_panel(spark, sf_dir), check=False), {"window": 126, "threshold": 3.0}, check=False))
 
 
+@query
+def dampened_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dampened_daily by time ranges: no brand's series is one task."""
+    return tidy(market.dampen(market.log_returns(panels.daily_panel(spark, sf_dir), check=False), {"window": 126, "threshold": 3.0}, check=False, block_rows=160))
+
+
+@query
+def trailing_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing medians and median deviations of brands by day, window 63, by time ranges shorter than the window."""
+    return tidy(market.trailing_median(market.log_returns(panels.daily_panel(spark, sf_dir), check=False), DAMPEN, block_rows=40))
+
+
 @query
 def daily_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly covariances of brands by day."""

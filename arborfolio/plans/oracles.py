@@ -151,6 +151,7 @@ ORACLES |= {
     "rolling_mad": f"{FRET} SELECT date, asset, CASE WHEN count(*) OVER w = 63 THEN {r('mad(x) OVER w')} END AS mad FROM ret {W63}",
     "dampened_returns": f"{FRET} SELECT date, asset, {r('CASE WHEN n = 63 AND s > 1e-12 AND abs(x - m) > 3 * s THEN m + sign(x - m) * s * (3 + ln(greatest(abs(x - m) / s - 2, 1))) ELSE x END')} AS r FROM (SELECT date, asset, x, median(x) OVER w AS m, mad(x) OVER w AS s, count(*) OVER w AS n FROM ret {W63})",
     "dampened_daily": f"WITH {DX}, ret AS MATERIALIZED (SELECT * FROM (SELECT date, asset, ln(price / lag(price) OVER (PARTITION BY asset ORDER BY date)) AS x FROM dx) WHERE x IS NOT NULL) SELECT date, asset, {r('CASE WHEN n = 126 AND s > 1e-12 AND abs(x - m) > 3 * s THEN m + sign(x - m) * s * (3 + ln(greatest(abs(x - m) / s - 2, 1))) ELSE x END')} AS r FROM (SELECT date, asset, x, median(x) OVER w AS m, mad(x) OVER w AS s, count(*) OVER w AS n FROM ret WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 125 PRECEDING AND CURRENT ROW))",
+    "trailing_ranges": f"WITH {DX}, ret AS MATERIALIZED (SELECT * FROM (SELECT date, asset, ln(price / lag(price) OVER (PARTITION BY asset ORDER BY date)) AS x FROM dx) WHERE x IS NOT NULL) SELECT date, asset, {r('x')} AS r, {r('CASE WHEN n = 63 THEN m END')} AS med, {r('CASE WHEN n = 63 THEN s END')} AS mad FROM (SELECT date, asset, x, median(x) OVER w AS m, mad(x) OVER w AS s, count(*) OVER w AS n FROM ret WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))",
     "daily_cov": f"WITH {DX}, ret AS MATERIALIZED (SELECT * FROM (SELECT date, asset, ln(price / lag(price) OVER (PARTITION BY asset ORDER BY date)) AS x FROM dx) WHERE x IS NOT NULL) SELECT CAST(date_trunc('month', a.date) AS DATE) AS month, a.asset AS i, b.asset AS j, {r('sum(a.x * b.x)')} AS cov FROM ret a JOIN ret b ON a.date = b.date AND a.asset <= b.asset GROUP BY 1, 2, 3",
     "validation_outcomes": f"""WITH {PX}, two AS (SELECT * FROM px WHERE asset IN (SELECT DISTINCT asset FROM px ORDER BY asset LIMIT 2)), whole AS MATERIALIZED (SELECT * FROM two WHERE date IN (SELECT date FROM two GROUP BY date HAVING count(*) = 2)),
 cases AS (SELECT 'whole' AS name, * FROM whole UNION ALL SELECT 'twice', * FROM whole UNION ALL SELECT 'twice', * FROM (SELECT * FROM whole LIMIT 1) UNION ALL SELECT 'negative', date, asset, CASE WHEN asset = 'Brand#11' THEN -price ELSE price END FROM whole
@@ -203,3 +204,4 @@ SELECT *, 'left' AS side FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION
 
 _TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 ORACLES["panel_wide"] = f'WITH {TX} SELECT date AS "Date", ' + ", ".join(f"""max(price) FILTER (asset = '{t}') AS "{t}\"""" for t in _TYPES) + " FROM tx GROUP BY 1"
+ORACLES["dampened_ranges"] = ORACLES["dampened_daily"]
