@@ -149,9 +149,13 @@ class Enrich(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frames = list(rows)
+        ticks = pd.concat([f[f["kind"] == TICK] for f in frames]).sort_values("batch")
+        for batch, horizon, late_below in zip(ticks["batch"].tolist(), ticks["at"].tolist(), ticks["seq"].tolist(), strict=True):
+            yield from self._batch(key, frames, batch, horizon, late_below)
+            frames = []  # the end follows the last batch at once, without rows of its own
+
+    def _batch(self, key: tuple, frames: list[pd.DataFrame], batch: int, horizon: int, late_below: int) -> Iterator[pd.DataFrame]:
         kinds = [f["kind"].to_numpy() for f in frames]
-        tick = next(f[k == TICK].iloc[0] for f, k in zip(frames, kinds, strict=True) if (k == TICK).any())
-        batch, horizon, late_below = int(tick["batch"]), int(tick["at"]), int(tick["seq"])
         known = Directory(self.directory.get())
         versions, waiting = Pages(self.versions, known.versions, VERSIONS), Pages(self.waiting, known.waiting, SALES)
         whole = key[1] == WHOLE
@@ -297,8 +301,10 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int, delay_us: i
     n_keys = keys.count() if total else 0
     if n_keys:
         ticks.write.partitionBy("batch").mode("append").option("compression", "zstd").parquet(staged)
-        for batch in range(batches + 1):
+        for batch in range(batches):
             move(spark, f"{staged}/batch={batch}", f"{fed}/batch={batch}")
+            if batch == batches - 1:
+                move(spark, f"{staged}/batch={batches}", f"{fed}/batch={batches}")
             _run_batch(spark, fed, state, out, n_keys)
     else:
         spark.createDataFrame([], OUT).write.parquet(out)
@@ -317,8 +323,17 @@ def _horizons(ends: dict, batches: int, delay_us: int) -> list[tuple[int, int, i
 
 def _run_batch(spark: SparkSession, fed: str, state: str, out: str, n_keys: int) -> None:
     """Start the stream on its checkpoint, let it take what has been fed, and wait until it has ended."""
-    # a state store asks for megabytes of disk ahead of need otherwise, one for each partition
-    settings = {"spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys))}
+    store = {
+        "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "rocksdb.changelogCheckpointing.enabled": "true",
+        # a start has one batch: stores are closed behind it, and share one memory
+        "unloadOnCommit": "true",
+        "rocksdb.boundedMemoryUsage": "true",
+        "rocksdb.maxMemoryUsageMB": "256",
+        # a store asks for megabytes of disk ahead of need otherwise, each partition's for itself
+        "rocksdb.allowFAllocate": "false",
+    }
+    settings = {f"spark.sql.streaming.stateStore.{k}": v for k, v in store.items()} | {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys))}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
