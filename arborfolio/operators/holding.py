@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from arborfolio.config import EPSILON, CalculationError
 from arborfolio.functions.columns import month_of, not_finite
+from arborfolio.operators.scan import running
 
 
 def held_values(panel: DataFrame, dates: DataFrame, moments: DataFrame, weights: DataFrame) -> DataFrame:
     """weights: rid, variant, asset, weight. Rows rid, variant, asset, date, v: weight times growth since the month's start.
     The panel meets its months, and the dates before them, by equal keys; both have a row per month and are broadcast."""
-    before = dates.select("date").distinct().select("date", F.lag("date").over(Window.orderBy("date")).alias("p0"))  # a row per date
+    before = running(dates.select("date").distinct(), "date", F.trunc("date", "year"), p0=("before", F.col("date")))
     starts = moments.select("rid", F.col("eff").alias("date")).join(before, "date").select("rid", F.col("p0").alias("date"))
     start = panel.join(F.broadcast(starts), "date").select("rid", "asset", F.col("price").alias("start"))
     spans = moments.select("rid", "month", "eff", "hold_end")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from arborfolio.config import EPSILON, CalculationError, DampenConfig, DataValidationError, make_dampen_config
 from arborfolio.functions.columns import capped, month_of, ratio
 from arborfolio.operators.checks import validate_close_prices, validate_dampening_input, validate_returns
+from arborfolio.operators.scan import numbered
 from arborfolio.operators.sliding import by_time_range, sliding_medians
 
 
@@ -111,7 +112,7 @@ def monthly_realized_cov(returns: DataFrame, check: bool = True) -> DataFrame:
 
 def window_cov(monthly: DataFrame, months: int) -> DataFrame:
     """Rows month, i, j, cov: sums over the given number of months before each month that has so many."""
-    index = monthly.select("month").distinct().withColumn("k", F.row_number().over(Window.orderBy("month")))
+    index = numbered(monthly, "month")
     rows = monthly.join(F.broadcast(index), "month")  # a row per month
     frame = Window.partitionBy("i", "j").orderBy("k").rangeBetween(-months, -1)
     return rows.withColumn("cov", F.sum("cov").over(frame)).filter(F.col("k") > months).select("month", "i", "j", "cov")
@@ -132,7 +133,8 @@ def correlation(cov: DataFrame, key: str = "month", check: bool = True) -> DataF
 def month_calendar(dates: DataFrame) -> DataFrame:
     """Rows k, Month, EffectiveDate, HoldingEndDate of the months that have dates."""
     months = dates.select("date").distinct().groupBy(month_of(F.col("date")).alias("Month")).agg(F.min("date").alias("EffectiveDate"), F.max("date").alias("HoldingEndDate"))
-    return months.withColumn("k", F.row_number().over(Window.orderBy("Month")))  # a row per month
+    rows = months.agg(F.array_sort(F.collect_list(F.struct("Month", "EffectiveDate", "HoldingEndDate"))).alias("m"))  # a row per month
+    return rows.select(F.posexplode("m").alias("k", "x")).select("x.*", (F.col("k") + 1).alias("k"))
 
 
 def combine_panels(base: DataFrame, supplemental: DataFrame) -> DataFrame:

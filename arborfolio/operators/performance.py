@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborfolio.config import EPSILON, YEAR_DAYS, YEAR_MONTHS, CalculationError, DataValidationError
+from arborfolio.functions.columns import month_of, ratio
 from arborfolio.operators.checks import prepare_benchmark, prepare_comparison_dates
+from arborfolio.operators.scan import running
 
 BENCHMARK = "SP100Benchmark"
 
 
-def drawdowns(path: DataFrame, keys: tuple[str, ...], order: str, value: str = "NetReturn", base: bool = False) -> DataFrame:
-    """Adds value, drawdown: V over its running maximum less 1. base: the start value 1 counts as a maximum too."""
+def drawdowns(path: DataFrame, keys: tuple[str, ...], order: str, value: str = "NetReturn", base: bool = False, part: Column | None = None) -> DataFrame:
+    """Adds value, drawdown: V over its running maximum less 1. base: the start value 1 counts as a maximum too. part: of the
+    order, so that a series is a task for each part and not one."""
+    if part is not None:
+        rows = running(path, order, part, keys, value=("product", 1 + F.col(value)))
+        rows = running(rows, order, part, keys, _peak=("max", F.col("value")))
+        peak = F.greatest("_peak", F.lit(1.0)) if base else F.col("_peak")
+        return rows.withColumn("drawdown", F.col("value") / peak - 1).drop("_peak")
     w = Window.partitionBy(*keys).orderBy(order)
     rows = path.withColumn("value", F.product(1 + F.col(value)).over(w))
     peak = F.max("value").over(w)
@@ -47,8 +55,8 @@ def benchmark_daily(prices: DataFrame, comparison_dates: DataFrame, check: bool
     if check:
         prepare_benchmark(prices)
         prepare_comparison_dates(comparison_dates)
-    w = Window.orderBy("date")  # a row per trading date
-    returns = prices.select("date", (F.col("price") / F.lag("price").over(w) - 1).alias("r"))
+    month = month_of(F.col("date"))
+    returns = running(prices.select("date", "price"), "date", month, p0=("before", F.col("price"))).select("date", (ratio(F.col("price"), F.col("p0")) - 1).alias("r"))
     rows = comparison_dates.select("date").join(returns, "date", "left")
     if check:
         missing = [str(r.date) for r in rows.filter("r is null").orderBy("date").limit(10).collect()]
@@ -56,14 +64,14 @@ def benchmark_daily(prices: DataFrame, comparison_dates: DataFrame, check: bool
             raise DataValidationError("the benchmark lacks dates", dates=missing)
         if rows.filter("r <= -1 or isnan(r)").limit(1).count():
             raise CalculationError("a benchmark return is -100% or less")
-    value = F.product(1 + F.col("r")).over(w)
-    return rows.select(F.col("date").alias("Date"), F.col("r").alias("GrossReturn"), F.lit(0.0).alias("TransactionCost"), F.col("r").alias("NetReturn"), value.alias("GrossValue"), value.alias("NetValue"))
+    rows = running(rows, "date", month, value=("product", 1 + F.col("r")))
+    return rows.select(F.col("date").alias("Date"), F.col("r").alias("GrossReturn"), F.lit(0.0).alias("TransactionCost"), F.col("r").alias("NetReturn"), F.col("value").alias("GrossValue"), F.col("value").alias("NetValue"))
 
 
 def benchmark_monthly(daily: DataFrame) -> DataFrame:
     months = daily.groupBy(F.trunc("Date", "MM").alias("Month")).agg(F.min("Date").alias("EffectiveDate"), (F.product(1 + F.col("GrossReturn")) - 1).alias("GrossReturn"))
-    w = Window.orderBy("Month")  # a row per month
-    return months.select("Month", "EffectiveDate", "GrossReturn", F.lit(0.0).alias("TransactionCost"), F.col("GrossReturn").alias("NetReturn"), F.product(1 + F.col("GrossReturn")).over(w).alias("NetValue"))
+    months = running(months, "Month", F.trunc("Month", "year"), NetValue=("product", 1 + F.col("GrossReturn")))
+    return months.select("Month", "EffectiveDate", "GrossReturn", F.lit(0.0).alias("TransactionCost"), F.col("GrossReturn").alias("NetReturn"), "NetValue")
 
 
 def compare(paths: dict[str, DataFrame], key: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import date, timedelta
+from itertools import accumulate
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborfolio.config import DataValidationError
 from arborfolio.functions.columns import month_of
-from arborfolio.operators.market import month_calendar
 
 COMPLETE, INCOMPLETE, NO_PRICES = "EligibleCompleteEstimationAndHoldingWindow", "IncompleteEstimationOrHoldingWindow", "MissingPriceColumn"
 
@@ -20,52 +22,65 @@ def rebalances(calendar: DataFrame, months: int) -> DataFrame:
 
 
 def active_members(intervals: DataFrame, moments: DataFrame) -> DataFrame:
-    """Members of each rebalance: start <= eff < end. moments has a row per month and is broadcast."""
+    """Members of each rebalance: start <= eff < end. Intervals are laid out by the years that they touch, within those of
+    the rebalances, and meet the rebalances of a year by an equal key; their ends are compared behind it."""
+    years = moments.agg(F.min(F.year("eff")).alias("first"), F.max(F.year("eff")).alias("last")).first()
+    first, last = (years.first or 0, years.last or 0)
+    begins = F.greatest(F.year("start"), F.lit(first))
+    ends = F.least(F.coalesce(F.year("end_excl"), F.lit(last)), F.lit(last))
+    laid = intervals.withColumn("_year", F.explode(F.when(begins <= ends, F.sequence(begins, ends))))
     held = (F.col("start") <= F.col("eff")) & (F.col("end_excl").isNull() | (F.col("end_excl") > F.col("eff")))
-    return intervals.join(F.broadcast(moments), held)
+    return laid.join(F.broadcast(moments.withColumn("_year", F.year("eff"))), "_year").filter(held).drop("_year")  # a row per month
+
+
+def _months(dates: DataFrame) -> list[tuple]:
+    """(month, dates, last date) of the calendar's months in order; a row per date comes to the driver."""
+    days: dict[date, list[date]] = {}
+    for r in dates.select("date").distinct().collect():
+        if r.date is not None:
+            days.setdefault(r.date.replace(day=1), []).append(r.date)
+    return [(m, len(x), max(x)) for m, x in sorted(days.items())]
 
 
-def _running(counts: DataFrame, keys: list[str], last: int, *values: str) -> DataFrame:
-    """counts: keys, k, values. The values' running sums for every k from a key's first one to `last`."""
-    by_key = Window.partitionBy(*keys).orderBy("k") if keys else Window.orderBy("k")
-    rows = counts.select(*keys, "k", F.coalesce(F.lead("k").over(by_key) - 1, F.lit(last)).alias("until"), *(F.sum(v).over(by_key).alias(v) for v in values))
-    return rows.select(*keys, F.explode(F.sequence("k", "until")).alias("k"), *values)
+def _places(months: list[tuple]) -> list[tuple]:
+    """(month, k, last date) of every month from the calendar's first to its last; a month that the calendar lacks has the
+    place of the one before it."""
+    out: list[tuple] = []
+    for k, (month, _, end) in enumerate(months, 1):
+        while out and (gap := (out[-1][0] + timedelta(days=31)).replace(day=1)) < month:
+            out.append((gap, *out[-1][1:]))
+        out.append((month, k, end))
+    return out
 
 
 def eligibility(panel: DataFrame, dates: DataFrame, intervals: DataFrame, moments: DataFrame) -> DataFrame:
     """The audit of all rebalances: a row per rebalance and active member.
 
-    dates is the base panel's calendar, which says how many prices a member needs. One pass over the panel counts each
-    asset's prices by month; a window's count is the difference of two running sums, which are joined by asset and month.
-    Prices on dates after the calendar's last one of a month count for the windows that go on after that month only.
+    dates is the base panel's calendar, which says how many prices a member needs; tables with a row per month are made on
+    the driver. One pass over the panel counts each asset's prices by month, an array per asset; a window's count is a sum
+    over its part of the array. Prices on dates after the calendar's last one of a month count for the windows that go on
+    after that month only.
     """
+    spark = panel.sparkSession
     active = active_members(intervals, moments).select("rid", "eff", "hold_end", "m0", "m1", "asset")
     if active.groupBy("rid", "asset").count().filter("count > 1").limit(1).count():
         raise DataValidationError("a ticker is active twice at a rebalance")
-    calendar = month_calendar(dates).select("k", "Month", "HoldingEndDate")  # a row per month
-    months = calendar.agg(F.max("k")).first()[0] or 0
-    opened = moments.join(F.broadcast(calendar.select(F.col("k").alias("k0"), F.col("Month").alias("m0"))), "m0").select("rid", "k0")
-    needed = dates.select("date").distinct().groupBy(month_of(F.col("date")).alias("Month")).agg(F.count("*").alias("days")).join(F.broadcast(calendar), "Month")
-    needed = _running(needed.select("k", "days"), [], months, "days")
-    required = opened.join(F.broadcast(needed.select(F.col("k").alias("rid"), F.col("days").alias("through"))), "rid")
-    required = required.join(F.broadcast(needed.select((F.col("k") + 1).alias("k0"), F.col("days").alias("before"))), "k0", "left")
-    required = required.select("rid", "k0", (F.col("through") - F.coalesce("before", F.lit(0))).alias("required"))
-    priced = panel.filter("price > 0 and not isnan(price)").select("asset", "date", month_of(F.col("date")).alias("Month"))
-    # months of the panel that the calendar lacks count with the calendar's month before them
-    placed = panel.select(month_of(F.col("date")).alias("Month")).distinct().join(calendar, "Month", "full").select("Month", "k", "HoldingEndDate")
-    before = Window.orderBy("Month").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.select("Month", F.last("k", True).over(before).alias("k"), F.last("HoldingEndDate", True).over(before).alias("end")).filter("k is not null")
-    counts = priced.join(F.broadcast(placed), "Month").groupBy("asset", "k").agg(F.count("*").alias("whole"), F.count_if(F.col("date") <= F.col("end")).alias("held"))
-    sums = _running(counts, ["asset"], months, "whole")
-    columns = panel.select("asset").distinct().withColumn("known", F.lit(True))
-    rows = active.join(F.broadcast(required), "rid").join(columns, "asset", "left")
-    rows = rows.join(sums.select("asset", (F.col("k") + 1).alias("rid"), F.col("whole").alias("through")), ["asset", "rid"], "left")
-    rows = rows.join(sums.select("asset", (F.col("k") + 1).alias("k0"), F.col("whole").alias("before")), ["asset", "k0"], "left")
-    rows = rows.join(counts.select("asset", F.col("k").alias("rid"), "held"), ["asset", "rid"], "left")
-    none = F.lit(0)
-    available = F.coalesce("through", none) - F.coalesce("before", none) + F.coalesce("held", none)
-    eligible = F.col("known").isNotNull() & (available == F.col("required"))
-    reason = F.when(F.col("known").isNull(), NO_PRICES).when(eligible, COMPLETE).otherwise(INCOMPLETE)
+    months = _months(dates)
+    number = {m: k for k, (m, _, _) in enumerate(months, 1)}
+    days = list(accumulate((n for _, n, _ in months), initial=0))
+    spans = [(r.rid, number[r.m0], days[r.rid] - days[number[r.m0] - 1]) for r in moments.select("rid", "m0").collect()]
+    required = spark.createDataFrame(spans, "rid int, k0 int, required long")
+    placed = spark.createDataFrame(_places(months), "Month date, k int, end date")
+    valid = (F.col("price") > 0) & ~F.isnan("price")
+    last = F.lit(months[-1][0] if months else None).cast("date")
+    counts = panel.withColumn("Month", F.least(month_of(F.col("date")), last)).join(F.broadcast(placed), "Month", "left")
+    counts = counts.groupBy("asset", "k").agg(F.count_if(valid).alias("whole"), F.count_if(valid & (F.col("date") <= F.col("end"))).alias("held"))
+    known = counts.groupBy("asset").agg(F.collect_list(F.struct("k", "whole", "held")).alias("months"))  # a row per month in an array
+    rows = active.join(F.broadcast(required), "rid").join(known, "asset", "left")
+    inside = F.aggregate("months", F.lit(0).cast("long"), lambda n, x: n + F.when((x["k"] >= F.col("k0")) & (x["k"] < F.col("rid")), x["whole"]).when(x["k"] == F.col("rid"), x["held"]).otherwise(0))
+    available = F.coalesce(inside, F.lit(0))
+    eligible = F.col("months").isNotNull() & (available == F.col("required"))
+    reason = F.when(F.col("months").isNull(), NO_PRICES).when(eligible, COMPLETE).otherwise(INCOMPLETE)
     return rows.select("rid", F.col("eff").alias("EffectiveDate"), F.col("m0").alias("EstimationStartMonth"), F.col("m1").alias("EstimationEndMonth"), F.col("hold_end").alias("HoldingEndDate"), F.col("asset").alias("Price_Ticker"), eligible.alias("Eligible"), reason.alias("EligibilityReason"), F.col("required").alias("RequiredPriceObservations"), available.alias("AvailablePriceObservations"))
 
 

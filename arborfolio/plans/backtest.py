@@ -3,35 +3,117 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborfolio.config import BacktestConfig, DataValidationError, make_config
 from arborfolio.operators import checks, holding, market, network, performance, universe
+from arborfolio.sources.lineage import dropped, written
 from arborfolio.sources.panels import always_members
 
 
-@dataclass(frozen=True)
 class Backtest:
-    """Result tables; those of several variants have a variant column."""
-
-    daily_returns: DataFrame
-    monthly_returns: DataFrame
-    rebalance_weights: DataFrame
-    allocation_diagnostics: DataFrame
-    network_edges: DataFrame
-    rebalance_diagnostics: DataFrame
-    membership_audit: DataFrame | None
-    metrics: DataFrame
-    end_weights: DataFrame
-    kept: tuple[DataFrame, ...] = ()  # what the tables share, in the executors' storage
+    """Result tables, each made when it is first asked for; those of several variants have a variant column.
+
+    What several tables share (the panel, the audit, the graphs, end weights, turnovers, daily returns) is written once below
+    spark.checkpoint.dir: the plans behind it start from that table, however long the way to it was."""
+
+    def __init__(self, panel: DataFrame, dates: DataFrame, chosen: DataFrame, moments: DataFrame, audit: DataFrame | None, config: BacktestConfig, variants: dict[str, bool], kept: list[str]):
+        self._panel, self._dates, self._chosen, self._moments, self._audit = panel, dates, chosen, moments, audit
+        self._config, self._variants, self._paths = config, variants, kept
+        self._when = F.broadcast(moments.select("rid", F.col("eff").alias("EffectiveDate"), F.col("m0").alias("EstimationStartMonth"), F.col("m1").alias("EstimationEndMonth")))
 
     def release(self) -> None:
-        """Give the storage back; the tables can still be read, but are made anew."""
-        for df in self.kept:
-            df.unpersist()
+        """Delete what the tables share; they can't be read any more."""
+        dropped(self._panel.sparkSession, *self._paths)
+        self._paths.clear()
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = written(df, name)
+        self._paths.append(path)
+        return df
+
+    @cached_property
+    def _graph(self) -> DataFrame:
+        return self._kept(network.allocate_rebalances(self._panel, self._dates, self._chosen, self._moments, self._config, self._variants), "graphs")
+
+    @cached_property
+    def _nodes(self) -> DataFrame:
+        return self._graph.filter("kind = 'node'").select("rid", "variant", F.col("a").alias("asset"), F.col("x").alias("weight"), F.col("y").alias("centrality"), F.col("z").cast("long").alias("degree"))
+
+    @cached_property
+    def _values(self) -> DataFrame:
+        return holding.held_values(self._panel, self._dates, self._moments, self._nodes.select("rid", "variant", "asset", "weight"))
+
+    @cached_property
+    def _ends(self) -> DataFrame:
+        return self._kept(holding.end_weights(self._values), "end-weights")
+
+    @cached_property
+    def _moved(self) -> DataFrame:
+        return self._kept(holding.turnover(self._nodes, self._ends), "turnovers")
+
+    @cached_property
+    def _daily(self) -> DataFrame:
+        return self._kept(holding.daily_returns(self._values, self._moved, self._config.transaction_cost_bps), "daily-returns")
+
+    @cached_property
+    def _sizes(self) -> DataFrame:
+        return self._nodes.groupBy("rid", "variant").agg(F.count("*").alias("EligibleAssets"), F.max("weight").alias("MaximumWeight"), F.min("weight").alias("MinimumWeight"), (1 / F.sum(F.col("weight") * F.col("weight"))).alias("EffectiveHoldings"))
+
+    @property
+    def daily_returns(self) -> DataFrame:
+        return self._daily.drop("rid")
+
+    @cached_property
+    def monthly_returns(self) -> DataFrame:
+        months = holding.monthly_returns(self._daily).join(F.broadcast(self._sizes.select("rid", "variant", "EligibleAssets")), ["rid", "variant"]).join(self._when, "rid")
+        return months.select("variant", "Month", "EffectiveDate", "EstimationStartMonth", "EstimationEndMonth", "GrossReturn", "TransactionCost", "NetReturn", "NetValue", "EligibleAssets")
+
+    @property
+    def rebalance_weights(self) -> DataFrame:
+        return self._nodes.join(self._when, "rid").select("variant", "EffectiveDate", "EstimationEndMonth", F.col("asset").alias("Asset"), F.col("weight").alias("Weight"))
+
+    @property
+    def allocation_diagnostics(self) -> DataFrame:
+        return self._nodes.join(self._when, "rid").select("variant", "EffectiveDate", "EstimationEndMonth", F.col("asset").alias("Asset"), F.col("weight").alias("Weight"), F.col("centrality").alias("Centrality"), F.col("degree").alias("Degree"))
+
+    @property
+    def network_edges(self) -> DataFrame:
+        return self._graph.filter("kind = 'edge'").join(self._when, "rid").select("variant", "EffectiveDate", "EstimationEndMonth", F.col("a").alias("AssetLeft"), F.col("b").alias("AssetRight"), F.col("x").alias("Distance"), F.col("y").alias("Correlation"), F.col("z").alias("AdjacencyWeight"))
+
+    @cached_property
+    def rebalance_diagnostics(self) -> DataFrame:
+        config = self._config
+        radius = self._graph.filter("kind = 'graph'").select("rid", "variant", F.col("x").alias("SpectralRadius"), F.col("y").cast("long").alias("MaximumMSTDegree"))
+        facts = self._sizes.join(radius, ["rid", "variant"]).join(self._moved.withColumnRenamed("turnover", "Turnover"), ["rid", "variant"]).join(self._when, "rid")
+        if self._audit is not None:
+            counts = self._audit.groupBy("rid").agg(F.count("*").alias("ActiveMembers"), F.count_if(~F.col("Eligible")).alias("ExcludedAssets"))
+            facts = facts.join(F.broadcast(counts), "rid")  # a row per month
+        settings: dict[str, Column] = {"CentralityNormalization": F.lit(config.centrality_normalization), "WeightNormalization": F.lit(config.weight_normalization), "AdjacencyWeighting": F.lit(config.adjacency_weighting), "ReturnPreprocessing": F.substring_index("variant", "-", -1), "AMADWindow": F.lit(config.window), "AMADThreshold": F.lit(config.threshold)}
+        facts = facts.withColumns(settings)
+        members = ["ActiveMembers", "EligibleAssets", "ExcludedAssets"] if self._audit is not None else []
+        return facts.select("variant", "EffectiveDate", "EstimationStartMonth", "EstimationEndMonth", *members, *settings, "MaximumWeight", "MinimumWeight", "EffectiveHoldings", "MaximumMSTDegree", "SpectralRadius", "Turnover")
+
+    @property
+    def membership_audit(self) -> DataFrame | None:
+        return self._audit.drop("rid") if self._audit is not None else None
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return performance.monthly_metrics(self.monthly_returns, self.rebalance_diagnostics).withColumn("ReturnPreprocessing", F.substring_index("variant", "-", -1))
+
+    @property
+    def end_weights(self) -> DataFrame:
+        return self._ends.join(self._when, "rid").select("variant", "EffectiveDate", F.col("asset").alias("Asset"), F.col("weight").alias("Weight"))
+
+    def checked(self) -> Backtest:
+        """Make the returns, and raise if a portfolio's value or its metrics don't exist."""
+        holding.check_growth(self._daily)
+        performance.monthly_metrics(self.monthly_returns, check=True)
+        return self
 
 
 @dataclass(frozen=True)
@@ -48,53 +130,21 @@ def variants_of(config: BacktestConfig) -> dict[str, bool]:
 BOTH = {"NRP-raw": False, "NRP-AMAD": True}
 
 
-def _local(rows: DataFrame) -> DataFrame:
+def local(rows: DataFrame) -> DataFrame:
     """A table with a row per month or date, held by the driver, so that the plans that read it stay small."""
     return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
 
 
-def _assemble(panel: DataFrame, dates: DataFrame, chosen: DataFrame, moments: DataFrame, audit: DataFrame | None, config: BacktestConfig, variants: dict[str, bool], check: bool) -> Backtest:
-    graph = network.allocate_rebalances(panel, dates, chosen, moments, config, variants).persist()  # read by every table below
-    when = F.broadcast(moments.select("rid", F.col("eff").alias("EffectiveDate"), F.col("m0").alias("EstimationStartMonth"), F.col("m1").alias("EstimationEndMonth")))
-    nodes = graph.filter("kind = 'node'").select("rid", "variant", F.col("a").alias("asset"), F.col("x").alias("weight"), F.col("y").alias("centrality"), F.col("z").cast("long").alias("degree"))
-    values = holding.held_values(panel, dates, moments, nodes.select("rid", "variant", "asset", "weight"))
-    ends = holding.end_weights(values)
-    # a row per rebalance and a row per date, each read by several tables
-    moved = holding.turnover(nodes, ends).persist()
-    daily = holding.daily_returns(values, moved, config.transaction_cost_bps).persist()
-    if check:
-        holding.check_growth(daily)
-    sizes = nodes.groupBy("rid", "variant").agg(F.count("*").alias("EligibleAssets"), F.max("weight").alias("MaximumWeight"), F.min("weight").alias("MinimumWeight"), (1 / F.sum(F.col("weight") * F.col("weight"))).alias("EffectiveHoldings"))
-    months = holding.monthly_returns(daily).join(F.broadcast(sizes.select("rid", "variant", "EligibleAssets")), ["rid", "variant"]).join(when, "rid")
-    months = months.select("variant", "Month", "EffectiveDate", "EstimationStartMonth", "EstimationEndMonth", "GrossReturn", "TransactionCost", "NetReturn", "NetValue", "EligibleAssets")
-    radius = graph.filter("kind = 'graph'").select("rid", "variant", F.col("x").alias("SpectralRadius"), F.col("y").cast("long").alias("MaximumMSTDegree"))
-    facts = sizes.join(radius, ["rid", "variant"]).join(moved.withColumnRenamed("turnover", "Turnover"), ["rid", "variant"]).join(when, "rid")
-    if audit is not None:
-        counts = audit.groupBy("rid").agg(F.count("*").alias("ActiveMembers"), F.count_if(~F.col("Eligible")).alias("ExcludedAssets"))
-        facts = facts.join(F.broadcast(counts), "rid")  # a row per month
-    settings: dict[str, Column] = {"CentralityNormalization": F.lit(config.centrality_normalization), "WeightNormalization": F.lit(config.weight_normalization), "AdjacencyWeighting": F.lit(config.adjacency_weighting), "ReturnPreprocessing": F.substring_index("variant", "-", -1), "AMADWindow": F.lit(config.window), "AMADThreshold": F.lit(config.threshold)}
-    facts = facts.withColumns(settings)
-    head = ["variant", "EffectiveDate", "EstimationStartMonth", "EstimationEndMonth"]
-    members = ["ActiveMembers", "EligibleAssets", "ExcludedAssets"] if audit is not None else []
-    diagnostics = facts.select(*head, *members, *settings, "MaximumWeight", "MinimumWeight", "EffectiveHoldings", "MaximumMSTDegree", "SpectralRadius", "Turnover")
-    placed = nodes.join(when, "rid")
-    weights = placed.select("variant", "EffectiveDate", "EstimationEndMonth", F.col("asset").alias("Asset"), F.col("weight").alias("Weight"))
-    allocation = placed.select("variant", "EffectiveDate", "EstimationEndMonth", F.col("asset").alias("Asset"), F.col("weight").alias("Weight"), F.col("centrality").alias("Centrality"), F.col("degree").alias("Degree"))
-    edges = graph.filter("kind = 'edge'").join(when, "rid").select("variant", "EffectiveDate", "EstimationEndMonth", F.col("a").alias("AssetLeft"), F.col("b").alias("AssetRight"), F.col("x").alias("Distance"), F.col("y").alias("Correlation"), F.col("z").alias("AdjacencyWeight"))
-    metrics = performance.monthly_metrics(months, diagnostics, check=check).withColumn("ReturnPreprocessing", F.substring_index("variant", "-", -1))
-    ended = ends.join(when, "rid").select("variant", "EffectiveDate", F.col("asset").alias("Asset"), F.col("weight").alias("Weight"))
-    return Backtest(daily.drop("rid"), months, weights, allocation, edges, diagnostics, audit.drop("rid") if audit is not None else None, metrics, ended, (graph, moved, daily, *([audit] if audit is not None else [])))
-
-
 def run_point_in_time(price_data: DataFrame, membership_intervals: DataFrame, config: BacktestConfig | dict | None = None, variants: dict[str, bool] | None = None, dates: DataFrame | None = None, check: bool = True) -> Backtest:
     """price_data: long panel. dates: the base panel's calendar where it has dates without any price."""
     config = make_config(config)
     if check:
         checks.prepare_prices(price_data)
         checks.prepare_membership(membership_intervals)
-    dates = _local((dates if dates is not None else price_data).select("date").distinct())
-    moments = _local(universe.rebalances(market.month_calendar(dates), config.estimation_months))
-    audit = universe.eligibility(price_data, dates, membership_intervals, moments).persist()  # a row per rebalance and member
+    price_data, path = written(price_data.select("date", "asset", "price"), "panel")
+    dates = local((dates if dates is not None else price_data).select("date").distinct())
+    moments = local(universe.rebalances(market.month_calendar(dates), config.estimation_months))
+    audit, also = written(universe.eligibility(price_data, dates, membership_intervals, moments), "audit")  # a row per rebalance and member
     if check:
         few = moments.join(audit.filter("Eligible").groupBy("rid").count(), "rid", "left").agg(F.count("*").alias("months"), F.min(F.coalesce("count", F.lit(0))).alias("least")).first()
         if not few.months:
@@ -102,7 +152,8 @@ def run_point_in_time(price_data: DataFrame, membership_intervals: DataFrame, co
         if few.least < 2:
             raise DataValidationError("fewer than two assets are eligible at a rebalance")
     chosen = audit.filter("Eligible").select("rid", F.col("Price_Ticker").alias("asset"))
-    return _assemble(price_data, dates, chosen, moments, audit, config, variants or variants_of(config), check)
+    found = Backtest(price_data, dates, chosen, moments, audit, config, variants or variants_of(config), [path, also])
+    return found.checked() if check else found
 
 
 def run_fixed_universe(price_data: DataFrame, config: BacktestConfig | dict | None = None, variants: dict[str, bool] | None = None, check: bool = True) -> Backtest:
@@ -110,15 +161,17 @@ def run_fixed_universe(price_data: DataFrame, config: BacktestConfig | dict | No
     config = make_config(config)
     if check:
         checks.validate_close_prices(price_data)
-    dates = _local(price_data.select("date").distinct())
+    price_data, path = written(price_data.select("date", "asset", "price"), "panel")
+    dates = local(price_data.select("date").distinct())
     first = dates.agg(F.min("date").alias("first"))
     returns = dates.join(F.broadcast(first)).filter("date > first").select("date")  # one row
-    moments = _local(universe.rebalances(market.month_calendar(returns), config.estimation_months))
+    moments = local(universe.rebalances(market.month_calendar(returns), config.estimation_months))
     if check and not moments.limit(1).count():
         raise DataValidationError("there are no months after the estimation window", needed=config.estimation_months)
     rids = [r.rid for r in moments.select("rid").collect()]  # a row per month
     chosen = price_data.select("asset").distinct().select(F.explode(F.array(*map(F.lit, rids)).cast("array<int>")).alias("rid"), "asset")
-    return _assemble(price_data, dates, chosen, moments, None, config, variants or variants_of(config), check)
+    found = Backtest(price_data, dates, chosen, moments, None, config, variants or variants_of(config), [path])
+    return found.checked() if check else found
 
 
 def run_benchmark(benchmark_price_data: DataFrame, comparison_dates: DataFrame, check: bool = True) -> BenchmarkResult:

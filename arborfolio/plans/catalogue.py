@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from arborfolio.config import BacktestConfig, DataValidationError
 from arborfolio.functions.columns import lenient_date, lossy_double, rounded
-from arborfolio.operators import checks, holding, market, network, performance, universe
+from arborfolio.operators import availability, blocks, checks, holding, market, network, performance, trees, universe
 from arborfolio.plans import backtest
 from arborfolio.sources import panels
+from arborfolio.sources.lineage import dropped, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,40 +37,63 @@ def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.staggered_membership(px(spark, sf_dir))
+    return panels.staggered_membership(kept_panel(spark, sf_dir)[0])
 
 
-def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return universe.rebalances(market.month_calendar(px(spark, sf_dir)), CONFIG.estimation_months)
-
-
-def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = px(spark, sf_dir)
-    return universe.eligibility(panel, panel, members(spark, sf_dir), moments(spark, sf_dir))
+def audit(spark: SparkSession, sf_dir: str, months: int = CONFIG.estimation_months) -> DataFrame:
+    panel, moments = kept_panel(spark, sf_dir)
+    if months != CONFIG.estimation_months:
+        moments = backtest.local(universe.rebalances(market.month_calendar(panel), months))
+    dates = backtest.local(panel.select("date").distinct())
+    return universe.eligibility(panel, dates, panels.staggered_membership(panel), moments)
 
 
-#: What the last query made and kept, by what it was made from.
+#: What the last query made and wrote, by what it was made from.
 _held: dict[tuple, backtest.Backtest] = {}
+_panels: dict[tuple, tuple[DataFrame, DataFrame, str]] = {}
 
 
 def release() -> None:
-    """Give back what the queries hold in the executors' storage."""
+    """Delete what the queries have written."""
     for done in _held.values():
         done.release()
+    for panel, _, path in _panels.values():
+        dropped(panel.sparkSession, path)
     _held.clear()
+    _panels.clear()
+
+
+def kept_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The brand panel as a table that is written once, and its rebalances; the queries of a session share it until release()."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _panels:
+        panel, path = written(px(spark, sf_dir), "panel")
+        _panels[key] = (panel, backtest.local(universe.rebalances(market.month_calendar(panel), CONFIG.estimation_months)), path)
+    return _panels[key][:2]
+
+
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_panel(spark, sf_dir)[1]
 
 
 def _once(key: tuple, make: Callable[[], backtest.Backtest]) -> backtest.Backtest:
-    """The last study, or a new one, for which the storage of the last is given back."""
+    """The last study, or a new one, for which what the last has written is deleted."""
     if key not in _held:
-        release()
+        for done in _held.values():
+            done.release()
+        _held.clear()
         _held[key] = make()
     return _held[key]
 
 
 def study(spark: SparkSession, sf_dir: str) -> backtest.Backtest:
     """Both variants on the brand panel; the queries of a session share its parts until release()."""
-    return _once((spark.sparkContext.applicationId, sf_dir), lambda: backtest.run_point_in_time(px(spark, sf_dir), members(spark, sf_dir), CONFIG, backtest.BOTH, check=False))
+
+    def make() -> backtest.Backtest:
+        panel = kept_panel(spark, sf_dir)[0]
+        return backtest.run_point_in_time(panel, panels.staggered_membership(panel), CONFIG, backtest.BOTH, check=False)
+
+    return _once((spark.sparkContext.applicationId, sf_dir), make)
 
 
 def fixed(spark: SparkSession, sf_dir: str, weights: str = "inverse_proportional", adjacency: str = "correlation_distance") -> backtest.Backtest:
@@ -78,7 +102,7 @@ def fixed(spark: SparkSession, sf_dir: str, weights: str = "inverse_proportional
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> backtest.BenchmarkResult:
-    panel = px(spark, sf_dir)
+    panel = kept_panel(spark, sf_dir)[0]
     first = moments(spark, sf_dir).agg(F.min("eff").alias("eff"))
     dates = panel.select("date").distinct().join(F.broadcast(first)).filter("date >= eff").select("date")  # one row
     return backtest.run_benchmark(panels.weekly_benchmark(spark, sf_dir), dates, check=False)
@@ -195,6 +219,12 @@ def daily_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(market.monthly_realized_cov(market.log_returns(panels.daily_panel(spark, sf_dir), check=False), check=False))
 
 
+@query
+def daily_cov_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily_cov by products of blocks of assets."""
+    return tidy(blocks.blocked_cov(market.log_returns(panels.daily_panel(spark, sf_dir), check=False), 4))
+
+
 @query
 def validation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the validations say of the brand panel and of panels that break a rule each: a row per case."""
@@ -284,6 +314,31 @@ def mst_edges_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(fixed(spark, sf_dir, adjacency="unweighted").network_edges.drop("variant"))
 
 
+def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed universe's trees, by rounds over edge rows."""
+    return trees.spanning_edges(market.correlation(windows(spark, sf_dir), check=False).drop("rho"))
+
+
+@query
+def mst_edges_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(rounds(spark, sf_dir))
+
+
+@query
+def tree_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, centrality and radius of the fixed universe's trees, by messages over edge rows."""
+    return tidy(trees.tree_weights(rounds(spark, sf_dir)))
+
+
+@query
+def common_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By bitmaps: the dates that the eligible assets of a rebalance have in common, in its window and 63 before it."""
+    panel, when = kept_panel(spark, sf_dir)
+    chosen = audit(spark, sf_dir).filter("Eligible").select("rid", F.col("Price_Ticker").alias("asset"))
+    rows = availability.needed_dates(panel, panel, chosen, when, CONFIG.window)
+    return rows.join(F.broadcast(when.select("rid", "eff")), "rid").select(F.col("eff").alias("EffectiveDate"), "date", "common")  # a row per month
+
+
 @query
 def mst_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = study(spark, sf_dir).network_edges
@@ -416,6 +471,13 @@ def drawdown_base1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(performance.drawdowns(series(spark, sf_dir), ("series",), "Date", base=True).select("series", "Date", "drawdown"))
 
 
+@query
+def drawdown_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drawdown by running products and maxima over months."""
+    rows = performance.drawdowns(series(spark, sf_dir), ("series",), "Date", part=F.trunc("Date", "MM"))
+    return tidy(rows.select("series", "Date", "drawdown"))
+
+
 @query
 def performance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(performance.performance_table(series(spark, sf_dir)))
@@ -440,8 +502,7 @@ def return_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def paired_universe_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of this study's universe against that with window 12: the rows that only one has."""
-    panel = px(spark, sf_dir)
-    other = universe.eligibility(panel, panel, members(spark, sf_dir), universe.rebalances(market.month_calendar(panel), 12))
+    other = audit(spark, sf_dir, 12)
     pick = lambda a: a.filter("Eligible").select("EffectiveDate", "Price_Ticker")
     return performance.universe_difference(pick(audit(spark, sf_dir)), pick(other))
 

@@ -205,3 +205,11 @@ SELECT *, 'left' AS side FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION
 _TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 ORACLES["panel_wide"] = f'WITH {TX} SELECT date AS "Date", ' + ", ".join(f"""max(price) FILTER (asset = '{t}') AS "{t}\"""" for t in _TYPES) + " FROM tx GROUP BY 1"
 ORACLES["dampened_ranges"] = ORACLES["dampened_daily"]
+ORACLES["daily_cov_blocks"] = ORACLES["daily_cov"]
+ORACLES["drawdown_ranges"] = ORACLES["drawdown"]
+ORACLES["mst_edges_rounds"] = f"WITH {FIXED}, {network(False, '')} SELECT month, i, j, {r('d')} AS distance FROM edge JOIN reb USING (rid)"
+ORACLES["tree_messages"] = f"""WITH {FIXED}, {network(False, '')} SELECT month, asset, {r('weight')} AS weight, {r('xi')} AS centrality,
+  (SELECT count(*) FROM edge e WHERE e.rid = n.rid AND (e.i = n.asset OR e.j = n.asset)) AS degree, {r('"lambda"')} AS radius FROM node n JOIN top USING (rid) JOIN reb USING (rid)"""
+ORACLES["common_dates"] = f"""WITH {UNIVERSE}, {HISTORY_PIT}, com AS MATERIALIZED (SELECT DISTINCT rid, date FROM obs), placed AS (SELECT c.*, reb.m0, reb.eff,
+  count(*) OVER (PARTITION BY rid) AS common, count(*) FILTER (c.date < m0) OVER (PARTITION BY rid ORDER BY c.date DESC) AS nth FROM com c JOIN reb USING (rid))
+SELECT eff AS "EffectiveDate", date, common FROM placed WHERE date >= m0 OR nth <= 63"""

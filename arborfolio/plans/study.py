@@ -34,7 +34,7 @@ def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membe
     members = panels.read_membership(spark, str(files["membership"]))
     bench = panels.long_panel(spark.read.parquet(str(files["benchmark"])), 1).filter(F.col("asset") == performance.BENCHMARK).select("date", "price")
     dates = base.select("date").distinct()
-    prices, done = combine_panels(base, supplemental).persist(), None
+    prices, done = combine_panels(base, supplemental), None
     try:
         done = backtest.run_point_in_time(prices, members, config, backtest.BOTH, dates=dates)
         universes = [done.rebalance_weights.filter(F.col("variant") == v).select("EffectiveDate", "Asset") for v in backtest.BOTH]
@@ -72,7 +72,6 @@ def run_study(spark: SparkSession, base_path: str, supplemental_path: str, membe
     finally:
         if done is not None:
             done.release()
-        prices.unpersist()
 
 
 def return_series(path: DataFrame) -> DataFrame:

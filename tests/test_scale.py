@@ -5,10 +5,11 @@ from datetime import date, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from arborfolio.config import BacktestConfig, DataValidationError, make_dampen_config
-from arborfolio.operators import availability, market, network, sliding, universe
+from arborfolio.config import BacktestConfig, CalculationError
+from arborfolio.operators import availability, blocks, market, network, scan, sliding, trees, universe
 
 
 def long_rows(spark, frame, name):
@@ -113,4 +114,79 @@ def test_needed_dates_see_bad_prices_and_missing_ones(spark):
     lone = panel.filter("asset <> 'A' or date >= '2024-07-01'").filter("asset <> 'B' or date < '2024-02-01'")
     with pytest.raises(Exception, match="finite and positive"):
         network.allocate_needed(lone, dates, chosen, moments, config, {"raw": False}).collect()
-    assert DataValidationError and make_dampen_config
+
+
+def test_blocked_covariances_equal_pairs(spark):
+    rng = np.random.default_rng(3)
+    days = [date(2024, 1, 1) + timedelta(days=3 * i) for i in range(40)]
+    frame = pd.DataFrame(rng.standard_normal((40, 9)), index=days, columns=list("ABCDEFGHI")).mask(rng.random((40, 9)) < 0.4)
+    frame.loc[frame.index[:20], "A"] = np.nan
+    returns = long_rows(spark, frame, "r")
+    plain = lambda df: sorted((str(r.month), r.i, r.j, round(r["cov"], 9)) for r in df.collect())
+    want = plain(market.monthly_realized_cov(returns, check=False))
+    for n in (1, 3):
+        assert plain(blocks.blocked_cov(returns, n)) == want
+    assert blocks.blocked_cov(returns.limit(0), 3).count() == 0
+
+
+def test_tree_rounds_equal_sorted_edges(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for key, n in ((1, 2), (2, 40), (3, 25)):
+        d = rng.integers(1, 30, (n, n)) / 30  # many ties
+        names = [f"n{x:03d}" for x in range(n)]
+        rows += [(key, names[i], names[j], float(d[i, j])) for i in range(n) for j in range(i + 1, n)]
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        want |= {(key, names[a], names[b]) for a, b in network.spanning_tree(d, "unweighted")}
+    pairs = spark.createDataFrame(rows, "key int, i string, j string, distance double")
+    assert {(r.key, r.i, r.j) for r in trees.spanning_edges(pairs, "key").collect()} == want
+    with pytest.raises(CalculationError):
+        trees.spanning_edges(pairs.filter("key = 3 and (i > 'n005') = (j > 'n005')"), "key")
+    with pytest.raises(CalculationError):
+        trees.spanning_edges(pairs.withColumn("distance", F.lit(0.0)), "key")
+    assert trees.spanning_edges(pairs.limit(0), "key").count() == 0
+
+
+def test_tree_messages_equal_the_dense_eigenvector():
+    rng = np.random.default_rng(0)
+    for n in (2, 3, 5, 30, 200):
+        for path in (False, True):
+            i = np.arange(n - 1) if path else np.array([rng.integers(0, k) for k in range(1, n)])
+            j, w = np.arange(1, n), rng.random(n - 1) + 0.01
+            dense = np.zeros((n, n))
+            dense[i, j] = dense[j, i] = w
+            radius, vector = trees.tree_perron(i, j, w, n)
+            values, axes = np.linalg.eigh(dense)
+            assert abs(radius - values[-1]) < 1e-12 and np.abs(vector - np.abs(axes[:, -1])).max() < 1e-9
+            assert n > 30 or np.abs(vector - network.perron(dense)[1]).max() < 1e-9
+    with pytest.raises(CalculationError):
+        trees.tree_perron(np.array([0]), np.array([1]), np.array([1.0]), 3)
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_running_values_equal_one_window(spark, keys):
+    rng = np.random.default_rng(6)
+    rows = [(k, date(2020, 1, 1) + timedelta(days=int(d)), float(v) if v < 1.5 else None) for k in ("a", "b")[: 1 + len(keys)] for d, v in zip(np.cumsum(rng.integers(1, 40, 60)), rng.standard_normal(60), strict=True)]
+    frame = spark.createDataFrame(rows, "k string, date date, v double")
+    w = Window.partitionBy(*keys, F.lit(1)).orderBy("date")
+    want = frame.select("*", F.product("v").over(w).alias("p"), F.max("v").over(w).alias("m"), F.lag("v").over(w).alias("b"))
+    got = scan.running(frame, "date", F.trunc("date", "MM"), keys, p=("product", F.col("v")), m=("max", F.col("v")), b=("before", F.col("v")))
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.select("k", "date", "v", "p", "m", "b").collect())
+    assert plain(got) == plain(want)
+    if not keys:
+        windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+        assert windows and all("], [_part#" in x for x in windows)
+    assert [(r.date.day, r.k) for r in scan.numbered(spark.sql("select date'2024-01-05' as date union all select date'2024-01-02' union all select date'2024-01-05'"), "date").orderBy("k").collect()] == [(2, 1), (5, 2)]
+
+
+def test_members_by_year_equal_a_nested_loop(spark):
+    rng = np.random.default_rng(9)
+    day = lambda: date(2019, 1, 1) + timedelta(days=int(rng.integers(0, 1500)))
+    rows = [(a, b if b > a else None, f"x{i}") for i in range(60) for a, b in [(day(), day())]] + [(date(2021, 3, 1), date(2021, 3, 1), "none")]
+    intervals = spark.createDataFrame(rows, "start date, end_excl date, asset string")
+    effs = [(i, date(2020, 1 + i % 12, 3).replace(year=2020 + i // 12)) for i in range(24)]
+    moments = spark.createDataFrame(effs, "rid int, eff date")
+    found = universe.active_members(intervals, moments)
+    assert sorted((r.rid, r.asset) for r in found.collect()) == sorted((i, a) for i, eff in effs for s, e, a in rows if s <= eff and (e is None or e > eff))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert universe.active_members(intervals, moments.limit(0)).count() == 0
