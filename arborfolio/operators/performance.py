@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arborfolio.config import EPSILON, YEAR_DAYS, YEAR_MONTHS, CalculationError, DataValidationError
 from arborfolio.functions.columns import month_of, ratio
 from arborfolio.operators.checks import prepare_benchmark, prepare_comparison_dates
-from arborfolio.operators.scan import running
+from arborfolio.operators.scan import as_of, running
 
 BENCHMARK = "SP100Benchmark"
 
@@ -49,9 +49,14 @@ def monthly_metrics(months: DataFrame, diagnostics: DataFrame | None = None, key
     return agg.select(key, "OutOfSampleMonths", "AnnualizedReturn", "AnnualizedVolatility", "SharpeRatio", "MaximumDrawdown", "AverageMaximumWeight", "WorstMaximumWeight", "AverageEffectiveHoldings", "AverageTurnover")
 
 
-def benchmark_daily(prices: DataFrame, comparison_dates: DataFrame, check: bool = True) -> DataFrame:
+def benchmark_daily(prices: DataFrame, comparison_dates: DataFrame, check: bool = True, align: bool = False) -> DataFrame:
     """Returns on the benchmark's own calendar, then the strategy's dates: Date, GrossReturn, TransactionCost, NetReturn,
-    GrossValue, NetValue."""
+    GrossValue, NetValue. align: for a benchmark with other holidays, prices are those of its last date at or before each
+    of the strategy's dates and the last one before the first of these, and returns go from date to date."""
+    if align:
+        first = comparison_dates.agg(F.min("date").alias("first"))
+        opened = prices.join(F.broadcast(first), F.col("date") < F.col("first")).agg(F.max("date").alias("date")).filter("date is not null")  # one row
+        prices = as_of(comparison_dates.select("date").union(opened).distinct(), prices, "price", month_of(F.col("date")))
     if check:
         prepare_benchmark(prices)
         prepare_comparison_dates(comparison_dates)

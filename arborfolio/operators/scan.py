@@ -17,18 +17,29 @@ JOIN = {
     "product": lambda a, b: F.coalesce(a * b, a, b),
     "max": lambda a, b: F.greatest(a, b),
     "before": lambda a, b: b,
+    "last": lambda a, b: F.coalesce(b, a),
 }
 
 
+def _inside(kind: str, value: Column, order: str) -> Column:
+    """What the rows of a part come to, as an aggregate."""
+    if kind == "before":
+        return F.max_by(value, order)
+    if kind == "last":
+        return F.max_by(value, F.when(value.isNotNull(), F.col(order)))
+    return F.product(value) if kind == "product" else F.max(value)
+
+
 def running(rows: DataFrame, order: str, part: Column, keys: tuple[str, ...] = (), **scans: tuple[str, Column]) -> DataFrame:
     """rows with a column for each scan, (kind, value) by name: `product` and `max` of the values up to the row (nulls count
-    for nothing), or the value `before`: in the row before. Rows of a key have different places in the order."""
+    for nothing), the `last` value that isn't null up to the row, or the value `before`: in the row before. Rows of a key have
+    different places in the order."""
     rows = rows.withColumn("_part", part)
     inside = Window.partitionBy(*keys, "_part").orderBy(order)
     own, whole = {}, []
     for name, (kind, value) in scans.items():
-        own[f"_{name}"] = F.lag(value).over(inside) if kind == "before" else {"product": F.product, "max": F.max}[kind](value).over(inside)
-        whole.append((F.max_by(value, order) if kind == "before" else {"product": F.product, "max": F.max}[kind](value)).alias(name))
+        own[f"_{name}"] = (F.lag(value) if kind == "before" else F.last(value, True) if kind == "last" else _inside(kind, value, order)).over(inside)
+        whole.append(_inside(kind, value, order).alias(name))
     if any(kind == "before" for kind, _ in scans.values()):
         own["_first"] = F.row_number().over(inside) == 1
     parts = rows.groupBy(*keys, "_part").agg(*whole)
@@ -50,6 +61,14 @@ def running(rows: DataFrame, order: str, part: Column, keys: tuple[str, ...] = (
     return out.withColumns(made).drop("_part", "_first", *(f"_{n}" for n in scans), *(f"_{n}_ahead" for n in scans))
 
 
+def as_of(left: DataFrame, right: DataFrame, value: str, part: Column, keys: tuple[str, ...] = (), order: str = "date") -> DataFrame:
+    """left with the value of right's last row at or before each of its rows; null values of right count as no row. Both
+    sides are put into one order and run through once. right has one row for each place of a key."""
+    both = left.select(*keys, order).distinct().join(right.select(*keys, order, value), [*keys, order], "full")
+    found = running(both, order, part, keys, **{value: ("last", F.col(value))})
+    return left.join(found.select(*keys, order, value), [*keys, order], "left")
+
+
 def _step(kind: str, name: str) -> Callable[[Column, Column], Column]:
     return lambda a, x: JOIN[kind](a, x[name])
 

@@ -12,7 +12,7 @@ from arborfolio.functions.columns import lenient_date, lossy_double, rounded
 from arborfolio.operators import availability, blocks, checks, holding, market, network, performance, trees, universe
 from arborfolio.plans import backtest
 from arborfolio.sources import panels
-from arborfolio.sources.lineage import dropped, written
+from arborfolio.sources.lineage import dropped, shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,11 +101,14 @@ def fixed(spark: SparkSession, sf_dir: str, weights: str = "inverse_proportional
     return _once((spark.sparkContext.applicationId, sf_dir, weights, adjacency), lambda: backtest.run_fixed_universe(fx(spark, sf_dir), config, check=False))
 
 
-def benchmark(spark: SparkSession, sf_dir: str) -> backtest.BenchmarkResult:
+def comparison_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = kept_panel(spark, sf_dir)[0]
     first = moments(spark, sf_dir).agg(F.min("eff").alias("eff"))
-    dates = panel.select("date").distinct().join(F.broadcast(first)).filter("date >= eff").select("date")  # one row
-    return backtest.run_benchmark(panels.weekly_benchmark(spark, sf_dir), dates, check=False)
+    return panel.select("date").distinct().join(F.broadcast(first)).filter("date >= eff").select("date")  # one row
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> backtest.BenchmarkResult:
+    return backtest.run_benchmark(panels.weekly_benchmark(spark, sf_dir), comparison_weeks(spark, sf_dir), check=False)
 
 
 def tidy(df: DataFrame, digits: int = 8) -> DataFrame:
@@ -257,6 +260,19 @@ def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Universe.
 
 
+@query
+def membership_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A membership file of the brands, in which five of seven records break a rule: the bad records with their lines."""
+    rows = members(spark, sf_dir).withColumn("k", F.row_number().over(Window.orderBy("asset")) - 1)  # a row per asset
+    start, end = F.col("start").cast("string"), F.coalesce(F.col("end_excl").cast("string"), F.lit(""))
+    fields = [F.when(F.col("k") % 7 == 1, "soon").when(F.col("k") % 7 == 5, "").otherwise(start), F.when(F.col("k") % 7 == 2, "1990-01-01").otherwise(end), F.when(F.col("k") % 7 == 3, "").otherwise(F.col("asset"))]
+    text = F.concat(F.concat_ws(",", *fields), F.when(F.col("k") % 7 == 4, ",more").otherwise(""))
+    head = spark.createDataFrame([(-1, ",".join(panels.MEMBERSHIP))], "k int, value string")
+    folder = shared_folder(spark, "membership")
+    head.unionByName(rows.select("k", text.alias("value"))).coalesce(1).sortWithinPartitions("k").select("value").write.text(folder)
+    return panels.membership_problems(spark, folder)
+
+
 @query
 def active_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.active_members(members(spark, sf_dir), moments(spark, sf_dir)).select(F.col("eff").alias("EffectiveDate"), "asset")
@@ -414,6 +430,13 @@ def benchmark_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(benchmark(spark, sf_dir).daily)
 
 
+@query
+def benchmark_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A benchmark that lacks the first week of every month and every thirteenth day of the year's count, on the panel's weeks."""
+    bench = panels.weekly_benchmark(spark, sf_dir).filter("day(date) > 7 and dayofyear(date) % 13 <> 0")
+    return tidy(performance.benchmark_daily(bench, comparison_weeks(spark, sf_dir), check=False, align=True))
+
+
 @query
 def benchmark_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(benchmark(spark, sf_dir).monthly)

@@ -213,3 +213,12 @@ ORACLES["tree_messages"] = f"""WITH {FIXED}, {network(False, '')} SELECT month,
 ORACLES["common_dates"] = f"""WITH {UNIVERSE}, {HISTORY_PIT}, com AS MATERIALIZED (SELECT DISTINCT rid, date FROM obs), placed AS (SELECT c.*, reb.m0, reb.eff,
   count(*) OVER (PARTITION BY rid) AS common, count(*) FILTER (c.date < m0) OVER (PARTITION BY rid ORDER BY c.date DESC) AS nth FROM com c JOIN reb USING (rid))
 SELECT eff AS "EffectiveDate", date, common FROM placed WHERE date >= m0 OR nth <= 63"""
+ORACLES["benchmark_aligned"] = f"""WITH {PX}, {calendar('px')}, {BX}, hol AS (SELECT * FROM bx WHERE day(date) > 7 AND dayofyear(date) % 13 <> 0),
+asked AS (SELECT DISTINCT date FROM px WHERE date >= (SELECT min(eff) FROM reb)), dated AS (SELECT date FROM asked UNION SELECT max(date) FROM hol WHERE date < (SELECT min(date) FROM asked)),
+priced AS (SELECT d.date, s.price FROM dated d ASOF LEFT JOIN hol s ON s.date <= d.date), moved AS (SELECT date, price / lag(price) OVER (ORDER BY date) - 1 AS x FROM priced),
+out AS (SELECT date, x, exp(sum(ln(1 + x)) OVER (ORDER BY date)) AS value FROM moved WHERE date IN (SELECT date FROM asked))
+SELECT date AS "Date", {r('x')} AS "GrossReturn", 0.0 :: DOUBLE AS "TransactionCost", {r('x')} AS "NetReturn", {r('value')} AS "GrossValue", {r('value')} AS "NetValue" FROM out"""
+ORACLES["membership_records"] = f"""WITH {PX}, {MEMB}, numbered AS (SELECT *, row_number() OVER (ORDER BY asset) - 1 AS k FROM memb),
+lines AS (SELECT k, CASE k % 7 WHEN 1 THEN 'soon' WHEN 5 THEN '' ELSE CAST(start AS VARCHAR) END AS a, CASE k % 7 WHEN 2 THEN '1990-01-01' ELSE coalesce(CAST(end_excl AS VARCHAR), '') END AS b, CASE k % 7 WHEN 3 THEN '' ELSE asset END AS c FROM numbered)
+SELECT k + 2 AS line, CASE k % 7 WHEN 1 THEN 'not a date' WHEN 2 THEN 'ends before it starts' WHEN 3 THEN 'no ticker' WHEN 4 THEN 'fields' ELSE 'no start' END AS reason,
+  a || ',' || b || ',' || c || CASE WHEN k % 7 = 4 THEN ',more' ELSE '' END AS record FROM lines WHERE k % 7 BETWEEN 1 AND 5"""

@@ -69,3 +69,23 @@ def read_bytes(place: Path | str) -> bytes:
 def names_in(folder: Path | str) -> list[str]:
     fs, path = _open(folder)
     return sorted(x.getPath().getName() for x in fs.listStatus(path))
+
+
+def rename(source: Path | str, target: Path | str) -> None:
+    """Fails if the target is there."""
+    if exists(target):
+        raise FileExistsError(str(target))
+    fs, path = _open(source)
+    if not fs.rename(path, _open(target)[1]):
+        raise OSError(f"{source} can't be renamed to {target}")
+
+
+def delete(place: Path | str) -> None:
+    fs, path = _open(place)
+    fs.delete(path, True)
+
+
+def sizes_in(folder: Path | str) -> dict[str, int]:
+    """Bytes of all that is in a folder, by name; of folders in it the sum."""
+    fs, path = _open(folder)
+    return {x.getPath().getName(): fs.getContentSummary(x.getPath()).getLength() for x in fs.listStatus(path)}

@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a table below spark.checkpoint.dir, read back, and its path."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
         base = FALLBACK_DIR
-    path = f"{base.rstrip('/')}/arborfolio/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/arborfolio/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table below spark.checkpoint.dir, read back, and its path."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

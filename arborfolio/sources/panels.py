@@ -47,14 +47,49 @@ def read_panel(spark: SparkSession, path: str, minimum_assets: int = 2) -> DataF
     return long_panel(spark.read.parquet(path), minimum_assets)
 
 
+MEMBERSHIP = ("Membership_Start", "Membership_End_Exclusive", "Price_Ticker")
+
+
 def read_membership(spark: SparkSession, path: str) -> DataFrame:
-    """Only the three columns are read; others are left."""
+    """Only the three columns are read; others are left. Records that can't be read are an error that names their lines."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
-    if missing := {"Membership_Start", "Membership_End_Exclusive", "Price_Ticker"} - set(raw.columns):
+    if missing := set(MEMBERSHIP) - set(raw.columns):
         raise DataValidationError("membership columns are missing", columns=sorted(missing))
+    if bad := membership_problems(spark, path).orderBy("line").limit(10).collect():
+        raise DataValidationError("membership records can't be read", records=[(r.line, r.reason) for r in bad])
     return membership(raw)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows file, line (from 1), value of text files. Lines are counted by the blocks in which files are read, so that no
+    file has to be one task's."""
+    where = ("file", "block")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    blocks = lines.groupBy(*where).agg(F.count("*").alias("n"))
+    before = blocks.select(*where, (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))  # a row per block
+    inside = F.row_number().over(Window.partitionBy(*where).orderBy("place"))
+    return lines.withColumn("inside", inside).join(before, [*where]).select("file", (F.col("before") + F.col("inside")).alias("line"), "value")
+
+
+def membership_problems(spark: SparkSession, path: str) -> DataFrame:
+    """Rows line, reason, record of a membership file's records that have other fields than its header, dates that aren't
+    any, no start, no ticker, or an end that isn't after the start. Records are lines."""
+    head = spark.read.csv(path, header=True, inferSchema=False).columns
+    schema = ", ".join(f"`{c}` STRING" for c in head) + ", _bad STRING"
+    lines = numbered_lines(spark, path).filter("line > 1 and trim(value) <> ''")
+    read = lines.select("line", F.col("value").alias("record"), F.from_csv("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    start, end, ticker = (F.trim(F.col("x")[c]) for c in MEMBERSHIP)
+    begun, ended = lenient_date(start), lenient_date(end)
+    reason = (
+        F.when(F.col("x._bad").isNotNull(), "fields")
+        .when(F.coalesce(start, F.lit("")) == "", "no start")
+        .when(begun.isNull() | (F.coalesce(end, F.lit("")) != "") & ended.isNull(), "not a date")
+        .when(F.coalesce(ticker, F.lit("")) == "", "no ticker")
+        .when(ended <= begun, "ends before it starts")
+    )
+    return read.select("line", reason.alias("reason"), "record").filter("reason is not null")
+
+
 def membership(raw: DataFrame) -> DataFrame:
     """Columns start, end_excl, asset, cast strictly."""
     raw = require_frame(raw, "membership")

@@ -1,6 +1,6 @@
 """What lets series, rebalances and graphs grow beyond one task: each against the plain way."""
 
-from datetime import date, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from arborfolio.config import BacktestConfig, CalculationError
+from arborfolio.config import BacktestConfig, CalculationError, DataValidationError
 from arborfolio.operators import availability, blocks, market, network, scan, sliding, trees, universe
+from arborfolio.sources import panels, sinks
 
 
 def long_rows(spark, frame, name):
@@ -190,3 +191,42 @@ def test_members_by_year_equal_a_nested_loop(spark):
     assert sorted((r.rid, r.asset) for r in found.collect()) == sorted((i, a) for i, eff in effs for s, e, a in rows if s <= eff and (e is None or e > eff))
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert universe.active_members(intervals, moments.limit(0)).count() == 0
+
+
+def test_runs_are_whole_or_not_there(spark, tmp_path):
+    when = datetime(2024, 5, 6, 7, 8, 9, tzinfo=UTC)
+    with pytest.raises(RuntimeError), sinks.new_run(tmp_path, 24, when) as (run, _):
+        sinks.write_table(spark.range(3).toDF("n"), run, "numbers")
+        raise RuntimeError("midway")
+    assert list(tmp_path.iterdir()) == []
+    with sinks.new_run(tmp_path, 24, when) as (run, place):
+        assert not place.exists() and not run.name.startswith("run_")
+        sinks.write_table(spark.range(3).toDF("n"), run, "numbers")
+    assert [p.name for p in tmp_path.iterdir()] == ["run_20240506T070809Z_months24"] and sinks.is_whole(place)
+    assert panels.read_table(spark, place, "numbers").count() == 3
+    with pytest.raises(FileExistsError), sinks.new_run(tmp_path, 24, when):
+        pass
+    (place / "numbers.csv" / "more").write_text("x")
+    assert not sinks.is_whole(place)
+
+
+def test_bad_membership_records_name_their_lines(spark, tmp_path):
+    head = "Membership_Start,Membership_End_Exclusive,Price_Ticker,Note\n"
+    (tmp_path / "good.csv").write_text(head + "2020-01-01,,A,x\n2020-01-01,2021-01-01,B,\n")
+    assert panels.read_membership(spark, str(tmp_path / "good.csv")).count() == 2
+    (tmp_path / "bad.csv").write_text(head + "2020-01-01,,A,x\n2020-13-01,,B,\n\n2020-01-01,2019-01-01,C,\n2020-01-01,,,\n2020-01-01\n,,D,\n")
+    got = panels.membership_problems(spark, str(tmp_path / "bad.csv")).orderBy("line").collect()
+    assert [(r.line, r.reason) for r in got] == [(3, "not a date"), (5, "ends before it starts"), (6, "no ticker"), (7, "fields"), (8, "no start")]
+    with pytest.raises(DataValidationError, match="3"):
+        panels.read_membership(spark, str(tmp_path / "bad.csv"))
+
+
+def test_numbered_lines_of_a_file_in_blocks(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("".join(f"line {i}\n" for i in range(1, 5_001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = panels.numbered_lines(spark, str(tmp_path / "t.txt"))
+        assert lines.filter("value = concat('line ', line)").count() == 5_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
