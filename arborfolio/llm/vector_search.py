@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from arborfolio.llm.shared import discard, keep
 
 LEAF = 256
-#: Vectors of a length that the upper levels are fitted on, about; queries of a block; bytes of all shards' boxes that are
-#: sent to the tasks at most (beyond that, queries go to all shards of their length).
+#: Vectors of a length that the upper levels are fitted on, about; queries of a block; bytes of boxes that the driver and a
+#: task hold at most (beyond that, boxes of groups of shards come before those of shards).
 SAMPLE, BLOCK, BOX_BYTES = 20_000, 256, 64 << 20
 #: Whole numbers up to here are exact as doubles.
 EXACT = float(1 << 53)
@@ -205,11 +205,17 @@ def _levels(rows: DataFrame, shard_rows: int) -> tuple[dict[int, Levels], int]:
     return found, int(few.few or 0)
 
 
-def _boxes(base: DataFrame) -> list:
-    """Rows shard, low, high, least: of each shard the bounds of its vectors and the smallest id."""
+BOX = "shard long, low array<double>, high array<double>, least long"
+
+
+def _boxes(base: DataFrame) -> DataFrame:
+    """Rows shard, low, high, least: of each shard and length the bounds of its vectors and the smallest id."""
+
+    def rows_of(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), *(pa.array([x[c].tolist() for x in held.values()], pa.list_(pa.float64())) for c in (0, 1)), pa.array([x[2] for x in held.values()], pa.int64())], names=["shard", "low", "high", "least"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
         for batch in batches:
             shards, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, v in by_length(batch, 2):
@@ -219,15 +225,25 @@ def _boxes(base: DataFrame) -> list:
                 for i, s in enumerate(shards[at][order][begin].tolist()):
                     key = (s, v.shape[1])
                     held[key] = [np.minimum(held[key][0], low[i]), np.maximum(held[key][1], high[i]), min(held[key][2], int(least[i]))] if key in held else [low[i], high[i], int(least[i])]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), *(pa.array([x[c].tolist() for x in held.values()], pa.list_(pa.float64())) for c in (0, 1)), pa.array([x[2] for x in held.values()], pa.int64())], names=["shard", "low", "high", "least"])
+            if sum(16 * size for _, size in held) > BOX_BYTES:
+                yield rows_of(held)
+                held = {}
+        yield rows_of(held)
+
+    # a row per shard and task
+    return _united(base.select("shard", "id", "v").mapInArrow(part, BOX))
+
+
+def _united(boxes: DataFrame) -> DataFrame:
+    """The boxes that hold all boxes of a shard, by length. Two boxes are united at a time."""
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "low": [np.min(np.stack(rows["low"].tolist()), 0).tolist()], "high": [np.max(np.stack(rows["high"].tolist()), 0).tolist()], "least": [rows["least"].min()]})
+        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        for a, b in zip(rows["low"], rows["high"], strict=True):
+            low, high = np.minimum(low, a), np.maximum(high, b)
+        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "low": [low.tolist()], "high": [high.tolist()], "least": [rows["least"].min()]})
 
-    kind = "shard long, low array<double>, high array<double>, least long"
-    parts = base.select("shard", "id", "v").mapInArrow(part, kind)
-    # a row per shard and task
-    return parts.groupBy("shard", F.size("low")).applyInPandas(whole, kind).collect()
+    return boxes.groupBy("shard", F.size("low")).applyInPandas(whole, BOX)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 20_000, scale: int = 256) -> DataFrame:
@@ -278,47 +294,105 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     if total > 1:
         kth = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.col("score"), (-F.col("vec_id")).alias("minus"))), asc=False).alias("best")).filter(F.size("best") >= k).select(F.col("query_id").alias("id"), F.col("best")[k - 1]["score"].alias("cut_score"), (-F.col("best")[k - 1]["minus"]).alias("cut_id"))
         away = asks.filter("shard >= 0").join(kth, "id", "left").select("id", "v", "shard", "cut_score", "cut_id")
-        first = first.unionByName(searched(_sent(away, base.filter("shard >= 0"), total)))
+        first = first.unionByName(searched(_sent(away, base.filter("shard >= 0"))))
     out, _ = keep(first.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top-k")
     discard(spark, path, path1, path2)
     return out
 
 
-def _sent(queries: DataFrame, base: DataFrame, total: int) -> DataFrame:
-    """queries: id, v, shard, cut_score, cut_id. Blocks of queries for the shards, but for a query's own, that can beat its
-    k-th result: shard, v, ids, cut_scores, cut_ids."""
-    boxes: dict[int, tuple] = {}
-    for r in _boxes(base):
-        boxes.setdefault(len(r.low), []).append((r.shard, r.low, r.high, r.least))
-    sent = {}
-    for size, found in boxes.items():
-        found.sort()
-        bounded = total * size * 16 <= BOX_BYTES
-        low, high = (np.array([x[c] for x in found]) if bounded else None for c in (1, 2))
-        sent[size] = (np.array([x[0] for x in found]), low, high, np.array([x[3] for x in found]))
-    shipped = queries.sparkSession.sparkContext.broadcast(sent)
+def _may_beat(v: np.ndarray, scores: pa.Array, cuts: pa.Array, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which boxes may hold a vector that beats a query's k-th result: queries by boxes."""
+    bounds = np.maximum(v, 0) @ high.T + np.minimum(v, 0) @ low.T
+    cut = scores.fill_null(0).to_numpy().astype(float)[:, None]
+    beats = (bounds > cut) | (bounds == cut) & (least[None, :] < cuts.fill_null(0).to_numpy()[:, None])
+    # bounds of whole numbers are exact up to EXACT
+    reach = np.abs(v) @ np.maximum(np.abs(low).max(0), np.abs(high).max(0))
+    return beats | scores.is_null().to_numpy(zero_copy_only=False)[:, None] | (reach >= EXACT)[:, None]
+
+
+ASKED = "v array<double>, ids array<long>, own array<long>, cut_scores array<long>, cut_ids array<long>"
+
+
+def _blocks(wanted: np.ndarray, shards: np.ndarray, v: np.ndarray, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    """A row per box that is wanted by a query, with the queries that want it; columns: ids, own, cut_scores, cut_ids."""
+    for s in np.flatnonzero(wanted.any(0)).tolist():
+        rows = np.flatnonzero(wanted[:, s])
+        pick = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([int(shards[s])]), pa.array([v[rows].ravel()], pa.list_(pa.float64())), *(pa.array([x.take(pick).to_pylist()], pa.list_(pa.int64())) for x in columns)], names=["shard", "v", "ids", "own", "cut_scores", "cut_ids"])
+
+
+def _by_size(rows: list) -> dict[int, tuple]:
+    """Boxes by length: shards, low, high, least."""
+    out: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: r[0]):
+        out.setdefault(len(r[1]), []).append(tuple(r))
+    return {size: (np.array([x[0] for x in found]), *(np.array([x[c] for x in found]) for c in (1, 2)), np.array([x[3] for x in found])) for size, found in out.items()}
+
+
+def _to_boxes(queries: DataFrame, boxes: list, skip_own: bool) -> DataFrame:
+    """queries: id, v, shard, cut_score, cut_id. Blocks of queries for the boxes that may beat their k-th result."""
+    shipped = queries.sparkSession.sparkContext.broadcast(_by_size(boxes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(start, BLOCK)
                 for at, v in by_length(batch, 1):
+                    if v.shape[1] not in shipped.value:
+                        continue
                     shards, low, high, least = shipped.value[v.shape[1]]
-                    ids, own, scores, cuts = (batch.column(c).take(pa.array(at)) for c in (0, 2, 3, 4))
-                    wanted = shards[None, :] != own.to_numpy()[:, None]
-                    if low is not None:
-                        bounds = np.maximum(v, 0) @ high.T + np.minimum(v, 0) @ low.T
-                        cut = scores.fill_null(0).to_numpy().astype(float)[:, None]
-                        beats = (bounds > cut) | (bounds == cut) & (least[None, :] < cuts.fill_null(0).to_numpy()[:, None])
-                        # bounds of whole numbers are exact up to EXACT
-                        reach = np.abs(v) @ np.maximum(np.abs(low).max(0), np.abs(high).max(0))
-                        wanted &= beats | scores.is_null().to_numpy(zero_copy_only=False)[:, None] | (reach >= EXACT)[:, None]
-                    for s in np.flatnonzero(wanted.any(0)).tolist():
-                        rows = np.flatnonzero(wanted[:, s])
-                        pick = pa.array(rows)
-                        yield pa.RecordBatch.from_arrays([pa.array([int(shards[s])]), pa.array([v[rows].ravel()], pa.list_(pa.float64())), *(pa.array([x.take(pick).to_pylist()], pa.list_(pa.int64())) for x in (ids, scores, cuts))], names=["shard", "v", "ids", "cut_scores", "cut_ids"])
-
-    return queries.mapInArrow(run, "shard long, v array<double>, ids array<long>, cut_scores array<long>, cut_ids array<long>")
+                    columns = [batch.column(c).take(pa.array(at)) for c in (0, 2, 3, 4)]
+                    wanted = _may_beat(v, columns[2], columns[3], low, high, least)
+                    if skip_own:
+                        wanted &= shards[None, :] != columns[1].to_numpy()[:, None]
+                    yield from _blocks(wanted, shards, v, columns)
+
+    return queries.mapInArrow(run, f"shard long, {ASKED}")
+
+
+#: Tasks that a group of boxes has; its queries are dealt out to them, its boxes go to each.
+SALTS = 8
+
+
+def _sent(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """queries: id, v, shard, cut_score, cut_id. Blocks of queries for the shards, but for a query's own, that can beat its
+    k-th result: shard, v, ids, cut_scores, cut_ids.
+
+    The driver holds BOX_BYTES of boxes at most. Where the shards have more, neighbours in the tree's order share a box on
+    the driver; a group of shards that a query may find better vectors in opens its own boxes in a task."""
+    boxes, path = keep(_boxes(base), "boxes")
+    size = boxes.agg(F.sum(16 * F.size("low")).alias("bytes"), F.max("shard").alias("last")).first()
+    each = -(-(size.bytes or 0) // BOX_BYTES)
+    out = ["shard", "v", "ids", "cut_scores", "cut_ids"]
+    if each <= 1:
+        found = boxes.collect()
+        discard(queries.sparkSession, path)
+        return _to_boxes(queries, found, True).select(out)
+    upper = _united(boxes.withColumn("shard", F.floor(F.col("shard") / each)))
+    asked = _to_boxes(queries, upper.collect(), False)
+    none = lambda kind: F.lit(None).cast(kind)
+    held = boxes.select(F.floor(F.col("shard") / each).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"), F.lit(0).alias("kind"), "shard", "low", "high", "least", *(none(x.split()[1]).alias(x.split()[0]) for x in ASKED.split(", ")))
+    blocks = asked.select(F.col("shard").alias("group"), F.pmod(F.xxhash64("ids"), F.lit(SALTS)).alias("salt"), F.lit(1).alias("kind"), none("long").alias("shard"), none("array<double>").alias("low"), none("array<double>").alias("high"), none("long").alias("least"), "v", "ids", "own", "cut_scores", "cut_ids")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine, by_size = None, [], {}
+        for batch in batches:
+            for i, (group, salt, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
+                if (group, salt) != now:
+                    now, mine, by_size = (group, salt), [], {}
+                if kind == 0:
+                    mine.append([batch.column(c)[i].as_py() for c in (3, 4, 5, 6)])
+                    continue
+                by_size = by_size or _by_size(mine)
+                ids, own, scores, cuts = (batch.column(c)[i].values for c in (8, 9, 10, 11))
+                v = batch.column(7)[i].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                if v.shape[1] in by_size:
+                    shards, low, high, least = by_size[v.shape[1]]
+                    wanted = _may_beat(v, scores, cuts, low, high, least) & (shards[None, :] != own.to_numpy()[:, None])
+                    yield from _blocks(wanted, shards, v, [ids, own, scores, cuts])
+
+    both = held.unionByName(blocks).repartition("group", "salt").sortWithinPartitions("group", "salt", "kind")
+    return both.mapInArrow(opened, f"shard long, {ASKED}").select(out)
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

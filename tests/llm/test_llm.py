@@ -154,6 +154,30 @@ def best(rows, is_query, k=5):
     return sorted(out)
 
 
+def test_top_k_with_few_boxes_on_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 6)) * 3
+    rows = [(i, (centres[i % 40] + 0.1 * rng.standard_normal(6)).tolist()) for i in range(2_000)]
+    vectors = frame(spark, rows, "vec_id long, embedding array<double>")
+    ask = lambda: sorted(tuple(r) for r in vector_search.top_k(vectors, F.col("vec_id") % 50 == 0, shard_rows=50).collect())
+    sent, collected = [], []
+    plain, united = vector_search._sent, vector_search._to_boxes
+
+    def counted(queries, base):
+        out = plain(queries, base)
+        shards = base.agg(F.count_distinct("shard")).first()[0]
+        sent.append((out.select(F.sum(F.size("ids"))).first()[0], queries.count() * (shards - 1)))
+        return out
+
+    monkeypatch.setattr(vector_search, "_sent", counted)
+    monkeypatch.setattr(vector_search, "_to_boxes", lambda q, boxes, own: collected.append(len(boxes)) or united(q, boxes, own))
+    want = ask()
+    monkeypatch.setattr(vector_search, "BOX_BYTES", 1_000)
+    assert ask() == want
+    assert sent[0] == sent[1] and sent[1][0] < 0.5 * sent[1][1]
+    assert collected[0] > 20 and collected[1] <= 11
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(900)]
