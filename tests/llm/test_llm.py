@@ -253,12 +253,10 @@ def test_search_equals_plain_bm25():
                 assert all(math.isclose(s, want[k], abs_tol=1e-9) for k, s in got.items())
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
-def test_leaks_of_the_tables_equal_brute_force(spark, threshold):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+def brute_leaks(docs, benchmark, threshold):
+    """(doc_id, item_id) of rows of documents and benchmark: score, first word and overlaps, passage by passage."""
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    items = sorted((r.item_id, split(r.text)) for r in benchmark.collect())
+    items = sorted((r.item_id, split(r.text)) for r in benchmark)
     weights, step, want = bm25([w for _, w in items]), max(32, max(len(w) for _, w in items)), {}
 
     def shares(passage, words):
@@ -272,7 +270,7 @@ def test_leaks_of_the_tables_equal_brute_force(spark, threshold):
             best = max(best, now, key=lambda x: (min(x), sum(x)))
         return best
 
-    for r in docs.select("doc_id", "text").collect():
+    for r in docs:
         words = split(r.text)
         for at in range(0, len(words), step):
             passage = words[at : at + 2 * step]
@@ -283,6 +281,14 @@ def test_leaks_of_the_tables_equal_brute_force(spark, threshold):
                     q, a = shares(passage, own)
                     if q >= 0.5 and a >= 0.5:
                         want[r.doc_id, item] = (round(score, 9), at, round(q, 9), round(a, 9))
+    return want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_leaks_of_the_tables_equal_brute_force(spark, threshold):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = brute_leaks(docs.select("doc_id", "text").collect(), benchmark.collect(), threshold)
     found = QUERIES["op4_decontamination"](spark, SF) if threshold == 0.5 else decontaminate.find_leaks(docs, decontaminate.index_items(benchmark), threshold)
     got = {(r.doc_id, r.item_id): (round(r.score, 9), r.first_word, round(r.question_overlap, 9), round(r.answer_overlap, 9)) for r in found.collect()}
     assert got == want and len(want) > 3
@@ -760,6 +766,26 @@ def test_pipeline_stages(spark, tmp_path):
         if k == 1:
             rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
             assert kept[2] == sorted({c for _, _, c in components_of(rows, 5, 80)})
+        if k == 0:
+            assert kept[1] == sorted(r.doc_id for r in before.collect() if any(map(str.isalpha, r.text or "")))
+        if k == 2:
+            leaks = brute_leaks(before.select("doc_id", "text").collect(), spark.read.parquet(f"{SF}/benchmark.parquet").collect(), 0.5)
+            assert kept[3] == sorted(set(kept[2]) - {i for i, _ in leaks}) and leaks
+        if k == 3:
+            rows = [(r.doc_id, r.text, r.source) for r in before.collect()]
+            sizes, totals, targets, nearest = mix_by_hand(rows)
+            times, sums = Counter(kept[4]), dict.fromkeys(totals, 0)
+            for (i, _, source), n in zip(rows, sizes, strict=True):
+                assert times[i] <= 2
+                sums[source] += times[i] * n
+            assert all(abs(sums[x] - targets[x]) <= nearest[x] + 0.5 for x in totals)
+        if k == 4:
+            from tokenizers import Tokenizer
+
+            texts = sorted((r.doc_id, r.text) for r in before.collect())
+            found = Tokenizer.from_str(token_files.public_vocabulary()).encode_batch([t for _, t in texts], add_special_tokens=False)
+            want = [(i, zlib.crc32(np.array([*e.ids, 2], "<u4").tobytes())) for (i, _), e in zip(texts, found, strict=True)]
+            assert [(r.doc_id, r.ids_crc32) for r in docs.orderBy("start").collect()] == want
     assert kept[0] == sorted([*kept[1], 70001, 70002, 70003])
     assert set(kept[3]) < set(kept[2]) and set(kept[4]) <= set(kept[3]) and kept[5] == kept[4]
     last = docs.orderBy("start").collect()
