@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborfolio.config import DataValidationError
@@ -10,11 +10,11 @@ from arborfolio.functions.columns import not_finite
 from arborfolio.sources.panels import require_frame
 
 
-def quality(panel: DataFrame, value: str = "price") -> DataFrame:
-    """One row: dates, assets, rows, null_dates, null_values, duplicates, not_finite, not_positive."""
+def quality(panel: DataFrame, value: str = "price", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each of `by`): dates, assets, rows, null_dates, null_values, duplicates, not_finite, not_positive."""
     v = F.col(value)
-    keys = panel.groupBy("date", "asset").agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("nulls"), F.count_if(not_finite(v)).alias("odd"), F.count_if(v <= 0).alias("low"))
-    return keys.agg(
+    keys = panel.groupBy(*by, "date", "asset").agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("nulls"), F.count_if(not_finite(v)).alias("odd"), F.count_if(v <= 0).alias("low"))
+    return keys.groupBy(*by).agg(
         F.count_distinct("date").alias("dates"),
         F.count_distinct("asset").alias("assets"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
@@ -32,6 +32,12 @@ def _fail(name: str, found: dict, *rules: tuple[bool, str]) -> None:
             raise DataValidationError(f"{name}: {message}", **found)
 
 
+def close_prices_are_valid() -> Column:
+    """validate_close_prices() as an expression over the columns of quality()."""
+    whole = F.col("null_values") + F.col("null_dates") == 0
+    return (F.col("dates") >= 3) & whole & (F.col("rows") >= F.col("dates") * F.col("assets")) & (F.col("duplicates") == 0) & (F.col("not_finite") + F.col("not_positive") == 0)
+
+
 def validate_close_prices(panel: DataFrame, name: str = "prices") -> DataFrame:
     q = quality(require_frame(panel, name)).first().asDict()
     holes = q["null_values"] + q["null_dates"] + (q["rows"] < q["dates"] * q["assets"])

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborfolio.config import BacktestConfig, DataValidationError
+from arborfolio.config import BacktestConfig
 from arborfolio.functions.columns import lenient_date, lossy_double, rounded
-from arborfolio.operators import availability, blocks, checks, holding, market, network, performance, trees, universe
+from arborfolio.operators import availability, blocks, checks, holding, market, network, performance, scan, trees, universe
 from arborfolio.plans import backtest
 from arborfolio.sources import panels
 from arborfolio.sources.lineage import dropped, shared_folder, written
@@ -231,25 +231,24 @@ def daily_cov_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def validation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the validations say of the brand panel and of panels that break a rule each: a row per case."""
-    panel = px(spark, sf_dir).join(F.broadcast(px(spark, sf_dir).select("asset").distinct().orderBy("asset").limit(2)), "asset", "left_semi")
-    whole = backtest.complete_dates(panel)
-    cases = {
-        "whole": whole,
-        "twice": whole.unionByName(whole.limit(1)),
-        "negative": whole.withColumn("price", F.when(F.col("asset") == "Brand#11", -F.col("price")).otherwise(F.col("price"))),
-        "zero": whole.withColumn("price", F.when(F.col("asset") == "Brand#11", F.lit(0.0)).otherwise(F.col("price"))),
-        "holes": whole.filter("asset <> 'Brand#11' or date < '1996-01-01'"),
-        "infinite": whole.withColumn("price", F.when(F.col("asset") == "Brand#11", F.lit(float("inf"))).otherwise(F.col("price"))),
-        "short": whole.join(F.broadcast(whole.select("date").distinct().orderBy("date").limit(2)), "date", "left_semi"),
-    }
-    found = []
-    for name, frame in cases.items():
-        try:
-            checks.validate_close_prices(frame)
-            found.append((name, True))
-        except DataValidationError:
-            found.append((name, False))
-    return spark.createDataFrame(found, "case string, valid boolean")
+    panel = kept_panel(spark, sf_dir)[0]
+    whole = backtest.complete_dates(panel.join(F.broadcast(scan.numbered(panel, "asset").filter("k <= 2")), "asset"))
+    rows = whole.join(F.broadcast(scan.numbered(whole, "date", "day")), "date")  # a row per date
+    first, price = F.col("k") == 1, F.col("price")
+    case = lambda name, changed=price, times=F.lit(1): F.struct(F.lit(name).alias("case"), changed.alias("price"), times.alias("times"))
+    instead = lambda value: F.when(first, value).otherwise(price)
+    cases = F.array(
+        case("whole"),
+        case("twice", times=F.when(first & (F.col("day") == 1), 2).otherwise(1)),
+        case("negative", instead(-price)),
+        case("zero", instead(F.lit(0.0))),
+        case("holes", times=F.when(first & (F.col("date") >= "1996-01-01"), 0).otherwise(1)),
+        case("infinite", instead(F.lit(float("inf")))),
+        case("short", times=F.when(F.col("day") <= 2, 1).otherwise(0)),
+    )
+    made = rows.select("date", "asset", F.explode(cases).alias("x")).select("date", "asset", "x.*").filter("times > 0")
+    made = made.select("case", "date", "asset", "price", F.explode(F.sequence(F.lit(1), "times")))
+    return checks.quality(made, by=("case",)).select("case", checks.close_prices_are_valid().alias("valid"))
 
 
 @query

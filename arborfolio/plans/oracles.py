@@ -154,8 +154,8 @@ ORACLES |= {
     "trailing_ranges": f"WITH {DX}, ret AS MATERIALIZED (SELECT * FROM (SELECT date, asset, ln(price / lag(price) OVER (PARTITION BY asset ORDER BY date)) AS x FROM dx) WHERE x IS NOT NULL) SELECT date, asset, {r('x')} AS r, {r('CASE WHEN n = 63 THEN m END')} AS med, {r('CASE WHEN n = 63 THEN s END')} AS mad FROM (SELECT date, asset, x, median(x) OVER w AS m, mad(x) OVER w AS s, count(*) OVER w AS n FROM ret WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))",
     "daily_cov": f"WITH {DX}, ret AS MATERIALIZED (SELECT * FROM (SELECT date, asset, ln(price / lag(price) OVER (PARTITION BY asset ORDER BY date)) AS x FROM dx) WHERE x IS NOT NULL) SELECT CAST(date_trunc('month', a.date) AS DATE) AS month, a.asset AS i, b.asset AS j, {r('sum(a.x * b.x)')} AS cov FROM ret a JOIN ret b ON a.date = b.date AND a.asset <= b.asset GROUP BY 1, 2, 3",
     "validation_outcomes": f"""WITH {PX}, two AS (SELECT * FROM px WHERE asset IN (SELECT DISTINCT asset FROM px ORDER BY asset LIMIT 2)), whole AS MATERIALIZED (SELECT * FROM two WHERE date IN (SELECT date FROM two GROUP BY date HAVING count(*) = 2)),
-cases AS (SELECT 'whole' AS name, * FROM whole UNION ALL SELECT 'twice', * FROM whole UNION ALL SELECT 'twice', * FROM (SELECT * FROM whole LIMIT 1) UNION ALL SELECT 'negative', date, asset, CASE WHEN asset = 'Brand#11' THEN -price ELSE price END FROM whole
-UNION ALL SELECT 'zero', date, asset, CASE WHEN asset = 'Brand#11' THEN 0 ELSE price END FROM whole UNION ALL SELECT 'holes', * FROM whole WHERE asset <> 'Brand#11' OR date < DATE '1996-01-01' UNION ALL SELECT 'infinite', date, asset, CASE WHEN asset = 'Brand#11' THEN 'Infinity' :: DOUBLE ELSE price END FROM whole
+cases AS (SELECT 'whole' AS name, * FROM whole UNION ALL SELECT 'twice', * FROM whole UNION ALL SELECT 'twice', * FROM (SELECT * FROM whole ORDER BY date, asset LIMIT 1) UNION ALL SELECT 'negative', date, asset, CASE WHEN asset = (SELECT min(asset) FROM whole) THEN -price ELSE price END FROM whole
+UNION ALL SELECT 'zero', date, asset, CASE WHEN asset = (SELECT min(asset) FROM whole) THEN 0 ELSE price END FROM whole UNION ALL SELECT 'holes', * FROM whole WHERE asset <> (SELECT min(asset) FROM whole) OR date < DATE '1996-01-01' UNION ALL SELECT 'infinite', date, asset, CASE WHEN asset = (SELECT min(asset) FROM whole) THEN 'Infinity' :: DOUBLE ELSE price END FROM whole
 UNION ALL SELECT 'short', * FROM whole WHERE date IN (SELECT DISTINCT date FROM whole ORDER BY date LIMIT 2))
 SELECT name AS "case", count(*) = count(DISTINCT (date, asset)) AND count(*) = count(DISTINCT date) * count(DISTINCT asset) AND count(DISTINCT date) >= 3 AND bool_and(isfinite(price) AND price > 0) AS valid FROM cases GROUP BY 1""",
     "month_calendar": f"""WITH {PX}, {calendar('px')} SELECT month AS "Month", eff AS "EffectiveDate", hold_end AS "HoldingEndDate" FROM cal""",
