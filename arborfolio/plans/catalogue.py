@@ -48,7 +48,7 @@ def audit(spark: SparkSession, sf_dir: str, months: int = CONFIG.estimation_mont
     return universe.eligibility(panel, dates, panels.staggered_membership(panel), moments)
 
 
-#: What the last query made and wrote, by what it was made from.
+#: What the queries made and wrote, by what it was made from.
 _held: dict[tuple, backtest.Backtest] = {}
 _panels: dict[tuple, tuple[DataFrame, DataFrame, str]] = {}
 
@@ -77,11 +77,8 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _once(key: tuple, make: Callable[[], backtest.Backtest]) -> backtest.Backtest:
-    """The last study, or a new one, for which what the last has written is deleted."""
+    """A study that is made once; there are as many as the queries have settings."""
     if key not in _held:
-        for done in _held.values():
-            done.release()
-        _held.clear()
         _held[key] = make()
     return _held[key]
 
