@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfolio.llm.shared import discard, keep, row_slices, small
+from arborfolio.llm.shared import discard, keep, keep_counted, row_slices, small
 
 LEAST = 3
 #: Tokens with a place of their own in the order at most (a rarer one's place is its hash).
@@ -280,8 +280,8 @@ def token_rows(first: DataFrame) -> DataFrame:
     return rows.select(F.col("x.tokens").alias("token"), "id", "n", F.col("pos").cast("long").alias("pos"), part.alias("part"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
-    """pairs: a, b. Those whose whole texts link, as a table, and its path."""
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, str, int]:
+    """pairs: a, b. Those whose whole texts link, as a table, its path and how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, np.ndarray] | None = None
@@ -295,31 +295,33 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tupl
                     good.append(linked(last[1], other, percent))
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    pairs, path = keep(pairs, "pairs")
-    few = pairs.count() <= BROADCAST_PAIRS
+    pairs, path, n = keep_counted(pairs, "pairs")
+    if not n:
+        return pairs, path, 0
+    few = n <= BROADCAST_PAIRS
     near, ids = (F.broadcast(pairs), F.broadcast(pairs.select("a").distinct())) if few else (pairs, None)
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     left = left.join(ids, "a", "left_semi") if few else left
     held = right.join(near, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    found, path2 = keep(held.mapInArrow(run, "a long, b long"), "links")
+    found, path2, good = keep_counted(held.mapInArrow(run, "a long, b long"), "links")
     discard(pairs.sparkSession, path)
-    return found, path2
+    return found, path2, good
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. Rows id, comp (the smallest id reachable) for the ids in edges: labels move along edges and jump."""
     spark = edges.sparkSession
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both, edge_path = keep(both, "edges")
-    labels, path = keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "id"), "labels")
+    # each id is its own neighbour too, so that the least label around it holds its own
+    around = F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab")))
+    both, edge_path = keep(edges.select(around.alias("x")).select("x.a", "x.b").distinct(), "edges")
+    labels, path = keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        moved = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
-        moved = moved.join(jump, "comp").select("id", F.least("comp", "far").alias("comp"), "was")
-        moved, next_path = keep(moved, "labels")
-        changed = moved.filter("comp != was").limit(1).count()
+        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b")
+        near = near.groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"), F.min(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("was"))
+        jump = labels.select(F.col("id").alias("near"), F.col("comp").alias("far"))
+        moved = near.join(jump, "near").select("id", F.least("near", "far").alias("comp"), "was")
+        moved, next_path, changed = keep_counted(moved, "labels", F.col("comp") != F.col("was"))
         discard(spark, path)
         labels, path = moved.select("id", "comp"), next_path
         if not changed:
@@ -329,8 +331,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def of_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
     """The rows of docs with these ids; the path of the ids' table."""
-    ids, path = keep(ids, "ids")
-    return docs.join(small(ids, BROADCAST_IDS), "id", "left_semi"), path
+    ids, path, n = keep_counted(ids, "ids")
+    return docs.join(small(ids, BROADCAST_IDS, n), "id", "left_semi"), path
 
 
 def grouped(matrix: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -344,9 +346,9 @@ def hub_pairs(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     """Each token's members against the member that shares most of its tokens, if that is in another group; the paths of
     tables that they read."""
     hubs = rows.groupBy("token").agg(F.max(F.struct("shares", (-F.col("id")).alias("minus"), "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    hubs, path = keep(hubs.select("token", (-F.col("hub.minus")).alias("a"), F.col("hub.comp").alias("a_comp")), "hubs")
+    hubs, path, n = keep_counted(hubs.select("token", (-F.col("hub.minus")).alias("a"), F.col("hub.comp").alias("a_comp")), "hubs")
     # broadcast, so that the rows of a token that many documents have stay where they are; beyond that, the join splits them
-    found = rows.join(small(hubs, BROADCAST_TOKENS), "token").filter("comp != a_comp")
+    found = rows.join(small(hubs, BROADCAST_TOKENS, n), "token").filter("comp != a_comp")
     return found.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select("a", "b"), [path]
 
 
@@ -397,8 +399,8 @@ def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFram
     for step in range(EXTENDED + 1):
         rows = grouped(matrix, comps)
         tokens = rows.select("token", "comp").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
-        tokens, path = keep(tokens, "mixed-tokens")
-        rows, path2 = keep(rows.select("token", "id", "n", "pos", "comp").join(small(tokens, BROADCAST_TOKENS), "token"), "mixed-rows")
+        tokens, path, n = keep_counted(tokens, "mixed-tokens")
+        rows, path2 = keep(rows.select("token", "id", "n", "pos", "comp").join(small(tokens, BROADCAST_TOKENS, n), "token"), "mixed-rows")
         paths += [path, path2]
         crowded = place(rows.filter(F.col("groups") > CROWD).groupBy("token").agg(F.first("groups").alias("n")), CROWD.bit_length()) if step < EXTENDED else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
         if not len(crowded[0]):
@@ -418,11 +420,12 @@ def all_opened_pairs(matrix: DataFrame, comps: DataFrame | None, texts: DataFram
     return (pairs.distinct() if len(found) > 1 else pairs), paths
 
 
-def same_id_links(sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, str]:
-    """sets: id, key; classes: key, id. Links a, b of the classes that one id's texts are in, and the path of their table."""
+def same_id_links(sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, str, int]:
+    """sets: id, key; classes: key, id. Links a, b of the classes that one id's texts are in, the path of their table and how
+    many they are."""
     named = sets.filter("id is not null").select("id", "key").join(classes.withColumnRenamed("id", "class"), "key").select("id", "class")
     several = named.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("high")).filter("a < high").select("id", "a")
-    return keep(named.join(several, "id").filter("class != a").select("a", F.col("class").alias("b")).distinct(), "same-id-links")
+    return keep_counted(named.join(several, "id").filter("class != a").select("a", F.col("class").alias("b")).distinct(), "same-id-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -443,10 +446,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     found, path2 = of_ids(docs, matrix.select("id").distinct())
     texts, path3 = keep(found, "texts")
     paths += [path, path2, path3]
-    links, path = same_id_links(sets, classes)
+    links, path, n = same_id_links(sets, classes)
     paths.append(path)
     comps: DataFrame | None = None
-    if links.limit(1).count():
+    if n:
         comps = components(links)
     else:
         links = None
@@ -455,9 +458,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             pairs, used = hub_pairs(grouped(matrix, comps))
         else:
             pairs, used = all_opened_pairs(matrix, comps, texts, width, percent, order)
-        found, path = verify(pairs, texts, width, percent)
+        found, path, new = verify(pairs, texts, width, percent)
         paths += [path, *used]
-        new = found.count()
         if new:
             links = found if links is None else links.union(found)
             comps = components(links)

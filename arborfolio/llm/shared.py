@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder and all tasks run in the driver's machine, as in tests.
@@ -33,6 +33,13 @@ def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def keep_counted(df: DataFrame, name: str, which: Column | None = None) -> tuple[DataFrame, str, int]:
+    """keep(), and the number of rows (of those that `which` holds for), counted while they are written: no job of its own."""
+    seen = Observation()
+    table, path = keep(df.observe(seen, F.count("*" if which is None else F.when(which, 1)).alias("rows")), name)
+    return table, path, seen.get["rows"]
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -51,9 +58,9 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} can't be renamed to {target}")
 
 
-def small(table: DataFrame, most: int) -> DataFrame:
-    """The table, to be broadcast if it has `most` rows at most."""
-    return F.broadcast(table) if table.count() <= most else table
+def small(table: DataFrame, most: int, rows: int | None = None) -> DataFrame:
+    """The table, to be broadcast if it has `most` rows at most; rows: how many it has, if that is known."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= most else table
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
