@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfolio.llm.shared import discard, keep, keep_counted, row_slices, small
+from arborfolio.llm.shared import discard, gives_back, keep, keep_counted, row_slices, small
 
 LEAST = 3
 #: Tokens with a place of their own in the order at most (a rarer one's place is its hash).
@@ -176,7 +176,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
         if held:
             yield often(held)
 
-    return docs.mapInArrow(run, "id long, n long, key binary, token long")
+    return docs.mapInArrow(gives_back(run), "id long, n long, key binary, token long")
 
 
 Order = tuple[np.ndarray, np.ndarray]
@@ -239,7 +239,7 @@ def first_tokens(docs: DataFrame, width: int, percent: int, order: Order, least:
             cuts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), lists, cuts], names=["id", "key", "n", "tokens", "parts"]).filter(pa.array(np.array(need) > 0))
 
-    return docs.mapInArrow(run, "id long, key binary, n long, tokens array<long>, parts array<long>")
+    return docs.mapInArrow(gives_back(run), "id long, key binary, n long, tokens array<long>, parts array<long>")
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def shared_rows(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(x[k], np.int64) for x in out])) for k in range(4)], names=["token", "id", "n", "pos"])
 
-    return rows.repartition("token", "part").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, n long, pos long")
+    return rows.repartition("token", "part").sortWithinPartitions("token", "id").mapInArrow(gives_back(run), "token long, id long, n long, pos long")
 
 
 def token_rows(first: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tupl
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     left = left.join(ids, "a", "left_semi") if few else left
     held = right.join(near, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    found, path2, good = keep_counted(held.mapInArrow(run, "a long, b long"), "links")
+    found, path2, good = keep_counted(held.mapInArrow(gives_back(run), "a long, b long"), "links")
     discard(pairs.sparkSession, path)
     return found, path2, good
 

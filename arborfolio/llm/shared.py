@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -116,6 +118,22 @@ def label_sample(df: DataFrame, key: str, label: str, bound: int) -> tuple[DataF
     return df.join(F.broadcast(shares), label).filter(chosen).select(df.columns), counts
 
 
+def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; at the end of its task the worker gives the system what its allocators hold and don't use. A worker
+    outlives its tasks, so that an executor would else keep the most that each step took while later steps run."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+                trim(0)
+
+    return whole
+
+
 def kept_rows(docs: DataFrame, column: str, wanted: Callable[[list], list[bool]]) -> DataFrame:
     """The rows of docs, all columns, of whose values in the column wanted() says so; columns may have any names."""
     at, plain = docs.columns.index(column), docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
@@ -125,7 +143,7 @@ def kept_rows(docs: DataFrame, column: str, wanted: Callable[[list], list[bool]]
             for batch in row_slices(whole, f"c{at}", 2 << 20):
                 yield batch.filter(pa.array(wanted(batch.column(at).to_pylist()), pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(gives_back(run), plain.schema).toDF(*docs.columns)
 
 
 def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

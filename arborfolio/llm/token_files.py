@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfolio.llm.shared import discard, keep, read_file, row_slices, shared_dir, spread, write_file
+from arborfolio.llm.shared import discard, gives_back, keep, read_file, row_slices, shared_dir, spread, write_file
 
 #: File mark, end id of query op7.
 MAGIC, END_ID = b"AFIDS1\0\0", 2
 HEAD = struct.Struct("<8sQQQQQ")
 MANIFEST = "manifest.parquet"
-CACHE = 800_000
+CACHE = 300_000
 
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -279,9 +279,9 @@ def write_token_files(docs: DataFrame, spec: str, id_col: str = "doc_id", text_c
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias(text_col))
-    tokens, path = keep(rows.mapInArrow(tokenize, "id long, n long, wide boolean, ids binary"), "tokens")
+    tokens, path = keep(rows.mapInArrow(gives_back(tokenize), "id long, n long, wide boolean, ids binary"), "tokens")
     # at most a row for each id of the vocabulary
-    counts = tokens.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = tokens.select("wide", "ids").mapInArrow(gives_back(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], "<u4")
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -316,7 +316,7 @@ def write_token_files(docs: DataFrame, spec: str, id_col: str = "doc_id", text_c
     keys = ["id", "mark", "place"]
     ordered = tokens.withColumn("mark", F.xxhash64("ids")).withColumn("place", F.monotonically_increasing_id())
     ordered = ordered.repartitionByRange(*keys).sortWithinPartitions("id", "mark", "wide", "ids").select("id", "n", "wide", "ids")
-    written, path2 = keep(ordered.mapInArrow(write, "name string, part int, before long, tokens long"), "token-parts")
+    written, path2 = keep(ordered.mapInArrow(gives_back(write), "name string, part int, before long, tokens long"), "token-parts")
     # a row for each partition
     bases, base = [], 0
     for r in sorted(written.groupBy("part").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: r.part):
@@ -366,7 +366,7 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
                     body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids[first : ends[b - 1]].tobytes())]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64(), mask=~there[a:b]), pa.array(start + ends[a:b] - sizes[a:b], pa.int64()), pa.array(sizes[a:b], pa.int64()), body], names=[id_col, "start", "n_tokens", "ids"])
 
-    return spread(manifest.select("name", "start"), "name").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids binary")
+    return spread(manifest.select("name", "start"), "name").mapInArrow(gives_back(run), f"`{id_col}` long, start long, n_tokens long, ids binary")
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json", path_of: Callable[[str], str] | None = None) -> str:

@@ -1,8 +1,14 @@
 """What the driver does and holds: jobs, counted rows, models."""
 
+import os
 import pickle
 import random
+import re
+import sys
+import time
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from arborfolio.llm import jaccard_join, language, shared
@@ -53,3 +59,28 @@ def test_language_model_is_shipped_without_an_object_for_each_ngram(spark):
     shipped = pickle.loads(pickle.dumps(model))
     assert shipped.predict_all(["xylophones", "le wagon", "1"]) == model.predict_all(["xylophones", "le wagon", "1"])
     assert shipped.words == {w: i for i, w in enumerate(model.keys[0].to_pylist())} and len(shipped.grams) == 5
+
+
+def test_workers_give_memory_back_when_a_task_ends(spark, tmp_path):
+    """A worker lives on between tasks: what a step has freed there is the system's again, even below a block that stays."""
+    taken = tmp_path / "taken"
+
+    def size() -> int:
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+
+    def wanted(texts):
+        before, blocks = size(), [bytes(4000) for _ in range(50_000)]
+        sys.modules["kept_by_a_test"] = blocks[-1]  # lies above the others
+        taken.write_text(f"{os.getpid()} {before} {size()}")
+        return [True] * len(texts)
+
+    def report(batches):
+        for _ in batches:
+            time.sleep(0.3)
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [size()]})
+
+    assert shared.kept_rows(frame(spark, [("a",)], "text string").coalesce(1), "text", wanted).count() == 1
+    pid, before, most = map(int, taken.read_text().split())
+    assert most - before > 150
+    after = {r.pid: r.mb for r in spark.range(0, 48, 1, 48).mapInArrow(report, "pid long, mb long").collect()}
+    assert after[pid] - before < 60
